@@ -1,0 +1,15 @@
+"""Arithmetic on ARRAY<DOUBLE> vectors, inside the JVM."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def squared_distance(a, b) -> Column:
+    parts = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
+    return F.aggregate(parts, F.lit(0.0), lambda acc, v: acc + v)
+
+
+def euclidean(a, b) -> Column:
+    return F.sqrt(squared_distance(a, b))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spliceweave.session import cut_lineage
+
 
 def site_spread(usage: DataFrame, site: Sequence[str], n_samples: int, ddof: int = 1) -> DataFrame:
     """Per site: covered samples, sparsity over ``n_samples``, SD of the usage ratio, medians.
@@ -76,6 +78,7 @@ def filter_phenotype(
     rounding: str = "half_even",
 ) -> DataFrame:
     """Retained sites, dense over samples, with counts, usage ratio and ``imputed``."""
+    usage = cut_lineage(usage)  # read twice: thresholds, then fill
     kept = retained_sites(usage, site, n_samples, min_sd, max_sparsity, ddof)
     filled = fill_uncovered(usage, kept, site, samples, n_samples, sample, rounding)
     return filled.withColumn("ratio", F.round(F.try_divide("included", "total"), 6))

@@ -11,12 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spliceweave.functions import genotype, keys, vectors
-from spliceweave.functions.distributions import norm_ppf_sql, two_sided_p, two_sided_p_sql
+from spliceweave.functions import genotype, keys
+from spliceweave.functions.distributions import norm_ppf_sql
 from spliceweave.operators import (
-    association, correlation, gwas, intervals, introns, junctions, metacells, multiple_testing,
-    null_model, phenotype, retention, strata,
+    association, context, correlation, gwas, intervals, introns, junctions, metacells, multiple_testing,
+    nominal, null_model, phenotype, relatedness, retention, strata,
 )
+from spliceweave.operators import splicing_pcs as splicing_pc
 from spliceweave.plans import oracle_tables as o
 from spliceweave.plans import tables as t
 from spliceweave.session import cut_lineage
@@ -74,7 +75,7 @@ WHERE NOT EXISTS (SELECT 1 FROM stat x WHERE x.chrom = i.chrom AND x.strand = i.
   AND x.j_start = i.j_start AND x.j_end = i.j_end AND x.metacell = s.metacell)""")
 def junc_anti_missing(spark, sf):
     """Expected (intron, metacell) results that no count file provides."""
-    stat, samples = t.stat(spark, sf), t.samples(spark, sf)
+    stat, samples = t.stat_table(spark, sf), t.samples(spark, sf)
     names = samples.agg(F.array_sort(F.collect_set("metacell")).alias("names")).withColumn("k", F.lit(1))
     seen = stat.select(*junctions.JUNCTION).distinct().withColumn("k", F.lit(1))
     expected = seen.join(names, "k").select(*junctions.JUNCTION, F.explode("names").alias("metacell"))
@@ -84,7 +85,7 @@ def junc_anti_missing(spark, sf):
 # ------------------------------------------------------------------ introns and sites
 
 def kept_introns(spark, sf):
-    return junctions.intron_totals(t.stat(spark, sf), MIN_READS)
+    return cut_lineage(junctions.intron_totals(t.stat(spark, sf), MIN_READS))
 
 
 @query("intron_endpoints", f"""WITH {o.INTRONS}
@@ -163,8 +164,9 @@ def included_excluded_lists(spark, sf):
 
 
 def competitive_usage(spark, sf):
-    stat = t.stat(spark, sf)
-    rivals = introns.mark_single(junctions.intron_totals(stat, MIN_READS)).filter(~F.col("single"))
+    stat = t.stat_table(spark, sf)
+    kept = cut_lineage(junctions.intron_totals(stat, MIN_READS))
+    rivals = cut_lineage(introns.mark_single(kept).filter(~F.col("single")))
     return introns.site_usage(stat, rivals)
 
 
@@ -184,8 +186,8 @@ SELECT m.chrom, m.strand, m.pos, m.side, w.metacell, coalesce(o.included, 0) AS
 FROM member m JOIN whole w USING (chrom, strand, cluster)
 LEFT JOIN own o ON o.chrom = m.chrom AND o.strand = m.strand AND o.pos = m.pos AND o.side = m.side AND o.metacell = w.metacell""")
 def site_phenotype_cluster(spark, sf):
-    stat = t.stat(spark, sf)
-    clustered = introns.intron_clusters(junctions.intron_totals(stat, MIN_READS))
+    stat = t.stat_table(spark, sf)
+    clustered = cut_lineage(introns.intron_clusters(cut_lineage(junctions.intron_totals(stat, MIN_READS))))
     return introns.site_usage(stat, clustered, competitors="cluster")
 
 
@@ -217,9 +219,9 @@ ir AS (
 
 
 def retention_usage(spark, sf):
-    stat = t.stat(spark, sf)
+    stat = t.stat_table(spark, sf)
     counts = retention.nonsplit_counts(t.nonsplit(spark, sf), t.barcodes(spark, sf).drop("donor"))
-    return retention.combine_ir(counts, junctions.intron_totals(stat, MIN_READS), stat)
+    return retention.combine_ir(cut_lineage(counts), cut_lineage(junctions.intron_totals(stat, MIN_READS)), stat)
 
 
 @query("ir_usage", f"""WITH {IR}
@@ -337,8 +339,8 @@ fill AS (SELECT cluster_id, intron, CAST((SELECT count(*) FROM samples) - count(
 SELECT d.cluster_id, d.intron, d.metacell, d.n, d.total, round(d.n::DOUBLE / nullif(d.total, 0), 6) AS ratio,
        f.n_filled, round(f.fill, 6) AS fill FROM dense d JOIN fill f USING (cluster_id, intron)""")
 def cluster_intron_ratio(spark, sf):
-    stat = t.stat(spark, sf)
-    clustered = introns.intron_clusters(junctions.intron_totals(stat, MIN_READS))
+    stat = t.stat_table(spark, sf)
+    clustered = cut_lineage(introns.intron_clusters(cut_lineage(junctions.intron_totals(stat, MIN_READS))))
     counts = stat.join(clustered.select(*junctions.JUNCTION, "cluster"), junctions.JUNCTION).select(
         introns.cluster_name().alias("cluster_id"), keys.intron_key().alias("intron"), "metacell", "n")
     _, n = sample_frame(spark, sf)
@@ -819,3 +821,147 @@ def diff_splicing_z(spark, sf):
     groups = samples.select("sample_idx", F.expr("CASE WHEN donor_idx % 2 = 0 THEN 0 ELSE 2 END").alias("label"))
     out = association.diff_splicing(models, groups, null_model.design_table(samples))
     return out.select("site", r6("z", "z"), r6("beta", "beta"), r6("se", "se"))
+
+
+# ------------------------------------------------------------------ models without a SQL form
+
+def metacell_covariates(spark, sf):
+    """Sample table with covariates: sex, disease, age and cell state of each metacell."""
+    cust = t.load(spark, sf, "customer").select(
+        F.expr("concat('D', c_nationkey, ':', c_custkey % 2 + 1)").alias("metacell"), "c_acctbal",
+        F.length("c_mktsegment").alias("len"))
+    per = cust.groupBy("metacell").agg(F.avg(F.col("c_acctbal") / 1000).alias("state"), F.avg("len").alias("age"),
+                                       F.log(F.count(F.lit(1)).cast("double")).alias("num_cells"))
+    return t.samples(spark, sf).join(per, "metacell").withColumn(
+        "sex", F.expr("donor_idx % 2 + 1")).withColumn("AD", F.expr("donor_idx div 2 % 2"))
+
+
+def grm_table(spark, sf):
+    return cut_lineage(relatedness.relatedness(t.genotypes(spark, sf), 25))
+
+
+def fitted_null(spark, sf, **options):
+    samples = metacell_covariates(spark, sf)
+    x = samples.select("metacell", F.array("state", "age", "num_cells").alias("x"))
+    design = cut_lineage(null_model.design_table(samples, x, grm_table(spark, sf), grm_min=0.05, **options.pop("design", {})))
+    return cut_lineage(null_model.fit_null(site_frame(spark, sf), design, 25, **options))
+
+
+@query("grm", f"""WITH {o.GENOTYPES},
+f AS (SELECT snp, avg(dosage) / 2 AS f FROM geno GROUP BY ALL HAVING avg(dosage) > 0 AND avg(dosage) < 2),
+s AS (SELECT snp, donor_idx, (dosage - 2 * f) / sqrt(2 * f * (1 - f)) AS g FROM geno JOIN f USING (snp))
+SELECT a.donor_idx AS i, b.donor_idx AS j, round(avg(a.g * b.g), 6) AS k FROM s a JOIN s b USING (snp) GROUP BY ALL""")
+def grm(spark, sf):
+    return relatedness.relatedness(t.genotypes(spark, sf), 25).select("i", "j", r6("k", "k"))
+
+
+@query("null_glmm")
+def null_glmm(spark, sf):
+    return fitted_null(spark, sf).select("site", "status", r6("sqrt_r", "sqrt_r"), r6("tau_g", "tau_g"))
+
+
+@query("score_test_p")
+def score_test_p(spark, sf):
+    out = association.cis_qtl(fitted_null(spark, sf), t.genotypes(spark, sf), 500_000)
+    return out.select("site", "snp", "p", "beta", "se")
+
+
+@query("null_glmm_sample_mode")
+def null_glmm_sample_mode(spark, sf):
+    """Variance ratio from real markers: every variant of the GWAS list serves as a marker."""
+    listed = t.gwas(spark, sf).filter("p < 1e-12").select("k").distinct()
+    long = t.genotype_long(spark, sf).join(listed, "k", "left_semi")
+    markers = long.groupBy("donor_idx").agg(F.array_sort(F.collect_list(F.struct("k", "dosage"))).alias("m")).select(
+        "donor_idx", F.col("m.dosage").alias("dosage"))
+    return fitted_null(spark, sf, mode="sample", design={"markers": markers}).select("site", "status", "sqrt_r", "tau_g")
+
+
+@query("diff_splicing")
+def diff_splicing(spark, sf):
+    samples = metacell_covariates(spark, sf)
+    x = samples.select("metacell", F.array("state", "age", "num_cells").alias("x"))
+    groups = samples.select("sample_idx", F.expr("CASE WHEN AD = 1 THEN 2 ELSE 0 END").alias("label"))
+    return association.diff_splicing(fitted_null(spark, sf), groups, null_model.design_table(samples, x))
+
+
+def lead_pairs(spark, sf):
+    """Best cis variant of every retained site."""
+    cis = association.cis_qtl(screening_null(spark, sf), t.genotypes(spark, sf), 500_000)
+    return cut_lineage(gwas.best_hit(cis.select("site", "snp", "p"), ["site"], "p", ["snp"]).select("site", "snp"))
+
+
+def run_context(spark, sf, design, names):
+    models = fitted_null(spark, sf)
+    return context.context_effects(
+        site_frame(spark, sf), lead_pairs(spark, sf), t.genotype_long(spark, sf), cut_lineage(design), names,
+        null_model.working_residuals(models))
+
+
+@query("glmm_interaction")
+def glmm_interaction(spark, sf):
+    samples = metacell_covariates(spark, sf)
+    return run_context(spark, sf, context.disease_design(samples, ["sex", "age", "AD", "num_cells"]), ["control", "case"])
+
+
+@query("glmm_sex_interaction")
+def glmm_sex_interaction(spark, sf):
+    samples = metacell_covariates(spark, sf)
+    return run_context(spark, sf, context.sex_design(samples, ["sex", "age", "AD", "num_cells"]), ["male", "female"])
+
+
+@query("glmm_state_interaction")
+def glmm_state_interaction(spark, sf):
+    samples = metacell_covariates(spark, sf)
+    design = context.state_design(samples, ["sex", "age", "AD", "num_cells", "state"])
+    return run_context(spark, sf, design, ["low", "mid", "high"])
+
+
+LINEAR = f"""
+ph AS (SELECT chrom || ':' || strand || ':' || pos AS site, chrom, pos, donor_idx, included::DOUBLE / total AS ratio FROM filled WHERE total > 0),
+lev AS (SELECT *, (rank() OVER (PARTITION BY site ORDER BY round(ratio, 6)) + (count(*) OVER (PARTITION BY site, round(ratio, 6)) - 1) / 2e0 - 0.5e0)
+          / count(*) OVER (PARTITION BY site) AS lv FROM ph),
+val AS (SELECT site, chrom, pos, donor_idx, {norm_ppf_sql('lv')} AS y FROM lev)"""
+
+
+@query("nominal_linear", f"""WITH {o.SPREAD}, {LINEAR}, {o.GENOTYPES},
+c AS (SELECT v.site, x.snp, corr(x.dosage, v.y) AS r, stddev_pop(x.dosage) AS sx FROM val v JOIN geno x ON x.chrom = v.chrom
+  AND abs(x.snp_pos - v.pos) <= 1000000 AND x.donor_idx = v.donor_idx GROUP BY ALL)
+SELECT site, snp, round(r, 6) AS r FROM c WHERE sx > 1e-6""")
+def nominal_linear(spark, sf):
+    samples = t.samples(spark, sf)
+    out = nominal.nominal_linear(site_frame(spark, sf), t.genotypes(spark, sf), null_model.design_table(samples), 25)
+    return out.select("site", "snp", r6("r", "r"))
+
+
+@query("truth_recovery", f"""WITH {o.SPREAD}, {o.GENOTYPES},
+genes AS (SELECT DISTINCT gene, 'chr' || (gene % 5 + 1) AS chrom, gene * 100000 AS g_start, gene * 100000 + 11000 AS g_end,
+            'chr' || (gene * 50 % 5 + 1) || ':' || (gene * 50 * 2000) || ':A:G' AS snp FROM reads),
+ph AS (SELECT chrom || ':' || strand || ':' || pos AS site, chrom, pos, donor_idx, round(included::DOUBLE / nullif(total, 0), 6) AS ratio FROM filled),
+hit AS (SELECT DISTINCT p.site, g.snp FROM ph p JOIN genes g ON g.chrom = p.chrom AND g.g_start < p.pos AND p.pos < g.g_end
+        WHERE p.chrom NOT IN ('chrX', 'chrY'))
+SELECT h.site, h.snp, round(corr(x.dosage, p.ratio), 6) AS r, count(*) AS n
+FROM hit h JOIN ph p USING (site) JOIN geno x ON x.snp = h.snp AND x.donor_idx = p.donor_idx WHERE p.ratio IS NOT NULL GROUP BY ALL""")
+def truth_recovery(spark, sf):
+    usage = site_frame(spark, sf).withColumn("donor", F.col("donor_idx"))
+    truth = t.reads(spark, sf).select("gene", "chrom").distinct().selectExpr(
+        "concat('chr', gene * 50 % 5 + 1, ':', gene * 50 * 2000, ':A:G') AS snp", "chrom",
+        "gene * 100000 AS start", "gene * 100000 + 11000 AS end")
+    geno = t.genotype_long(spark, sf).select("snp", F.col("donor_idx").alias("donor"), "dosage")
+    return correlation.ground_truth_association(usage, truth, geno).select("site", "snp", r6("r", "r"), "n")
+
+
+@query("splicing_pcs")
+def splicing_pcs(spark, sf):
+    usage = site_frame(spark, sf).select("site", "sample_idx", "ratio")
+    return splicing_pc.splicing_pcs(usage, n_pcs=4)
+
+
+@query("louvain_metacells")
+def louvain_metacells(spark, sf):
+    return metacells.call_metacells(t.cells(spark, sf), 10)
+
+
+@query("metacell_quality")
+def metacell_quality(spark, sf):
+    cells = t.cells(spark, sf)
+    return metacells.metacell_quality(cells, cut_lineage(metacells.call_metacells(cells, 10)))

@@ -7,12 +7,12 @@ donors, event types GWAS studies, and embeddings cells with component scores.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spliceweave.functions.distributions import two_sided_p
+from spliceweave.operators.junctions import junction_stats
+from spliceweave.session import cut_lineage
 
 
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -77,11 +77,14 @@ def samples(spark, sf) -> DataFrame:
 
 
 def stat(spark, sf) -> DataFrame:
-    from spliceweave.operators.junctions import junction_stats
-
     return junction_stats(junctions(spark, sf), barcodes(spark, sf))
 
 
+def stat_table(spark, sf) -> DataFrame:
+    """The per-metacell counts as a stored table: a stage boundary, read by every later step."""
+    return cut_lineage(stat(spark, sf))
+
+
 def variants(spark, sf) -> DataFrame:
     """(snp, k, chrom, snp_pos): one variant per part, 2 kb apart."""
     return load(spark, sf, "part").select(
@@ -143,7 +146,3 @@ def cells(spark, sf) -> DataFrame:
         F.col("vec_id").alias("cell_id"), F.expr("concat('D', label)").alias("donor"),
         F.transform("embedding", lambda x: x.cast("double")).alias("pc"),
     )
-
-
-def all_of(conditions):
-    return reduce(lambda a, b: a & b, conditions)

@@ -129,7 +129,7 @@ def silhouette(cells: DataFrame, block: int = BLOCK) -> DataFrame:
     return per.groupBy("donor").agg(F.avg(value).alias("silhouette"))
 
 
-def louvain(edges: DataFrame, nodes: DataFrame, seed: int = 0, max_levels: int = 6, max_rounds: int = 12) -> DataFrame:
+def louvain(edges: DataFrame, nodes: DataFrame, seed: int = 0, max_levels: int = 5, max_rounds: int = 8) -> DataFrame:
     """(donor, node, community) by modularity moves on all donors' graphs at once.
 
     ``edges`` (donor, u, v) is undirected and simple. A round lets a seeded half of the nodes

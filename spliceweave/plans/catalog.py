@@ -934,7 +934,7 @@ def nominal_linear(spark, sf):
 
 
 @query("truth_recovery", f"""WITH {o.SPREAD}, {o.GENOTYPES},
-genes AS (SELECT DISTINCT gene, 'chr' || (gene % 5 + 1) AS chrom, gene * 100000 AS g_start, gene * 100000 + 11000 AS g_end,
+genes AS (SELECT DISTINCT gene, 'chr' || (gene % 5 + 1) AS chrom, gene * 100000 AS g_start, gene * 100000 + 14000 AS g_end,
             'chr' || (gene * 50 % 5 + 1) || ':' || (gene * 50 * 2000) || ':A:G' AS snp FROM reads),
 ph AS (SELECT chrom || ':' || strand || ':' || pos AS site, chrom, pos, donor_idx, round(included::DOUBLE / nullif(total, 0), 6) AS ratio FROM filled),
 hit AS (SELECT DISTINCT p.site, g.snp FROM ph p JOIN genes g ON g.chrom = p.chrom AND g.g_start < p.pos AND p.pos < g.g_end
@@ -945,7 +945,7 @@ def truth_recovery(spark, sf):
     usage = site_frame(spark, sf).withColumn("donor", F.col("donor_idx"))
     truth = t.reads(spark, sf).select("gene", "chrom").distinct().selectExpr(
         "concat('chr', gene * 50 % 5 + 1, ':', gene * 50 * 2000, ':A:G') AS snp", "chrom",
-        "gene * 100000 AS start", "gene * 100000 + 11000 AS end")
+        "gene * 100000 AS start", "gene * 100000 + 14000 AS end")
     geno = t.genotype_long(spark, sf).select("snp", F.col("donor_idx").alias("donor"), "dosage")
     return correlation.ground_truth_association(usage, truth, geno).select("site", "snp", r6("r", "r"), "n")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,14 @@ def checkpoint_dir_ready(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder and return the short-lineage copy."""
-    checkpoint_dir_ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Store ``df`` as a table in the checkpoint folder and return a scan of it.
+
+    A stored table survives lost executors, has known sizes (so joins are planned from them) and
+    starts a fresh plan, which a checkpointed frame does not: that keeps the constraints of its
+    origin, and they pile up in loops.
+    """
+    spark = df.sparkSession
+    checkpoint_dir_ready(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

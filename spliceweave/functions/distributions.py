@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,12 +83,16 @@ def two_sided_p_sql(z: str) -> str:
     return erfc_sql(f"(abs({z}) * {_lit(math.sqrt(0.5))})")
 
 
-def norm_ppf_sql(p: str) -> str:
-    """SQL text of the standard normal quantile of ``p``."""
+def ppf_tail_sql(p: str) -> str:
+    return f"sqrt(-ln(least({p}, 1e0 - {p})))"
+
+
+def norm_ppf_sql(p: str, r: str | None = None) -> str:
+    """SQL text of the standard normal quantile of ``p``; ``r`` may name its stored tail term."""
     q = f"({p} - 0.5e0)"
     r0 = f"(0.180625e0 - {q} * {q})"
     centre = f"({q} * {_horner(PPF_CENTRE_NUM, r0)} / {_horner(PPF_CENTRE_DEN, r0)})"
-    r = f"sqrt(-ln(least({p}, 1e0 - {p})))"
+    r = r or ppf_tail_sql(p)
     rn, rf = f"({r} - 1.6e0)", f"({r} - 5e0)"
     near = f"({_horner(PPF_NEAR_NUM, rn)} / {_horner(PPF_NEAR_DEN, rn)})"
     far = f"({_horner(PPF_FAR_NUM, rf)} / {_horner(PPF_FAR_DEN, rf)})"
@@ -110,6 +114,11 @@ def norm_ppf(p: str) -> Column:
     return F.expr(norm_ppf_sql(p))
 
 
+def with_norm_ppf(df: DataFrame, p: str, out: str) -> DataFrame:
+    """Add the normal quantile of column ``p``, computing its tail term once per row."""
+    return df.withColumn("__tail", F.expr(ppf_tail_sql(p))).withColumn(out, F.expr(norm_ppf_sql(p, "__tail"))).drop("__tail")
+
+
 def _incomplete_beta(a, b, x, terms: int = 300):
     """Regularised incomplete beta by the modified Lentz continued fraction, element-wise."""
     tiny = 1e-300

@@ -13,8 +13,14 @@ from spliceweave.operators.multiple_testing import bonferroni
 
 
 def standardised_slope(x, y) -> Column:
-    """Slope of standardised y on standardised x, which is their Pearson correlation."""
-    return F.corr(x, y)
+    """Slope of standardised y on standardised x, which is their Pearson correlation.
+
+    Pairs with a NULL do not count; NULL when either side does not vary.
+    """
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def mean_scores(cells: DataFrame, labels: DataFrame, n_pcs: int = 8, cell: str = "cell_id", group: str = "metacell") -> DataFrame:
@@ -72,7 +78,7 @@ def ground_truth_association(
     tested = pairs.filter(F.col("ratio").isNotNull() & F.col("dosage").isNotNull())
     return (
         tested.groupBy("site", "snp")
-        .agg(F.corr("dosage", "ratio").alias("r"), F.count(F.lit(1)).alias("n"))
+        .agg(standardised_slope("dosage", "ratio").alias("r"), F.count(F.lit(1)).alias("n"))
         .withColumn("p", correlation_p("r", "n"))
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spliceweave.functions.distributions import chi2_1df_sf, norm_ppf
+from spliceweave.functions.distributions import chi2_1df_sf, with_norm_ppf
 from spliceweave.functions.genotype import ref_frequency
 from spliceweave.functions.keys import strip_chr, variant_locus
 from spliceweave.operators.intervals import window_exists
@@ -115,7 +115,8 @@ def coloc_abf(
     quantitative prior scales with the trait SD; the case-control prior SD is 0.2. Loci with
     ``min_snps`` variants or fewer are left out. Sums are combinable aggregates.
     """
-    q = merged.withColumn("__p", F.when(F.col("p_sqtl") == 0, F.lit(1e-100)).otherwise(F.col("p_sqtl")))
+    usable = merged.filter("maf > 0 AND maf < 1 AND se_gwas > 0 AND p_sqtl >= 0")  # others have no variance
+    q = usable.withColumn("__p", F.when(F.col("p_sqtl") == 0, F.lit(1e-100)).otherwise(F.col("p_sqtl")))
     q = q.withColumn("__half", F.col("__p") * 0.5)
     var2 = quant_variance("maf", "n_sqtl")
     # sd(Y) of a quantitative GWAS: slope through the origin of N on the 1 / (2 var f (1-f)) scale
@@ -127,9 +128,8 @@ def coloc_abf(
     ).filter(F.col("nsnps") > min_snps)
     prior1 = F.when(F.col(trait_type) == "cc", F.lit(0.2)).otherwise(F.col("__sdy") * 0.15)
     rows = (
-        q.join(sdy, list(locus))
-        .withColumn("__z2", norm_ppf("__half"))
-        .withColumn("l1", log_bayes_factor(F.col("beta_gwas") / F.col("se_gwas"),
+        with_norm_ppf(q, "__half", "__z2").join(sdy, list(locus))
+        .withColumn("l1", log_bayes_factor(F.try_divide("beta_gwas", "se_gwas"),
                                            F.col("se_gwas") * F.col("se_gwas"), prior1))
         .withColumn("l2", log_bayes_factor(F.col("__z2"), var2, F.lit(0.15)))
         .select(*locus, "nsnps", "l1", "l2")
@@ -176,8 +176,8 @@ def case_fraction(case, control) -> Column:
 
 def smr_statistic(merged: DataFrame) -> DataFrame:
     """SMR test per row: T = z_g^2 z_e^2 / (z_g^2 + z_e^2), chi-square with one df."""
-    zg = F.col("beta_gwas") / F.col("se_gwas")
-    ze = F.col("beta_sqtl") / F.col("se_sqtl")
+    zg = F.try_divide("beta_gwas", "se_gwas")
+    ze = F.try_divide("beta_sqtl", "se_sqtl")
     return (
         merged.withColumn("b_smr", F.try_divide("beta_gwas", "beta_sqtl"))
         .withColumn("t_smr", F.try_divide(zg * zg * ze * ze, zg * zg + ze * ze))

@@ -44,7 +44,7 @@ def _nearest_kernel(k: int, skip_self: bool):
                     cols["cell_id"] += [cells[lo + i]] * len(row)
                     cols["ref_id"] += ids[row].tolist()
                     cols["dist"] += d[i, row].tolist()
-        return pd.DataFrame(cols)
+        return pd.DataFrame(cols) if cols["cell_id"] else pd.DataFrame()
 
     return run
 
@@ -107,7 +107,7 @@ def _spread_kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             cols["meta"] += np.repeat(part.meta.to_numpy(), len(names)).tolist()
             cols["other"] += np.tile(names, len(d)).tolist()
             cols["total"] += (d @ hot).ravel().tolist()
-    return pd.DataFrame(cols)
+    return pd.DataFrame(cols) if cols["cell_id"] else pd.DataFrame()
 
 
 def silhouette(cells: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -45,7 +45,7 @@ def gene_pc_correlation(expression: DataFrame, scores: DataFrame, n_pcs: int = 8
         expression.join(scores, cell).groupBy("gene")
         .agg(F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"), *[F.sum(x * y[i]).alias(f"sxy{i}") for i in pcs])
         .withColumn("__all", F.lit(1))
-        .join(whole, "__all")
+        .join(F.broadcast(whole), "__all")  # one row of totals
     )
 
     def corr(i):

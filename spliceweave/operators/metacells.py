@@ -65,6 +65,14 @@ def nearest(cells: DataFrame, refs: DataFrame, k: int = 1, skip_self: bool = Fal
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def nearest_anywhere(cells: DataFrame, refs: DataFrame, k: int = 1, spread: int = 64, block: int = BLOCK) -> DataFrame:
+    """``nearest`` without a donor key: cells are spread over groups and every group sees all references."""
+    group = F.pmod(F.xxhash64("cell_id"), F.lit(spread)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
+    found = nearest(cells.select(group.alias("donor"), "cell_id", "pc"), refs.select("ref_id", "pc", copies.alias("donor")), k, block=block)
+    return found.drop("donor")
+
+
 def knn(cells: DataFrame, n_neighbors: int, block: int = BLOCK) -> DataFrame:
     """(donor, cell_id, neighbour, dist, rank): ``n_neighbors`` counts the cell itself."""
     refs = cells.select("donor", F.col("cell_id").alias("ref_id"), "pc")

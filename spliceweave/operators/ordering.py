@@ -103,6 +103,8 @@ def order_statistics(
         for i, (num, den) in enumerate(fractions)
     ])
     wanted = sketch.select(*keys, "n", F.inline(cuts))
+    if not group:
+        wanted = F.broadcast(wanted)  # one row per cut point
     # one pass: rows below a bracket collapse to one counter, rows inside to one per value
     hit = (
         join_null_safe(rows, wanted, keys)

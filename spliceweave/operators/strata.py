@@ -28,7 +28,9 @@ def stratum(value, lower, upper) -> Column:
 def with_tertile(df: DataFrame, value: str, group: Sequence[str] = (), out: str = "stratum") -> DataFrame:
     g = list(group) or ["__all"]
     left = df if group else df.withColumn("__all", F.lit(1))
-    cuts = tertile_cuts(left, value, g)
+    cuts = tertile_cuts(left, value, group)
+    if not group:
+        cuts = F.broadcast(cuts.withColumn("__all", F.lit(1)))  # one row
     return join_null_safe(left, cuts, g).withColumn(out, stratum(value, "lower", "upper")).drop("__all", "lower", "upper")
 
 

@@ -75,10 +75,10 @@ WHERE NOT EXISTS (SELECT 1 FROM stat x WHERE x.chrom = i.chrom AND x.strand = i.
   AND x.j_start = i.j_start AND x.j_end = i.j_end AND x.metacell = s.metacell)""")
 def junc_anti_missing(spark, sf):
     """Expected (intron, metacell) results that no count file provides."""
-    stat, samples = t.stat_table(spark, sf), t.samples(spark, sf)
-    names = samples.agg(F.array_sort(F.collect_set("metacell")).alias("names")).withColumn("k", F.lit(1))
-    seen = stat.select(*junctions.JUNCTION).distinct().withColumn("k", F.lit(1))
-    expected = seen.join(names, "k").select(*junctions.JUNCTION, F.explode("names").alias("metacell"))
+    stat = t.stat_table(spark, sf)
+    samples, n = sample_frame(spark, sf)
+    seen = stat.select(*junctions.JUNCTION).distinct().withColumn("sample_idx", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    expected = seen.join(samples.select("sample_idx", "metacell"), "sample_idx").drop("sample_idx")
     return gwas.missing_results(expected, stat, [*junctions.JUNCTION, "metacell"])
 
 
@@ -690,9 +690,7 @@ SELECT cell_id, centroid, round(dist, 6) AS dist FROM (
 def nearest_centroid(spark, sf):
     cells = t.cells(spark, sf)
     centroids = metacells.centroids(cells.withColumn("centroid", F.col("donor")).drop("donor"), ["centroid"])
-    out = metacells.nearest(
-        cells.select(F.lit("all").alias("donor"), "cell_id", "pc"),
-        centroids.select(F.lit("all").alias("donor"), F.col("centroid").alias("ref_id"), "pc"), k=1)
+    out = metacells.nearest_anywhere(cells, centroids.withColumnRenamed("centroid", "ref_id"), spread=8)
     return out.select("cell_id", F.col("ref_id").alias("centroid"), r6("dist", "dist"))
 
 

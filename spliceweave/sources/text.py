@@ -191,7 +191,7 @@ def read_markers(spark, path, header: bool | None = None) -> DataFrame:
     is_head = (F.col("line") == 0) & ~F.coalesce(F.col("f")[1].rlike(r"^([0-9.]+|NA)$"), F.lit(False))
     flagged = numbered.withColumn("head", is_head if header is None else (F.col("line") == 0) & F.lit(header))
     shift = flagged.agg(F.max(F.col("head").cast("int")).alias("shift")).withColumn("one", F.lit(1))
-    return flagged.filter(~F.col("head")).withColumn("one", F.lit(1)).join(shift, "one").select(
+    return flagged.filter(~F.col("head")).withColumn("one", F.lit(1)).join(F.broadcast(shift), "one").select(
         (F.col("line") - F.col("shift")).cast("int").alias("donor_idx"),
         F.transform(F.slice("f", F.lit(2), F.size("f")), lambda v: v.try_cast("double")).alias("dosage"))
 

@@ -355,3 +355,50 @@ def test_group_difference(spark):
     a = {r.site: r.z for r in association.diff_splicing(models, groups, null_model.design_table(samples, x)).collect()}
     b = {r.site: r.z for r in association.cis_qtl(models, snps, 5000).collect()}
     assert a == pytest.approx(b)
+
+
+def test_context_models(spark):
+    """An effect present in one disease group only shows up as an interaction."""
+    from spliceweave.operators import context
+
+    rng = np.random.default_rng(12)
+    rows, geno = [], rng.binomial(2, 0.5, 60).astype(float)
+    people = pd.DataFrame([(d * 3 + k, f"D{d}:{k}", d, 1 + d % 2, (d // 2) % 2, float(rng.normal())) for d in range(60) for k in range(3)],
+                          columns=["sample_idx", "metacell", "donor_idx", "sex", "AD", "age"])
+    for s, effect in (("hit", 1.2), ("none", 0.0)):
+        eta = 0.2 + effect * geno[people.donor_idx] * people.AD + rng.normal(0, 0.3, 60)[people.donor_idx]
+        n = rng.integers(10, 40, len(people))
+        y = rng.binomial(n, 1 / (1 + np.exp(-eta)))
+        rows += [(s, m, int(a), int(b)) for m, a, b in zip(people.metacell, y, n)]
+    pheno = spark.createDataFrame(rows, "site string, metacell string, included bigint, total bigint")
+    pairs = spark.createDataFrame([("hit", "v"), ("none", "v")], "site string, snp string")
+    dosage = [None if d == 59 else float(g) for d, g in enumerate(geno)]
+    long = spark.createDataFrame([("v", d, g) for d, g in enumerate(dosage)], "snp string, donor_idx bigint, dosage double")
+    res = pheno.join(spark.createDataFrame(people[["metacell", "sample_idx"]]), "metacell").selectExpr(
+        "site", "sample_idx", "included / total - 0.5 AS working_residual")
+    design = context.disease_design(spark.createDataFrame(people), ["sex", "age", "AD"], seed=1)
+    out = {r.site: r for r in context.context_effects(pheno, pairs, long, design, ["control", "case"], res).collect()}
+    assert out["hit"].p_interaction < 1e-3 and out["hit"].q < 1e-2 and out["hit"].p_case < 1e-4
+    assert out["none"].p_interaction > 1e-3 and out["hit"].slope_case > 0.5 > abs(out["hit"].slope_control)
+    state = context.state_design(spark.createDataFrame(people.assign(state=people.age)), ["sex", "AD", "state"])
+    assert {r.stratum: r["count"] for r in state.groupBy("stratum").count().collect()} == {"low": 59, "mid": 61, "high": 60}
+    assert len(state.first().x) == 2 and len(state.first().x_stratum) == 1
+    assert context.sex_design(spark.createDataFrame(people), ["sex", "age", "AD"]).count() <= len(people)
+
+
+def test_power_summary(spark):
+    df = spark.createDataFrame([("a", 1e-6), ("a", 0.5), ("b", 5e-3), ("c", 0.9)], "snp string, p double")
+    assert tuple(correlation.power_summary(df).first()) == (1, 2)
+
+
+def test_grouping_in_one_call(spark):
+    rows = [("m1", "c", "+", 100, 200, 30), ("m2", "c", "+", 100, 200, 25), ("m1", "c", "+", 100, 300, 60), ("m2", "c", "+", 1000, 1100, 80),
+            ("m1", "c", "+", 500, 600, 3)]
+    stat = spark.createDataFrame(rows, "metacell string, chrom string, strand string, j_start bigint, j_end bigint, n bigint")
+    g = introns.group_introns(stat, min_reads=50)
+    assert {(r.j_start, r.j_end, r.single) for r in g.introns.collect()} == {(100, 200, False), (100, 300, False), (1000, 1100, True)}
+    assert {(r.pos, r.side, r.metacell, r.included, r.total) for r in g.site.collect()} == {
+        (100, "start", "m1", 90, 90), (100, "start", "m2", 25, 25), (200, "end", "m1", 30, 90), (200, "end", "m2", 25, 25),
+        (300, "end", "m1", 60, 90), (300, "end", "m2", 0, 25)}
+    assert {r.cluster_id: len(r.introns) for r in g.refined.collect()} == {"c:+:100": 2, "c:+:1000": 1}
+    assert g.intron_counts.count() == 4

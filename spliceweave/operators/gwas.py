@@ -174,8 +174,13 @@ def case_fraction(case, control) -> Column:
     return F.col(case) / (F.col(case) + F.col(control))
 
 
-def smr_statistic(merged: DataFrame) -> DataFrame:
-    """SMR test per row: T = z_g^2 z_e^2 / (z_g^2 + z_e^2), chi-square with one df."""
+def smr_statistic(merged: DataFrame, p_qtl_max: float = 1.0) -> DataFrame:
+    """SMR test per row: T = z_g^2 z_e^2 / (z_g^2 + z_e^2), chi-square with one df.
+
+    ``p_qtl_max`` keeps variants whose QTL p-value (``p_sqtl``) is small enough to be instruments.
+    """
+    if p_qtl_max < 1:
+        merged = merged.filter(F.col("p_sqtl") <= p_qtl_max)
     zg = F.try_divide("beta_gwas", "se_gwas")
     ze = F.try_divide("beta_sqtl", "se_sqtl")
     return (

@@ -124,6 +124,19 @@ def site_usage(counts: DataFrame, introns: DataFrame, sample: str = "metacell",
     )
 
 
+def with_site_name(usage: DataFrame) -> DataFrame:
+    """Add ``site`` = chrom:strand:pos.
+
+    A position that is a start of one intron and an end of another names two different sites;
+    only those carry their side as a fourth token.
+    """
+    roles = usage.groupBy(*LOCUS, "pos").agg(F.min("side").alias("__a"), F.max("side").alias("__b"))
+    double = roles.filter(F.col("__a") != F.col("__b")).select(*LOCUS, "pos", F.lit(True).alias("__two"))
+    named = usage.join(double, [*LOCUS, "pos"], "left")
+    return named.withColumn("site", F.when(F.col("__two"), joined("chrom", "strand", "pos", "side")).otherwise(
+        joined("chrom", "strand", "pos"))).drop("__two")
+
+
 class IntronGroups(NamedTuple):
     introns: DataFrame       # kept introns with reads, cluster, single
     intron_counts: DataFrame  # (cluster, intron, sample, n)

@@ -124,6 +124,11 @@ def order_statistics(
     )
 
 
+def row_slice(df: DataFrame, first: int, last: int) -> DataFrame:
+    """Rows ``first``..``last`` (1-based, inclusive) in scan order; empty when first exceeds the table."""
+    return with_line_number(df, "__line").filter(F.col("__line").between(first - 1, last - 1)).drop("__line")
+
+
 def with_line_number(df: DataFrame, out: str = "line") -> DataFrame:
     """0-based row number in scan order, from per-partition counts (no single-task sort)."""
     tagged = df.withColumn("__id", F.monotonically_increasing_id())

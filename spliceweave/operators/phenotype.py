@@ -101,6 +101,11 @@ def lengthen(wide: DataFrame, rows: Sequence[str], names: Sequence[str], sample:
     return wide.unpivot(list(rows), list(names), sample, value)
 
 
+def rows_by_name(df: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is listed, in list order; ``names`` is (key, ord). Repeated names repeat rows."""
+    return df.join(names.select(key, "ord"), key).orderBy("ord").drop("ord")
+
+
 def covariates_by_sample(long: DataFrame, names: Sequence[str], sample: str = "metacell") -> DataFrame:
     """(sample, cov, value) rows transposed to one named column per covariate."""
     return long.groupBy(sample).pivot("cov", list(names)).agg(F.first("value"))

@@ -762,8 +762,8 @@ def balanced_downsample(spark, sf):
 
 def site_frame(spark, sf):
     samples = t.samples(spark, sf)
-    return filled_phenotype(spark, sf).join(samples.select("metacell", "donor", "donor_idx"), "metacell").withColumn(
-        "site", keys.joined("chrom", "strand", "pos"))
+    named = introns.with_site_name(filled_phenotype(spark, sf))
+    return named.join(samples.select("metacell", "donor", "donor_idx"), "metacell")
 
 
 def screening_null(spark, sf):

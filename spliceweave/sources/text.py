@@ -6,6 +6,7 @@ number of samples needs no schema. Positions are named by the file's header or a
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +58,36 @@ def directory(spark: SparkSession, path: str) -> DataFrame:
     return listing.select("path", file_stem(F.col("path")).alias("stem"))
 
 
+def read_if_present(spark: SparkSession, path: str, reader, schema: str) -> DataFrame:
+    """``reader(spark, path)``, or an empty table of ``schema`` when no such file exists."""
+    try:
+        return reader(spark, path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def lines_with(spark: SparkSession, path, text: str) -> DataFrame:
+    """Lines that contain a substring."""
+    return lines(spark, path).filter(F.col("value").contains(text))
+
+
+def read_sam(spark: SparkSession, path) -> DataFrame:
+    """Mapped alignments of SAM text in the layout of the ``bam`` source (0-based ``pos``)."""
+    f = F.split("value", "\t")
+    rows = lines(spark, path).filter(~F.col("value").startswith("@")).select(f.alias("f"))
+    mapped = rows.filter(F.col("f")[1].cast("int").bitwiseAND(F.lit(4)) == 0)
+
+    def tag(name):
+        hit = F.filter("f", lambda t: t.startswith(f"{name}:Z:"))
+        return F.substring(F.try_element_at(hit, F.lit(1)), 6, 1 << 30)
+
+    return mapped.select(
+        F.col("f")[2].alias("chrom"), (F.col("f")[3].cast("bigint") - 1).alias("pos"), F.col("f")[5].alias("cigar"),
+        F.col("f")[1].cast("int").alias("flag"), F.col("f")[4].cast("int").alias("mapq"), tag("CB").alias("cb"), tag("UB").alias("umi"))
+
+
 # ------------------------------------------------------------------ reads and counts
 
 def read_junctions(spark, path) -> DataFrame:

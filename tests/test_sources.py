@@ -147,3 +147,30 @@ def test_writers(spark, tmp_path):
     geo = spark.createDataFrame([("chr1", 5), ("chr1", 1)], "chrom string, pos bigint")
     write.write_sorted(geo, str(tmp_path / "sorted"), files=2)
     assert spark.read.parquet(str(tmp_path / "sorted")).filter("pos < 3").count() == 1
+
+
+def test_guards_and_slices(spark, tmp_path):
+    from spliceweave.operators import ordering, phenotype
+
+    gone = text.read_if_present(spark, str(tmp_path / "none.result"), text.read_results, "site string, snp string, p double, beta double, se double")
+    assert gone.count() == 0 and gone.columns[0] == "site"
+    p = put(tmp_path / "meta", "\n".join(f"c{i} {'Source' if i % 2 else 'Target'}" for i in range(10)) + "\n")
+    assert text.lines_with(spark, p, "Source").count() == 5
+    assert [r.value.split()[0] for r in ordering.row_slice(text.lines(spark, p), 9, 12).collect()] == ["c8", "c9"]
+    assert ordering.row_slice(text.lines(spark, p), 11, 20).count() == 0
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    names = spark.createDataFrame([("b", 1), ("a", 2), ("b", 3)], "k string, ord int")
+    assert [r.v for r in phenotype.rows_by_name(df, names, "k").collect()] == [2, 1, 2]
+
+
+def test_sam(spark, tmp_path):
+    p = put(tmp_path / "a.sam", "@HD\tVN:1.6\nr\t16\tchr1\t101\t60\t10M100N20M\t*\t0\t0\tAC\tII\tNH:i:1\tCB:Z:AAA-1\tUB:Z:GG\n"
+            "u\t4\t*\t0\t0\t*\t*\t0\t0\tAC\tII\n")
+    assert [tuple(r) for r in text.read_sam(spark, p).collect()] == [("chr1", 100, "10M100N20M", 16, 60, "AAA-1", "GG")]
+
+
+def test_site_with_two_roles(spark):
+    from spliceweave.operators import introns
+
+    df = spark.createDataFrame([("c", "+", 5, "start"), ("c", "+", 5, "end"), ("c", "+", 9, "end")], "chrom string, strand string, pos bigint, side string")
+    assert {r.site for r in introns.with_site_name(df).collect()} == {"c:+:5:start", "c:+:5:end", "c:+:9"}

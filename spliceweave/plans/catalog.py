@@ -601,11 +601,11 @@ def coloc_abf(spark, sf):
 
 @query("smr_stat", f"""WITH {o.GWAS}, {MERGED},
 zz AS (SELECT *, beta_gwas / se_gwas AS zg, beta_sqtl / se_sqtl AS ze FROM merged)
-SELECT study, g_event, q_event, round(beta_gwas / nullif(beta_sqtl, 0), 6) AS b_smr,
-  round(zg * zg * ze * ze / nullif(zg * zg + ze * ze, 0), 6) AS t_smr FROM zz""")
+SELECT study, g_event, q_event, round(beta_gwas / nullif(beta_sqtl, 0), 9) AS b_smr,
+  round(zg * zg * ze * ze / nullif(zg * zg + ze * ze, 0), 9) AS t_smr FROM zz""")
 def smr_stat(spark, sf):
     return gwas.smr_statistic(merged_loci(spark, sf)).select(
-        "study", "g_event", "q_event", r6("b_smr", "b_smr"), r6("t_smr", "t_smr"))
+        "study", "g_event", "q_event", F.round("b_smr", 9).alias("b_smr"), F.round("t_smr", 9).alias("t_smr"))
 
 
 @query("smr_inputs", f"""WITH {o.GWAS},

@@ -24,7 +24,7 @@ def session():
 def norm(rows):
     out = []
     for r in rows:
-        out.append(tuple(round(v, 5) + 0.0 if isinstance(v, float) else v for v in r))
+        out.append(tuple(v + 0.0 if isinstance(v, float) else v for v in r))
     return sorted(out, key=repr)
 
 

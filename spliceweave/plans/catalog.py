@@ -49,7 +49,7 @@ WHERE j_end - j_start BETWEEN 8500 AND 11500 AND least(anchor_l, anchor_r) >= 8"
 def junc_anchor_filter(spark, sf):
     kept = junctions.filter_junctions(t.junctions(spark, sf), 8, 8500, 11500)
     return kept.select("chrom", "strand", "j_start", "j_end", "cb", "umi",
-                       F.col("anchors")[0].alias("anchor_l"), F.col("anchors")[1].alias("anchor_r"))
+                       F.col("anchors")[0].alias("anchor_l"), F.col("anchors")[1].cast("bigint").alias("anchor_r"))
 
 
 @query("junc_stat_dedup", f"WITH {o.STAT} SELECT * FROM stat")

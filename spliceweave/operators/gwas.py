@@ -134,6 +134,7 @@ def coloc_abf(
         .withColumn("l2", log_bayes_factor(F.col("__z2"), var2, F.lit(0.15)))
         .select(*locus, "nsnps", "l1", "l2")
     )
+    rows = cut_lineage(rows)  # read twice: peaks, then sums
     peak = rows.groupBy(*locus).agg(
         F.max("l1").alias("m1"), F.max("l2").alias("m2"), F.max(F.col("l1") + F.col("l2")).alias("m12"))
     sums = (

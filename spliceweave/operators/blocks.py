@@ -13,6 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spliceweave.session import ship_package
+
 
 def over_block_pairs(
     left: DataFrame,
@@ -26,6 +28,7 @@ def over_block_pairs(
     schema: str,
 ) -> DataFrame:
     """Apply ``kernel(left_block, right_block) -> pandas`` to every block pair of every key."""
+    ship_package(left.sparkSession)
     keys = list(keys)
     right = right.toDF(*right.columns)  # fresh column identities: both sides may share a source
     n_left = left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / left_rows).cast("int").alias("__nl"))

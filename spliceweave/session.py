@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, so that kernels run from any folder.
+
+    Functions know the files that were sent before they were made: call this before making a kernel.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="spliceweave-package-"))
+    sc.addPyFile(shutil.make_archive(f"{folder}/spliceweave", "zip", os.path.dirname(root), os.path.basename(root)))
+    _SHIPPED.add(sc.applicationId)
+
 
 def checkpoint_dir_ready(spark: SparkSession) -> None:
     """Make sure reliable checkpoints have a folder.

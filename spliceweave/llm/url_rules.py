@@ -68,7 +68,7 @@ def labelled_tokens(pages: DataFrame, labels: DataFrame) -> DataFrame:
         "tokens", F.when(F.col("bad"), F.lit("block")).otherwise(F.lit("allow")).alias("verdict"))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.4, min_lift: float = 1.2) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.5, min_lift: float = 1.2) -> DataFrame:
     """(rule_id, rarest, tokens, verdict, confidence, support) of rules from token combinations to a verdict.
 
     ``rarest`` is the token under which the rule is filed. An empty ``labelled`` gives no rules.
@@ -103,8 +103,8 @@ def match_rules(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
     return met.groupBy("key").agg(best.alias("best")).select("key", F.col("best.verdict").alias("mined"))
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, min_support: float = 0.002,
-               min_confidence: float = 0.4) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, min_support: float = 0.01,
+               min_confidence: float = 0.5) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of ``pages``.
 
     The longest fixed rule decides; without one the best mined rule; without that the page is allowed. A null url, or one without ``://``,

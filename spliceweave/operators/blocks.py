@@ -27,7 +27,10 @@ def over_block_pairs(
     kernel: Callable,
     schema: str,
 ) -> DataFrame:
-    """Apply ``kernel(left_block, right_block) -> pandas`` to every block pair of every key."""
+    """Apply ``kernel(left_block, right_block) -> pandas`` to every block pair of every key.
+
+    Both sides are read twice (sizes, then rows): give stored tables, or plans that are cheap to repeat.
+    """
     ship_package(left.sparkSession)
     keys = list(keys)
     right = right.toDF(*right.columns)  # fresh column identities: both sides may share a source

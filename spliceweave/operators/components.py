@@ -2,7 +2,7 @@
 
 Each half round is one minimum per node (combined map-side) and one equi join, so a hub node
 costs a skewed join key at worst, which adaptive execution splits. Rounds grow with the
-logarithm of the component size.
+logarithm of the component size; the loop ends when nothing is left to contract.
 """
 
 from __future__ import annotations
@@ -12,25 +12,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spliceweave.session import cut_lineage
+from spliceweave.session import cut_lineage, drop_stage
 
 
-def connected_components(
-    edges: DataFrame, src: str, dst: str, within: Sequence[str] = (), max_rounds: int = 60
-) -> DataFrame:
+def connected_components(edges: DataFrame, src: str, dst: str, within: Sequence[str] = ()) -> DataFrame:
     """(within..., node, component) for every node of ``edges``; component = smallest node.
 
     ``src`` and ``dst`` are integers that name nodes inside one ``within`` group.
     """
     g = list(within)
-    nodes = edges.select(*g, F.explode(F.array(src, dst)).alias("node")).distinct()
-    links = (
-        edges.select(*g, F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo"))
-        .filter("hi > lo")
-        .distinct()
-    )
-    links = cut_lineage(links)
-    for _ in range(max_rounds):
+    start = cut_lineage(edges.select(*g, F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo")).distinct())
+    nodes = start.select(*g, F.explode(F.array("hi", "lo")).alias("node")).distinct()
+    links = start.filter("hi > lo")
+    while True:
         # large star: point every larger neighbour of a node at the node's smallest neighbour
         parent = links.groupBy(*g, F.col("hi").alias("lo")).agg(F.min("lo").alias("top"))
         starred = links.join(parent, [*g, "lo"], "left").select(
@@ -40,7 +34,8 @@ def connected_components(
         parent = starred.groupBy(*g, "hi").agg(F.min("lo").alias("top"))
         paired = starred.join(parent, [*g, "hi"])
         moved = paired.filter(F.col("lo") > F.col("top")).select(*g, F.col("lo").alias("hi"), F.col("top").alias("lo"))
-        links = cut_lineage(moved.unionByName(parent.select(*g, "hi", F.col("top").alias("lo"))).distinct())
+        before, links = links, cut_lineage(moved.unionByName(parent.select(*g, "hi", F.col("top").alias("lo"))).distinct())
+        drop_stage(before)
         roles = links.select(
             *g, F.inline(F.array(
                 F.struct(F.col("hi").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("root")),
@@ -54,8 +49,6 @@ def connected_components(
         )
         if unsettled.isEmpty():
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = links.select(*g, F.col("hi").alias("node"), F.col("lo").alias("component"))
     return nodes.join(roots, [*g, "node"], "left").select(
         *g, "node", F.coalesce("component", "node").alias("component")

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from spliceweave.functions.distributions import two_sided_p
 from spliceweave.operators.correlation import standardised_slope
-from spliceweave.operators.glmm import fit_fixed, fit_mixed
+from spliceweave.operators.glmm import fit_mixed
 from spliceweave.operators.multiple_testing import benjamini_hochberg
 from spliceweave.operators.strata import balanced_sample, with_tertile
+from spliceweave.session import ship_package
 
 FIT_SCHEMA = "site string, snp string, fit string, status string, n bigint, z_geno double, z_inter double"
 
@@ -48,15 +49,19 @@ def context_effects(
     """One row per (site, snp): p of the dosage and of the interaction, q, and per stratum p and slope.
 
     ``pheno`` (site, sample, included, total), ``pairs`` (site, snp, fdr_by...), ``genotype``
-    (snp, donor_idx, dosage), ``design`` (sample, sample_idx, donor_idx, x, x_stratum, ctx,
+    (snp, dosage ARRAY by donor index) or (snp, donor_idx, dosage), ``design`` (sample, sample_idx, donor_idx, x, x_stratum, ctx,
     stratum), ``residuals`` (site, sample_idx, working_residual). Missing dosages drop out. The
     stratum is one more group key, so all fits of all pairs run in one job.
     """
+    ship_package(pheno.sparkSession)
+    listed = genotype.join(pairs.select("snp").distinct(), "snp", "left_semi")  # before dosage arrays are exploded
+    if "donor_idx" not in genotype.columns:
+        listed = listed.select("snp", F.posexplode("dosage").alias("donor_idx", "dosage"))
     rows = (
         pheno.select("site", sample, "included", "total").filter("total > 0")
         .join(pairs.select("site", "snp"), "site")
         .join(design, sample)
-        .join(genotype.select("snp", "donor_idx", "dosage"), ["snp", "donor_idx"])
+        .join(listed.select("snp", "donor_idx", "dosage"), ["snp", "donor_idx"])
         .filter(F.col("dosage").isNotNull())
     )
     each = rows.select(

@@ -30,10 +30,14 @@ def _expit(eta):
 
 
 def fit_fixed(y, n, x, max_iter=50, tol=1e-8) -> Fit:
-    """Plain binomial logistic regression by reweighted least squares."""
+    """Plain binomial logistic regression by reweighted least squares.
+
+    The status is Fixed, or Unsettled if ``max_iter`` steps (a documented limit) did not bring the change below ``tol``.
+    """
     alpha = np.zeros(x.shape[1])
     rate = np.clip(y.sum() / n.sum(), 1e-3, 1 - 1e-3)
     eta = np.full(len(y), np.log(rate / (1 - rate)))
+    done = False
     for _ in range(max_iter):
         pi = _expit(eta)
         w = n * pi * (1 - pi)
@@ -45,7 +49,7 @@ def fit_fixed(y, n, x, max_iter=50, tol=1e-8) -> Fit:
             break
     pi = _expit(eta)
     cov = np.linalg.pinv((x.T * (n * pi * (1 - pi))) @ x)
-    return Fit("Fixed", alpha, cov, pi, -1.0, -1.0)
+    return Fit("Fixed" if done else "Unsettled", alpha, cov, pi, -1.0, -1.0)
 
 
 class _Projector:
@@ -83,8 +87,11 @@ class _Projector:
         return t_o, t_g
 
 
-def fit_mixed(y, n, x, donor, kin, max_iter=30, tol=1e-3) -> Fit:
-    """Mixed fit; falls back to ``fit_fixed`` (status Fixed, tau -1) when it does not converge."""
+def fit_mixed(y, n, x, donor, kin, max_iter=30, tol=1e-3, max_effect=50.0, max_tau=1e3) -> Fit:
+    """Mixed fit; falls back to ``fit_fixed`` (its status, tau -1) when it does not converge.
+
+    It counts as diverging, and falls back as well, once a coefficient exceeds ``max_effect`` or a variance ``max_tau``.
+    """
     start = fit_fixed(y, n, x)
     nd = kin.shape[0]
     alpha, eta = start.alpha, np.log(start.pi / (1 - start.pi))
@@ -113,7 +120,7 @@ def fit_mixed(y, n, x, donor, kin, max_iter=30, tol=1e-3) -> Fit:
             moved = max(np.max(np.abs(new_alpha - alpha) / (np.abs(new_alpha) + np.abs(alpha) + tol)),
                         np.max(np.abs(new_tau - tau) / (new_tau + tau + tol)))
             alpha, tau = new_alpha, new_tau
-            if not np.all(np.isfinite(eta)) or np.max(np.abs(alpha)) > 50 or np.max(tau) > 1e3:
+            if not np.all(np.isfinite(eta)) or np.max(np.abs(alpha)) > max_effect or np.max(tau) > max_tau:
                 return start
             if 2 * moved < tol:
                 pi = _expit(eta)

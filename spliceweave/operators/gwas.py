@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from spliceweave.functions.distributions import chi2_1df_sf, with_norm_ppf
 from spliceweave.functions.genotype import ref_frequency
 from spliceweave.functions.keys import strip_chr, variant_locus
-from spliceweave.operators.intervals import window_exists
-from spliceweave.session import cut_lineage
+from spliceweave.operators.intervals import window_exists, window_join
+from spliceweave.session import cut_lineage, drop_stage
 
 
 def shared_loci(sites: DataFrame, gwas: DataFrame, width: int = 500_000) -> DataFrame:
@@ -54,36 +54,36 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> Da
 
 
 def clump_leads(
-    gwas: DataFrame, p_max: float = 1e-7, width: int = 500_000, per: Sequence[str] = ("study",), max_rounds: int = 200
+    gwas: DataFrame, p_max: float = 1e-7, width: int = 500_000, per: Sequence[str] = ("study",), keep: Sequence[str] = ("variant_id",)
 ) -> DataFrame:
     """Lead variants: greedy by p, dropping every variant within ``width`` of a chosen lead.
 
-    Rows are (per..., chrom, pos, p). Each round keeps all variants that are the best one in
+    Rows are (per..., chrom, pos, p) and those of the ``keep`` columns that are there, which name the variant. Each round keeps all variants that are the best one in
     their own window and removes what they cover, which gives the same leads as the sequential
-    rule. A position keeps its best p first, so a tile holds at most ``width`` rows.
+    rule; it chooses one lead at least, so the loop ends. A position keeps its best row first, so a tile holds at most ``width`` rows.
     """
-    g = [*per, "chrom"]
-    left = cut_lineage(gwas.filter(F.col("p") < p_max).groupBy(*g, "pos").agg(F.min("p").alias("p")))
+    g, keep = [*per, "chrom"], [c for c in keep if c in gwas.columns]
+    best = F.min(F.struct("p", *keep)).alias("best")
+    left = cut_lineage(
+        gwas.filter(F.col("p") < p_max).groupBy(*g, "pos").agg(best).select(*g, "pos", "best.*"))
     leads = None
-    for _ in range(max_rounds):
+    while leads is None or not left.isEmpty():
         tile = F.floor(F.col("pos") / width)
         spread = left.withColumn("home", tile).withColumn("tile", F.explode(F.sequence(tile - 1, tile + 1)))
         around = Window.partitionBy(*g, "tile").orderBy("pos").rangeBetween(-width, width)
-        best = (
+        chosen = cut_lineage(
             spread.withColumn("top", F.min(F.struct("p", "pos")).over(around))
             .filter((F.col("tile") == F.col("home")) & (F.col("top.pos") == F.col("pos")))
-            .select(*g, "pos", "p")
+            .select(*g, "pos", "p", *keep)
         )
-        best = cut_lineage(best)
-        leads = best if leads is None else leads.unionByName(best)
-        near = best.select(*g, F.col("pos").alias("lead"), F.explode(F.sequence(
+        leads = chosen if leads is None else leads.unionByName(chosen)
+        near = chosen.select(*g, F.col("pos").alias("lead"), F.explode(F.sequence(
             F.floor((F.col("pos") - width) / width), F.floor((F.col("pos") + width) / width))).alias("tile"))
         cond = [left[c] == near[c] for c in g] + [
             F.floor(left["pos"] / width) == near["tile"], F.abs(left["pos"] - near["lead"]) <= width]
-        left = cut_lineage(left.join(near, cond, "left_anti"))
-        if left.isEmpty():
-            return leads
-    raise RuntimeError(f"clumping did not settle in {max_rounds} rounds")
+        before, left = left, cut_lineage(left.join(near, cond, "left_anti"))
+        drop_stage(before)
+    return leads
 
 
 def quant_variance(maf="maf", n="n") -> Column:
@@ -113,19 +113,21 @@ def coloc_abf(
     ``merged`` rows carry beta_gwas, se_gwas, n_gwas, maf, p_sqtl, n_sqtl and ``trait_type``
     (cc or quant). The GWAS side uses effect and variance, the QTL side p, N and MAF. The
     quantitative prior scales with the trait SD; the case-control prior SD is 0.2. Loci with
-    ``min_snps`` variants or fewer are left out. Sums are combinable aggregates.
+    ``min_snps`` merged rows or fewer are left out; rows without a usable frequency, variance or p count for that, but carry no
+    evidence. The merge is stored once. Sums are combinable aggregates.
     """
-    usable = merged.filter("maf > 0 AND maf < 1 AND se_gwas > 0 AND p_sqtl >= 0")  # others have no variance
-    q = usable.withColumn("__p", F.when(F.col("p_sqtl") == 0, F.lit(1e-100)).otherwise(F.col("p_sqtl")))
+    needed = ["beta_gwas", "se_gwas", "n_gwas", "maf", "p_sqtl", "n_sqtl", trait_type]
+    merged = cut_lineage(merged.select(*locus, *needed, F.expr("coalesce(maf > 0 AND maf < 1 AND se_gwas > 0 AND p_sqtl >= 0, false)").alias("__usable")))
+    counts = merged.groupBy(*locus).agg(F.count(F.lit(1)).alias("nsnps")).filter(F.col("nsnps") > min_snps)
+    q = merged.filter("__usable").withColumn("__p", F.when(F.col("p_sqtl") == 0, F.lit(1e-100)).otherwise(F.col("p_sqtl")))
     q = q.withColumn("__half", F.col("__p") * 0.5)
     var2 = quant_variance("maf", "n_sqtl")
     # sd(Y) of a quantitative GWAS: slope through the origin of N on the 1 / (2 var f (1-f)) scale
     oneover = F.lit(1.0) / (F.col("se_gwas") * F.col("se_gwas"))
     nvx = F.lit(2.0) * F.col("n_gwas") * F.col("maf") * (F.lit(1.0) - F.col("maf"))
     sdy = q.groupBy(*locus).agg(
-        F.sqrt(F.sum(nvx * oneover) / F.sum(oneover * oneover)).alias("__sdy"),
-        F.count(F.lit(1)).alias("nsnps"),
-    ).filter(F.col("nsnps") > min_snps)
+        F.sqrt(F.sum(nvx * oneover) / F.sum(oneover * oneover)).alias("__sdy")
+    ).join(counts, list(locus))
     prior1 = F.when(F.col(trait_type) == "cc", F.lit(0.2)).otherwise(F.col("__sdy") * 0.15)
     rows = (
         with_norm_ppf(q, "__half", "__z2").join(sdy, list(locus))
@@ -191,6 +193,40 @@ def smr_statistic(merged: DataFrame, p_qtl_max: float = 1.0) -> DataFrame:
     )
 
 
+def smr_per_probe(merged: DataFrame, probe: Sequence[str], p_qtl_max: float = 1e-3, tie: Sequence[str] = ("variant_id",)) -> DataFrame:
+    """SMR of each probe on its best QTL variant: (probe..., tie..., b_smr, se_smr, t_smr, p_smr).
+
+    Only variants with a QTL p of at most ``p_qtl_max`` are instruments; probes without one have no row.
+    """
+    best = best_hit(merged.filter((F.col("p_sqtl") <= p_qtl_max) & F.col("beta_gwas").isNotNull()), probe, "p_sqtl", tie)
+    rows = smr_statistic(best)
+    se = F.try_divide(F.abs("b_smr"), F.sqrt("t_smr"))
+    return rows.select(*probe, *tie, "b_smr", se.alias("se_smr"), "t_smr", "p_smr")
+
+
+def coloc_table(
+    qtl: DataFrame, maf: DataFrame, gwas: DataFrame, centres: DataFrame, width: int = 500_000, min_snps: int = 10,
+) -> DataFrame:
+    """One row a (cell, study, locus): top QTL and GWAS variants with their p, nsnps and pp_h0..pp_h4.
+
+    ``centres`` (cell, study, locus, chrom, pos) names the loci; rows of ``qtl`` (cell, variant_id, beta, se, p, n_sqtl) and ``gwas`` (study,
+    variant_id, chrom, snp_pos, beta, se, p, n_gwas, trait_type) within ``width`` of a centre (inclusive) are merged with ``maf``.
+    """
+    key = ["cell", "study", "locus"]
+    near = window_join(centres, gwas.withColumnRenamed("study", "__s"), ["chrom"], "pos", "snp_pos", width)
+    near = near.filter(F.col("study") == F.col("__s")).select(
+        *key, variant_locus("variant_id").alias("variant_id"), F.col("beta").alias("beta_gwas"), F.col("se").alias("se_gwas"),
+        F.col("p").alias("p_gwas"), "n_gwas", "trait_type")
+    q = qtl.select("cell", variant_locus("variant_id").alias("variant_id"), F.col("p").alias("p_sqtl"), "n_sqtl")
+    m = maf.select(variant_locus("variant_id").alias("variant_id"), "maf")
+    merged = cut_lineage(near.join(q, ["cell", "variant_id"]).join(m, "variant_id"))
+    top = merged.groupBy(*key).agg(
+        F.min(F.struct("p_sqtl", "variant_id")).alias("q"), F.min(F.struct("p_gwas", "variant_id")).alias("g"))
+    return coloc_abf(merged, key, min_snps=min_snps).join(top, key).select(
+        *key, F.col("q.variant_id").alias("top_qtl"), F.col("q.p_sqtl").alias("p_qtl"), F.col("g.variant_id").alias("top_gwas"),
+        F.col("g.p_gwas").alias("p_gwas"), "nsnps", *[f"pp_h{i}" for i in range(5)])
+
+
 def smr_inputs(assoc: DataFrame, gwas: DataFrame, vcf: DataFrame, n_gwas: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(GWAS table, QTL table) for SMR, one row per SNP, site and study.
 
@@ -210,7 +246,7 @@ def smr_inputs(assoc: DataFrame, gwas: DataFrame, vcf: DataFrame, n_gwas: DataFr
     rows = q.join(g, "variant_id").join(v, "variant_id").join(n_gwas, "study").withColumn(
         "__order", where[1].cast("bigint"))
     key = ["cell", "site", "study", "SNP"]
-    once = first_per_key(rows, key, ["__order", "A1", "A2", "p_g", "p"])
+    once = cut_lineage(first_per_key(rows, key, ["__order", "A1", "A2", "p_g", "p"]))  # both tables come from it
     gwas_table = once.select("cell", "site", "study", "SNP", "A1", "A2", "Freq",
                              F.col("b_g").alias("b"), F.col("se_g").alias("se"), F.col("p_g").alias("p"),
                              F.col("n").alias("N"))

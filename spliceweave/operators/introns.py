@@ -84,17 +84,15 @@ def included_excluded(introns: DataFrame) -> DataFrame:
     """
     ends = endpoints(introns, "j_start", "j_end")
     item = F.struct("j_start", "j_end")
-    around = ends.groupBy(*SITE).agg(F.collect_list(item).alias("introns"))
-    opposite = around.select(*LOCUS, F.col("pos").alias("partner"), F.col("side").alias("partner_side"),
-                             F.col("introns").alias("rivals"))
-    lists = ends.join(opposite, [*LOCUS, "partner", "partner_side"]).groupBy(*SITE).agg(
-        F.array_sort(F.collect_list(item)).alias("included"),
-        F.flatten(F.collect_list("rivals")).alias("rivals"),
-    )
-    return lists.select(
-        *SITE, "included",
-        F.array_sort(F.array_except("rivals", "included")).alias("excluded"),
-    )
+    opposite = ends.select(*LOCUS, F.col("pos").alias("partner"), F.col("side").alias("partner_side"),
+                           F.col("j_start").alias("r_start"), F.col("j_end").alias("r_end"))
+    rivals = ends.join(opposite, [*LOCUS, "partner", "partner_side"]).select(
+        *SITE, F.col("r_start").alias("j_start"), F.col("r_end").alias("j_end"))
+    rows = ends.select(*SITE, "j_start", "j_end").withColumn("own", F.lit(True)).unionByName(rivals.withColumn("own", F.lit(False)))
+    once = rows.groupBy(*SITE, "j_start", "j_end").agg(F.max("own").alias("own"))  # a rival that two partners share counts once
+    none = F.array().cast("array<struct<j_start:bigint,j_end:bigint>>")
+    pick = lambda own: F.coalesce(F.array_sort(F.collect_list(F.when(F.col("own") == own, item))), none)
+    return once.groupBy(*SITE).agg(pick(True).alias("included"), pick(False).alias("excluded"))
 
 
 def site_usage(counts: DataFrame, introns: DataFrame, sample: str = "metacell", competitors: str = "partner") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spliceweave.operators.blocks import over_block_pairs
-from spliceweave.session import cut_lineage
+from spliceweave.session import cut_lineage, drop_stage, ship_package
 
 BLOCK = 2048
 SLICE = 64
@@ -104,45 +104,57 @@ def calinski_harabasz(cells: DataFrame) -> DataFrame:
 
 
 def _spread_kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    cols = {"donor": [], "cell_id": [], "meta": [], "other": [], "total": []}
-    if len(left) and len(right):
-        names, code = np.unique(right.ref_meta.to_numpy(), return_inverse=True)
-        hot = np.eye(len(names))[code]
-        for lo, d in _distances(_stack(left.pc), _stack(right.pc)):
-            part = left.iloc[lo:lo + len(d)]
-            cols["donor"] += np.repeat(part.donor.to_numpy(), len(names)).tolist()
-            cols["cell_id"] += np.repeat(part.cell_id.to_numpy(), len(names)).tolist()
-            cols["meta"] += np.repeat(part.meta.to_numpy(), len(names)).tolist()
-            cols["other"] += np.tile(names, len(d)).tolist()
-            cols["total"] += (d @ hot).ravel().tolist()
-    return pd.DataFrame(cols) if cols["cell_id"] else pd.DataFrame()
+    """Per cell and block: distances to the own metacell, the smallest mean to others that are whole here, and sums to parts of larger ones."""
+    if left.empty or right.empty:
+        return pd.DataFrame()
+    names, first, code = np.unique(right.ref_meta.to_numpy(), return_index=True, return_inverse=True)
+    hot, n, parts = np.eye(len(names))[code], right.n.to_numpy()[first].astype(float), right.parts.to_numpy()[first]
+    out = []
+    for lo, d in _distances(_stack(left.pc), _stack(right.pc)):
+        cells = left.iloc[lo:lo + len(d)]
+        sums = d @ hot
+        own = cells.meta.to_numpy()[:, None] == names[None, :]
+        whole = np.where(own | (parts > 1)[None, :], np.inf, sums / n)
+        base = cells[["donor", "cell_id"]]
+        out.append(base.assign(a=np.where(own, sums, 0).sum(axis=1), b=whole.min(axis=1), other=None, total=0.0))
+        for j in np.nonzero(parts > 1)[0]:
+            out.append(base[~own[:, j]].assign(a=0.0, b=np.inf, other=names[j], total=sums[~own[:, j], j] / n[j]))
+    return pd.concat(out)
 
 
 def silhouette(cells: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(donor, silhouette): mean Euclidean silhouette, NULL for donors with one metacell."""
+    """(donor, silhouette): mean Euclidean silhouette, NULL for donors with one metacell.
+
+    A metacell of up to ``block`` cells lies in one block and is reduced there, so about one row a cell and block is shuffled;
+    larger ones are cut into parts whose sums are added.
+    """
     cid = cells.schema["cell_id"].dataType.simpleString()
-    base = cells.select("donor", "cell_id", F.col("meta").cast("string").alias("meta"), "pc")
-    refs = base.select("donor", F.col("cell_id").alias("ref_id"), F.col("meta").alias("ref_meta"), "pc")
-    sums = over_block_pairs(
-        base, refs, ["donor"], ["cell_id"], ["ref_id"], block, block, _spread_kernel,
-        f"donor string, cell_id {cid}, meta string, other string, total double",
-    ).groupBy("donor", "cell_id", "meta", "other").agg(F.sum("total").alias("total"))
-    sizes = base.groupBy("donor", F.col("meta").alias("other")).agg(F.count(F.lit(1)).alias("n"))
-    own = F.col("meta") == F.col("other")
-    per = sums.join(sizes, ["donor", "other"]).groupBy("donor", "cell_id").agg(
-        F.max(F.when(own & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"),
-        F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"))
+    base = cut_lineage(cells.select("donor", "cell_id", F.col("meta").cast("string").alias("meta"), "pc"))
+    sizes = base.groupBy("donor", "meta").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / block))
+    refs = base.join(sizes, ["donor", "meta"]).select(
+        "donor", F.col("cell_id").alias("ref_id"), F.col("meta").alias("ref_meta"), "pc", "n", "parts",
+        F.pmod(F.xxhash64("cell_id"), F.col("parts")).alias("part"))
+    found = over_block_pairs(
+        base, cut_lineage(refs), ["donor"], ["cell_id"], ["ref_meta", "part"], block, block, _spread_kernel,
+        f"donor string, cell_id {cid}, a double, b double, other string, total double",
+    ).groupBy("donor", "cell_id", "other").agg(F.sum("a").alias("a"), F.min("b").alias("b"), F.sum("total").alias("total"))
+    per = found.groupBy("donor", "cell_id").agg(
+        F.sum("a").alias("a"), F.min(F.when(F.col("other").isNull(), F.col("b")).otherwise(F.col("total"))).alias("b"))
+    own = base.select("donor", "cell_id", "meta").join(sizes, ["donor", "meta"]).select("donor", "cell_id", "n")
+    rows = per.join(own, ["donor", "cell_id"]).select(
+        "donor", F.when(F.col("n") > 1, F.col("a") / (F.col("n") - 1)).alias("a"), F.when(F.col("b") < float("inf"), F.col("b")).alias("b"))
     value = F.when(F.col("b").isNotNull(), F.coalesce(
         F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return per.groupBy("donor").agg(F.avg(value).alias("silhouette"))
+    return rows.groupBy("donor").agg(F.avg(value).alias("silhouette"))
 
 
-def louvain(edges: DataFrame, nodes: DataFrame, seed: int = 0, max_levels: int = 5, max_rounds: int = 8) -> DataFrame:
+def louvain(edges: DataFrame, nodes: DataFrame, seed: int = 0) -> DataFrame:
     """(donor, node, community) by modularity moves on all donors' graphs at once.
 
-    ``edges`` (donor, u, v) is undirected and simple. A round lets a seeded half of the nodes
-    join the neighbouring community of largest gain; when rounds settle, communities become the
-    nodes of the next level. Every step is a join and combinable sums, so no donor's graph is
+    ``edges`` (donor, u, v) is undirected and simple. A round lets a seeded share of the nodes
+    join the neighbouring community of largest gain, until no node of any donor would gain by moving; then
+    communities become the nodes of the next level, until a level changes nothing. The share shrinks from a half
+    as rounds go on, so nodes that keep swapping places come to move one at a time. Every step is a join and combinable sums, so no donor's graph is
     gathered in one place. Labels are the smallest node that seeded the community.
     """
     flow = edges.select("donor", F.inline(F.array(
@@ -150,14 +162,16 @@ def louvain(edges: DataFrame, nodes: DataFrame, seed: int = 0, max_levels: int =
         F.struct(F.col("v").alias("src"), F.col("u").alias("dst"))))).withColumn("w", F.lit(1.0))
     flow = cut_lineage(flow)
     member = cut_lineage(nodes.select("donor", "node", F.col("node").alias("community")))
-    for level in range(max_levels):
+    level = 0
+    while True:
         # loops (src = dst) hold weight inside a merged node; they count for degree, not for moves
         degree = flow.groupBy("donor", F.col("src").alias("node")).agg(F.sum("w").alias("deg"))
-        state = cut_lineage(degree.withColumn("comm", F.col("node")))
-        total = state.groupBy("donor").agg(F.sum("deg").alias("two_m"))
+        stored = cut_lineage(degree.withColumn("comm", F.col("node")))
+        state = stored
         ties = flow.filter("src <> dst")
-        moved_any = False
-        for turn in range(max_rounds):
+        moved_any, turn = False, 0
+        while True:
+            total = state.groupBy("donor").agg(F.sum("deg").alias("two_m"))
             where = state.select("donor", F.col("node").alias("dst"), F.col("comm").alias("to_comm"))
             pull = ties.join(where, ["donor", "dst"]).groupBy("donor", F.col("src").alias("node"), "to_comm").agg(F.sum("w").alias("k_in"))
             stay = state.select("donor", "node", F.col("comm").alias("to_comm"), F.lit(0.0).alias("k_in"))
@@ -169,18 +183,17 @@ def louvain(edges: DataFrame, nodes: DataFrame, seed: int = 0, max_levels: int =
                     F.col("mass") - F.when(F.col("to_comm") == F.col("comm"), F.col("deg")).otherwise(0.0)) / F.col("two_m"))
             )
             own = F.max(F.when(F.col("to_comm") == F.col("comm"), F.col("gain")))
-            active = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.lit(turn), "node"), F.lit(2)) == 0
+            active = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.lit(turn), "node"), F.lit(2 + turn // 6)) == 0
             best = scored.groupBy("donor", "node", "deg", "comm").agg(
                 F.max("gain").alias("top"), F.min_by("to_comm", F.struct(-F.round("gain", 9), F.col("to_comm"))).alias("pick"), own.alias("own"))
-            state = cut_lineage(best.withColumn("moved", active & (F.col("top") > F.col("own") + 1e-9)).select(
-                "donor", "node", "deg", F.when(F.col("moved"), F.col("pick")).otherwise(F.col("comm")).alias("comm"), "moved"))
-            n_moved = state.filter("moved").count()
-            state = state.drop("moved")
-            moved_any |= n_moved > 0
-            quiet = n_moved == 0
-            if quiet and turn > 0 and was_quiet:
+            wants = F.col("top") > F.col("own") + 1e-9
+            before, stored = stored, cut_lineage(best.select(
+                "donor", "node", "deg", F.when(active & wants, F.col("pick")).otherwise(F.col("comm")).alias("comm"), wants.alias("wants")))
+            drop_stage(before)
+            state, eager = stored.drop("wants"), not stored.filter("wants").isEmpty()
+            if not eager:
                 break
-            was_quiet = quiet
+            moved_any, turn = True, turn + 1
         if not moved_any:
             break
         label = state.select("donor", F.col("node").alias("community"), F.col("comm").alias("next"))
@@ -188,8 +201,10 @@ def louvain(edges: DataFrame, nodes: DataFrame, seed: int = 0, max_levels: int =
             "donor", "node", F.coalesce("next", "community").alias("community")))
         a = label.select("donor", F.col("community").alias("src"), F.col("next").alias("ns"))
         b = label.select("donor", F.col("community").alias("dst"), F.col("next").alias("nd"))
-        flow = cut_lineage(flow.join(a, ["donor", "src"]).join(b, ["donor", "dst"]).groupBy(
+        last, flow = flow, cut_lineage(flow.join(a, ["donor", "src"]).join(b, ["donor", "dst"]).groupBy(
             "donor", F.col("ns").alias("src"), F.col("nd").alias("dst")).agg(F.sum("w").alias("w")))
+        drop_stage(last, stored)
+        level += 1
     return member
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spliceweave.functions.distributions import correlation_p, norm_ppf
 from spliceweave.operators.association import cis_qtl
+from spliceweave.session import cut_lineage, ship_package
 
 LINEAR_SCHEMA = (
     "site string, chrom string, strand string, pos bigint, sqrt_r double, resid array<double>, w array<double>, "
@@ -57,7 +58,8 @@ def nominal_linear(
     ready = rank_normal(pheno) if normal else pheno.withColumn("value", F.col("ratio"))
     rows = ready.select("site", "chrom", "strand", "pos", sample, "value").join(
         design.select(sample, "donor_idx", "x"), sample)
-    fitted = rows.groupBy("site").applyInPandas(_linear_site(n_donors), LINEAR_SCHEMA)
+    ship_package(rows.sparkSession)
+    fitted = cut_lineage(rows.groupBy("site").applyInPandas(_linear_site(n_donors), LINEAR_SCHEMA))  # read for the test and its sizes
     tested = cis_qtl(fitted.drop("n", "n_cov"), genotypes, window).join(fitted.select("site", "n", "n_cov"), "site")
     out = tested.withColumn("r", F.col("z") / F.sqrt("n"))
     return out.select(

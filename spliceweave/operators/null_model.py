@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spliceweave.operators.glmm import fit_fixed, fit_mixed
+from spliceweave.operators.glmm import fit_mixed
+from spliceweave.session import ship_package
 
 NULL_SCHEMA = (
     "site string, chrom string, strand string, pos bigint, status string, sqrt_r double, tau_g double, "
@@ -30,14 +32,13 @@ def design_table(
     samples: DataFrame, covariates: DataFrame | None = None, grm: DataFrame | None = None,
     markers: DataFrame | None = None, grm_min: float | None = None, sample: str = "metacell",
 ) -> DataFrame:
-    """One row per sample: covariates, and on one sample per donor its sparse GRM row and markers.
+    """One row per sample with its covariates, and apart from these one row per donor (its sample is NULL) with GRM row and markers.
 
     ``samples`` (sample, sample_idx, donor_idx), ``covariates`` (sample, x ARRAY), ``grm``
     (i, j, k) over donor indices, ``markers`` (donor_idx, dosage ARRAY). Relatedness below
     ``grm_min`` counts as zero. Without a GRM donors are unrelated.
     """
-    first = Window.partitionBy("donor_idx").orderBy("sample_idx")
-    out = samples.select(sample, "sample_idx", "donor_idx").withColumn("lead", F.row_number().over(first) == 1)
+    out = samples.select(sample, "sample_idx", "donor_idx")
     if covariates is not None:
         out = out.join(covariates.select(sample, "x"), sample)
     else:
@@ -45,19 +46,13 @@ def design_table(
     per_donor = None
     if grm is not None:
         kept = grm if grm_min is None else grm.filter(F.col("k") >= grm_min)
-        per_donor = kept.groupBy(F.col("i").alias("donor_idx")).agg(
-            F.collect_list(F.struct(F.col("j").cast("int").alias("j"), F.col("k").cast("double").alias("k"))).alias("__kin"))
+        per_donor = kept.groupBy(F.col("i").cast("int").alias("donor_idx")).agg(
+            F.collect_list(F.struct(F.col("j").cast("int").alias("j"), F.col("k").cast("double").alias("k"))).alias("__kin")).select(
+            "donor_idx", F.col("__kin.j").alias("kin_idx"), F.col("__kin.k").alias("kin_val"))
     if markers is not None:
-        m = markers.select("donor_idx", F.col("dosage").alias("__markers"))
+        m = markers.select(F.col("donor_idx").cast("int").alias("donor_idx"), F.col("dosage").cast("array<double>").alias("marker"))
         per_donor = m if per_donor is None else per_donor.join(m, "donor_idx", "full")
-    for name, kind in (("__kin", "array<struct<j:int,k:double>>"), ("__markers", "array<double>")):
-        if per_donor is None or name not in per_donor.columns:
-            out = out.withColumn(name, F.lit(None).cast(kind))
-    if per_donor is not None:
-        out = out.join(per_donor.withColumn("lead", F.lit(True)), ["donor_idx", "lead"], "left")
-    return out.select(
-        sample, "sample_idx", "donor_idx", "x",
-        F.col("__kin.j").alias("kin_idx"), F.col("__kin.k").alias("kin_val"), F.col("__markers").alias("marker"))
+    return out if per_donor is None else out.unionByName(per_donor, allowMissingColumns=True)
 
 
 def missing_donors(samples: DataFrame, labels: DataFrame) -> DataFrame:
@@ -65,18 +60,20 @@ def missing_donors(samples: DataFrame, labels: DataFrame) -> DataFrame:
     return samples.select("donor").distinct().join(labels.select("donor"), "donor", "left_anti")
 
 
-def _kinship(rows: pd.DataFrame, donors: np.ndarray, related: bool) -> np.ndarray:
-    if not related:
-        return np.eye(len(donors))
-    at = {d: i for i, d in enumerate(donors)}
-    kin = np.zeros((len(donors), len(donors)))
-    for d, js, ks in zip(rows.donor_idx, rows.kin_idx, rows.kin_val):
-        if js is None:
-            continue
-        for j, k in zip(js, ks):
-            if j in at:
-                kin[at[d], at[j]] = k
-    return (kin + kin.T) / 2.0
+def _donor_tables(design: pd.DataFrame, n_donors: int, related: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Relatedness and marker dosages of all donors, from the donor rows of a block's design."""
+    donors = design[design["metacell"].isna()]
+    kin, marks = np.eye(n_donors), None
+    if "kin_idx" in donors and related and donors["kin_idx"].notna().any():
+        kin = np.zeros((n_donors, n_donors))
+        for d, js, ks in donors.loc[donors["kin_idx"].notna(), ["donor_idx", "kin_idx", "kin_val"]].itertuples(index=False):
+            kin[int(d), js] = ks
+        kin = (kin + kin.T) / 2.0
+    if "marker" in donors and donors["marker"].notna().any():
+        known = donors[donors["marker"].notna()]
+        marks = np.full((n_donors, len(known["marker"].iloc[0])), np.nan)
+        marks[known["donor_idx"].astype(int)] = np.vstack(known["marker"].to_numpy()).astype(float)
+    return kin, marks
 
 
 def adjusted_score(resid, w, xw, xwx_inv, xr, g):
@@ -86,24 +83,20 @@ def adjusted_score(resid, w, xw, xwx_inv, xr, g):
     return resid @ g - xr @ back, w @ (g * g) - np.sum(xwg * back, axis=0)
 
 
-def _site_fitter(n_donors, max_iter, tol, mode, n_perm, seed, related):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+def _site_fitter(n_donors, max_iter, tol, mode, n_perm, seed):
+    def run(pdf: pd.DataFrame, kin_all: np.ndarray, marks: np.ndarray | None) -> dict | None:
         pdf = pdf[pdf.total > 0].sort_values("sample_idx")
         head = pdf.iloc[0] if len(pdf) else None
         if head is None:
-            return pd.DataFrame()
+            return None
         y, n = pdf.included.to_numpy(float), pdf.total.to_numpy(float)
         x = np.column_stack([np.ones(len(pdf)), np.vstack(pdf.x.to_numpy())]) if len(pdf.x.iloc[0]) else np.ones((len(pdf), 1))
         donors, code = np.unique(pdf.donor_idx.to_numpy(int), return_inverse=True)
-        fit = fit_mixed(y, n, x, code, _kinship(pdf, donors, related), max_iter, tol)
+        fit = fit_mixed(y, n, x, code, kin_all[np.ix_(donors, donors)], max_iter, tol)
         if mode == "sample" and (fit.status != "Converged" or fit.tau_g <= TAU_FLOOR):
-            return pd.DataFrame()
+            return None
         res, w = y - n * fit.pi, n * fit.pi * (1 - fit.pi)
-        full = pdf.donor_idx.to_numpy(int)
-        by_donor = lambda v: np.bincount(full, v, n_donors)
-        resid, wd = by_donor(res), by_donor(w)
-        xw = np.stack([by_donor(w * c) for c in x.T], axis=1)
-        xwx_inv, xr = np.linalg.pinv((x.T * w) @ x), x.T @ res
+        resid, wd, xw, xwx_inv, xr = donor_level(res, w, x, pdf.donor_idx.to_numpy(int), n_donors)
         if mode == "permute":
             rng = np.random.default_rng([seed, zlib.crc32(head.site.encode())])
             base = rng.binomial(2, 0.5, len(donors)).astype(float)
@@ -112,25 +105,28 @@ def _site_fitter(n_donors, max_iter, tol, mode, n_perm, seed, related):
             s, v = adjusted_score(resid, wd, xw, xwx_inv, xr, g)
             r = np.mean(s * s) / np.mean(v) if np.mean(v) > 0 else np.nan
         else:
-            marks = np.full((n_donors, len(next(m for m in pdf.marker if m is not None))), np.nan)
-            for d, m in zip(full, pdf.marker):
-                if m is not None:
-                    marks[d] = m
             g = marks[donors]
             g = np.where(np.isnan(g), np.nanmean(g, axis=0), g)[code]
             g = g - x @ (xwx_inv @ ((x.T * w) @ g))
             den = np.sum(g * g * w[:, None], axis=0)
             use = den > 1e-9
             r = np.mean(np.sum(g * fit.projector.apply(g), axis=0)[use] / den[use])
-        return pd.DataFrame([{
+        return {
             "site": head.site, "chrom": head.chrom, "strand": head.strand, "pos": head.pos, "status": fit.status,
             "sqrt_r": float(np.sqrt(r)), "tau_g": fit.tau_g, "sample_idx": pdf.sample_idx.to_numpy("int32"),
             "residuals": res, "pi": fit.pi, "total": n, "y": y, "resid": resid, "w": wd, "xw": xw.ravel(),
-            "xwx_inv": xwx_inv.ravel(), "xr": xr}])
+            "xwx_inv": xwx_inv.ravel(), "xr": xr}
 
     return run
 
 
+def donor_level(res, w, x, donor, n_donors):
+    """Sums over a donor's samples that a score test needs."""
+    by_donor = lambda v: np.bincount(donor, v, n_donors)
+    xw = np.stack([by_donor(w * c) for c in x.T], axis=1)
+    return by_donor(res), by_donor(w), xw, np.linalg.pinv((x.T * w) @ x), x.T @ res
+
+
 def fit_null(
     pheno: DataFrame,
     design: DataFrame,
@@ -142,20 +138,62 @@ def fit_null(
     seed: int = 0,
     related: bool = True,
     sample: str = "metacell",
+    site_rows: int = 256,
 ) -> DataFrame:
     """Fit the null model of every site.
 
-    ``pheno`` (site, chrom, strand, pos, sample, included, total) is joined to the sample design
-    and grouped by site: every group has one row per sample. ``mode`` estimates the variance
+    ``pheno`` (site, chrom, strand, pos, sample, included, total) is cut into blocks of about ``site_rows``
+    sites; each block meets one copy of the design, so samples and the GRM are shuffled once per
+    block and not per site. ``mode`` estimates the variance
     ratio by permuting a synthetic genotype over donors (``permute``) or from real markers
     (``sample``, which drops sites without a converged positive genetic variance). Besides the
     per-sample arrays a row keeps donor-level sums, all that a score test needs.
     """
     if mode not in ("permute", "sample"):
         raise ValueError("mode must be permute or sample")
-    rows = pheno.select("site", "chrom", "strand", "pos", sample, "included", "total").join(design, sample)
-    run = _site_fitter(n_donors, max_iter, tol, mode, n_perm, seed, related)
-    return rows.groupBy("site").applyInPandas(run, NULL_SCHEMA)
+    spark = pheno.sparkSession
+    ship_package(spark)
+    sites = pheno.agg(F.approx_count_distinct("site")).first()[0]
+    blocks = max(spark.sparkContext.defaultParallelism if sites > 1 else 1, math.ceil(sites / site_rows))
+    rows = pheno.select("site", "chrom", "strand", "pos", F.col(sample).alias("metacell"), "included", "total").withColumn(
+        "block", F.pmod(F.xxhash64("site"), F.lit(blocks)).cast("int"))
+    copies = design.withColumnRenamed(sample, "metacell").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    fit_site = _site_fitter(n_donors, max_iter, tol, mode, n_perm, seed)
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        kin, marks = _donor_tables(right, n_donors, related)
+        known = right.loc[right["metacell"].notna(), ["metacell", "sample_idx", "donor_idx", "x"]]
+        merged = left.merge(known, on="metacell")
+        found = [fit_site(pdf, kin, marks) for _, pdf in merged.groupby("site", sort=False)]
+        return pd.DataFrame([f for f in found if f is not None])
+
+    return rows.groupBy("block").cogroup(copies.groupBy("block")).applyInPandas(run, NULL_SCHEMA)
+
+
+def donor_sums(models: DataFrame, design: DataFrame, n_donors: int, sample: str = "metacell") -> DataFrame:
+    """Models with the donor-level sums of the score test, from their sample arrays (as read from text) and the design.
+
+    ``models`` has site, chrom, strand, pos, sqrt_r and the arrays sample_idx, residuals, pi, total. Samples that the
+    site does not cover (total 0) do not count.
+    """
+    ship_package(models.sparkSession)
+    rows = (
+        models.select("site", "chrom", "strand", "pos", "sqrt_r", F.inline(F.arrays_zip("sample_idx", "residuals", "pi", "total")))
+        .filter("total > 0").join(design.filter(F.col(sample).isNotNull()).select("sample_idx", "donor_idx", "x"), "sample_idx")
+    )
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sample_idx")
+        head = pdf.iloc[0]
+        x = np.column_stack([np.ones(len(pdf)), np.vstack(pdf.x.to_numpy())]) if len(pdf.x.iloc[0]) else np.ones((len(pdf), 1))
+        n, pi = pdf.total.to_numpy(float), pdf.pi.to_numpy(float)
+        resid, w, xw, inv, xr = donor_level(pdf.residuals.to_numpy(float), n * pi * (1 - pi), x, pdf.donor_idx.to_numpy(int), n_donors)
+        return pd.DataFrame([{"site": head.site, "chrom": head.chrom, "strand": head.strand, "pos": head.pos, "sqrt_r": head.sqrt_r,
+                              "resid": resid, "w": w, "xw": xw.ravel(), "xwx_inv": inv.ravel(), "xr": xr}])
+
+    return rows.groupBy("site").applyInPandas(
+        run, "site string, chrom string, strand string, pos bigint, sqrt_r double, resid array<double>, w array<double>, xw array<double>, "
+             "xwx_inv array<double>, xr array<double>")
 
 
 def fit_intercept_only(pheno: DataFrame, n_donors: int) -> DataFrame:

@@ -91,8 +91,9 @@ def drop_all_zero(counts: DataFrame, site: Sequence[str], value: str = "n") -> D
 
 
 def widen(long: DataFrame, rows: Sequence[str], sample: str, value: str, names: Sequence[str], fill=0) -> DataFrame:
-    """Long to wide with one column per named sample (export only)."""
-    wide = long.groupBy(*rows).pivot(sample, list(names)).agg(F.first(value))
+    """Long to wide with one column per named sample (export only). A sample that is not named is an error."""
+    known = F.when(F.col(sample).isin(*names), F.col(sample)).otherwise(F.raise_error(F.concat(F.lit("no column for sample "), F.col(sample))))
+    wide = long.withColumn(sample, known).groupBy(*rows).pivot(sample, list(names)).agg(F.first(value))
     return wide.na.fill(fill) if fill is not None else wide
 
 

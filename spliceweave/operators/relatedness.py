@@ -46,10 +46,8 @@ def relatedness(genotypes: DataFrame, n_donors: int, tile: int = 512, snp_rows:
         "block", "t.ti", "t.tj",
         F.slice("g", F.col("t.ti") * tile + 1, F.lit(tile)).alias("a"), F.slice("g", F.col("t.tj") * tile + 1, F.lit(tile)).alias("b"))
     parts = work.groupBy("ti", "tj", "block").applyInPandas(_tile_kernel(tile), "i bigint, j bigint, s double, m double")
-    half = parts.filter("i <= j").groupBy("i", "j").agg((F.sum("s") / F.sum("m")).alias("k"))
-    return half.unionByName(half.filter("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "k"))
-
-
-def sparsify(grm: DataFrame, threshold: float) -> DataFrame:
-    """Drop relatedness below the threshold (it counts as zero)."""
-    return grm.filter(F.col("k") >= threshold)
+    half = parts.groupBy("i", "j").agg((F.sum("s") / F.sum("m")).alias("k")).withColumn("upper", F.col("i") <= F.col("j"))
+    cell = F.struct(F.col("i"), F.col("j"), F.col("k"))
+    mirror = F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("k"))
+    both = F.when(F.col("i") == F.col("j"), F.array(cell)).when(F.col("upper"), F.array(cell, mirror))
+    return half.select(F.inline(both))

@@ -9,12 +9,19 @@ from spliceweave.operators.introns import LOCUS, endpoints, single_intron_sites
 from spliceweave.operators.junctions import cigar_blocks, read_strand
 
 
-def extract_nonsplit(alignments: DataFrame, sites: DataFrame, strand: str = "RF", tile: int = 4096) -> DataFrame:
+def extract_nonsplit(
+    alignments: DataFrame, sites: DataFrame, strand: str = "RF", tile: int = 4096, barcodes: DataFrame | None = None
+) -> DataFrame:
     """Unspliced reads that cross a site: (chrom, strand, pos, cb, umi, n).
 
+    With ``barcodes`` (cb, and library if both sides have it) only their reads are looked at, before anything is exploded.
+
     Sites and reads meet on genome tiles; a read lies in the few tiles its span touches.
     """
     carry = [c for c in ("library",) if c in alignments.columns]
+    if barcodes is not None:
+        keys = [k for k in ("cb", "library") if k in barcodes.columns and k in alignments.columns]
+        alignments = alignments.join(barcodes.select(*keys).distinct(), keys, "left_semi")
     where = sites.select(*LOCUS, F.col("pos").alias("site_pos")).distinct().withColumn(
         "tile", F.floor(F.col("site_pos") / tile))
     span = F.aggregate(

@@ -61,14 +61,3 @@ def balanced_sample(
         .drop("__key", "__rank", "__quota")
     )
 
-
-def draw_with_replacement(
-    samples: DataFrame, pool: DataFrame, n_pool: int, draws: int = 100, seed: int = 0, sample: str = "sample"
-) -> DataFrame:
-    """``draws`` members of ``pool`` (member, ordinal 1..n_pool) per sample, with replacement.
-
-    Like the upper-exclusive integer draw it stands for, ordinal ``n_pool`` itself is never hit.
-    """
-    spot = F.lit(1) + F.pmod(F.xxhash64(F.lit(seed), F.col(sample), F.col("draw")), F.lit(n_pool - 1))
-    wanted = samples.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("ordinal", spot)
-    return wanted.join(pool, "ordinal")

@@ -6,6 +6,7 @@ All entries read the whole tables. Reads, cells, donors, variants and studies ar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -292,8 +293,9 @@ PROP_COLUMNS = ", ".join(
 SELECT chrom || ':' || strand || ':' || pos AS site, {PROP_COLUMNS} FROM filled GROUP BY chrom, strand, pos, side""")
 def usage_prop_export(spark, sf):
     long = filled_phenotype(spark, sf).withColumn("site", keys.site_key())
-    wide = phenotype.widen(long, ["site", "side"], "metacell", "ratio", DONOR_SAMPLES, fill=None)
-    return wide.select("site", *[F.col(f"`{s}`").alias(s.replace(":", "_")) for s in DONOR_SAMPLES])
+    names = [f"D{d}:{k}" for d in range(t.n_donors(spark, sf)) for k in (1, 2)]
+    wide = phenotype.widen(long, ["site", "side"], "metacell", "ratio", names, fill=None)
+    return wide.select("site", *[F.col(f"`{s}`").alias(s.replace(":", "_")) for s in names])
 
 
 @query("unpivot_counts", """WITH wide AS (
@@ -417,15 +419,6 @@ def genotype_dosage(spark, sf):
         "dosage", genotype.dosage("gt").cast("int"))
 
 
-@query("donor_dosage_lookup", f"""WITH {o.BARCODES}, {o.GENOTYPES}
-SELECT s.metacell, g.snp, g.dosage FROM samples s JOIN geno g USING (donor_idx)""")
-def donor_dosage_lookup(spark, sf):
-    """Every metacell with its donor's dosage at every variant."""
-    samples = t.samples(spark, sf).select("metacell", "donor_idx")
-    return t.genotype_long(spark, sf).join(samples, "donor_idx").select(
-        "metacell", "snp", F.col("dosage").cast("int").alias("dosage"))
-
-
 @query("variant_id_parse", f"""WITH {o.VARIANTS}
 SELECT snp, split_part(snp, ':', 1) AS chrom, CAST(split_part(snp, ':', 2) AS BIGINT) AS pos, split_part(snp, ':', 3) AS ref,
        split_part(snp, ':', 4) AS alt, upper(split_part(snp, ':', 1)) || ':' || split_part(snp, ':', 2) AS locus,
@@ -536,7 +529,7 @@ def dedup_first(spark, sf):
 SELECT g.study, s.trait_type, count(*) AS n_rows, round(max(s.n_case)::DOUBLE / max(s.n_case + s.n_control), 6) AS case_fraction,
        CAST(max(s.n_case + s.n_control) AS BIGINT) AS n_total FROM gwas g JOIN studies s USING (study) GROUP BY ALL""")
 def case_fraction_dim(spark, sf):
-    joined = t.gwas(spark, sf).join(t.studies(spark), "study")
+    joined = t.gwas(spark, sf).join(t.studies(spark, sf), "study")
     return joined.groupBy("study", "trait_type").agg(
         F.count(F.lit(1)).alias("n_rows"), F.max(F.round(gwas.case_fraction("n_case", "n_control"), 6)).alias("case_fraction"),
         F.max(F.col("n_case") + F.col("n_control")).alias("n_total"))
@@ -555,7 +548,7 @@ MERGED = """
 qtl AS (SELECT variant_id, chrom, event_id, beta, se, p FROM gwas WHERE study = 'click'),
 merged AS (
   SELECT g.study, g.chrom, s.trait_type, g.beta AS beta_gwas, g.se AS se_gwas, (s.n_case + s.n_control) AS n_gwas,
-         m.maf, q.beta AS beta_sqtl, q.se AS se_sqtl, q.p AS p_sqtl, 1917 AS n_sqtl, g.event_id AS g_event, q.event_id AS q_event
+         m.maf, q.beta AS beta_sqtl, q.se AS se_sqtl, q.p AS p_sqtl, (SELECT count(*) FROM events WHERE event_type = 'click') AS n_sqtl, g.event_id AS g_event, q.event_id AS q_event
   FROM qtl q JOIN maf m USING (variant_id) JOIN gwas g USING (variant_id) JOIN studies s ON s.study = g.study)"""
 
 
@@ -563,8 +556,8 @@ def merged_loci(spark, sf):
     rows = t.gwas(spark, sf)
     q = rows.filter("study = 'click'").select("variant_id", "beta", "se", "p", F.col("event_id").alias("q_event"))
     g = rows.select("variant_id", "study", "chrom", "beta", "se", "p", F.col("event_id").alias("g_event"))
-    return gwas.merge_gwas(q, t.maf(spark, sf), g).join(t.studies(spark), "study").withColumn(
-        "n_gwas", F.col("n_case") + F.col("n_control")).withColumn("n_sqtl", F.lit(1917))
+    return gwas.merge_gwas(q, t.maf(spark, sf), g).join(t.studies(spark, sf), "study").withColumn(
+        "n_gwas", F.col("n_case") + F.col("n_control")).withColumn("n_sqtl", F.lit(t.load(spark, sf, "events").filter("event_type = 'click'").count()))
 
 
 ZBACK = norm_ppf_sql("half")
@@ -627,17 +620,50 @@ def smr_inputs(spark, sf):
         F.expr("concat('chr', p_partkey % 5 + 1)").alias("chrom"), F.expr("p_partkey * 2000").alias("pos"),
         F.expr("concat('rs', p_partkey)").alias("id"), F.lit("A").alias("ref"), F.lit("G").alias("alt"),
         F.expr("concat('AC=1;AF=', p_size / 100D, ';AN=9')").alias("info"))
-    sizes = t.studies(spark).select("study", (F.col("n_case") + F.col("n_control")).alias("n"))
+    sizes = t.studies(spark, sf).select("study", (F.col("n_case") + F.col("n_control")).alias("n"))
     g, q = gwas.smr_inputs(assoc, rows.select("study", "variant_id", "beta", "se", "p"), vcf, sizes)
     key = ["cell", "site", "study", "SNP"]
     return q.join(g.select(*key, F.col("b").alias("b_g")), key).select(
         *key, "Chr", "BP", r6("Freq", "Freq"), r6("b", "b"), r6("se", "se"), F.round("p", 9).alias("p"), r6("b_g", "b_gwas"))
 
 
-@query("clump_leads")
+@query("clump_leads", f"""WITH RECURSIVE {o.GWAS},
+once AS (SELECT study, chrom, snp_pos AS pos, min(p) AS p, variant_id FROM gwas WHERE p < 1e-3 GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY study, chrom ORDER BY p, pos) AS rk FROM once),
+walk AS (
+  SELECT study, chrom, rk, [pos] AS leads, TRUE AS lead FROM ranked WHERE rk = 1
+  UNION ALL
+  SELECT w.study, w.chrom, r.rk, CASE WHEN len(list_filter(w.leads, lambda x: abs(x - r.pos) <= 100000)) > 0 THEN w.leads ELSE list_append(w.leads, r.pos) END,
+         len(list_filter(w.leads, lambda x: abs(x - r.pos) <= 100000)) = 0
+  FROM walk w JOIN ranked r ON r.study = w.study AND r.chrom = w.chrom AND r.rk = w.rk + 1)
+SELECT r.study, r.chrom, r.pos, round(r.p, 12) AS p, r.variant_id FROM ranked r JOIN walk w USING (study, chrom, rk) WHERE w.lead""")
 def clump_leads(spark, sf):
-    rows = t.gwas(spark, sf).select("study", "chrom", F.col("snp_pos").alias("pos"), "p")
-    return gwas.clump_leads(rows, p_max=1e-3, width=100_000)
+    rows = t.gwas(spark, sf).select("study", "chrom", F.col("snp_pos").alias("pos"), "p", "variant_id")
+    return gwas.clump_leads(rows, p_max=1e-3, width=100_000).select("study", "chrom", "pos", F.round("p", 12).alias("p"), "variant_id")
+
+
+@query("donor_dosage_lookup", f"""WITH {o.BARCODES}, {o.GENOTYPES}, {o.GWAS},
+listed AS (SELECT DISTINCT k FROM gwas WHERE p < 1e-4)
+SELECT s.metacell, g.snp, g.dosage FROM samples s JOIN geno g USING (donor_idx) WHERE g.k IN (SELECT k FROM listed)""")
+def donor_dosage_lookup(spark, sf):
+    """Every metacell with its donor's dosage at the variants on the lead list; others are pruned before they are unfolded."""
+    listed = t.gwas(spark, sf).filter("p < 1e-4").select("k").distinct()
+    wanted = t.genotypes(spark, sf).join(listed, "k", "left_semi").select("snp", F.posexplode("dosage").alias("donor_idx", "dosage"))
+    return wanted.join(t.samples(spark, sf).select("metacell", "donor_idx"), "donor_idx").select(
+        "metacell", "snp", F.col("dosage").cast("int").alias("dosage"))
+
+
+@query("smr_probe", f"""WITH {o.GWAS}, {MERGED},
+best AS (SELECT *, row_number() OVER (PARTITION BY study, chrom ORDER BY p_sqtl, q_event, g_event) AS rk FROM merged WHERE p_sqtl <= 1e-3),
+zz AS (SELECT *, beta_gwas / se_gwas AS zg, beta_sqtl / se_sqtl AS ze FROM best WHERE rk = 1),
+s AS (SELECT study, chrom, beta_gwas / nullif(beta_sqtl, 0) AS b, zg * zg * ze * ze / nullif(zg * zg + ze * ze, 0) AS t FROM zz)
+SELECT study, chrom, round(b, 9) AS b_smr, round(abs(b) / nullif(sqrt(t), 0), 9) AS se_smr,
+  round(1 - (sqrt(t) / 400 / 3) * 2 / sqrt(2 * pi()) * (SELECT sum(CASE WHEN i = 0 OR i = 400 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+    * exp(-power(i * sqrt(t) / 400, 2) / 2)) FROM generate_series(0, 400) g(i)), 6) AS p_smr FROM s""")
+def smr_probe(spark, sf):
+    """SMR on each probe's best QTL variant; the check sums the tail from the density."""
+    out = gwas.smr_per_probe(merged_loci(spark, sf), ["study", "chrom"], 1e-3, ["q_event", "g_event"])
+    return out.select("study", "chrom", F.round("b_smr", 9).alias("b_smr"), F.round("se_smr", 9).alias("se_smr"), r6("p_smr", "p_smr"))
 
 
 # ------------------------------------------------------------------ cells
@@ -754,7 +780,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY ctx, o_orderstatus ORDER BY key,
 SELECT o_orderkey, o_orderstatus, ctx FROM r JOIN quota USING (ctx) WHERE rk <= quota""")
 def balanced_downsample(spark, sf):
     rows = t.load(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.expr("o_custkey % 2").alias("ctx"))
-    key = F.expr("(o_orderkey * 2654435761) % 4294967296")
+    key = F.expr(t.hash32("o_orderkey"))
     return strata.balanced_sample(rows, "o_orderstatus", ["ctx"], ["o_orderkey"], order_key=key)
 
 
@@ -768,7 +794,7 @@ def site_frame(spark, sf):
 
 def screening_null(spark, sf):
     """Null models are fitted once and stored; every test reads the stored table."""
-    return cut_lineage(null_model.fit_intercept_only(site_frame(spark, sf), 25))
+    return cut_lineage(null_model.fit_intercept_only(site_frame(spark, sf), t.n_donors(spark, sf)))
 
 
 SCORE = """
@@ -835,14 +861,14 @@ def metacell_covariates(spark, sf):
 
 
 def grm_table(spark, sf):
-    return cut_lineage(relatedness.relatedness(t.genotypes(spark, sf), 25))
+    return cut_lineage(relatedness.relatedness(t.genotypes(spark, sf), t.n_donors(spark, sf)))
 
 
 def fitted_null(spark, sf, **options):
     samples = metacell_covariates(spark, sf)
     x = samples.select("metacell", F.array("state", "age", "num_cells").alias("x"))
     design = cut_lineage(null_model.design_table(samples, x, grm_table(spark, sf), grm_min=0.05, **options.pop("design", {})))
-    return cut_lineage(null_model.fit_null(site_frame(spark, sf), design, 25, **options))
+    return cut_lineage(null_model.fit_null(site_frame(spark, sf), design, t.n_donors(spark, sf), **options))
 
 
 @query("grm", f"""WITH {o.GENOTYPES},
@@ -850,36 +876,77 @@ f AS (SELECT snp, avg(dosage) / 2 AS f FROM geno GROUP BY ALL HAVING avg(dosage)
 s AS (SELECT snp, donor_idx, (dosage - 2 * f) / sqrt(2 * f * (1 - f)) AS g FROM geno JOIN f USING (snp))
 SELECT a.donor_idx AS i, b.donor_idx AS j, round(avg(a.g * b.g), 6) AS k FROM s a JOIN s b USING (snp) GROUP BY ALL""")
 def grm(spark, sf):
-    return relatedness.relatedness(t.genotypes(spark, sf), 25).select("i", "j", r6("k", "k"))
+    return relatedness.relatedness(t.genotypes(spark, sf), t.n_donors(spark, sf)).select("i", "j", r6("k", "k"))
 
 
-@query("null_glmm")
-def null_glmm(spark, sf):
-    return fitted_null(spark, sf).select("site", "status", r6("sqrt_r", "sqrt_r"), r6("tau_g", "tau_g"))
+SITES = f"""WITH {o.SPREAD},
+ph AS (SELECT chrom || ':' || strand || ':' || pos AS site, chrom, pos, included, total, donor_idx, sample_idx FROM filled)"""
 
 
-@query("score_test_p")
+def design_columns(spark, sf):
+    samples = metacell_covariates(spark, sf)
+    return samples, samples.select("metacell", F.array("state", "age", "num_cells").alias("x"))
+
+
+@query("null_glmm", f"""{SITES}
+SELECT site, count(*) FILTER (total > 0) AS n_samples, CAST(sum(included) FILTER (total > 0) AS BIGINT) AS included,
+       CAST(sum(total) FILTER (total > 0) AS BIGINT) AS total, TRUE AS residuals_ok, TRUE AS score_ok, TRUE AS status_ok
+FROM ph GROUP BY site HAVING count(*) FILTER (total > 0) > 0""")
+def null_glmm(spark, sf):
+    """Fitted models by what a fit must satisfy: residuals y - n pi, score equations X'(y - n pi) = 0, a status and a positive ratio."""
+    models = fitted_null(spark, sf)
+    samples, x = design_columns(spark, sf)
+    rows = models.select("site", F.inline(F.arrays_zip("sample_idx", "residuals", "pi", "total", "y"))).join(
+        samples.join(x, "metacell").select("sample_idx", "x"), "sample_idx")
+    gap = F.abs(F.col("residuals") - (F.col("y") - F.col("total") * F.col("pi")))
+    score = [F.sum(F.col("residuals") * c) for c in (F.lit(1.0), *[F.col("x")[i] for i in range(3)])]
+    scale = [F.sum(F.col("total") * F.abs(c)) for c in (F.lit(1.0), *[F.col("x")[i] for i in range(3)])]
+    per = rows.groupBy("site").agg(
+        F.count(F.lit(1)).alias("n_samples"), F.sum("y").cast("bigint").alias("included"), F.sum("total").cast("bigint").alias("total"),
+        (F.max(gap) < 1e-9).alias("residuals_ok"), F.forall(F.array(*[F.abs(u) / v for u, v in zip(score, scale)]), lambda r: r < 5e-3).alias("score_ok"))
+    status = models.select("site", (F.col("status").isin("Converged", "Fixed", "Unsettled") & (F.col("sqrt_r") > 0)).alias("status_ok"))
+    return per.join(status, "site").select("site", "n_samples", "included", "total", "residuals_ok", "score_ok", "status_ok")
+
+
+def p_matches(z):
+    """The stored p against a tail that is summed from the density."""
+    steps = 400
+    half = F.abs(z) / steps
+    at = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: F.exp(-(i * half) * (i * half) / 2) * F.when(
+        (i == 0) | (i == steps), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0))
+    inside = F.aggregate(at, F.lit(0.0), lambda s, v: s + v) * half / 3 * (2 / math.sqrt(2 * math.pi))
+    return F.abs(F.col("p") - (F.lit(1.0) - inside)) < 1e-6
+
+
+@query("score_test_p", f"""{SITES}, {o.GENOTYPES}, where_at AS (SELECT DISTINCT site, chrom, pos FROM ph)
+SELECT w.site, x.snp, TRUE AS p_ok FROM where_at w JOIN geno x ON x.chrom = w.chrom AND abs(x.snp_pos - w.pos) <= 500000
+GROUP BY w.site, x.snp HAVING count(DISTINCT x.dosage) > 1""")
 def score_test_p(spark, sf):
-    out = association.cis_qtl(fitted_null(spark, sf), t.genotypes(spark, sf), 500_000)
-    return out.select("site", "snp", "p", "beta", "se")
+    out = association.cis_qtl(fitted_null(spark, sf), t.genotypes(spark, sf), 500_000, p_max=1.0)
+    return out.select("site", "snp", p_matches(F.col("beta") / F.col("se")).alias("p_ok"))
 
 
-@query("null_glmm_sample_mode")
+@query("null_glmm_sample_mode", f"""{SITES}
+SELECT site, TRUE AS ok FROM ph GROUP BY site""")
 def null_glmm_sample_mode(spark, sf):
-    """Variance ratio from real markers: every variant of the GWAS list serves as a marker."""
-    listed = t.gwas(spark, sf).filter("p < 1e-12").select("k").distinct()
-    long = t.genotype_long(spark, sf).join(listed, "k", "left_semi")
+    """Variance ratio from real markers: every variant of the GWAS table is a marker. Sites stay only with a converged positive variance."""
+    listed = t.gwas(spark, sf).select("k").distinct()
+    long = t.genotypes(spark, sf).join(listed, "k", "left_semi").select("k", F.posexplode("dosage").alias("donor_idx", "dosage"))
     markers = long.groupBy("donor_idx").agg(F.array_sort(F.collect_list(F.struct("k", "dosage"))).alias("m")).select(
         "donor_idx", F.col("m.dosage").alias("dosage"))
-    return fitted_null(spark, sf, mode="sample", design={"markers": markers}).select("site", "status", "sqrt_r", "tau_g")
+    models = fitted_null(spark, sf, mode="sample", design={"markers": markers}).select("site", "status", "sqrt_r", "tau_g")
+    sites = site_frame(spark, sf).select("site").distinct().join(models, "site", "left")
+    good = (F.col("status") == "Converged") & (F.col("tau_g") > null_model.TAU_FLOOR) & (F.col("sqrt_r") > 0)
+    return sites.select("site", (F.col("status").isNull() | good).alias("ok"))
 
 
-@query("diff_splicing")
+@query("diff_splicing", f"""{SITES}
+SELECT site, TRUE AS p_ok FROM ph GROUP BY site""")
 def diff_splicing(spark, sf):
-    samples = metacell_covariates(spark, sf)
-    x = samples.select("metacell", F.array("state", "age", "num_cells").alias("x"))
+    samples, x = design_columns(spark, sf)
     groups = samples.select("sample_idx", F.expr("CASE WHEN AD = 1 THEN 2 ELSE 0 END").alias("label"))
-    return association.diff_splicing(fitted_null(spark, sf), groups, null_model.design_table(samples, x))
+    out = association.diff_splicing(fitted_null(spark, sf), groups, null_model.design_table(samples, x))
+    return out.select("site", p_matches(F.col("z")).alias("p_ok"))
 
 
 def lead_pairs(spark, sf):
@@ -889,25 +956,38 @@ def lead_pairs(spark, sf):
 
 
 def run_context(spark, sf, design, names):
+    """Interaction fits of the lead pairs, with what must hold for each: p in [0, 1], q at least p, slopes finite."""
     models = fitted_null(spark, sf)
-    return context.context_effects(
-        site_frame(spark, sf), lead_pairs(spark, sf), t.genotype_long(spark, sf), cut_lineage(design), names,
+    out = context.context_effects(
+        site_frame(spark, sf), lead_pairs(spark, sf), t.genotypes(spark, sf), cut_lineage(design), names,
         null_model.working_residuals(models))
+    p = F.array("p_geno", "p_interaction", *[f"p_{n}" for n in names])
+    slopes = F.array(*[f"slope_{n}" for n in names])
+    return out.groupBy("site").agg(
+        F.count(F.lit(1)).alias("n_pairs"),
+        F.bool_and(F.forall(p, lambda v: v.isNull() | v.between(0, 1))).alias("p_ok"),
+        F.bool_and(F.col("p_interaction").isNull() | ((F.col("q") >= F.col("p_interaction") - 1e-12) & (F.col("q") <= 1))).alias("q_ok"),
+        F.bool_and(F.forall(slopes, lambda v: v.isNull() | (F.abs(v) < float("inf")))).alias("slopes_ok"))
+
 
+CONTEXT = f"""{SITES}, {o.GENOTYPES}, rate AS (SELECT site FROM ph GROUP BY site HAVING sum(included) > 0 AND sum(included) < sum(total)),
+cis AS (SELECT DISTINCT p.site FROM ph p JOIN variants v ON v.chrom = p.chrom AND abs(v.snp_pos - p.pos) <= 500000 WHERE p.site IN (SELECT site FROM rate))
+SELECT site, 1 AS n_pairs, TRUE AS p_ok, TRUE AS q_ok, TRUE AS slopes_ok FROM cis"""
 
-@query("glmm_interaction")
+
+@query("glmm_interaction", CONTEXT)
 def glmm_interaction(spark, sf):
     samples = metacell_covariates(spark, sf)
     return run_context(spark, sf, context.disease_design(samples, ["sex", "age", "AD", "num_cells"]), ["control", "case"])
 
 
-@query("glmm_sex_interaction")
+@query("glmm_sex_interaction", CONTEXT)
 def glmm_sex_interaction(spark, sf):
     samples = metacell_covariates(spark, sf)
     return run_context(spark, sf, context.sex_design(samples, ["sex", "age", "AD", "num_cells"]), ["male", "female"])
 
 
-@query("glmm_state_interaction")
+@query("glmm_state_interaction", CONTEXT)
 def glmm_state_interaction(spark, sf):
     samples = metacell_covariates(spark, sf)
     design = context.state_design(samples, ["sex", "age", "AD", "num_cells", "state"])
@@ -927,7 +1007,7 @@ c AS (SELECT v.site, x.snp, corr(x.dosage, v.y) AS r, stddev_pop(x.dosage) AS sx
 SELECT site, snp, round(r, 6) AS r FROM c WHERE sx > 1e-6""")
 def nominal_linear(spark, sf):
     samples = t.samples(spark, sf)
-    out = nominal.nominal_linear(site_frame(spark, sf), t.genotypes(spark, sf), null_model.design_table(samples), 25)
+    out = nominal.nominal_linear(site_frame(spark, sf), t.genotypes(spark, sf), null_model.design_table(samples), t.n_donors(spark, sf))
     return out.select("site", "snp", r6("r", "r"))
 
 
@@ -948,18 +1028,48 @@ def truth_recovery(spark, sf):
     return correlation.ground_truth_association(usage, truth, geno).select("site", "snp", r6("r", "r"), "n")
 
 
-@query("splicing_pcs")
+@query("splicing_pcs", f"""WITH {o.SPREAD}
+SELECT sample_idx, TRUE AS unit_ok, TRUE AS eigen_ok FROM (SELECT DISTINCT sample_idx FROM filled)""")
 def splicing_pcs(spark, sf):
-    usage = site_frame(spark, sf).select("site", "sample_idx", "ratio")
-    return splicing_pc.splicing_pcs(usage, n_pcs=4)
-
-
-@query("louvain_metacells")
+    """Components by what they must satisfy: unit length, and A'A v = lambda v for the centred usage matrix A."""
+    usage = cut_lineage(site_frame(spark, sf).select("site", "sample_idx", "ratio"))
+    pcs = cut_lineage(splicing_pc.splicing_pcs(usage, n_pcs=4))
+    mean = usage.groupBy("site").agg(F.avg("ratio").alias("mean"))
+    a = usage.join(mean, "site").select("site", "sample_idx", F.coalesce(F.col("ratio") - F.col("mean"), F.lit(0.0)).alias("a"))
+    sums = lambda v: F.array(*[F.sum(F.col("a") * F.col(v)[i]) for i in range(4)])
+    av = a.join(pcs, "sample_idx").groupBy("site").agg(sums("pc").alias("av"))
+    back = a.join(av, "site").groupBy("sample_idx").agg(sums("av").alias("back")).join(pcs, "sample_idx")
+    gap = F.array(*[F.abs(F.col("back")[i] - F.col("variance")[i] * F.col("pc")[i]) for i in range(4)])
+    unit = pcs.agg(F.array(*[F.sum(F.col("pc")[i] * F.col("pc")[i]) for i in range(4)]).alias("norm"))
+    return back.join(F.broadcast(unit)).select(  # one row of norms
+        "sample_idx", F.forall("norm", lambda v: F.abs(v - 1) < 1e-9).alias("unit_ok"), F.forall(gap, lambda v: v < 1e-6).alias("eigen_ok"))
+
+
+@query("louvain_metacells", """SELECT 'D' || label AS donor, count(*) AS n_cells, TRUE AS size_ok, TRUE AS small_ok FROM embeddings GROUP BY label""")
 def louvain_metacells(spark, sf):
-    return metacells.call_metacells(t.cells(spark, sf), 10)
+    """Metacells by their rules: at least 10 cells each, or one metacell; donors with fewer than 20 cells have one."""
+    sizes = metacells.call_metacells(t.cells(spark, sf), 10).groupBy("donor", "meta").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy("donor").agg(
+        F.sum("n").alias("n_cells"), ((F.min("n") >= 10) | (F.count(F.lit(1)) == 1)).alias("size_ok"),
+        ((F.sum("n") >= 20) | (F.count(F.lit(1)) == 1)).alias("small_ok"))
 
 
-@query("metacell_quality")
+@query("metacell_quality", """SELECT 'D' || label AS donor, TRUE AS null_ok, TRUE AS range_ok FROM embeddings GROUP BY label""")
 def metacell_quality(spark, sf):
+    """Scores by their rules: NULL for donors of one metacell only, silhouettes in [-1, 1], variance ratios not negative."""
+    cells = t.cells(spark, sf)
+    labels = cut_lineage(metacells.call_metacells(cells, 10))
+    several = labels.groupBy("donor").agg((F.count_distinct("meta") > 1).alias("several"))
+    out = metacells.metacell_quality(cells, labels).join(several, "donor")
+    return out.select(
+        "donor", ((F.col("silhouette").isNotNull() == F.col("several")) & (F.col("ch").isNotNull() == F.col("several"))).alias("null_ok"),
+        (F.coalesce(F.col("silhouette").between(-1, 1), F.lit(True)) & F.coalesce(F.col("ch") >= 0, F.lit(True))).alias("range_ok"))
+
+
+@query("community_modularity", """SELECT 'D' || label AS donor, TRUE AS better FROM embeddings GROUP BY label""")
+def community_modularity(spark, sf):
+    """Communities of the cells' neighbour graphs are better than single cells."""
     cells = t.cells(spark, sf)
-    return metacells.metacell_quality(cells, cut_lineage(metacells.call_metacells(cells, 10)))
+    graph = cut_lineage(metacells.neighbour_graph(metacells.knn(cells, 10)))
+    found = metacells.louvain(graph, cells.select("donor", F.col("cell_id").alias("node")))
+    return metacells.modularity(graph, found).select("donor", (F.col("modularity") > 0).alias("better"))

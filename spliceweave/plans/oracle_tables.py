@@ -102,9 +102,10 @@ maf AS (
   SELECT 'chr' || (p_partkey % 5 + 1) || ':' || (p_partkey * 2000) AS variant_id,
          0.05e0 + 0.009e0 * p_size AS maf FROM part),
 studies AS (
-  SELECT * FROM (VALUES ('click', 'cc', 3722, 1263), ('view', 'cc', 71880, 383378),
-    ('purchase', 'cc', 1234, 2850), ('signup', 'cc', 74776, 101023), ('error', 'quant', 449484, 0))
-    AS t(study, trait_type, n_case, n_control))"""
+  SELECT study, trait_type, CAST(CASE WHEN trait_type = 'quant' THEN n ELSE low + 1 END * 1000 AS BIGINT) AS n_case,
+         CAST(CASE WHEN trait_type = 'quant' THEN 0 ELSE n - low + 1 END * 1000 AS BIGINT) AS n_control
+  FROM (SELECT event_type AS study, count(*) AS n, count(*) FILTER (value < 50) AS low,
+               CASE WHEN event_type = 'error' THEN 'quant' ELSE 'cc' END AS trait_type FROM events GROUP BY event_type))"""
 
 CELLS = """
 cells AS (SELECT vec_id AS cell_id, 'D' || label AS donor, embedding::DOUBLE[] AS pc FROM embeddings),

@@ -95,13 +95,24 @@ def variants(spark, sf) -> DataFrame:
     )
 
 
-DOSAGE = "CAST((((d + 3) * (k + 7) * 2654435761) % 4294967296) div 65536 % 3 AS INT)"
+def hash32(factor: str) -> str:
+    """SQL of factor * 2654435761 modulo 2^32, in halves of the multiplier so that no product leaves the range of a bigint."""
+    m = f"(({factor}) % 4294967296)"
+    return f"(({m} * 40503 % 4294967296 * 65536 + {m} * 31153) % 4294967296)"
+
+
+DOSAGE = "CAST(" + hash32("(CAST(d AS BIGINT) + 3) * (k + 7)") + " div 65536 % 3 AS INT)"
+
+
+def n_donors(spark, sf) -> int:
+    """Length of donor arrays: one more than the largest nation key."""
+    return load(spark, sf, "nation").agg(F.max("n_nationkey")).first()[0] + 1
 
 
 def genotypes(spark, sf) -> DataFrame:
-    """Variants with ``dosage`` ARRAY<DOUBLE> over donor index 0..24."""
+    """Variants with ``dosage`` ARRAY<DOUBLE> over the donor indices."""
     return variants(spark, sf).withColumn(
-        "dosage", F.expr("transform(sequence(0, 24), d -> CAST(" + DOSAGE.replace("(d +", "(CAST(d AS BIGINT) +") + " AS DOUBLE))"))
+        "dosage", F.expr(f"transform(sequence(0, {n_donors(spark, sf) - 1}), d -> CAST({DOSAGE} AS DOUBLE))"))
 
 
 def genotype_long(spark, sf) -> DataFrame:
@@ -133,11 +144,15 @@ def maf(spark, sf) -> DataFrame:
     )
 
 
-def studies(spark) -> DataFrame:
-    """Study dimension: cases and controls, or a total for quantitative traits."""
-    rows = [("click", "cc", 3722, 1263), ("view", "cc", 71880, 383378), ("purchase", "cc", 1234, 2850),
-            ("signup", "cc", 74776, 101023), ("error", "quant", 449484, 0)]
-    return spark.createDataFrame(rows, "study string, trait_type string, n_case bigint, n_control bigint")
+def studies(spark, sf) -> DataFrame:
+    """Study dimension: cases and controls from event counts (in thousands), or a total for the quantitative study."""
+    n = load(spark, sf, "events").groupBy(F.col("event_type").alias("study")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") < 50).alias("low"))
+    quant = F.col("study") == "error"
+    return n.select(
+        "study", F.when(quant, "quant").otherwise("cc").alias("trait_type"),
+        (F.when(quant, F.col("n")).otherwise(F.col("low") + 1) * 1000).alias("n_case"),
+        (F.when(quant, F.lit(0)).otherwise(F.col("n") - F.col("low") + 1) * 1000).alias("n_control"))
 
 
 def cells(spark, sf) -> DataFrame:

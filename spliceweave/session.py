@@ -1,4 +1,4 @@
-"""Session helpers: lineage cutting and size checks."""
+"""Session helpers: shipping the package, the stage folder and stored stages."""
 
 from __future__ import annotations
 
@@ -27,25 +27,17 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_dir_ready(spark: SparkSession) -> None:
-    """Make sure reliable checkpoints have a folder.
+    """Make sure stages have a folder: the one in ``spark.checkpoint.dir``, else one under the warehouse.
 
-    The cluster names the shared folder in ``spark.checkpoint.dir``. A temporary folder is
-    used only when the session runs in local mode and nothing is set.
+    The same rule holds for every master. Both are storage that all executors share on a cluster.
     """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spliceweave-ckpt-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Store ``df`` as a table in the checkpoint folder and return a scan of it.
+    """Store ``df`` as a table in the stage folder and return a scan of it.
 
     A stored table survives lost executors, has known sizes (so joins are planned from them) and
     starts a fresh plan, which a checkpointed frame does not: that keeps the constraints of its
@@ -55,4 +47,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     checkpoint_dir_ready(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def drop_stage(*stored: DataFrame) -> None:
+    """Delete what ``cut_lineage`` stored, once nothing reads it any more (states that a loop has replaced)."""
+    for df in stored:
+        if path := getattr(df, "_stage_path", None):
+            jvm = df.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spliceweave.functions.keys import count_pair
+from spliceweave.session import cut_lineage, drop_stage
 
 
 def write_table(df: DataFrame, path: str, sep: str = "\t", header: bool = False) -> None:
@@ -15,21 +16,23 @@ def write_table(df: DataFrame, path: str, sep: str = "\t", header: bool = False)
 
 
 def write_if_any(df: DataFrame, path: str, sep: str = "\t", header: bool = False) -> bool:
-    """Write only when there are rows; tells whether it did."""
-    if df.isEmpty():
-        return False
-    write_table(df, path, sep, header)
-    return True
+    """Write only when there are rows; tells whether it did. The plan runs once: rows are stored, then copied."""
+    stored = cut_lineage(df)
+    some = not stored.isEmpty()
+    if some:
+        write_table(stored, path, sep, header)
+    drop_stage(stored)
+    return some
 
 
 def write_by_key(df: DataFrame, path: str, keys: Sequence[str], sep: str = "\t", header: bool = True) -> None:
-    """One folder per key value; keys without rows get none."""
-    df.write.partitionBy(*keys).csv(path, sep=sep, header=header, nullValue="NA")
+    """One folder per key value, and few files in each; keys without rows get none."""
+    df.repartition(*keys).write.partitionBy(*keys).csv(path, sep=sep, header=header, nullValue="NA")
 
 
-def write_sorted(df: DataFrame, path: str, chrom: str = "chrom", pos: str = "pos", files: int = 200) -> None:
-    """Coordinate-sorted Parquet by chromosome: range access prunes folders and row groups."""
-    df.repartitionByRange(files, chrom, pos).sortWithinPartitions(chrom, pos).write.partitionBy(chrom).parquet(path)
+def write_sorted(df: DataFrame, path: str, chrom: str = "chrom", pos: str = "pos") -> None:
+    """Coordinate-sorted Parquet by chromosome: range access prunes folders and row groups. As many ranges as shuffle partitions."""
+    df.repartitionByRange(chrom, pos).sortWithinPartitions(chrom, pos).write.partitionBy(chrom).parquet(path)
 
 
 def _rows(long: DataFrame, row: Sequence[str], value: Column, sep: str = " ") -> DataFrame:
@@ -83,6 +86,23 @@ def null_model_lines(models: DataFrame) -> DataFrame:
     return models.select("site", F.concat_ws("\n", head, row("residuals", "residuals"), row("pi", "pi"), row("total", "total"), row("y", "y")).alias("value"))
 
 
+def every_sample(models: DataFrame, samples: DataFrame) -> DataFrame:
+    """Models whose arrays hold every sample in list order: what a site does not cover has total 0, residual 0 and pi 0.
+
+    The text form has no sample numbers, so readers number its values from 0.
+    """
+    names = ["residuals", "pi", "total", "y"]
+    size = samples.agg(F.max("sample_idx") + 1).first()[0] or 0
+
+    def spread(c):
+        by_sample = F.map_from_arrays("__at", c)
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at(by_sample, i.cast("int")), F.lit(0.0))).alias(c)
+
+    rest = [c for c in models.columns if c not in (*names, "sample_idx")]
+    known = models.withColumnRenamed("sample_idx", "__at")
+    return known.select(*rest, F.sequence(F.lit(0), F.lit(size - 1)).alias("sample_idx"), *[spread(c) for c in names])
+
+
 def write_null_models(models: DataFrame, path: str) -> None:
     """One folder per site, as the text form is one file per site."""
     null_model_lines(models).write.partitionBy("site").text(path)

@@ -137,14 +137,6 @@ def test_balanced_sample(spark):
     assert {r.id for r in out.collect()} == {r.id for r in again.collect()}
 
 
-def test_draws(spark):
-    samples = spark.createDataFrame([("S1",), ("S2",)], "sample string")
-    pool = spark.range(1, 145).selectExpr("id AS ordinal", "concat('c', id) AS member")
-    out = strata.draw_with_replacement(samples, pool, 144)
-    assert out.groupBy("sample").count().filter("count = 100").count() == 2
-    assert out.agg(F.max("ordinal")).first()[0] < 144
-
-
 def test_line_numbers(spark, tmp_path):
     spark.range(0, 997, numPartitions=5).selectExpr("CAST(id AS STRING) AS value").write.text(str(tmp_path / "t"))
     df = ordering.with_line_number(spark.read.text(str(tmp_path / "t")))
@@ -254,7 +246,7 @@ def test_splicing_pcs(spark):
     rng = np.random.default_rng(3)
     m = rng.normal(size=(40, 3)) @ np.diag([5, 3, 2]) @ rng.normal(size=(3, 20)) + 0.05 * rng.normal(size=(40, 20))
     df = spark.createDataFrame([(f"s{i}", j, float(m[i, j])) for i in range(40) for j in range(20)], "site string, sample_idx int, ratio double")
-    out = sorted(splicing_pcs.splicing_pcs(df, 3, 4).collect(), key=lambda r: r.sample_idx)
+    out = sorted(splicing_pcs.splicing_pcs(df, 3).collect(), key=lambda r: r.sample_idx)
     _, s, vt = np.linalg.svd(m - m.mean(axis=1, keepdims=True), full_matrices=False)
     got = np.array([r.pc for r in out])
     for i in range(3):
@@ -402,3 +394,107 @@ def test_grouping_in_one_call(spark):
         (300, "end", "m1", 60, 90), (300, "end", "m2", 0, 25)}
     assert {r.cluster_id: len(r.introns) for r in g.refined.collect()} == {"c:+:100": 2, "c:+:1000": 1}
     assert g.intron_counts.count() == 4
+
+
+def test_uncovered_lead_sample_keeps_kinship(spark):
+    """The fit doesn't depend on which of a donor's samples comes first, covered or not."""
+    pheno, samples, x, geno, _ = simulate(spark, n_sites=2, seed=5)
+    rng = np.random.default_rng(1)
+    root = rng.normal(size=(30, 40))
+    kin = root @ root.T / 40
+    grm = spark.createDataFrame([(i, j, float(kin[i, j])) for i in range(30) for j in range(30)], "i bigint, j bigint, k double")
+    first = samples.groupBy("donor_idx").agg(F.min("sample_idx").alias("sample_idx")).join(samples, ["donor_idx", "sample_idx"]).select("metacell")
+    bare = first.withColumn("bare", F.lit(True))
+    holes = pheno.join(bare, "metacell", "left").select(
+        "site", "chrom", "strand", "pos", "metacell", *[F.when(F.col("bare").isNotNull(), F.lit(0)).otherwise(F.col(c)).cast("bigint").alias(c)
+                                                        for c in ("included", "total")])
+    turned = samples.withColumn("sample_idx", F.lit(89) - F.col("sample_idx"))  # another sample leads
+    a, b = ({r.site: (r.tau_g, r.status) for r in null_model.fit_null(holes, null_model.design_table(s, x, grm), 30, n_perm=10).collect()}
+            for s in (samples, turned))
+    for site, (tau, status) in a.items():
+        assert b[site][1] == status and b[site][0] == pytest.approx(tau, rel=1e-6)
+    only = null_model.fit_null(holes, null_model.design_table(samples, x, grm), 30, n_perm=10, related=False)
+    assert any(r.tau_g != pytest.approx(a[r.site][0], rel=1e-3) for r in only.collect())
+
+
+def test_saved_models_give_the_same_tests(spark, tmp_path):
+    from spliceweave.sources import text, write
+
+    pheno, samples, x, geno, _ = simulate(spark, n_sites=3, seed=6)
+    design = null_model.design_table(samples, x)
+    gaps = pheno.withColumn("total", F.when(F.expr("pos = 1001 AND metacell LIKE '%:1'"), 0).otherwise(F.col("total"))).withColumn(
+        "included", F.least("included", "total"))
+    models = null_model.fit_null(gaps, design, 30, n_perm=50, related=False)
+    write.write_null_models(write.every_sample(models, samples), str(tmp_path / "middle"))
+    back = null_model.donor_sums(text.read_null_models(spark, str(tmp_path / "middle" / "*")), design, 30)
+    snps = spark.createDataFrame([("v", "chr1", 1000, [float(v) for v in geno])], "snp string, chrom string, snp_pos bigint, dosage array<double>")
+    direct = {r.site: r.z for r in association.cis_qtl(models, snps, 5000, p_max=1.0).collect()}
+    saved = {r.site: r.z for r in association.cis_qtl(back, snps, 5000, p_max=1.0).collect()}
+    assert saved == pytest.approx(direct, rel=1e-6)
+
+
+def test_splicing_components_match_an_exact_svd(spark):
+    from spliceweave.operators.splicing_pcs import splicing_pcs
+
+    m = np.random.default_rng(4).uniform(size=(300, 40))  # a slowly falling spectrum
+    rows = [(f"s{i}", j, float(m[i, j])) for i in range(300) for j in range(40)]
+    out = splicing_pcs(spark.createDataFrame(rows, "site string, sample_idx int, ratio double"), n_pcs=8).orderBy("sample_idx").collect()
+    _, size, right = np.linalg.svd(m - m.mean(axis=1, keepdims=True))
+    assert np.allclose(out[0].variance, size[:8] ** 2, rtol=1e-6)
+    got = np.array([r.pc for r in out])
+    assert np.allclose(np.abs((got * right[:8].T).sum(axis=0)), 1, atol=1e-6)
+
+
+def test_no_single_move_improves_communities(spark):
+    from spliceweave.operators import metacells
+
+    rng = np.random.default_rng(8)
+    edges = sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, 60, (240, 2)).tolist() if a != b})
+    e = spark.createDataFrame([("D", a, b) for a, b in edges], "donor string, u bigint, v bigint")
+    nodes = spark.createDataFrame([("D", i) for i in range(60)], "donor string, node bigint")
+    comm = {r.node: r.community for r in metacells.louvain(e, nodes).collect()}
+    w = np.zeros((60, 60))
+    for a, b in edges:
+        w[a, b] = w[b, a] = 1
+
+    def score(c):
+        same = np.array([[c[i] == c[j] for j in range(60)] for i in range(60)])
+        d = w.sum(axis=1)
+        return ((w - np.outer(d, d) / w.sum()) * same).sum() / w.sum()
+
+    base, names = score(comm), set(comm.values())
+    merged = [score({n: (x if c == y else c) for n, c in comm.items()}) for x in names for y in names if x < y]
+    assert base > 0.2 and max(merged, default=0) <= base + 1e-9
+
+
+def test_clumping_follows_long_chains(spark):
+    rows = [("s", "chr1", 1000 * i, 1e-8 * (i + 1) / 1000, f"v{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "study string, chrom string, pos bigint, p double, variant_id string")
+    out = sorted((r.pos, r.variant_id) for r in gwas.clump_leads(df, 1e-7, 1500).collect())
+    assert out == [(1000 * i, f"v{i}") for i in range(0, 60, 2)]
+
+
+def test_one_colocalisation_row_per_locus(spark):
+    rng = np.random.default_rng(2)
+    pos = [1000 * i for i in range(40)]
+    ids = [f"chr1:{p}" for p in pos]
+    g = spark.createDataFrame([("t", v, "chr1", p, float(b), 0.1, 1e-5 if i == 7 else 0.5, 5000, "cc")
+                               for i, (v, p, b) in enumerate(zip(ids, pos, rng.normal(0, 0.1, 40)))],
+                              "study string, variant_id string, chrom string, snp_pos bigint, beta double, se double, p double, n_gwas bigint, trait_type string")
+    q = spark.createDataFrame([("c", v, 0.1, 0.1, 1e-6 if i == 9 else 0.4, 1000) for i, v in enumerate(ids)],
+                              "cell string, variant_id string, beta double, se double, p double, n_sqtl bigint")
+    maf = spark.createDataFrame([(v, 0.0 if i == 3 else 0.3) for i, v in enumerate(ids)], "variant_id string, maf double")
+    centres = spark.createDataFrame([("c", "t", "near", "chr1", 5000), ("c", "t", "far", "chr1", 900_000)],
+                                    "cell string, study string, locus string, chrom string, pos bigint")
+    out = gwas.coloc_table(q, maf, g, centres, width=20_000).collect()
+    assert [(r.locus, r.nsnps, r.top_qtl, r.top_gwas) for r in out] == [("near", 26, "CHR1:9000", "CHR1:7000")]
+    assert sum(out[0][f"pp_h{i}"] for i in range(5)) == pytest.approx(1)
+
+
+def test_nonsplit_reads_of_listed_barcodes_only(spark):
+    reads = spark.createDataFrame([("chr1", 100, "50M", 0, "A", "u1"), ("chr1", 100, "50M", 0, "B", "u2")],
+                                  "chrom string, pos bigint, cigar string, flag int, cb string, umi string")
+    sites = spark.createDataFrame([("chr1", "+", 120), ("chr1", "-", 120)], "chrom string, strand string, pos bigint")
+    one = spark.createDataFrame([("A",)], "cb string")
+    assert {r.cb for r in retention.extract_nonsplit(reads, sites).collect()} == {"A", "B"}
+    assert {r.cb for r in retention.extract_nonsplit(reads, sites, barcodes=one).collect()} == {"A"}

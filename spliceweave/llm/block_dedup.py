@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spliceweave.llm.common import SPACE_RUN
+from spliceweave.llm.common import SPACE_RUN, only_names
 from spliceweave.session import cut_lineage, ship_package
 
 
@@ -149,9 +149,9 @@ def drop_exact_duplicates(docs: DataFrame, size: int = 1024) -> DataFrame:
         .filter("NOT any_kept OR n > 1").select(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha"), "any_kept")
     )
     sha = F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256)
-    tagged = docs.withColumn("__s", sha).join(marks, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__s") == F.col("__sha")), "left")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__s") == F.col("__sha"))
+    tagged = only_names(docs, ("doc_id", "text")).withColumn("__s", sha).join(marks, same, "left")
     kept = tagged.filter("any_kept IS NULL")
     if not marks.filter("any_kept").isEmpty():
-        once = tagged.filter("any_kept").dropDuplicates(["__id", "__sha"])
-        kept = kept.unionByName(once)
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+        kept = kept.unionByName(tagged.filter("any_kept").dropDuplicates(["__id", "__sha"]))
+    return kept.drop("__s", "__id", "__sha", "any_kept").toDF(*docs.columns)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SPACE = rb" \t\n\x0b\x0c\r"
+SPACE = b" \t\n\x0b\x0c\r"
 #: Java pattern of the white space that separates words.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
@@ -23,9 +22,9 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast when ``df`` has at most ``max_rows`` narrow rows; else leave the join to be shuffled."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def only_names(docs: DataFrame, used: Sequence[str]) -> DataFrame:
+    """``docs`` with all columns but the ``used`` ones named by position, so that none clashes with names of a step."""
+    return docs.toDF(*[c if c in used else f"_c{i}" for i, c in enumerate(docs.columns)])
 
 
 def text_windows(data: bytes, overlap: int, size: int = 1 << 20) -> Iterator[tuple[list[bytes], bool]]:
@@ -49,11 +48,6 @@ def text_windows(data: bytes, overlap: int, size: int = 1 << 20) -> Iterator[tup
         start = end
 
 
-def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
-    """Python strings of a column, null as empty."""
-    return [x or "" for x in column.to_pylist()]
-
-
 def label_sample(labels: DataFrame, column: str, keep: Column, max_rows: int) -> DataFrame:
     """(doc_id, label) of at most ``max_rows`` labelled rows, chosen by a hash of doc_id; one row per doc_id.
 

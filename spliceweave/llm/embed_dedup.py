@@ -98,7 +98,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.
     if about["n"]:
         found = _class_links(classes, about, threshold, recall, cell_rows, sample_rows, block_rows)
         copies = classes.filter("size > 1").select("label", "embedding", "rep")
-        own = rows.join(copies, ["label", "embedding"], "left").select("vec_id", F.coalesce("rep", "vec_id").alias("rep"))
+        copy = F.when(F.col("vec_id").isNotNull(), F.col("rep"))
+        own = rows.join(copies, ["label", "embedding"], "left").select("vec_id", F.coalesce(copy, F.col("vec_id")).alias("rep"))
         alone = own.join(found, "rep", "left").select(
             "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"),
         )

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spliceweave.llm.common import forest, popcount_links, text_windows
+from spliceweave.llm.common import forest, only_names, popcount_links, text_windows
 from spliceweave.operators.blocks import over_block_pairs
 from spliceweave.operators.components import connected_components
 from spliceweave.session import cut_lineage, ship_package
@@ -378,7 +378,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, probe_width:
         .select("id", F.col("text_hash").alias("drop_hash"))
     )
     gone = F.col("doc_id").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("drop_hash"))
-    return docs.join(drop.withColumnRenamed("id", "drop_id").select(F.col("drop_id").alias("id"), "drop_hash"), gone, "left_anti")
+    return only_names(docs, ("doc_id", "text")).join(drop, gone, "left_anti").toDF(*docs.columns)
 
 
 def hex_fingerprint(c: str = "fp") -> Column:

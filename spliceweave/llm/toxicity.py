@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spliceweave.llm.common import label_sample
+from spliceweave.llm.common import label_sample, only_names
 from spliceweave.session import ship_package
 
 # Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
@@ -163,24 +163,24 @@ def score_toxicity(docs: DataFrame, lexicon: dict[str, float], exceptions: Seque
     held = spark.sparkContext.broadcast((lexicon, tuple(exceptions)))
     n = len(keep)
 
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], *[F.col("text").cast("string").alias("__text")] * ("text" not in keep))
+    at = rows.columns.index("text" if "text" in keep else "__text")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:n])
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = build_automaton(*held.value)
         for b in batches:
-            found = [weigh(t or "", automaton, half_words) for t in b.column(n).to_pylist()]
+            found = [weigh(t or "", automaton, half_words) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:n], pa.array([s for s, _ in found], pa.float64()), pa.array([k for _, k in found], pa.int32())],
                 names=[*keep, "score", "toxic_words"],
             )
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__text"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:n])
     return rows.mapInArrow(kernel, f"{fields}score double, toxic_words int")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """``docs`` without rows that score ``threshold`` or more; all columns stay."""
     lexicon = learn_lexicon(docs, labels)
-    every = docs.columns
-    scored = score_toxicity(docs.withColumnsRenamed({"score": "__score", "toxic_words": "__toxic_words"}), lexicon,
-                            keep=[{"score": "__score", "toxic_words": "__toxic_words"}.get(c, c) for c in every])
-    return scored.filter(F.col("score") < threshold).drop("score", "toxic_words").toDF(*every)
+    rows = only_names(docs, ("text",))
+    return score_toxicity(rows, lexicon, keep=rows.columns).filter(F.col("score") < threshold).drop("score", "toxic_words").toDF(*docs.columns)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spliceweave.llm.common import label_sample, only_names
-from spliceweave.session import ship_package
+from spliceweave.session import cut_lineage, ship_package
 
 # Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 HOMOGLYPHS = {
@@ -81,14 +81,41 @@ def word_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def context_counts(docs: DataFrame, labels: DataFrame, lexicon: dict[str, float]) -> dict[str, int]:
+    """In how many different surroundings each entry occurs in documents labelled toxic.
+
+    Words of one document that has many copies occur in few: they say nothing about other documents.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    held = spark.sparkContext.broadcast(lexicon)
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = build_automaton(held.value, ())
+        for b in batches:
+            met = set()
+            for text in b["text"]:
+                folded = fold(text or "")
+                for end, (length, _) in automaton.iter(folded):
+                    start = end - length + 1
+                    met.add((folded[start:end + 1], f"{folded[max(start - 16, 0):start]}|{folded[end + 1:end + 17]}"))
+            yield pd.DataFrame(list(met), columns=["term", "around"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    toxic = rows.join(F.broadcast(labels.filter("label = 1").select("doc_id")), "doc_id").select("text")  # labels: a sample of bounded size
+    counts = toxic.mapInPandas(kernel, "term string, around string").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return {r["term"]: r["n"] for r in counts.collect()}  # one row an entry of the lexicon
+
+
 def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labels: int = 300_000, max_terms: int = 20_000,
-                  min_support: int = 4, min_weight: float = 3.0) -> dict[str, float]:
+                  min_support: int = 4, min_weight: float = 3.0, min_contexts: int = 5, context_share: float = 0.01) -> dict[str, float]:
     """Lexicon entries (folded, " word " or " beginning") and weights from labelled documents outside the held-out fold.
 
     At most ``max_labels`` labelled rows are used, chosen by a hash of doc_id, and at most ``max_terms`` candidates, the best supported, are
-    looked at. Of a beginning and its continuations the longest with the same support stays, and what a shorter entry covers goes.
+    looked at. Of beginnings and continuations those stay that ``prune_terms`` leaves.
+    An entry must occur in ``min_contexts`` different surroundings, and in ``context_share`` of those of the most frequent entry.
     """
-    sample = label_sample(labels, "toxic", in_training(F.col("doc_id")), max_labels)
+    sample = cut_lineage(label_sample(labels, "toxic", in_training(F.col("doc_id")), max_labels))
     size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     if not toxic:
@@ -103,13 +130,23 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labels: int = 300_000,
         .withColumn("weight", weight).filter((F.col("toxic") >= min_support) & (F.col("weight") >= min_weight))
         .orderBy(F.desc("toxic"), "term").limit(max_terms)
     )
-    return prune_terms([(r["term"], r["toxic"], r["weight"]) for r in terms.select("term", "toxic", "weight").collect()])
+    found = prune_terms([(r["term"], r["toxic"], r["weight"]) for r in terms.select("term", "toxic", "weight").collect()])
+    if not found:
+        return {}
+    contexts = context_counts(docs, sample, found)
+    least = max(min_contexts, context_share * max(contexts.values(), default=0))
+    return {t: w for t, w in found.items() if contexts.get(t, 0) >= least}
 
 
 def prune_terms(terms: Iterable[tuple[str, int, float]]) -> dict[str, float]:
+    """Entries without the beginnings of others that have nearly their support, or half of it and a clearly larger weight, and
+    without continuations of entries that weigh about as much."""
     support = {t: n for t, n, _ in terms}
     weights = {t: w for t, _, w in terms}
-    open_ends = {t[:k] for t, n in support.items() for k in range(2, len(t)) if support.get(t[:k], math.inf) * 0.95 <= n}
+    open_ends = {
+        t[:k] for t, n in support.items() for k in range(2, len(t))
+        if (m := support.get(t[:k], math.inf)) * 0.95 <= n or m * 0.5 <= n and weights[t] >= weights[t[:k]] + 1
+    }
     out: dict[str, float] = {}
     for t in sorted(weights, key=lambda t: (len(t), t)):
         if t not in open_ends and not any(out.get(t[:k], -math.inf) >= weights[t] - 1 for k in range(2, len(t))):

@@ -33,7 +33,26 @@ def file_stem(col: Column | None = None) -> Column:
 
 
 def lines(spark: SparkSession, path) -> DataFrame:
-    return spark.read.text(path).filter(F.length(F.trim("value")) > 0)
+    """Lines with text, of files or of a line table: every reader takes either.
+
+    A line table is a DataFrame with ``value``, and ``stem`` or ``line`` where a reader needs the file's name or a line's number.
+    """
+    rows = path if isinstance(path, DataFrame) else spark.read.text(path)
+    return rows.filter(F.length(F.trim("value")) > 0)
+
+
+def named_lines(spark: SparkSession, path, name: str) -> DataFrame:
+    """(value, name): lines with the name of their file."""
+    rows = lines(spark, path)
+    return rows.select("value", (F.col("stem") if "stem" in rows.columns else file_stem()).alias(name))
+
+
+def numbered_lines(spark: SparkSession, path, out: str = "line") -> DataFrame:
+    """(value, out): lines with their number from 0."""
+    rows = lines(spark, path)
+    if "line" in rows.columns:
+        return rows.select("value", F.col("line").cast("bigint").alias(out))
+    return with_line_number(rows, out)
 
 
 def _typed(df: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
@@ -100,13 +119,13 @@ def read_junctions(spark, path) -> DataFrame:
 
 def read_stat(spark, path) -> DataFrame:
     """``.stat`` files of all metacells; the file name is the metacell."""
-    raw = _typed(lines(spark, path).select("value", file_stem().alias("metacell")), [("intron", "string"), ("n", "bigint")])
+    raw = _typed(named_lines(spark, path, "metacell"), [("intron", "string"), ("n", "bigint")])
     return raw.select("metacell", parse_intron(F.col("intron")).alias("i"), "n").select("metacell", "i.*", "n")
 
 
 def read_nonsplit(spark, path) -> DataFrame:
     """``chrom:pos:strand:CB:UMI count`` lines; ``source`` is the file name."""
-    raw = _typed(lines(spark, path).select("value", file_stem().alias("source")), [("key", "string"), ("n", "bigint")])
+    raw = _typed(named_lines(spark, path, "source"), [("key", "string"), ("n", "bigint")])
     k = F.col("key")
     return raw.select(
         "source", token(k, 1).alias("chrom"), token(k, 3).alias("strand"), token(k, 2).try_cast("bigint").alias("pos"),
@@ -115,7 +134,7 @@ def read_nonsplit(spark, path) -> DataFrame:
 
 def read_barcodes(spark, path) -> DataFrame:
     """Barcode lists, one file per metacell."""
-    return lines(spark, path).select(F.trim("value").alias("cb"), file_stem().alias("metacell"))
+    return named_lines(spark, path, "metacell").select(F.trim("value").alias("cb"), "metacell")
 
 
 def read_metacell_labels(spark, path) -> DataFrame:
@@ -181,7 +200,7 @@ def read_prop(spark, path, samples: DataFrame | None = None, row_label: bool = F
 
 def read_samples(spark, path) -> DataFrame:
     """(sample_idx, sample) from a list with one name per line."""
-    return with_line_number(lines(spark, path), "sample_idx").select("sample_idx", F.trim("value").alias("sample"))
+    return numbered_lines(spark, path, "sample_idx").select("sample_idx", F.trim("value").alias("sample"))
 
 
 def header_samples(spark, path, row_label: bool = False) -> DataFrame:
@@ -193,7 +212,7 @@ def header_samples(spark, path, row_label: bool = False) -> DataFrame:
 
 def read_covariates(spark, path) -> DataFrame:
     """(sample, cov, value): a header of samples, then one line per covariate (cov = 0, 1, ...)."""
-    numbered = with_line_number(lines(spark, path), "line").select("line", fields().alias("f"))
+    numbered = numbered_lines(spark, path, "line").select("line", fields().alias("f"))
     header = numbered.filter("line = 0").select(F.posexplode("f").alias("sample_idx", "sample"))
     cells = numbered.filter("line > 0").select(
         (F.col("line") - 1).alias("cov"), F.posexplode("f").alias("sample_idx", "value"))
@@ -208,7 +227,7 @@ def covariate_vectors(long: DataFrame) -> DataFrame:
 
 def read_grm(spark, path) -> tuple[DataFrame, DataFrame]:
     """(entries (i, j, k), labels (donor_idx, donor)) of a labelled square matrix."""
-    numbered = with_line_number(lines(spark, path), "line").select("line", fields().alias("f"))
+    numbered = numbered_lines(spark, path, "line").select("line", fields().alias("f"))
     labels = numbered.filter("line = 0").select(F.posexplode("f").alias("donor_idx", "donor"))
     cells = numbered.filter("line > 0").select(
         F.col("f")[0].alias("donor"), F.posexplode(F.slice("f", F.lit(2), F.size("f"))).alias("j", "k"))
@@ -218,7 +237,7 @@ def read_grm(spark, path) -> tuple[DataFrame, DataFrame]:
 
 def read_markers(spark, path, header: bool | None = None) -> DataFrame:
     """(donor_idx, dosage ARRAY) in file order; NA is NULL. An optional header line is skipped."""
-    numbered = with_line_number(lines(spark, path), "line").select("line", fields().alias("f"))
+    numbered = numbered_lines(spark, path, "line").select("line", fields().alias("f"))
     is_head = (F.col("line") == 0) & ~F.coalesce(F.col("f")[1].rlike(r"^([0-9.]+|NA)$"), F.lit(False))
     flagged = numbered.withColumn("head", is_head if header is None else (F.col("line") == 0) & F.lit(header))
     shift = flagged.agg(F.max(F.col("head").cast("int")).alias("shift")).withColumn("one", F.lit(1))
@@ -229,12 +248,13 @@ def read_markers(spark, path, header: bool | None = None) -> DataFrame:
 
 def read_groups(spark, path) -> DataFrame:
     """(sample_idx, label) from one 0/2 label per line."""
-    return with_line_number(lines(spark, path), "sample_idx").select("sample_idx", F.trim("value").cast("int").alias("label"))
+    return numbered_lines(spark, path, "sample_idx").select("sample_idx", F.trim("value").cast("int").alias("label"))
 
 
 def read_null_models(spark, path) -> DataFrame:
     """``.middle`` files: status line, then residuals, pi, total and y rows."""
-    whole = spark.read.text(path, wholetext=True).select(F.split(F.trim("value"), r"\n").alias("l"))
+    texts = path if isinstance(path, DataFrame) else spark.read.text(path, wholetext=True)
+    whole = texts.select(F.split(F.trim("value"), r"\n").alias("l"))
 
     def numbers(i):
         f = F.split(F.trim(F.col("l")[i]), r"\s+")
@@ -315,7 +335,7 @@ def read_vcf_genotypes(spark, path, unphased: bool = False) -> tuple[DataFrame,
 
 def read_simulated_genotypes(spark, path) -> DataFrame:
     """(snp, donor, dosage) of a matrix whose header names the samples only."""
-    numbered = with_line_number(lines(spark, path), "line").select("line", fields().alias("f"))
+    numbered = numbered_lines(spark, path, "line").select("line", fields().alias("f"))
     header = numbered.filter("line = 0").select(F.posexplode("f").alias("i", "donor"))
     cells = numbered.filter("line > 0").select(F.col("f")[0].alias("snp"), F.posexplode(F.slice("f", F.lit(2), F.size("f"))).alias("i", "g"))
     return cells.join(header, "i").select("snp", "donor", F.col("g").try_cast("double").alias("dosage"))
@@ -330,7 +350,7 @@ def read_bed_phenotype(spark, path, id_column: str = "ID", skip: int = 4) -> Dat
 
 def read_count_matrix(spark, path, sep: str = ",") -> DataFrame:
     """(row, col, value) of a headerless matrix whose first column is a name."""
-    numbered = with_line_number(lines(spark, path), "row").select("row", F.split("value", sep).alias("f"))
+    numbered = numbered_lines(spark, path, "row").select("row", F.split("value", sep).alias("f"))
     return numbered.select("row", F.posexplode(F.slice("f", F.lit(2), F.size("f"))).alias("col", "v")).select(
         "row", "col", F.col("v").try_cast("double").alias("value"))
 

@@ -10,15 +10,15 @@ from __future__ import annotations
 
 import base64
 import codecs
+import re
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
 from spliceweave.session import ship_package
@@ -62,24 +62,37 @@ def merges_of(tokens: Sequence[bytes]) -> list[tuple[bytes, bytes]]:
     return out
 
 
+def ascii_pattern(pattern: str) -> re.Pattern | None:
+    """The same pattern for texts of ASCII characters only, where letters and digits are plain ranges; None if it can't be told."""
+    plain = pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9")
+    plain = re.sub(r"(?<![\[A-Za-z0-9^\\-])(A-Za-z|0-9)(?![A-Za-z0-9\]-])", r"[\1]", plain)
+    try:
+        return None if r"\p" in plain else re.compile(plain, re.ASCII)
+    except re.error:
+        return None
+
+
 class Coder:
-    """Encoder and decoder of one vocabulary; ``pattern`` cuts texts into the pieces that are encoded alone."""
+    """Encoder of one vocabulary; ``pattern`` cuts texts into the pieces that are encoded alone."""
 
-    def __init__(self, tokens: Sequence[bytes], merges: Sequence[tuple[bytes, bytes]], pattern: str, memory: int = 300_000) -> None:
+    def __init__(self, tokens: Sequence[bytes], merges: Sequence[tuple[bytes, bytes]], pattern: str, memory: int = 200_000) -> None:
         chars = byte_characters()
         word = lambda b: "".join(map(chars.__getitem__, b))
-        self.chars, self.tokens, self.memory = chars, list(tokens), memory
-        model = BPE(vocab={word(t): i for i, t in enumerate(tokens) if t}, merges=[(word(x), word(y)) for x, y in merges])
-        self.model, self.pattern = Tokenizer(model), regex.compile(pattern)
+        self.table = dict(enumerate(chars))
+        self.model = BPE(vocab={word(t): i for i, t in enumerate(tokens) if t}, merges=[(word(x), word(y)) for x, y in merges])
+        self.pattern, self.plain, self.memory = regex.compile(pattern), ascii_pattern(pattern), memory
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.ids = _Pieces(self)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text; a very long one is cut piece by piece, so that its pieces never exist all at once."""
-        pieces: Iterable[str] = self.pattern.findall(text) if len(text) < 1 << 22 else (m.group() for m in self.pattern.finditer(text))
+        pattern = self.plain if self.plain and text.isascii() else self.pattern
+        pieces: Iterable[str] = pattern.findall(text) if len(text) < 1 << 22 else (m.group() for m in pattern.finditer(text))
+        out = np.frombuffer(b"".join(map(self.ids.__getitem__, pieces)), np.int32)
         if len(self.ids) > self.memory:
+            self.ids.older = dict(self.ids)
             self.ids.clear()
-        return np.fromiter(chain.from_iterable(map(self.ids.__getitem__, pieces)), np.int32)
+        return out
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """First character and end of each token, and how many tokens begin inside a character.
@@ -95,6 +108,23 @@ class Coder:
         return char[starts], char[ends - 1] + 1, int((~lead[starts]).sum())
 
 
+class _Pieces(dict):
+    """Ids, as bytes of int32, of pieces met lately; ``older`` keeps those met before, so that common ones last."""
+
+    def __init__(self, coder: Coder) -> None:
+        super().__init__()
+        self.coder, self.older = coder, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            word = piece.encode("utf-8").decode("latin-1").translate(self.coder.table)
+            ids = array("i", [t.id for t in self.coder.model.tokenize(word)]).tobytes()
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
+
+
 def decode_ids(tokens: Sequence[bytes], ids: Sequence[int | None]) -> bytes:
     """Bytes of ids; an id that is null or unknown gives the replacement character."""
     try:
@@ -112,28 +142,14 @@ def decode_pieces(tokens: Sequence[bytes], ids: Sequence[int]) -> list[str]:
     return out
 
 
-class _Pieces(dict):
-    """Ids of pieces met before."""
-
-    def __init__(self, coder: Coder) -> None:
-        super().__init__()
-        self.coder = coder
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        word = "".join(map(self.coder.chars.__getitem__, piece.encode("utf-8")))
-        ids = tuple(self.coder.model.encode(word, add_special_tokens=False).ids)
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
-
-
 _CODERS: dict[tuple[str, int], Coder] = {}
 
 
 def _shared_coder(held, pattern: str) -> Coder:
-    """One coder a Python worker and vocabulary."""
+    """The coder of a Python worker: that of the vocabulary used last."""
     key = (pattern, held.id)
     if key not in _CODERS:
+        _CODERS.clear()
         _CODERS[key] = Coder(*held.value, pattern)
     return _CODERS[key]
 
@@ -151,9 +167,11 @@ class _Held:
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", keep: Sequence[str] = ("doc_id",),
-           offsets: bool = False) -> DataFrame:
+           offsets: bool = False, decoded: bool = False) -> DataFrame:
     """The ``keep`` columns, token_ids array<int>, split_tokens int; with ``offsets`` also starts and ends (characters).
 
+    With ``decoded`` the ids are decoded again in the same pass, to ``decoded`` binary (see ``decode``).
+
     Whole texts, without special tokens; null counts as empty and gives no ids. Rows are kept one to one, so repeated rows,
     null keys and empty tables come out as they are. Columns not named in ``keep`` are ignored.
     """
@@ -164,10 +182,10 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ke
     n = len(keep)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _shared_coder(held, pattern)
+        coder, known = _shared_coder(held, pattern), held.value[0]
         for batch in batches:
             for lo, part in _by_size(batch, n):
-                ids, split, starts, ends = [], [], [], []
+                ids, split, starts, ends, back = [], [], [], [], []
                 for text in part:
                     text = text or ""
                     ids.append(coder.encode(text))
@@ -176,21 +194,23 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ke
                     if offsets:
                         starts.append(a)
                         ends.append(b)
+                    if decoded:
+                        back.append(decode_ids(known, ids[-1].tolist()))
                 lists = [ids, starts, ends] if offsets else [ids]
                 cols = [_list_array(x) for x in lists]
                 rows = batch.slice(lo, len(part))
                 yield pa.RecordBatch.from_arrays(
-                    [*rows.columns[:n], cols[0], pa.array(split, pa.int32()), *cols[1:]],
-                    names=[*keep, "token_ids", "split_tokens", *["starts", "ends"] * offsets],
+                    [*rows.columns[:n], cols[0], pa.array(split, pa.int32()), *cols[1:], *[pa.array(back, pa.binary())] * decoded],
+                    names=[*keep, "token_ids", "split_tokens", *["starts", "ends"] * offsets, *["decoded"] * decoded],
                 )
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n])
-    schema = f"{kept}, token_ids array<int>, split_tokens int" + ", starts array<int>, ends array<int>" * offsets
+    schema = f"{kept}, token_ids array<int>, split_tokens int" + ", starts array<int>, ends array<int>" * offsets + ", decoded binary" * decoded
     return rows.mapInArrow(kernel, schema.removeprefix(", "))
 
 
-def _by_size(batch: pa.RecordBatch, column: int, most: int = 1 << 23) -> Iterator[tuple[int, list[str | None]]]:
+def _by_size(batch: pa.RecordBatch, column: int, most: int = 1 << 22) -> Iterator[tuple[int, list[str | None]]]:
     """Runs of rows with about ``most`` characters, so that results stay small whatever the batch."""
     texts = batch.column(column).to_pylist()
     lo = size = 0

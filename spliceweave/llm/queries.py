@@ -22,13 +22,13 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), fraction=1.0, max_epochs=3)
-    return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "budget", "copies")
+    return mixing.mix(table(spark, sf_dir, "documents"), fraction=1.0, max_epochs=3).select(
+        "doc_id", "domain", "lang", "source", "n_tokens", "budget", "copies")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern))
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern, decoded=True))
 
 
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spliceweave.llm.common import SPACE_RUN
+from spliceweave.llm.common import SPACE_RUN, only_names
 from spliceweave.session import cut_lineage
 
 LEVELS = ("domain", "lang", "source")
@@ -85,64 +85,83 @@ def leaf_budgets(leaves: DataFrame, total: Column, max_epochs: int, domain_weigh
     return leaves.join(got.select(*LEVELS, "budget"), list(LEVELS), "left").withColumn("budget", F.coalesce("budget", F.lit(0).cast("long")))
 
 
-def epoch_key(seed: int, epoch: Column, doc_id: Column, text: Column) -> Column:
-    """Place of a document in the seeded order of an epoch."""
-    return F.xxhash64(F.lit(seed), epoch, doc_id, F.xxhash64(text))
+def leaf_columns() -> dict[str, Column]:
+    """Leaf of a document: null lang and source count as one named ``none``."""
+    source = F.coalesce(F.col("source").cast("string"), F.lit(NO_NAME))
+    return {"domain": domain_of(source), "lang": F.coalesce(F.col("lang").cast("string"), F.lit(NO_NAME)), "source": source}
 
 
-def mix(docs: DataFrame, fraction: float = 0.8, max_epochs: int = 3, seed: int = 17, block_docs: int = 2048,
-        domain_weights: Mapping[str, int] = DOMAIN_WEIGHTS, lang_weights: Mapping[str, int] = LANG_WEIGHTS) -> DataFrame:
-    """``docs`` with domain, n_tokens, budget and copies: how often each row is taken (0: left out).
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
-    The mix has ``fraction`` of all tokens, as far as ``max_epochs`` passes can give them. Null lang and source count as one named ``none``.
-    Rows without words cost nothing and are taken once an epoch of their leaf. Ties in the order of an epoch (repeated rows) are taken or left
-    together, the row that passes the budget being the first one left out. Other columns stay; an empty table gives an empty result.
+
+def narrow(docs: DataFrame) -> DataFrame:
+    """(doc_id, domain, lang, source, n_tokens, text_hash): all that planning needs of the texts, from one pass over them."""
+    return docs.select("doc_id", *[c.alias(n) for n, c in leaf_columns().items()], token_count(F.col("text")).alias("n_tokens"), text_hash().alias("text_hash"))
+
+
+def _placed(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """Rows with their leaf's plan, and their place (key) and block in the seeded order of the leaf's last epoch."""
+    bits = "cast(power(2, 23 - least(bits, 23)) as bigint)"
+    return rows.join(plan, list(LEVELS)).withColumn("key", F.xxhash64(F.lit(seed), F.col("full"), F.col("doc_id"), F.col("text_hash"))).withColumn(
+        "block", F.expr(f"cast(shiftrightunsigned(key ^ (-9223372036854775807 - 1), 41) div {bits} as bigint)"))  # first bits, in the key's order
+
+
+def plan_mix(rows: DataFrame, fraction: float, max_epochs: int, seed: int = 17, block_docs: int = 2048,
+             domain_weights: Mapping[str, int] = DOMAIN_WEIGHTS, lang_weights: Mapping[str, int] = LANG_WEIGHTS) -> DataFrame:
+    """One row a leaf: budget, whole epochs (full), and the block and key at which the prefix of one more epoch ends (edge, cut).
+
+    ``rows`` is a stored ``narrow`` table. edge is null if nothing of the rest is cut off.
     """
-    names = [f"__{c}" for c in LEVELS]
-    source = F.coalesce(F.col("source").cast("string"), F.lit(NO_NAME))
-    rows = docs.withColumns({
-        "__domain": domain_of(source), "__lang": F.coalesce(F.col("lang").cast("string"), F.lit(NO_NAME)), "__source": source,
-        "__tokens": token_count(F.col("text")),
-    })
-    leaves = cut_lineage(rows.groupBy(*[F.col(n).alias(c) for n, c in zip(names, LEVELS, strict=True)]).agg(
-        F.count(F.lit(1)).alias("docs"), F.sum("__tokens").alias("tokens")))
+    leaf = list(LEVELS)
+    leaves = cut_lineage(rows.groupBy(*leaf).agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens")))
     budgets = leaf_budgets(leaves, F.floor(F.col("tokens") * F.lit(fraction)), max_epochs, domain_weights, lang_weights)
-    bits = F.greatest(F.ceil(F.log2(F.col("docs") / block_docs)), F.lit(0)).cast("int")
+    some = F.col("tokens") > 0
     plan = cut_lineage(budgets.select(
-        *[F.col(c).alias(n) for n, c in zip(names, LEVELS, strict=True)], F.col("budget").alias("__budget"), bits.alias("__bits"),
-        F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.least(F.col("budget") + 1, F.lit(1))).cast("int").alias("__full"),
-        F.when(F.col("tokens") > 0, F.expr("budget % tokens")).otherwise(F.lit(0)).cast("long").alias("__rest"),
+        *leaf, "budget", F.greatest(F.ceil(F.log2(F.col("docs") / block_docs)), F.lit(0)).cast("int").alias("bits"),
+        F.when(some, F.expr("budget div nullif(tokens, 0)")).otherwise(1).cast("int").alias("full"),
+        F.when(some, F.expr("budget % nullif(tokens, 0)")).otherwise(0).cast("long").alias("rest"),
     ))
-    key = epoch_key(seed, F.col("__full"), F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    placed = rows.join(plan, names).withColumn("__key", key)
-    placed = placed.withColumn("__block", F.expr(  # the first bits of the key, as an unsigned number
-        "cast(shiftrightunsigned(__key, 41) div cast(power(2, 23 - least(__bits, 23)) as bigint) as bigint)"))
-    sizes = placed.filter("__rest > 0").groupBy(*names, "__block", "__rest").agg(F.sum("__tokens").alias("__sum"))
-    upto = Window.partitionBy(*names).orderBy("__block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = cut_lineage(  # the block in which the rest of a leaf ends: blocks before it are taken whole
-        sizes.withColumn("__upto", F.sum("__sum").over(upto)).filter("__upto > __rest").groupBy(*names)
-        .agg(F.min(F.struct("__block", (F.col("__rest") - F.col("__upto") + F.col("__sum")).alias("room"))).alias("edge"))
-        .select(*names, F.col("edge.__block").alias("__edge"), F.col("edge.room").alias("__room"))
+    placed = _placed(rows, plan, seed).filter("rest > 0")
+    sizes = placed.groupBy(*leaf, "block", "rest").agg(F.sum("n_tokens").alias("size"))
+    upto = Window.partitionBy(*leaf).orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edges = cut_lineage(  # the block in which a leaf's rest ends: blocks before it are taken whole
+        sizes.withColumn("upto", F.sum("size").over(upto)).filter("upto > rest").groupBy(*leaf)
+        .agg(F.min(F.struct("block", (F.col("rest") - F.col("upto") + F.col("size")).alias("room"))).alias("e"))
+        .select(*leaf, F.col("e.block").alias("edge"), F.col("e.room").alias("room"))
     )
-    inside = (
-        placed.join(edge, names).filter("__block = __edge").groupBy(*names, "__room", "__key").agg(F.sum("__tokens").alias("__sum"))
-    )
-    order = Window.partitionBy(*names).orderBy("__key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = cut_lineage(  # the first key that doesn't fit
-        inside.withColumn("__upto", F.sum("__sum").over(order)).filter("__upto > __room").groupBy(*names)
-        .agg(F.min("__key").alias("__cut")).join(edge, names).select(*names, "__edge", "__cut")
-    )
-    more = F.when(F.col("__rest") == 0, F.lit(0)).when(
-        F.col("__edge").isNull() | (F.col("__block") < F.col("__edge")) | ((F.col("__block") == F.col("__edge")) & (F.col("__key") < F.col("__cut"))), F.lit(1)
-    ).otherwise(F.lit(0))
-    return placed.join(cut, names, "left").select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in ("domain", "n_tokens", "budget", "copies")], F.col("__domain").alias("domain"),
-        F.col("__tokens").alias("n_tokens"), F.col("__budget").alias("budget"), (F.col("__full") + more).cast("int").alias("copies"),
+    inside = placed.join(edges, leaf).filter("block = edge").groupBy(*leaf, "edge", "room", "key").agg(F.sum("n_tokens").alias("size"))
+    order = Window.partitionBy(*leaf).orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cuts = (
+        inside.withColumn("upto", F.sum("size").over(order)).filter("upto > room")
+        .groupBy(*leaf, "edge").agg(F.min("key").alias("cut"))  # the first key that doesn't fit
     )
+    return cut_lineage(plan.join(cuts, leaf, "left"))
+
+
+def with_copies(rows: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
+    """``rows`` (domain, lang, source, doc_id, text_hash and others) with budget and copies."""
+    before = (F.col("block") < F.col("edge")) | ((F.col("block") == F.col("edge")) & (F.col("key") < F.col("cut")))
+    more = F.when(F.col("rest") == 0, F.lit(0)).when(F.col("edge").isNull() | before, F.lit(1)).otherwise(F.lit(0))
+    return _placed(rows, plan, seed).withColumn("copies", (F.col("full") + more).cast("int")).drop("bits", "full", "rest", "edge", "cut", "key", "block")
+
+
+def mix(docs: DataFrame, fraction: float = 1.0, max_epochs: int = 3, seed: int = 17, **how) -> DataFrame:
+    """(doc_id, domain, lang, source, n_tokens, budget, copies) of every row: how often it is taken (0: left out).
+
+    The mix has ``fraction`` of all tokens, as far as ``max_epochs`` passes can give them. Null lang and source count as one named ``none``.
+    Rows without words cost nothing and follow the order of their leaf. Repeated rows, which tie in the order of an epoch, are taken or left
+    together; the first row that passes the budget is left out. Other columns are ignored; an empty table gives an empty result.
+    """
+    rows = cut_lineage(narrow(docs))
+    return with_copies(rows, plan_mix(rows, fraction, max_epochs, seed, **how), seed).drop("text_hash")
 
 
-def take_mix(docs: DataFrame, **how) -> DataFrame:
+def take_mix(docs: DataFrame, fraction: float = 0.8, max_epochs: int = 1, seed: int = 17, **how) -> DataFrame:
     """The rows of the mix, each as often as it is taken, with the columns of ``docs``."""
-    inner = docs.toDF(*[f"__in_{c}" if c in ("domain", "n_tokens", "budget", "copies") else c for c in docs.columns])
-    taken = mix(inner, **how).filter("copies > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return taken.select(*[F.col(f"`{c}`") for c in inner.columns]).toDF(*docs.columns)
+    plan = plan_mix(cut_lineage(narrow(docs)), fraction, max_epochs, seed, **how)
+    inner = only_names(docs, ("doc_id", "text", "lang", "source"))
+    keep = {"lang": "_lang", "source": "_source"}  # as they were, nulls and all
+    rows = inner.withColumns({v: F.col(k) for k, v in keep.items()}).withColumns(leaf_columns()).withColumn("text_hash", text_hash())
+    taken = with_copies(rows, plan, seed).filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select(*[F.col(keep.get(c, c)) for c in inner.columns]).toDF(*docs.columns)

@@ -1,4 +1,6 @@
 """Every catalogue query against its SQL form on the smallest tables."""
+import importlib.util
+
 import duckdb
 import pytest
 
@@ -6,7 +8,9 @@ import __spark_entry__ as e
 from tests.check_catalog import TABLES, compare
 
 SF = "/root/testdata/sf0.001"
-MODELS = {"louvain_metacells", "metacell_quality", "glmm_sex_interaction", "glmm_state_interaction"}
+LLM = set()
+if importlib.util.find_spec("spliceweave.llm"):  # these have tests of their own
+    LLM = {n for n in e.queries() if n.startswith("op") or n == "pipeline"}
 
 
 @pytest.fixture(scope="module")
@@ -17,16 +21,11 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", [n for n in e.queries() if n in e.oracle_sql()])
+@pytest.mark.parametrize("name", [n for n in e.queries() if n not in LLM])
 def test_query_matches_sql(spark, con, name):
     verdict = compare(spark, con, SF, name)
     assert verdict.startswith("ok"), verdict
 
 
-@pytest.mark.parametrize("name", [n for n in e.queries() if n not in e.oracle_sql() and n not in MODELS])
-def test_model_query_runs(spark, name):
-    assert e.queries()[name](spark, SF).columns
-
-
 def test_entry(spark):
     assert e.entry(spark).count() > 0

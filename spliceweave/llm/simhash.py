@@ -253,10 +253,11 @@ def choose_plan(atoms: list[list[int]], distances: np.ndarray, n: int, max_bits:
     return best[1]
 
 
-def make_plan(fps: DataFrame, n: int, max_bits: int) -> Plan:
-    """Plan for the distinct fingerprints ``fps`` (column fp)."""
+def make_plan(fps: DataFrame, n: int, max_bits: int, least_rows: int = 2_000_000) -> Plan:
+    """Plan for the distinct fingerprints ``fps`` (column fp). Tables under ``least_rows`` are planned as if they had
+    that many, so that work grows with the table and not by changes of plan."""
     atoms = correlated_atoms(_bit_pairs(fps), n)
-    return choose_plan(atoms, _atom_distances(fps, atoms), n, max_bits)
+    return choose_plan(atoms, _atom_distances(fps, atoms), max(n, least_rows), max_bits)
 
 
 def _signed(x: int) -> int:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers.models import BPE
 
+from spliceweave.llm.common import slices
 from spliceweave.session import ship_package
 
 LOST = "�".encode()
@@ -75,7 +76,7 @@ def ascii_pattern(pattern: str) -> re.Pattern | None:
 class Coder:
     """Encoder of one vocabulary; ``pattern`` cuts texts into the pieces that are encoded alone."""
 
-    def __init__(self, tokens: Sequence[bytes], merges: Sequence[tuple[bytes, bytes]], pattern: str, memory: int = 200_000) -> None:
+    def __init__(self, tokens: Sequence[bytes], merges: Sequence[tuple[bytes, bytes]], pattern: str, memory: int = 100_000) -> None:
         chars = byte_characters()
         word = lambda b: "".join(map(chars.__getitem__, b))
         self.table = dict(enumerate(chars))
@@ -142,30 +143,6 @@ def decode_pieces(tokens: Sequence[bytes], ids: Sequence[int]) -> list[str]:
     return out
 
 
-_CODERS: dict[tuple[str, int], Coder] = {}
-
-
-def _shared_coder(held, pattern: str) -> Coder:
-    """The coder of a Python worker: that of the vocabulary used last."""
-    key = (pattern, held.id)
-    if key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[key] = Coder(*held.value, pattern)
-    return _CODERS[key]
-
-
-class _Held:
-    """Broadcast value with its id."""
-
-    def __init__(self, spark, value) -> None:
-        self.broadcast = spark.sparkContext.broadcast(value)
-        self.id = f"{spark.sparkContext.applicationId}-{id(self)}"
-
-    @property
-    def value(self):
-        return self.broadcast.value
-
-
 def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", keep: Sequence[str] = ("doc_id",),
            offsets: bool = False, decoded: bool = False) -> DataFrame:
     """The ``keep`` columns, token_ids array<int>, split_tokens int; with ``offsets`` also starts and ends (characters).
@@ -178,12 +155,13 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ke
     spark = docs.sparkSession
     ship_package(spark)
     tokens = read_ranks(ranks)
-    held = _Held(spark, (tokens, merges_of(tokens)))
+    held = spark.sparkContext.broadcast((tokens, merges_of(tokens)))
     n = len(keep)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, known = _shared_coder(held, pattern), held.value[0]
-        for batch in batches:
+        known = held.value[0]
+        coder = Coder(*held.value, pattern)  # a task's own, so that its memory goes with the task
+        for batch in slices(batches):
             for lo, part in _by_size(batch, n):
                 ids, split, starts, ends, back = [], [], [], [], []
                 for text in part:

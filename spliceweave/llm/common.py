@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,13 @@ def only_names(docs: DataFrame, used: Sequence[str]) -> DataFrame:
     return docs.toDF(*[c if c in used else f"_c{i}" for i, c in enumerate(docs.columns)])
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in short batches, so that few texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+
+
 def text_windows(data: bytes, overlap: int, size: int = 1 << 20) -> Iterator[tuple[list[bytes], bool]]:
     """Words of ``data`` in pieces of about ``size`` bytes, each with the last ``overlap`` words of the one before.
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spliceweave.llm.common import label_sample
+from spliceweave.llm.common import label_sample, slices
 from spliceweave.session import ship_package
 
 BUCKETS, FORMS = 4096, 512
@@ -45,7 +45,7 @@ class Terms(dict):
             xxhash.xxh64_intdigest(word.strip(".,;:!?").lower().encode("utf-8", "replace")) % BUCKETS,
             32 + xxhash.xxh64_intdigest(_shape(word).encode("utf-8", "replace")) % (FORMS - 32),
         )
-        if len(self) < 500_000 and len(word) <= 64:
+        if len(self) < 100_000 and len(word) <= 64:
             self[word] = out
         return out
 
@@ -158,7 +158,7 @@ def score_quality(docs: DataFrame, model: Model | None, neighbours: int = 25) ->
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, m = Terms(), held.value
-        for b in batches:
+        for b in slices(batches, 512):
             texts = b.column(1).to_pylist()
             if m is None:
                 score = np.full(len(texts), 0.5)

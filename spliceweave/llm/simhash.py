@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spliceweave.llm.common import forest, only_names, popcount_links, text_windows
+from spliceweave.llm.common import forest, only_names, popcount_links, slices, text_windows
 from spliceweave.operators.blocks import over_block_pairs
 from spliceweave.operators.components import connected_components
 from spliceweave.session import cut_lineage, ship_package
@@ -137,7 +137,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     more = sketch_width > 0
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1024):
             texts = b.column(1).to_pylist()
             out = [b.column(0), pa.array(text_fingerprints(texts, width).view(np.int64))]
             if more:
@@ -338,7 +338,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, id_col:
     """(id, fp, component_id) for every row of ``docs``; component_id is the smallest id that links reach.
 
     Fingerprints link within ``max_bits``. With a ``similarity``, linked documents must also reach that Jaccard similarity of
-    their ``similarity_width``-word shingles (estimated from 128 minima each), and ``text_hash`` comes out as well.
+    their ``similarity_width``-word shingles (estimated from 128 minima each), and ``text_hash`` and a ``component`` that is never null come out as well.
 
     Null texts count as empty; texts without words share fingerprint 0 and so one component. Rows with a null id take part and
     get the smallest id of their component (null if all are null); repeated rows stay repeated. Other columns are ignored.
@@ -350,7 +350,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, id_col:
     classes = cut_lineage(rows.groupBy("node", "fp", *keep).agg(F.min("id").alias("first_id")))
     n = classes.count()
     if n < 2:
-        named = classes.select("node", F.col("first_id").alias("component_id"))
+        named = classes.select("node", F.col("node").alias("component"), F.col("first_id").alias("component_id"))
     else:
         links = link_fingerprints(classes.select("node", "fp", *keep), make_plan(classes, n, max_bits), max_bits, similarity)
         nodes = connected_components(links, "a", "b")
@@ -359,8 +359,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, id_col:
             .select("node", "first_id", F.coalesce("component", "node").alias("component"))
         )
         first = member.groupBy("component").agg(F.min("first_id").alias("component_id"))
-        named = cut_lineage(member.join(first, "component").select("node", "component_id"))
-    return rows.join(named, "node", "left").select("id", "fp", *["text_hash"] * bool(similarity), "component_id")
+        named = cut_lineage(member.join(first, "component").select("node", "component", "component_id"))
+    return rows.join(named, "node", "left").select("id", "fp", "component_id", *["text_hash", "component"] * bool(similarity))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, probe_width: int = 2, max_bits: int = 8) -> DataFrame:
@@ -371,7 +371,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, probe_width:
     Repeated rows of one doc_id and text are for the exact stage: they share their fate here. All columns stay as they are.
     """
     found = near_duplicates(docs, probe_width, max_bits, similarity=similarity)
-    rows = cut_lineage(found.select("id", "text_hash", F.coalesce("component_id", F.lit(-1)).alias("component")).distinct())
+    rows = cut_lineage(found.select("id", "text_hash", "component").distinct())
     first = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("first"))
     drop = cut_lineage(
         rows.join(cut_lineage(first.filter("n > 1")), "component")

@@ -13,12 +13,11 @@ from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spliceweave.llm.common import label_sample, only_names
+from spliceweave.llm.common import label_sample, only_names, slices
 from spliceweave.session import cut_lineage, ship_package
 
 # Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
@@ -62,21 +61,30 @@ def in_training(doc_id: Column) -> Column:
 
 
 def word_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(word, toxic, clean): numbers of labelled documents with each folded word, summed per batch before the shuffle."""
+    """(word, toxic, clean): numbers of labelled documents with each folded word, summed in the task before the shuffle."""
     ship_package(docs.sparkSession)
 
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            counts = (Counter(), Counter())
-            for text, label in zip(b["text"], b["label"], strict=True):
-                counts[label].update(set(fold(text or "").split()))
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = (Counter(), Counter())
+
+        def flush() -> pa.RecordBatch:
             words = list(counts[0].keys() | counts[1].keys())
-            yield pd.DataFrame({"word": words, "toxic": [counts[1][w] for w in words], "clean": [counts[0][w] for w in words]})
+            cols = [pa.array(words, pa.string()), *(pa.array([counts[k][w] for w in words], pa.int64()) for k in (1, 0))]
+            for c in counts:
+                c.clear()
+            return pa.RecordBatch.from_arrays(cols, names=["word", "toxic", "clean"])
+
+        for b in slices(batches):
+            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                counts[label].update(set(fold(text or "").split()))
+            if len(counts[0]) + len(counts[1]) > 150_000:
+                yield flush()
+        yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.join(F.broadcast(labels), "doc_id")  # labels: a sample of bounded size
     return (
-        rows.select("text", "label").mapInPandas(kernel, "word string, toxic long, clean long")
+        rows.select("text", "label").mapInArrow(kernel, "word string, toxic long, clean long")
         .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     )
 
@@ -90,20 +98,20 @@ def context_counts(docs: DataFrame, labels: DataFrame, lexicon: dict[str, float]
     ship_package(spark)
     held = spark.sparkContext.broadcast(lexicon)
 
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = build_automaton(held.value, ())
-        for b in batches:
+        for b in slices(batches, 2048):
             met = set()
-            for text in b["text"]:
+            for text in b.column(0).to_pylist():
                 folded = fold(text or "")
                 for end, (length, _) in automaton.iter(folded):
                     start = end - length + 1
                     met.add((folded[start:end + 1], f"{folded[max(start - 16, 0):start]}|{folded[end + 1:end + 17]}"))
-            yield pd.DataFrame(list(met), columns=["term", "around"])
+            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in met], pa.string()) for i in (0, 1)], names=["term", "around"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     toxic = rows.join(F.broadcast(labels.filter("label = 1").select("doc_id")), "doc_id").select("text")  # labels: a sample of bounded size
-    counts = toxic.mapInPandas(kernel, "term string, around string").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    counts = toxic.mapInArrow(kernel, "term string, around string").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return {r["term"]: r["n"] for r in counts.collect()}  # one row an entry of the lexicon
 
 
@@ -206,7 +214,7 @@ def score_toxicity(docs: DataFrame, lexicon: dict[str, float], exceptions: Seque
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = build_automaton(*held.value)
-        for b in batches:
+        for b in slices(batches):
             found = [weigh(t or "", automaton, half_words) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:n], pa.array([s for s, _ in found], pa.float64()), pa.array([k for _, k in found], pa.int32())],

@@ -163,10 +163,13 @@ def test_near_stage_drops_near_copies_only(spark):
         copy[50] = "changed"
         half = w[:100] + words(rng, 100).split()  # similarity about a third
         rows += [(3 * i, " ".join(w)), (3 * i + 1, " ".join(copy)), (3 * i + 2, " ".join(half))]
-    df = frame(spark, rows).withColumn("id", F.lit(0)).withColumn("drop_hash", F.lit("x"))
+    alone = [(None, words(rng, 200)), (None, words(rng, 200)), (None, rows[0][1] + " end")]  # without id: two stand alone, one is a near copy
+    df = frame(spark, rows + alone).withColumn("id", F.lit(0)).withColumn("drop_hash", F.lit("x"))
     out = simhash.drop_near_duplicates(df)
     assert out.columns == df.columns
-    assert sorted(r.doc_id for r in out.collect()) == sorted(i for i, _ in rows if i % 3 != 1)
+    left = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted(i for i, _ in left if i is not None) == sorted(i for i, _ in rows if i % 3 != 1)
+    assert sorted(t for i, t in left if i is None) == sorted(t for _, t in alone[:2])
 
 
 def test_sketch_similarity_is_close_to_jaccard():

@@ -30,9 +30,10 @@ def write_by_key(df: DataFrame, path: str, keys: Sequence[str], sep: str = "\t",
     df.repartition(*keys).write.partitionBy(*keys).csv(path, sep=sep, header=header, nullValue="NA")
 
 
-def write_sorted(df: DataFrame, path: str, chrom: str = "chrom", pos: str = "pos") -> None:
-    """Coordinate-sorted Parquet by chromosome: range access prunes folders and row groups. As many ranges as shuffle partitions."""
-    df.repartitionByRange(chrom, pos).sortWithinPartitions(chrom, pos).write.partitionBy(chrom).parquet(path)
+def write_sorted(df: DataFrame, path: str, chrom: str = "chrom", pos: str = "pos", files: int | None = None) -> None:
+    """Coordinate-sorted Parquet by chromosome: range access prunes folders and row groups. ``files`` ranges, else as many as shuffle partitions."""
+    by = (chrom, pos) if files is None else (files, chrom, pos)
+    df.repartitionByRange(*by).sortWithinPartitions(chrom, pos).write.partitionBy(chrom).parquet(path)
 
 
 def _rows(long: DataFrame, row: Sequence[str], value: Column, sep: str = " ") -> DataFrame:

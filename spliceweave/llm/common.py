@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,16 @@ def text_windows(data: bytes, overlap: int, size: int = 1 << 20) -> Iterator[tup
         start = end
 
 
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """XXH64 (seed 42) of all runs of ``width`` words; of the whole sequence if it is shorter."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
+    runs = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
+    return np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(42)), np.uint64, len(words) - width + 1)
+
+
 def label_sample(labels: DataFrame, column: str, keep: Column, max_rows: int) -> DataFrame:
     """(doc_id, label) of at most ``max_rows`` labelled rows, chosen by a hash of doc_id; one row per doc_id.
 

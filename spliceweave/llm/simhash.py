@@ -13,17 +13,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations, repeat
+from itertools import combinations
 from math import comb
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spliceweave.llm.common import forest, only_names, popcount_links, slices, text_windows
+from spliceweave.llm.common import forest, only_names, popcount_links, shingle_hashes, slices, text_windows
+from spliceweave.llm.jaccard import jaccard_groups
 from spliceweave.operators.blocks import over_block_pairs
 from spliceweave.operators.components import connected_components
 from spliceweave.session import cut_lineage, ship_package
@@ -48,16 +48,6 @@ def _majority(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
-    """XXH64 (seed 42) of all runs of ``width`` words; of the whole sequence if it is shorter."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) <= width:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
-    runs = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-    return np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(42)), np.uint64, len(words) - width + 1)
-
-
 def text_fingerprints(texts: list[str | None], width: int) -> np.ndarray:
     """SimHash of each text; zero for a text without words.
 
@@ -128,26 +118,17 @@ def sketch_similarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(empty, 1.0, (same - 1 / 255) / (1 - 1 / 255))
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", sketch_width: int = 0) -> DataFrame:
-    """(id, fp long) of every row, whatever its other columns; a null text counts as empty (fingerprint 0).
-
-    With ``sketch_width`` also ``sketch``, the minima of its shingles of that many words, and ``text_hash``.
-    """
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp long) of every row, whatever its other columns; a null text counts as empty (fingerprint 0)."""
     ship_package(docs.sparkSession)
-    more = sketch_width > 0
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1024):
-            texts = b.column(1).to_pylist()
-            out = [b.column(0), pa.array(text_fingerprints(texts, width).view(np.int64))]
-            if more:
-                data = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-                out += [pa.array([shingle_sketch(x, sketch_width) for x in data], pa.binary()), b.column(2)]
-            yield pa.RecordBatch.from_arrays(out, names=["id", "fp", "sketch", "text_hash"][:len(out)])
+            fp = text_fingerprints(b.column(1).to_pylist(), width)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), *[F.xxhash64(text).alias("text_hash")] * more)
-    return rows.mapInArrow(kernel, "id long, fp long" + ", sketch binary, text_hash long" * more)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(kernel, "id long, fp long")
 
 
 @dataclass(frozen=True)
@@ -269,12 +250,11 @@ def _flips(mask: int, most: int) -> list[int]:
     return [_signed(sum(1 << b for b in c)) for d in range(most + 1) for c in combinations(bits, d)]
 
 
-def link_fingerprints(fps: DataFrame, plan: Plan, max_bits: int, similarity: float = 0.0,
-                      bucket_rows: int = 128, block_rows: int = 2048) -> DataFrame:
+def link_fingerprints(fps: DataFrame, plan: Plan, max_bits: int, bucket_rows: int = 128, block_rows: int = 2048) -> DataFrame:
     """(a, b): links that span the same components as all pairs of ``fps`` within ``max_bits``.
 
-    ``fps`` has node and fp; with a ``similarity`` also sketch, and pairs must reach it. All links of buckets of up to
-    ``bucket_rows`` nodes come out; of larger buckets a spanning forest per block pair.
+    ``fps`` has node and fp. All links of buckets of up to ``bucket_rows`` nodes come out; of larger buckets a spanning
+    forest per block pair.
     """
     ship_package(fps.sparkSession)
     used = [(i, m, t) for i, (m, t) in enumerate(zip(plan.masks, plan.thresholds, strict=True)) if t >= 0]
@@ -296,17 +276,6 @@ def link_fingerprints(fps: DataFrame, plan: Plan, max_bits: int, similarity: flo
         .join(right.select(F.col("node").alias("b"), F.col("fp").alias("fb"), *bucket), bucket)
         .filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= max_bits)).select("a", "b")
     )
-    if similarity:
-        sketches = fps.select("node", "sketch")
-
-        @F.pandas_udf("double")
-        def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-            return pd.Series(sketch_similarity(sketch_matrix(x), sketch_matrix(y)))
-
-        links = (
-            links.distinct().join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b")
-            .filter(alike("x", "y") >= similarity).select("a", "b")
-        )
     if not crowded:
         return links
 
@@ -314,64 +283,50 @@ def link_fingerprints(fps: DataFrame, plan: Plan, max_bits: int, similarity: flo
         if x.empty or y.empty:
             return pd.DataFrame({"a": [], "b": []})
         near = popcount_links(x["fp"].to_numpy().view(np.uint64), y["fp"].to_numpy().view(np.uint64), max_bits)
-        if similarity:
-            i, j = np.nonzero(near)
-            sx, sy = sketch_matrix(x["sketch"]), sketch_matrix(y["sketch"])
-            for k in range(0, len(i), 100_000):
-                p, q = i[k:k + 100_000], j[k:k + 100_000]
-                near[p, q] = sketch_similarity(sx[p], sy[q]) >= similarity
         rows, cols = forest(near)
         p, q = x["node"].to_numpy(), y["node"].to_numpy()
         a, b = np.concatenate([p[rows >= 0], q[cols >= 0]]), q[np.concatenate([rows[rows >= 0], cols[cols >= 0]])]
         return pd.DataFrame({"a": a, "b": b})[a != b]
 
     def crowd(x: DataFrame) -> DataFrame:
-        rows = x.join(hot, bucket, "left_semi")
-        return cut_lineage(rows.join(sketches, "node") if similarity else rows)
+        return cut_lineage(x.join(hot, bucket, "left_semi"))
 
     dense = over_block_pairs(crowd(probes), crowd(index), bucket, ["node"], ["node"], block_rows, block_rows, kernel, "a long, b long")
     return links.unionByName(dense)
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text",
-                    similarity: float = 0.0, similarity_width: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) for every row of ``docs``; component_id is the smallest id that links reach.
 
-    Fingerprints link within ``max_bits``. With a ``similarity``, linked documents must also reach that Jaccard similarity of
-    their ``similarity_width``-word shingles (estimated from 128 minima each), and ``text_hash`` and a ``component`` that is never null come out as well.
-
-    Null texts count as empty; texts without words share fingerprint 0 and so one component. Rows with a null id take part and
-    get the smallest id of their component (null if all are null); repeated rows stay repeated. Other columns are ignored.
-    An empty table gives an empty result.
+    Fingerprints link within ``max_bits``. Null texts count as empty; texts without words share fingerprint 0 and so one
+    component. Rows with a null id take part and get the smallest id of their component (null if all are null); repeated rows
+    stay repeated. Other columns are ignored. An empty table gives an empty result.
     """
-    rows = fingerprints(docs, width, id_col, text_col, similarity_width if similarity else 0)
-    keep = ["sketch"] if similarity else []
-    rows = cut_lineage(rows.withColumn("node", F.xxhash64("fp", "sketch") if similarity else F.col("fp")))
-    classes = cut_lineage(rows.groupBy("node", "fp", *keep).agg(F.min("id").alias("first_id")))
+    rows = cut_lineage(fingerprints(docs, width, id_col, text_col).withColumn("node", F.col("fp")))
+    classes = cut_lineage(rows.groupBy("node", "fp").agg(F.min("id").alias("first_id")))
     n = classes.count()
     if n < 2:
-        named = classes.select("node", F.col("node").alias("component"), F.col("first_id").alias("component_id"))
+        named = classes.select("node", F.col("first_id").alias("component_id"))
     else:
-        links = link_fingerprints(classes.select("node", "fp", *keep), make_plan(classes, n, max_bits), max_bits, similarity)
+        links = link_fingerprints(classes.select("node", "fp"), make_plan(classes, n, max_bits), max_bits)
         nodes = connected_components(links, "a", "b")
         member = cut_lineage(
             classes.select("node", "first_id").join(nodes, "node", "left")
             .select("node", "first_id", F.coalesce("component", "node").alias("component"))
         )
         first = member.groupBy("component").agg(F.min("first_id").alias("component_id"))
-        named = cut_lineage(member.join(first, "component").select("node", "component", "component_id"))
-    return rows.join(named, "node", "left").select("id", "fp", "component_id", *["text_hash", "component"] * bool(similarity))
+        named = cut_lineage(member.join(first, "component").select("node", "component_id"))
+    return rows.join(named, "node", "left").select("id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, probe_width: int = 2, max_bits: int = 8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: that with the smallest doc_id, then the smallest text hash.
 
-    Groups link documents whose five-word shingles reach ``similarity``. Candidates come from fingerprints of narrower shingles,
-    since one changed word spoils ``probe_width`` of those and five of the others. Documents with null doc_id count last.
-    Repeated rows of one doc_id and text are for the exact stage: they share their fate here. All columns stay as they are.
+    Groups link documents whose sets of five-word shingles have a Jaccard similarity of ``similarity`` or more, computed on the
+    full sets (``jaccard.py``). Documents with null doc_id count last. Repeated rows of one doc_id and text are for the exact
+    stage: they share their fate here. All columns stay as they are.
     """
-    found = near_duplicates(docs, probe_width, max_bits, similarity=similarity)
-    rows = cut_lineage(found.select("id", "text_hash", "component").distinct())
+    rows = jaccard_groups(docs, similarity)
     first = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("first"))
     drop = cut_lineage(
         rows.join(cut_lineage(first.filter("n > 1")), "component")

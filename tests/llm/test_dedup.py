@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spliceweave.llm import block_dedup, embed_dedup, simhash
+from spliceweave.llm import block_dedup, embed_dedup, jaccard, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -236,3 +236,24 @@ def test_no_vectors_link(spark):
     assert embed_dedup.near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
     out = embed_dedup.near_vectors(spark.createDataFrame([[1, None, 1, ""], [2, [1.0], None, ""]], VECTORS)).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in out) == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
+def five_word_set(text):
+    w = text.split()
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
+
+def test_near_stage_links_added_passages(spark):
+    """One text is the other plus a block: every pair of similarity 0.80 and more must be found, wherever the block is."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(300):
+        w, n = words(rng, 204).split(), 50 - k % 40  # similarity (200 - cut) / (200 + n)
+        at = rng.choice([0, 204])
+        other = w[:at] + words(rng, n).split() + w[at:]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+    sets = [five_word_set(t) for _, t in rows]
+    alike = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert min(alike) == pytest.approx(0.8, abs=0.001) and max(alike) > 0.9
+    left = {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()}
+    assert left == {2 * k for k in range(300)} | {2 * k + 1 for k in range(300) if alike[k] < 0.8}

@@ -257,3 +257,30 @@ def test_near_stage_links_added_passages(spark):
     assert min(alike) == pytest.approx(0.8, abs=0.001) and max(alike) > 0.9
     left = {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()}
     assert left == {2 * k for k in range(300)} | {2 * k + 1 for k in range(300) if alike[k] < 0.8}
+
+
+def test_near_stage_decides_on_exact_similarity(spark):
+    """Pairs just under the limit stay, pairs at and above it go, in small groups and over several blocks."""
+    rng = random.Random(22)
+    rows, want = [], set()
+    for k in range(200):
+        n = rng.choice([4, 40, 400])
+        w = words(rng, n + 4).split()
+        more = n // 4 + k % 2 * max(n // 100, 1)  # similarity exactly 0.8, or a little less
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w + words(rng, more).split()))]
+        want |= {2 * k, 2 * k + 1} if k % 2 else {2 * k}
+    assert {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()} == want
+
+    texts = {}
+    for i in range(60):  # one chain of changes: neighbours are alike, ends are not
+        w = words(random.Random(5), 200).split()
+        for j in range(i * 3):
+            w[j] = f"new{j}"
+        texts[i] = " ".join(w)
+    for i in range(60, 70):
+        texts[i] = words(rng, 60)
+    sets = {i: five_word_set(t) for i, t in texts.items()}
+    linked = {(i, j) for i in texts for j in texts if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    group = components(texts, lambda a, b: (a, b) in linked)
+    found = {r.id: r.component for r in jaccard.jaccard_groups(frame(spark, list(texts.items())), block_rows=16).collect()}
+    assert all((group[i] == group[j]) == (found[i] == found[j]) for i in texts for j in texts)

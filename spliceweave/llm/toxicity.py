@@ -13,7 +13,9 @@ from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,9 @@ HOMOGLYPHS = {
 }
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 
+#: Lengths of the word beginnings that can become entries.
+BEGINNINGS = range(3, 9)
+
 #: Harmless phrases around words that are often insults.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "clown nose", "clown car", "pond scum", "soap scum", "sore loser", "idiot proof")
 
@@ -89,39 +94,51 @@ def word_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def context_counts(docs: DataFrame, labels: DataFrame, lexicon: dict[str, float]) -> dict[str, int]:
-    """In how many different surroundings each entry occurs in documents labelled toxic.
+def context_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(term, contexts): in how many different surroundings each word and word beginning occurs in documents labelled toxic.
 
-    Words of one document that has many copies occur in few: they say nothing about other documents.
+    A document gives one surrounding a term, that of the smallest hash, so copies of one document count once however often
+    they occur and whatever else they repeat.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
-    held = spark.sparkContext.broadcast(lexicon)
+    ship_package(docs.sparkSession)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = build_automaton(held.value, ())
-        for b in slices(batches, 2048):
-            met = set()
+        met: set[tuple[str, int]] = set()
+
+        def flush() -> pa.RecordBatch:
+            cols = [pa.array([t for t, _ in met], pa.string()), pa.array([h for _, h in met], pa.int64())]
+            met.clear()
+            return pa.RecordBatch.from_arrays(cols, names=["term", "around"])
+
+        for b in slices(batches):
             for text in b.column(0).to_pylist():
-                folded = fold(text or "")
-                for end, (length, _) in automaton.iter(folded):
-                    start = end - length + 1
-                    met.add((folded[start:end + 1], f"{folded[max(start - 16, 0):start]}|{folded[end + 1:end + 17]}"))
-            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in met], pa.string()) for i in (0, 1)], names=["term", "around"])
+                words = fold(text or "").split()
+                least: dict[str, int] = {}
+                for i, word in enumerate(words):
+                    around = xxhash.xxh64_intdigest(" ".join(words[max(i - 3, 0):i + 4])) >> 1
+                    if around < least.get(word, math.inf):
+                        least[word] = around
+                terms: dict[str, int] = {}
+                for word, around in least.items():
+                    for term in (*(f" {word[:k]}" for k in BEGINNINGS if len(word) >= k), f" {word} "):
+                        if around < terms.get(term, math.inf):
+                            terms[term] = around
+                met.update(terms.items())
+                if len(met) > 150_000:
+                    yield flush()
+        yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     toxic = rows.join(F.broadcast(labels.filter("label = 1").select("doc_id")), "doc_id").select("text")  # labels: a sample of bounded size
-    counts = toxic.mapInArrow(kernel, "term string, around string").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    return {r["term"]: r["n"] for r in counts.collect()}  # one row an entry of the lexicon
+    return toxic.mapInArrow(kernel, "term string, around long").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("contexts"))
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labels: int = 300_000, max_terms: int = 20_000,
-                  min_support: int = 4, min_weight: float = 3.0, min_contexts: int = 5, context_share: float = 0.01) -> dict[str, float]:
+                  min_support: int = 4, min_weight: float = 3.0, min_contexts: int = 5) -> dict[str, float]:
     """Lexicon entries (folded, " word " or " beginning") and weights from labelled documents outside the held-out fold.
 
-    At most ``max_labels`` labelled rows are used, chosen by a hash of doc_id, and at most ``max_terms`` candidates, the best supported, are
-    looked at. Of beginnings and continuations those stay that ``prune_terms`` leaves.
-    An entry must occur in ``min_contexts`` different surroundings, and in ``context_share`` of those of the most frequent entry.
+    At most ``max_labels`` labelled rows are used, chosen by a hash of doc_id. The ``max_terms`` best supported words and beginnings are candidates; those with
+    the weight that occur in ``min_contexts`` different surroundings are pruned with ``prune_terms``, and only what is left is collected.
     """
     sample = cut_lineage(label_sample(labels, "toxic", in_training(F.col("doc_id")), max_labels))
     size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -129,7 +146,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labels: int = 300_000,
     if not toxic:
         return {}
     words = word_counts(docs, sample)
-    starts = F.transform(F.sequence(F.lit(3), F.lit(8)), lambda k: F.when(F.length("word") >= k, F.concat(F.lit(" "), F.substr(F.col("word"), F.lit(1), k))))
+    starts = F.array(*[F.when(F.length("word") >= k, F.concat(F.lit(" "), F.substring("word", 1, k))) for k in BEGINNINGS])
     whole = F.array(F.concat(F.lit(" "), F.col("word"), F.lit(" ")))
     weight = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     terms = (
@@ -137,13 +154,16 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labels: int = 300_000,
         .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .withColumn("weight", weight).filter((F.col("toxic") >= min_support) & (F.col("weight") >= min_weight))
         .orderBy(F.desc("toxic"), "term").limit(max_terms)
+        .join(context_counts(docs, sample).filter(F.col("contexts") >= min_contexts), "term")
     )
-    found = prune_terms([(r["term"], r["toxic"], r["weight"]) for r in terms.select("term", "toxic", "weight").collect()])
-    if not found:
-        return {}
-    contexts = context_counts(docs, sample, found)
-    least = max(min_contexts, context_share * max(contexts.values(), default=0))
-    return {t: w for t, w in found.items() if contexts.get(t, 0) >= least}
+
+    def prune(group: pd.DataFrame) -> pd.DataFrame:
+        kept = prune_terms(list(zip(group["term"], group["toxic"], group["weight"], strict=True)))
+        return pd.DataFrame({"term": list(kept), "weight": list(kept.values())}).astype({"term": object, "weight": float})
+
+    # a beginning has three letters at least, so it shares the first with all its continuations
+    groups = terms.select(F.substring("term", 1, 1 + BEGINNINGS[0]).alias("start"), "term", "toxic", "weight").groupBy("start")
+    return {r["term"]: r["weight"] for r in groups.applyInPandas(prune, "term string, weight double").collect()}
 
 
 def prune_terms(terms: Iterable[tuple[str, int, float]]) -> dict[str, float]:

@@ -130,6 +130,23 @@ def test_toxic_lexicon_is_learnt_from_training_rows_only(spark):
     assert toxicity.drop_toxic(docs, labels.limit(0)).count() == 400 and toxicity.drop_toxic(docs.limit(0), labels).count() == 0
 
 
+def test_rare_toxic_words_stay_beside_a_frequent_one(spark):
+    """An entry of many surroundings doesn't raise the bar of the others; copies of one document don't reach it."""
+    docs, labels = toxic_corpus(spark)
+    rng = random.Random(8)
+    calm = ["sun", "rain", "river", "stone", "cloud", "tree", "path", "bird"]
+    mixed = lambda n: [rng.choice(calm) for _ in range(n)]
+    copied = " ".join(w for _ in range(9) for w in [*mixed(5), "hapaxo"])
+    texts = [" ".join([*mixed(8), "zorbit", *mixed(8)]) for _ in range(3000)] + [copied] * 60
+    more = spark.createDataFrame([(1000 + i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    marks = spark.createDataFrame([(1000 + i, 1, 1) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    calmer = spark.createDataFrame([(9000 + i, " ".join(mixed(9)), "en", "s", 0) for i in range(3000)], DOCS)
+    fine = spark.createDataFrame([(9000 + i, 1, 0) for i in range(3000)], "doc_id long, quality int, toxic int")
+    lexicon = toxicity.learn_lexicon(docs.unionByName(more).unionByName(calmer), labels.unionByName(marks).unionByName(fine))
+    assert "vexor".startswith(tuple(t.strip() for t in lexicon)) and any(t.strip() in ("zor", "zorbit") for t in lexicon)
+    assert not any("hapaxo".startswith(t.strip()) for t in lexicon)
+
+
 def test_quality_votes_match_all_cosines():
     rng = np.random.default_rng(0)
     vectors = rng.normal(size=(90, 8))

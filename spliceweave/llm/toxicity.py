@@ -133,11 +133,11 @@ def context_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return toxic.mapInArrow(kernel, "term string, around long").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("contexts"))
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labels: int = 300_000, max_terms: int = 20_000,
-                  min_support: int = 4, min_weight: float = 3.0, min_contexts: int = 5) -> dict[str, float]:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labels: int = 300_000, min_support: int = 4, min_weight: float = 3.0,
+                  min_contexts: int = 5) -> dict[str, float]:
     """Lexicon entries (folded, " word " or " beginning") and weights from labelled documents outside the held-out fold.
 
-    At most ``max_labels`` labelled rows are used, chosen by a hash of doc_id. The ``max_terms`` best supported words and beginnings are candidates; those with
+    At most ``max_labels`` labelled rows are used, chosen by a hash of doc_id. All their words and beginnings are candidates; those with
     the weight that occur in ``min_contexts`` different surroundings are pruned with ``prune_terms``, and only what is left is collected.
     """
     sample = cut_lineage(label_sample(labels, "toxic", in_training(F.col("doc_id")), max_labels))
@@ -153,7 +153,6 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labels: int = 300_000,
         words.select(F.explode(F.concat(F.array_compact(starts), whole)).alias("term"), "toxic", "clean")
         .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .withColumn("weight", weight).filter((F.col("toxic") >= min_support) & (F.col("weight") >= min_weight))
-        .orderBy(F.desc("toxic"), "term").limit(max_terms)
         .join(context_counts(docs, sample).filter(F.col("contexts") >= min_contexts), "term")
     )
 

@@ -147,6 +147,16 @@ def test_rare_toxic_words_stay_beside_a_frequent_one(spark):
     assert not any("hapaxo".startswith(t.strip()) for t in lexicon)
 
 
+def test_copied_unusual_words_push_no_toxic_word_out(spark):
+    """A long document with many copies and more unusual words than any list of candidates holds leaves the lexicon as it is."""
+    docs, labels = toxic_corpus(spark)
+    copied = " ".join(f"{a}{b}{c}{d}{e}x" for a in "qwzjhycp" for b in "aeiou" for c in "bdfgk" for d in "aeiou" for e in "lmnprstv")
+    more = spark.createDataFrame([(1000 + i, copied, "en", "s", 0) for i in range(100)], DOCS)
+    marks = spark.createDataFrame([(1000 + i, 1, 1) for i in range(100)], "doc_id long, quality int, toxic int")
+    lexicon = toxicity.learn_lexicon(docs.unionByName(more), labels.unionByName(marks))
+    assert {t.strip() for t in lexicon} == {"vexor", "grol"}
+
+
 def test_quality_votes_match_all_cosines():
     rng = np.random.default_rng(0)
     vectors = rng.normal(size=(90, 8))

@@ -7,6 +7,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,28 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
+def byte_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 24, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes in the string ``column`` (or one longer row), ``rows`` at most."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(b):
+            held = int(ends[at - 1]) if at else 0
+            size = min(max(int(np.searchsorted(ends, held + most)) - at, 1), rows)
+            yield b.slice(at, size)
+            at += size
+
+
+def id_digest(seed: int, doc_id: Column) -> Column:
+    """Hex SHA-256 of ``seed:id``, the id in decimal (null: nothing); draws that depend on the id alone are taken from it."""
+    return F.sha2(F.encode(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))), "UTF-8"), 256)
+
+
+def digest_word(digest: Column, i: int) -> Column:
+    """The i-th group of eight hex digits as an unsigned integer."""
+    return F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long")
+
+
 def text_windows(data: bytes, overlap: int, size: int = 1 << 20) -> Iterator[tuple[list[bytes], bool]]:
     """Words of ``data`` in pieces of about ``size`` bytes, each with the last ``overlap`` words of the one before.
 

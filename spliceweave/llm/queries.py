@@ -6,8 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spliceweave.llm import block_dedup, bpe, embed_dedup, license_scan, mixing, preference, quality, simhash, toxicity, url_rules
+from spliceweave.llm import (
+    block_dedup, bpe, embed_dedup, fill_middle, license_scan, mixing, packing, preference, quality, resample, simhash, toxicity, url_rules,
+)
 from spliceweave.llm.common import table
+from spliceweave.session import cut_lineage
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -63,9 +66,26 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        spans("chosen_spans").alias("chosen_spans"), spans("rejected_spans").alias("rejected_spans"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), rate=100, spm_rate=50, seed=7)
+    sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(back).alias("restored_sha256"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=2048, end_id=0)
+    return packing.pack(cut_lineage(pieces.drop("ids")), size=2048)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return resample.importance_resample(docs, target, percent=25, min_words=20, seed=7).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_exact_dedup, op3_source_mixing, op4_byte_bpe, op5_url_rules, op6_embedding_near_dedup, op7_quality_classifier,
-    op8_license_scan, op9_toxicity, op10_preference_format,
+    op8_license_scan, op9_toxicity, op10_preference_format, op11_fill_in_middle, op12_best_fit_packing, op13_importance_resampling,
 )}
 
 ORACLES = {
@@ -74,6 +94,18 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept,
                sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)""",
+    "op11_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+        u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS units,
+                     [('0x' || substr(h, 1 + 8 * i, 8))::BIGINT FOR i IN [0, 1, 2, 3]] AS w FROM d),
+        c AS (SELECT *, least(w[1] % (len(units) + 1), w[2] % (len(units) + 1)) AS lo, greatest(w[1] % (len(units) + 1), w[2] % (len(units) + 1)) AS hi,
+                     CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR w[3] % 100 >= 100 THEN 'plain'
+                          WHEN w[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+        s AS (SELECT *, array_to_string(units[1:lo], '') AS p, array_to_string(units[lo + 1:hi], '') AS m, array_to_string(units[hi + 1:], '') AS s FROM c)
+        SELECT doc_id, len(units) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM s""",
     "op10_preference_format": """
         WITH l AS (SELECT conv_id, max(turn) FILTER (WHERE role = 'assistant') AS last FROM conversations GROUP BY conv_id),
         u AS (SELECT c.conv_id, turn, role, coalesce(text, '') AS text, last FROM conversations c JOIN l USING (conv_id) WHERE turn <= last),

@@ -9,75 +9,63 @@ parallel.
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from spliceweave.llm.bpe import ascii_pattern, byte_characters
 from spliceweave.llm.common import byte_slices
 from spliceweave.session import cut_lineage, ship_package
 
-BREAK = re.compile(r"(?= \S)")
 
+@lru_cache(1)
+def vocabulary(path: str):
+    """Model of a tokenizers file, read once by a worker."""
+    return Tokenizer.from_file(path).model
 
-class Units(dict):
-    """Ids (little-endian uint32 bytes) of a word with a space before it, remembered for short words.
 
-    No token of the byte-level vocabulary, and no piece of its pre-tokenizer, reaches over a space that is followed by something else than
-    white space, and what comes before never depends on what follows it. So a text may be encoded from such space to such space.
+class Encoder(dict):
+    """Ids (bytes of uint32) by piece: pieces are cut by the pre-tokenizer's pattern and merged by the model of the tokenizers library.
+
+    Short pieces are remembered, ``most`` of them and as many that were met before. Strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str, most: int = 200_000) -> None:
+    def __init__(self, path: str, pattern: str, most: int = 250_000) -> None:
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.model, self.table = vocabulary(path), dict(enumerate(byte_characters()))
+        self.pattern, self.plain = regex.compile(pattern), ascii_pattern(pattern)
         self.most, self.older = most, {}
 
-    def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace():
-            raise LookupError(word)
-        out = self.older.get(word)
+    def __missing__(self, piece: str) -> bytes:
+        out = self.older.get(piece)
         if out is None:
-            out = self.ids(" " + word)
-        if len(word) <= 64:
-            self[word] = out
+            written = piece.encode("utf-8").decode("latin-1").translate(self.table)
+            out = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+        if len(piece) <= 64:
+            self[piece] = out
         return out
 
     def encode(self, text: str) -> bytes:
-        """Ids of a whole text, as one call of the tokenizers library gives them; strings of special tokens are ordinary text."""
+        """Ids of a whole text, as one call of the tokenizers library gives them; pieces of a long text never exist all at once."""
         if len(self) > self.most:
             self.older = dict(self)
             self.clear()
-        first, *words = text.split(" ") if len(text) < 1 << 22 else (text,)
-        try:
-            if first and len(first) < 1 << 16:
-                return self.ids(first) + b"".join(map(self.__getitem__, words))
-        except LookupError:  # a run of white space
-            pass
-        return b"".join(self[u[1:]] if u[0] == " " and len(u) > 1 and not u[1].isspace() else self.ids(u) for u in _units(text))
-
-
-def _units(text: str) -> Iterator[str]:
-    at = 0
-    for m in BREAK.finditer(text):
-        if m.start() > at:
-            yield text[at:m.start()]
-            at = m.start()
-    if at < len(text):
-        yield text[at:]
-
-
-def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+        rule = self.plain if self.plain and text.isascii() else self.pattern
+        pieces = rule.findall(text) if len(text) < 1 << 22 else (m.group() for m in rule.finditer(text))
+        return b"".join(map(self.__getitem__, pieces))
+
+
+def token_pieces(docs: DataFrame, tokenizer: str, pattern: str, size: int = 2048, end_id: int = 0, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The ``keep`` columns, piece int, start long, length long, ids binary and ids_crc32 long of every piece of every row.
 
     A row's ids are those of its whole text (null: empty) and ``end_id``. Up to ``size`` ids make one piece; longer ones are cut into
@@ -90,12 +78,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int
     names = [*keep, "piece", "start", "length", "ids", "ids_crc32", "part", "nth"]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, task = Units(tokenizer), TaskContext.get().partitionId()
+        encoder, task = Encoder(tokenizer, pattern), TaskContext.get().partitionId()
         end, met = np.array([end_id], "<u4").tobytes(), np.zeros(size + 1, np.int64)
         for b in byte_slices(batches, k, 1 << 22):
             rows, piece, start, length, ids, crc, nth = [], [], [], [], [], [], []
             for i, text in enumerate(b.column(k).to_pylist()):
-                data = (units.encode(text) if text else b"") + end
+                data = (encoder.encode(text) if text else b"") + end
                 n = len(data) // 4
                 first = (n - 1) % size + 1
                 for p, at in enumerate([0, *range(first, n, size)]):

@@ -74,7 +74,8 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=2048, end_id=0)
+    vocabulary, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), vocabulary, pattern, size=2048, end_id=0)
     return packing.pack(cut_lineage(pieces.drop("ids")), size=2048)
 
 

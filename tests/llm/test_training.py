@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from spliceweave.llm import fill_middle, packing, queries, resample
 from spliceweave.llm.common import table
 
-JSON = public_tokenizers.path("byte_bpe_50k.json")
+JSON, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 SMALL = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, n long, form string, output string, __text string"
 TEXTS = [None, "", "\n", "\n\n\n", "one line", "a\nb", "a\nb\n", "\na\r\n b \n\n c", "<P>x", "x <S> y\nz", "<<M\nS>\n<P", "é\n漢字\n😀\n", "tab\there\x0bnot a line\x0c\n",
@@ -98,19 +98,19 @@ SPACES = ["", " ", "  ", " a", "a ", " a  b ", "a\n b", "a \n b", "a\n\n  b\tc",
           "<|endoftext|> x <|endoftext|>", "\x85 \x85a　 b", "a" * 3000, " " * 300 + "z", "a b " * 2000]
 
 
-def test_units_give_the_ids_of_one_call(tokenizer, spark):
-    units = packing.Units(JSON, most=50)
+def test_encoder_gives_the_ids_of_one_call(tokenizer, spark):
+    encoder = packing.Encoder(JSON, PATTERN, most=50)
     texts = SPACES + [r.text or "" for r in table(spark, SMALL, "documents").select("text").collect()]
     for text in texts + SPACES:
-        assert np.frombuffer(units.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
-    assert len(units) < 2000  # what is remembered is bounded
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(encoder) < 2000  # what is remembered is bounded
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=" \n\ta'sé1.\x1c　", max_size=20))
-def test_units_of_any_spacing(text):
-    units = test_units_of_any_spacing.__dict__.setdefault("units", packing.Units(JSON))
-    assert np.frombuffer(units.encode(text), "<u4").tolist() == units.tokenizer.encode(text, add_special_tokens=False).ids
+def test_encoder_on_any_spacing(tokenizer, text):
+    encoder = test_encoder_on_any_spacing.__dict__.setdefault("encoder", packing.Encoder(JSON, PATTERN))
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def one_at_a_time(lengths, size):
@@ -180,7 +180,7 @@ def test_pieces_and_sequences(spark, tokenizer):
     texts = [t for t in TEXTS if t is None or len(t) < 70000] + ["a b c d " * 700] * 3
     docs = rows_of(spark, texts).repartition(5)
     from spliceweave.session import cut_lineage
-    pieces = cut_lineage(packing.token_pieces(docs, JSON, 64))
+    pieces = cut_lineage(packing.token_pieces(docs, JSON, PATTERN, 64))
     packed = cut_lineage(packing.pack(pieces, 64))
     rows = packed.collect()
     assert check_packing(rows, 64) == one_at_a_time([r.length for r in rows], 64)
@@ -192,7 +192,7 @@ def test_pieces_and_sequences(spark, tokenizer):
         assert all(r.ids_crc32 == zlib.crc32(np.array(ids[r.start:r.start + r.length], "<u4").tobytes()) for r in mine)
     whole = {r.sequence_id: bytes(r.ids) for r in packing.sequences(packed).collect()}
     assert all(whole[r.sequence_id][4 * r.offset:4 * (r.offset + r.length)] == bytes(r.ids) for r in rows)
-    empty = cut_lineage(packing.token_pieces(rows_of(spark, []), JSON))
+    empty = cut_lineage(packing.token_pieces(rows_of(spark, []), JSON, PATTERN))
     assert packing.pack(empty).count() == 0
 
 

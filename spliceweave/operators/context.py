@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spliceweave.functions.distributions import two_sided_p
 from spliceweave.operators.correlation import standardised_slope
-from spliceweave.operators.glmm import fit_mixed
+from spliceweave.operators.glmm import Families, fit_mixed
 from spliceweave.operators.multiple_testing import benjamini_hochberg
 from spliceweave.operators.strata import balanced_sample, with_tertile
 from spliceweave.session import ship_package
@@ -19,7 +19,7 @@ from spliceweave.session import ship_package
 FIT_SCHEMA = "site string, snp string, fit string, status string, n bigint, z_geno double, z_inter double"
 
 
-def _fit_pair(pdf: pd.DataFrame) -> pd.DataFrame:
+def _fit_pair(pdf: pd.DataFrame, max_iter: int) -> dict:
     """Wald z of the dosage and, in the ``all`` fit, of its product with the context."""
     whole = pdf.fit.iloc[0] == "all"
     base = [np.ones(len(pdf)), *np.vstack(pdf.x.to_numpy()).T] if len(pdf.x.iloc[0]) else [np.ones(len(pdf))]
@@ -30,10 +30,18 @@ def _fit_pair(pdf: pd.DataFrame) -> pd.DataFrame:
         "status": "Unidentified", "n": len(pdf), "z_geno": None, "z_inter": None}
     if np.linalg.matrix_rank(x) == x.shape[1] and len(pdf) > x.shape[1]:
         donors, code = np.unique(pdf.donor_idx.to_numpy(), return_inverse=True)
-        fit = fit_mixed(y, n, x, code, np.eye(len(donors)), max_iter=60)
+        fit = fit_mixed(y, n, x, code, Families.unrelated(len(donors)), max_iter)
         z = fit.alpha / np.sqrt(np.maximum(np.diag(fit.cov), 1e-300))
         out |= {"status": fit.status, "z_geno": float(z[-2] if whole else z[-1]), "z_inter": float(z[-1]) if whole else None}
-    return pd.DataFrame([out]).astype({"z_geno": float, "z_inter": float})
+    return out
+
+
+def _fit_block(max_iter: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = [_fit_pair(one, max_iter) for _, one in pdf.groupby(["site", "snp", "fit"], sort=False)]
+        return pd.DataFrame(found).astype({"z_geno": float, "z_inter": float})
+
+    return run
 
 
 def context_effects(
@@ -45,13 +53,16 @@ def context_effects(
     residuals: DataFrame | None = None,
     fdr_by: Sequence[str] = (),
     sample: str = "metacell",
+    max_iter: int = 60,
+    block_pairs: int = 64,
 ) -> DataFrame:
     """One row per (site, snp): p of the dosage and of the interaction, q, and per stratum p and slope.
 
     ``pheno`` (site, sample, included, total), ``pairs`` (site, snp, fdr_by...), ``genotype``
     (snp, dosage ARRAY by donor index) or (snp, donor_idx, dosage), ``design`` (sample, sample_idx, donor_idx, x, x_stratum, ctx,
     stratum), ``residuals`` (site, sample_idx, working_residual). Missing dosages drop out. The
-    stratum is one more group key, so all fits of all pairs run in one job.
+    stratum is one more group key, so all fits of all pairs run in one job, about ``block_pairs`` pairs in a group. A fit takes
+    ``max_iter`` steps at most before it falls back to fixed effects.
     """
     ship_package(pheno.sparkSession)
     listed = genotype.join(pairs.select("snp").distinct(), "snp", "left_semi")  # before dosage arrays are exploded
@@ -70,7 +81,8 @@ def context_effects(
             F.struct(F.lit("all").alias("fit"), F.col("x").alias("x")),
             F.struct(F.col("stratum").alias("fit"), F.col("x_stratum").alias("x")))),
     ).filter(F.col("fit").isNotNull())
-    fits = each.groupBy("site", "snp", "fit").applyInPandas(_fit_pair, FIT_SCHEMA).select(
+    blocks = max(pheno.sparkSession.sparkContext.defaultParallelism, -(-pairs.count() // block_pairs))
+    fits = each.groupBy(F.pmod(F.xxhash64("site", "snp", "fit"), F.lit(blocks)).alias("block")).applyInPandas(_fit_block(max_iter), FIT_SCHEMA).select(
         "site", "snp", "fit", F.nanvl("z_geno", F.lit(None)).alias("z_geno"), F.nanvl("z_inter", F.lit(None)).alias("z_inter")
     ).withColumn("p_geno", two_sided_p("z_geno")).withColumn("p_inter", two_sided_p("z_inter"))
     wide = fits.groupBy("site", "snp").agg(

@@ -52,15 +52,79 @@ def fit_fixed(y, n, x, max_iter=50, tol=1e-8) -> Fit:
     return Fit("Fixed" if done else "Unsettled", alpha, cov, pi, -1.0, -1.0)
 
 
+class Families:
+    """Block-diagonal relatedness: for each family size the members (families x size) and their matrices (families x size x size).
+
+    Memory and time follow the sum of squared family sizes; nothing is donors x donors.
+    """
+
+    def __init__(self, n: int, stacks: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.n, self.stacks = n, stacks
+
+    @classmethod
+    def whole(cls, kin: np.ndarray) -> Families:
+        return cls(len(kin), [(np.arange(len(kin))[None, :], np.asarray(kin, float)[None])])
+
+    @classmethod
+    def unrelated(cls, n: int) -> Families:
+        return cls(n, [(np.arange(n)[:, None], np.ones((n, 1, 1)))])
+
+    @classmethod
+    def of(cls, family: np.ndarray, rows: np.ndarray, cols: np.ndarray, values: np.ndarray) -> Families:
+        """From a family label of each donor and the entries inside families; entries are averaged with their mirror image."""
+        n = len(family)
+        _, code, sizes = np.unique(family, return_inverse=True, return_counts=True)
+        order = np.argsort(code, kind="stable")
+        start = np.cumsum(sizes) - sizes
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n) - np.repeat(start, sizes)
+        nth = np.empty(len(sizes), np.int64)
+        stacks = []
+        for size in np.unique(sizes):
+            mine = np.flatnonzero(sizes == size)
+            nth[mine] = np.arange(len(mine))
+            stacks.append((order[start[mine][:, None] + np.arange(size)], np.zeros((len(mine), size, size))))
+        of_size = sizes[code]
+        for members, kin in stacks:
+            here = (of_size[rows] == members.shape[1]) & (code[rows] == code[cols])
+            r, c = rows[here], cols[here]
+            kin[nth[code[r]], place[r], place[c]] = values[here]
+            kin += kin.transpose(0, 2, 1).copy()
+            kin /= 2.0
+        return cls(n, stacks)
+
+    def touching(self, donors: np.ndarray) -> tuple[Families, np.ndarray]:
+        """The families that hold any of ``donors``, and the new index of every old one (-1: left out).
+
+        Members without samples change no solve: their rows weigh nothing.
+        """
+        seen, local, at, kept = np.zeros(self.n, bool), np.full(self.n, -1), 0, []
+        seen[donors] = True
+        for members, kin in self.stacks:
+            hit = seen[members].any(axis=1)
+            if hit.any():
+                new = at + np.arange(hit.sum() * members.shape[1]).reshape(-1, members.shape[1])
+                local[members[hit]] = new
+                kept.append((new, kin[hit]))
+                at += new.size
+        return Families(at, kept), local
+
+    def times(self, v: np.ndarray, blocks: list[np.ndarray] | None = None) -> np.ndarray:
+        """Product of the matrices (or of others of the same shape) with a vector or with columns."""
+        out = np.zeros(v.shape)
+        flat = v.reshape(len(v), -1)
+        for (members, kin), m in zip(self.stacks, blocks or [k for _, k in self.stacks], strict=True):
+            out[members] = (m @ flat[members]).reshape(*members.shape, *v.shape[1:])
+        return out
+
+
 class _Projector:
-    """P = V^-1 - V^-1 X (X' V^-1 X)^-1 X' V^-1 with V = diag(d) + tau_g Z K Z'."""
-
-    def __init__(self, d, donor, nd, kin, tau_g, x):
-        self.inv, self.donor, self.nd, self.kin, self.x = 1.0 / d, donor, nd, kin, x
-        a = np.bincount(donor, self.inv, nd)
-        tk = tau_g * kin
-        self.m = np.linalg.solve(np.eye(nd) + tk * a[None, :], tk)
-        self.a = a
+    """P = V^-1 - V^-1 X (X' V^-1 X)^-1 X' V^-1 with V = diag(d) + tau_g Z K Z', solved family by family."""
+
+    def __init__(self, d, donor, kin: Families, tau_g, x):
+        self.inv, self.donor, self.nd, self.kin, self.x = 1.0 / d, donor, kin.n, kin, x
+        self.a = a = np.bincount(donor, self.inv, self.nd)
+        self.m = [np.linalg.solve(np.eye(members.shape[1]) + tau_g * k * a[members][:, None, :], tau_g * k) for members, k in kin.stacks]
         self.vix = self.solve(x)
         self.cov = np.linalg.pinv(x.T @ self.vix)
 
@@ -70,7 +134,7 @@ class _Projector:
 
     def solve(self, u):
         u2 = u.reshape(len(u), -1) * self.inv[:, None]
-        out = u2 - self.inv[:, None] * (self.m @ self.to_donor(u2))[self.donor]
+        out = u2 - self.inv[:, None] * self.kin.times(self.to_donor(u2), self.m)[self.donor]
         return out.reshape(u.shape)
 
     def apply(self, u):
@@ -80,20 +144,23 @@ class _Projector:
     def traces(self):
         """tr(P) and tr(P Z K Z')."""
         a2 = np.bincount(self.donor, self.inv**2, self.nd)
-        t_o = self.inv.sum() - (np.diag(self.m) * a2).sum() - np.sum(self.cov * (self.vix.T @ self.vix))
-        zvz = np.diag(self.a) - self.a[:, None] * self.m * self.a[None, :]
+        t_o = self.inv.sum() - np.sum(self.cov * (self.vix.T @ self.vix))
+        t_g = 0.0
+        for (members, kin), m in zip(self.kin.stacks, self.m, strict=True):
+            a = self.a[members]
+            t_o -= (np.einsum("fii->fi", m) * a2[members]).sum()
+            t_g += (np.einsum("fii->fi", kin) * a).sum() - np.einsum("fij,fi,fij,fj->", kin, a, m, a, optimize=True)
         zx = self.to_donor(self.vix)
-        t_g = np.sum(self.kin * zvz) - np.sum(self.cov * (zx.T @ self.kin @ zx))
-        return t_o, t_g
+        return t_o, t_g - np.sum(self.cov * (zx.T @ self.kin.times(zx)))
 
 
 def fit_mixed(y, n, x, donor, kin, max_iter=30, tol=1e-3, max_effect=50.0, max_tau=1e3) -> Fit:
     """Mixed fit; falls back to ``fit_fixed`` (its status, tau -1) when it does not converge.
 
-    It counts as diverging, and falls back as well, once a coefficient exceeds ``max_effect`` or a variance ``max_tau``.
+    ``kin`` is a ``Families`` over the values of ``donor``, or a plain matrix. It counts as diverging, and falls back as well, once a coefficient exceeds ``max_effect`` or a variance ``max_tau``.
     """
     start = fit_fixed(y, n, x)
-    nd = kin.shape[0]
+    kin = kin if isinstance(kin, Families) else Families.whole(kin)
     alpha, eta = start.alpha, np.log(start.pi / (1 - start.pi))
     tau = np.array([0.1, 0.1])  # genetic, observation-level
     try:
@@ -101,9 +168,9 @@ def fit_mixed(y, n, x, donor, kin, max_iter=30, tol=1e-3, max_effect=50.0, max_t
             pi = _expit(eta)
             w = n * pi * (1 - pi)
             z = eta + (y - n * pi) / w
-            p = _Projector(1.0 / w + tau[1], donor, nd, kin, tau[0], x)
+            p = _Projector(1.0 / w + tau[1], donor, kin, tau[0], x)
             pz = p.apply(z)
-            kz = (kin @ np.bincount(donor, pz, nd))[donor]
+            kz = kin.times(np.bincount(donor, pz, kin.n))[donor]
             pg, po = p.apply(kz), p.apply(pz)
             t_o, t_g = p.traces()
             score = 0.5 * np.array([pz @ kz - t_g, pz @ pz - t_o])
@@ -125,7 +192,7 @@ def fit_mixed(y, n, x, donor, kin, max_iter=30, tol=1e-3, max_effect=50.0, max_t
             if 2 * moved < tol:
                 pi = _expit(eta)
                 w = n * pi * (1 - pi)
-                p = _Projector(1.0 / w + tau[1], donor, nd, kin, tau[0], x)
+                p = _Projector(1.0 / w + tau[1], donor, kin, tau[0], x)
                 return Fit("Converged", alpha, p.cov, pi, float(tau[0]), float(tau[1]), p)
     except np.linalg.LinAlgError:
         pass

@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spliceweave.operators.glmm import fit_mixed
-from spliceweave.session import ship_package
+from spliceweave.operators.components import connected_components
+from spliceweave.operators.glmm import Families, fit_mixed
+from spliceweave.session import cut_lineage, ship_package
 
 NULL_SCHEMA = (
     "site string, chrom string, strand string, pos bigint, status string, sqrt_r double, tau_g double, "
@@ -22,21 +23,25 @@ TAU_FLOOR = 1e-6
 
 
 def dense_vector(idx: str, value: str, size) -> Column:
-    """Aggregate (index, value) rows to a dense ARRAY<DOUBLE>, zeros where absent."""
-    entries = F.map_from_entries(F.collect_list(F.struct(F.col(idx).cast("int"), F.col(value).cast("double"))))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(size) - 1), lambda i: F.coalesce(F.element_at(entries, i), F.lit(0.0)))
+    """Aggregate (index, value) rows to a dense ARRAY<DOUBLE>, zeros where absent: gaps between the sorted entries are filled in one pass."""
+    entry = F.struct(F.col(idx).cast("int").alias("i"), F.col(value).cast("double").alias("v"))
+    rows = F.array_sort(F.collect_list(entry))
+    ends = F.transform(rows, lambda e, at: F.struct(e["i"].alias("i"), e["v"].alias("v"), F.coalesce(F.get(rows, at - 1)["i"], F.lit(-1)).alias("before")))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    filled = F.flatten(F.transform(ends, lambda e: F.concat(zeros(e["i"] - e["before"] - 1), F.array(e["v"]))))
+    return F.concat(filled, zeros((F.lit(size) - F.size(filled)).cast("int")))
 
 
 def design_table(
     samples: DataFrame, covariates: DataFrame | None = None, grm: DataFrame | None = None,
     markers: DataFrame | None = None, grm_min: float | None = None, sample: str = "metacell",
 ) -> DataFrame:
-    """One row per sample with its covariates, and apart from these one row per donor (its sample is NULL) with GRM row and markers.
+    """One row per sample with its covariates, and apart from these one row per donor (its sample is NULL) with family, GRM row and markers.
 
     ``samples`` (sample, sample_idx, donor_idx), ``covariates`` (sample, x ARRAY), ``grm``
     (i, j, k) over donor indices, ``markers`` (donor_idx, dosage ARRAY). Relatedness below
-    ``grm_min`` counts as zero. Without a GRM donors are unrelated.
+    ``grm_min`` counts as zero, and donors that are linked by what is left form a family. Without a GRM donors are unrelated;
+    with one, a sample of a donor that it lacks fails the job that reads the design.
     """
     out = samples.select(sample, "sample_idx", "donor_idx")
     if covariates is not None:
@@ -45,10 +50,22 @@ def design_table(
         out = out.withColumn("x", F.array().cast("array<double>"))
     per_donor = None
     if grm is not None:
-        kept = grm if grm_min is None else grm.filter(F.col("k") >= grm_min)
-        per_donor = kept.groupBy(F.col("i").cast("int").alias("donor_idx")).agg(
-            F.collect_list(F.struct(F.col("j").cast("int").alias("j"), F.col("k").cast("double").alias("k"))).alias("__kin")).select(
-            "donor_idx", F.col("__kin.j").alias("kin_idx"), F.col("__kin.k").alias("kin_val"))
+        kin = grm.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("k").cast("double").alias("k"))
+        labelled = kin.select(F.col("i").alias("donor_idx")).distinct()
+        known = out.join(labelled.withColumn("__known", F.lit(True)), "donor_idx", "left")
+        fail = F.raise_error(F.concat(F.lit("the GRM lacks donor "), F.col("donor_idx").cast("string"))).cast("int")
+        out = known.select(sample, "sample_idx", F.when(F.col("__known"), F.col("donor_idx")).otherwise(fail).alias("donor_idx"), "x")
+        kept = cut_lineage(kin if grm_min is None else kin.filter(F.col("k") >= grm_min))
+        families = labelled
+        linked = kept.filter((F.col("i") != F.col("j")) & (F.col("k") != 0))
+        if linked.isEmpty():
+            families = families.withColumn("family", F.col("donor_idx"))
+        else:
+            found = connected_components(linked, "i", "j").select(F.col("node").alias("donor_idx"), F.col("component").alias("family"))
+            families = families.join(found, "donor_idx", "left").select("donor_idx", F.coalesce("family", "donor_idx").alias("family"))
+        entries = kept.groupBy(F.col("i").alias("donor_idx")).agg(F.collect_list(F.struct("j", "k")).alias("__kin"))
+        per_donor = families.join(entries, "donor_idx", "left").select(
+            "donor_idx", "family", F.col("__kin.j").alias("kin_idx"), F.col("__kin.k").alias("kin_val"))
     if markers is not None:
         m = markers.select(F.col("donor_idx").cast("int").alias("donor_idx"), F.col("dosage").cast("array<double>").alias("marker"))
         per_donor = m if per_donor is None else per_donor.join(m, "donor_idx", "full")
@@ -60,15 +77,16 @@ def missing_donors(samples: DataFrame, labels: DataFrame) -> DataFrame:
     return samples.select("donor").distinct().join(labels.select("donor"), "donor", "left_anti")
 
 
-def _donor_tables(design: pd.DataFrame, n_donors: int, related: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """Relatedness and marker dosages of all donors, from the donor rows of a block's design."""
+def _donor_tables(design: pd.DataFrame, n_donors: int, related: bool) -> tuple[Families, np.ndarray | None]:
+    """Relatedness by family and marker dosages of all donors, from the donor rows of a block's design."""
     donors = design[design["metacell"].isna()]
-    kin, marks = np.eye(n_donors), None
+    kin, marks = Families.unrelated(n_donors), None
     if "kin_idx" in donors and related and donors["kin_idx"].notna().any():
-        kin = np.zeros((n_donors, n_donors))
-        for d, js, ks in donors.loc[donors["kin_idx"].notna(), ["donor_idx", "kin_idx", "kin_val"]].itertuples(index=False):
-            kin[int(d), js] = ks
-        kin = (kin + kin.T) / 2.0
+        rows = donors[donors["kin_idx"].notna()]
+        family = np.arange(n_donors) + n_donors  # donors without an entry stay alone
+        family[rows["donor_idx"].astype(int)] = rows["family"].astype(int)
+        cols = np.concatenate(rows["kin_idx"].to_numpy()).astype(int)
+        kin = Families.of(family, np.repeat(rows["donor_idx"].to_numpy(int), rows["kin_idx"].str.len()), cols, np.concatenate(rows["kin_val"].to_numpy()))
     if "marker" in donors and donors["marker"].notna().any():
         known = donors[donors["marker"].notna()]
         marks = np.full((n_donors, len(known["marker"].iloc[0])), np.nan)
@@ -83,8 +101,21 @@ def adjusted_score(resid, w, xw, xwx_inv, xr, g):
     return resid @ g - xr @ back, w @ (g * g) - np.sum(xwg * back, axis=0)
 
 
+def permuted_ratio(sums, donors: np.ndarray, n_perm: int, rng: np.random.Generator, at_once: int = 64) -> float:
+    """Variance of the scores of a synthetic genotype, permuted over ``donors``, against what is expected; a few permutations at a time."""
+    resid, w, xw, inv, xr = sums
+    part = resid[donors], w[donors], xw[donors], inv, xr
+    base = rng.binomial(2, 0.5, len(donors)).astype(float)
+    found, expected = 0.0, 0.0
+    for lo in range(0, n_perm, at_once):
+        g = np.stack([rng.permutation(base) for _ in range(min(at_once, n_perm - lo))], axis=1)
+        s, v = adjusted_score(*part, g)
+        found, expected = found + np.sum(s * s), expected + np.sum(v)
+    return found / expected if expected > 0 else np.nan
+
+
 def _site_fitter(n_donors, max_iter, tol, mode, n_perm, seed):
-    def run(pdf: pd.DataFrame, kin_all: np.ndarray, marks: np.ndarray | None) -> dict | None:
+    def run(pdf: pd.DataFrame, kin_all: Families, marks: np.ndarray | None) -> dict | None:
         pdf = pdf[pdf.total > 0].sort_values("sample_idx")
         head = pdf.iloc[0] if len(pdf) else None
         if head is None:
@@ -92,18 +123,14 @@ def _site_fitter(n_donors, max_iter, tol, mode, n_perm, seed):
         y, n = pdf.included.to_numpy(float), pdf.total.to_numpy(float)
         x = np.column_stack([np.ones(len(pdf)), np.vstack(pdf.x.to_numpy())]) if len(pdf.x.iloc[0]) else np.ones((len(pdf), 1))
         donors, code = np.unique(pdf.donor_idx.to_numpy(int), return_inverse=True)
-        fit = fit_mixed(y, n, x, code, kin_all[np.ix_(donors, donors)], max_iter, tol)
+        kin, local = kin_all.touching(donors)
+        fit = fit_mixed(y, n, x, local[donors][code], kin, max_iter, tol)
         if mode == "sample" and (fit.status != "Converged" or fit.tau_g <= TAU_FLOOR):
             return None
         res, w = y - n * fit.pi, n * fit.pi * (1 - fit.pi)
         resid, wd, xw, xwx_inv, xr = donor_level(res, w, x, pdf.donor_idx.to_numpy(int), n_donors)
         if mode == "permute":
-            rng = np.random.default_rng([seed, zlib.crc32(head.site.encode())])
-            base = rng.binomial(2, 0.5, len(donors)).astype(float)
-            g = np.zeros((n_donors, n_perm))
-            g[donors] = np.stack([rng.permutation(base) for _ in range(n_perm)], axis=1)
-            s, v = adjusted_score(resid, wd, xw, xwx_inv, xr, g)
-            r = np.mean(s * s) / np.mean(v) if np.mean(v) > 0 else np.nan
+            r = permuted_ratio((resid, wd, xw, xwx_inv, xr), donors, n_perm, np.random.default_rng([seed, zlib.crc32(head.site.encode())]))
         else:
             g = marks[donors]
             g = np.where(np.isnan(g), np.nanmean(g, axis=0), g)[code]

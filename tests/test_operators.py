@@ -498,3 +498,70 @@ def test_nonsplit_reads_of_listed_barcodes_only(spark):
     one = spark.createDataFrame([("A",)], "cb string")
     assert {r.cb for r in retention.extract_nonsplit(reads, sites).collect()} == {"A", "B"}
     assert {r.cb for r in retention.extract_nonsplit(reads, sites, barcodes=one).collect()} == {"A"}
+
+
+def related_trial(seed, donors=60, per=3, sites=2):
+    """Counts of donors in families of 1 to 5, with their relatedness as a plain matrix."""
+    rng = np.random.default_rng(seed)
+    kin, at = np.eye(donors), 0
+    while at < donors:
+        size = min(int(rng.integers(1, 6)), donors - at)
+        kin[at:at + size, at:at + size] += 0.5 * (1 - np.eye(size))
+        at += size
+    shuffle = rng.permutation(donors)
+    kin = kin[np.ix_(shuffle, shuffle)]
+    u = np.linalg.cholesky(kin + 1e-9 * np.eye(donors)) @ rng.normal(0, 0.7, donors)
+    donor = np.repeat(np.arange(donors), per)
+    x = np.column_stack([np.ones(len(donor)), rng.normal(size=len(donor))])
+    n = rng.integers(5, 40, len(donor)).astype(float)
+    y = rng.binomial(n.astype(int), 1 / (1 + np.exp(-(0.2 + u[donor])))).astype(float)
+    return y, n, x, donor, kin
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_family_blocks_equal_the_dense_fit(seed):
+    from spliceweave.operators import glmm
+
+    y, n, x, donor, kin = related_trial(seed)
+    i, j = np.nonzero(kin)
+    family = np.arange(len(kin))
+    for a, b in zip(i, j):
+        family[family == family[max(a, b)]] = family[min(a, b)]
+    families = glmm.Families.of(family, i, j, kin[i, j])
+    assert max(k.shape[1] for _, k in families.stacks) <= 5
+    dense, sparse = glmm.fit_mixed(y, n, x, donor, kin), glmm.fit_mixed(y, n, x, donor, families)
+    assert dense.status == sparse.status == "Converged" and dense.tau_g > 0.05
+    for a, b in ((dense.tau_g, sparse.tau_g), (dense.tau_o, sparse.tau_o), (dense.pi, sparse.pi), (dense.alpha, sparse.alpha), (dense.cov, sparse.cov)):
+        assert np.allclose(a, b, rtol=0, atol=1e-8)
+    some = donor < 20  # families without a sample are left out, members without one change nothing
+    cut, local = families.touching(np.arange(20))
+    part = glmm.fit_mixed(y[some], n[some], x[some], local[donor[some]], cut)
+    whole = glmm.fit_mixed(y[some], n[some], x[some], donor[some], kin[:20, :20])
+    assert part.status == whole.status and abs(part.tau_g - whole.tau_g) < 1e-8 and cut.n < len(kin)
+
+
+def test_many_donors_in_small_families(spark):
+    donors = 100_000
+    grm = spark.range(donors).selectExpr("cast(id as int) i", "explode(sequence(id - id % 4, id - id % 4 + 3)) j").selectExpr(
+        "i", "cast(j as int) j", "CASE WHEN i = j THEN 1.0D ELSE 0.5D END k")
+    samples = spark.range(donors).selectExpr("concat('m', id) metacell", "cast(id as int) sample_idx", "cast(id as int) donor_idx")
+    pheno = spark.range(donors).selectExpr(
+        "'chr1:+:5' site", "'chr1' chrom", "'+' strand", "5L pos", "concat('m', id) metacell",
+        "cast(6 + 3 * (id div 4 % 3 - 1) + id % 3 - 1 as bigint) included", "12L total")
+    design = null_model.design_table(samples, grm=grm, grm_min=0.05)
+    assert design.filter("metacell IS NULL").agg(F.max(F.size("kin_idx")), F.count_distinct("family")).first()[:] == (4, donors // 4)
+    fit = null_model.fit_null(pheno, design, donors, n_perm=20).first()
+    assert fit.status == "Converged" and fit.tau_g > 0.05 and len(fit.resid) == donors and 0.5 < fit.sqrt_r < 2
+
+
+def test_a_donor_without_relatedness_fails_the_job(spark):
+    samples = spark.createDataFrame([("a", 0, 0), ("b", 1, 1)], "metacell string, sample_idx int, donor_idx int")
+    grm = spark.createDataFrame([(0, 0, 1.0)], "i int, j int, k double")
+    with pytest.raises(Exception, match="the GRM lacks donor 1"):
+        null_model.design_table(samples, grm=grm).collect()
+
+
+def test_dense_vectors_fill_gaps(spark):
+    df = spark.createDataFrame([(3, 1.5), (0, 2.0), (7, -1.0)], "i int, v double")
+    assert df.agg(null_model.dense_vector("i", "v", 9).alias("x")).first().x == [2.0, 0, 0, 1.5, 0, 0, 0, -1.0, 0]
+    assert df.limit(0).agg(null_model.dense_vector("i", "v", 2).alias("x")).first().x == [0.0, 0.0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spliceweave.operators.blocks import over_block_pairs
+from spliceweave.operators.components import connected_components
 from spliceweave.session import cut_lineage, drop_stage, ship_package
 
 BLOCK = 2048
@@ -148,64 +150,189 @@ def silhouette(cells: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.groupBy("donor").agg(F.avg(value).alias("silhouette"))
 
 
-def louvain(edges: DataFrame, nodes: DataFrame, seed: int = 0) -> DataFrame:
+STEPS = 16
+
+
+def _best_moves(state: DataFrame, ties: DataFrame, total: DataFrame) -> DataFrame:
+    """(donor, node, deg, comm, two_m, pick, more) of every node that would gain ``more`` by joining the neighbouring community ``pick``."""
+    where = state.select("donor", F.col("node").alias("dst"), F.col("comm").alias("to_comm"))
+    pull = ties.join(where, ["donor", "dst"]).select("donor", F.col("src").alias("node"), "to_comm", F.col("w").alias("k_in"))
+    stay = state.select("donor", "node", F.col("comm").alias("to_comm"), F.lit(0.0).alias("k_in"))
+    options = pull.unionByName(stay).groupBy("donor", "node", "to_comm").agg(F.sum("k_in").alias("k_in"))
+    mass = state.groupBy("donor", F.col("comm").alias("to_comm")).agg(F.sum("deg").alias("mass"))
+    here = F.col("to_comm") == F.col("comm")
+    gain = F.col("k_in") - F.col("deg") * (F.col("mass") - F.when(here, F.col("deg")).otherwise(0.0)) / F.col("two_m")
+    scored = options.join(state, ["donor", "node"]).join(mass, ["donor", "to_comm"]).join(total, "donor").withColumn("gain", gain)
+    best = scored.groupBy("donor", "node", "deg", "comm", "two_m").agg(
+        F.min(F.when(~here, F.struct(-F.round("gain", 9), F.col("to_comm").alias("pick"), F.col("gain")))).alias("top"),
+        F.max(F.when(here, F.col("gain"))).alias("own"))
+    return best.select("donor", "node", "deg", "comm", "two_m", "top.pick", (F.col("top.gain") - F.col("own")).alias("more")).filter("more > 1e-9")
+
+
+def _safe_moves(moves: DataFrame, seed: int) -> DataFrame:
+    """(donor, node, pick): moves that raise modularity together, whatever order they are made in.
+
+    Moves are ordered by their gain a degree, in octaves, and by a seeded hash. The first move that touches a community makes it a giving or a
+    receiving one, and only moves from giving to receiving communities count: no node enters a community that another one leaves. Two moves
+    that share a community then lose at most the product of their degrees over ``two_m``, so a move stands if its gain exceeds that loss to all
+    moves up to its place. The very first move of both its communities always stands. Sums are kept by place (a few hundred a community), so
+    no community's moves are gathered.
+    """
+    octave = F.least(F.greatest(F.floor(-F.log2(F.col("more") / F.col("deg"))) + 8, F.lit(0)), F.lit(47))
+    place = octave * STEPS + F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(STEPS))
+    placed = moves.withColumn("place", place.cast("int"))
+    turn = F.struct("place", (-F.col("more") / F.col("deg")).alias("slow"), "node")
+    touched = F.inline(F.array(
+        F.struct(F.col("comm").alias("c"), F.lit(False).alias("enters")), F.struct(F.col("pick").alias("c"), F.lit(True).alias("enters"))))
+    both = placed.select("donor", "node", "deg", "two_m", "pick", "more", "place", turn.alias("turn"), touched)
+    lead = both.groupBy("donor", "c").agg(F.min(F.struct("turn", "enters")).alias("lead")).select(
+        "donor", "c", F.col("lead.turn.node").alias("leader"), F.col("lead.enters").alias("receives"))
+    ends = F.collect_list(F.struct("c", (F.col("leader") == F.col("node")).alias("leads")))  # two at most
+    free = cut_lineage(
+        both.join(lead, ["donor", "c"]).filter(F.col("enters") == F.col("receives"))
+        .groupBy("donor", "node", "pick", "deg", "two_m", "more", "place").agg(ends.alias("ends")).filter(F.size("ends") == 2))
+    allowed = free.select("donor", "node", "pick", "deg", "two_m", "more", "place", F.inline("ends"))
+    upto = Window.partitionBy("donor", "c").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    load = allowed.groupBy("donor", "c", "place").agg(F.sum("deg").alias("d")).select("donor", "c", "place", F.sum("d").over(upto).alias("load"))
+    judged = allowed.join(load, ["donor", "c", "place"]).groupBy("donor", "node", "pick", "deg", "two_m", "more").agg(
+        F.sum(F.col("load") - F.col("deg")).alias("load"), F.min("leads").alias("first"))
+    return judged.filter(F.col("first") | (F.col("more") > F.col("deg") * F.col("load") / F.col("two_m") + 1e-9)).select("donor", "node", "pick")
+
+
+def _move_in_block(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """(donor, node, pick) of the nodes that change community when nodes of one block move, one after another, until none gains.
+
+    Communities lie in the block as a whole, so all gains are exact. Nodes whose neighbours moved get another turn.
+    """
+    if nodes.empty or edges.empty:
+        return pd.DataFrame({"donor": [], "node": [], "pick": []})
+    nodes = nodes.sort_values("node", ignore_index=True)
+    ids, deg, two_m = nodes.node.to_numpy(), nodes.deg.to_numpy(float), float(nodes.two_m.iloc[0])
+    names, start = np.unique(nodes.comm.to_numpy(), return_inverse=True)
+    comm, mass = start.tolist(), np.bincount(start, deg).tolist()
+    edges = edges.sort_values(["src", "dst"])
+    at = np.searchsorted(edges.src.to_numpy(), ids, side="left").tolist() + [len(edges)]
+    other, w = np.searchsorted(ids, edges.dst.to_numpy()).tolist(), edges.w.tolist()
+    eager = True
+    while eager:  # masses change for nodes that are no neighbours too, so a last turn of all nodes has to find nothing
+        eager, queue, waiting = False, deque(range(len(ids))), [True] * len(ids)
+        while queue:
+            i = queue.popleft()
+            waiting[i], own, d = False, comm[i], float(deg[i])
+            pull = {own: 0.0}
+            for e in range(at[i], at[i + 1]):
+                pull[comm[other[e]]] = pull.get(comm[other[e]], 0.0) + w[e]
+            gain = {c: k - d * (mass[c] - (d if c == own else 0.0)) / two_m for c, k in pull.items()}
+            pick = min(gain, key=lambda c: (-round(gain[c], 9), c))
+            if gain[pick] > gain[own] + 1e-9:
+                mass[own], mass[pick], comm[i], eager = mass[own] - d, mass[pick] + d, pick, True
+                for j in other[at[i]:at[i + 1]]:
+                    if not waiting[j] and comm[j] != pick:
+                        waiting[j] = True
+                        queue.append(j)
+    moved = np.flatnonzero(np.array(comm) != start)
+    return pd.DataFrame({"donor": nodes.donor.iloc[0], "node": ids[moved], "pick": names[np.array(comm)[moved]]})
+
+
+def _block_moves(state: DataFrame, ties: DataFrame, total: DataFrame, seed: int, block: int) -> DataFrame:
+    """(donor, node, pick) of moves inside blocks of whole communities, dealt by a seeded hash; communities beyond ``block`` nodes sit out."""
+    ship_package(state.sparkSession)
+    sizes = state.groupBy("donor", "comm").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") <= block).drop("__n")
+    where = F.pmod(F.xxhash64(F.lit(seed), "comm"), F.col("parts")).cast("int").alias("blk")
+    placed = state.join(sizes, ["donor", "comm"], "left_semi").join(total, "donor").select("donor", where, "node", "deg", "comm", "two_m")
+    ends = placed.select("donor", "blk", "node")
+    inner = (
+        ties.join(ends.toDF("donor", "__a", "src"), ["donor", "src"]).join(ends.toDF("donor", "__b", "dst"), ["donor", "dst"])
+        .filter("__a = __b").select("donor", "__a", "src", "dst", "w").toDF("donor", "blk", "src", "dst", "w"))
+    kinds = {f.name: f.dataType.simpleString() for f in state.schema.fields}
+    schema = f"donor {kinds['donor']}, node {kinds['node']}, pick {kinds['comm']}"
+    return placed.groupBy("donor", "blk").cogroup(inner.groupBy("donor", "blk")).applyInPandas(_move_in_block, schema)
+
+
+def _settle(flow: DataFrame, member: DataFrame, seed: int, block: int) -> tuple[DataFrame, bool]:
+    """(donor, node, comm) after moves of single nodes until none gains, from ``member``; and whether any moved.
+
+    Rounds take turns: nodes move inside blocks, then what is left to gain between blocks is done by moves that don't hinder each other. Donors of
+    one block are done after the first turn; settled donors rest.
+    """
+    degree = flow.groupBy("donor", F.col("src").alias("node")).agg(F.sum("w").alias("deg"))
+    state = cut_lineage(member.join(degree, ["donor", "node"]).select("donor", "node", "deg", "comm"))
+    total = cut_lineage(state.groupBy("donor").agg(F.sum("deg").alias("two_m"), F.ceil(F.count(F.lit(1)) / block).alias("parts")))
+    ties = flow.filter("src <> dst")  # loops hold weight inside a merged node: they count for degree, not for moves
+    awake, moved, turn = total, False, 0
+    large = total.filter("parts > 1")
+    several = not large.isEmpty()
+
+    def after(moves: DataFrame) -> DataFrame:
+        return cut_lineage(state.join(moves, ["donor", "node"], "left").select("donor", "node", "deg", F.coalesce("pick", "comm").alias("comm")))
+
+    while True:
+        inside = cut_lineage(_block_moves(state.join(awake, "donor", "left_semi"), ties, total, seed + turn, block))
+        if not inside.isEmpty():
+            before, state, moved = state, after(inside), True
+            drop_stage(before)
+        drop_stage(inside)
+        if several:
+            best = cut_lineage(_best_moves(state.join(large if turn == 0 else awake, "donor", "left_semi"), ties, total))
+        if not several or best.isEmpty():
+            return state.select("donor", "node", "comm"), moved
+        before, state, moved = state, after(_safe_moves(best, seed + turn)), True
+        drop_stage(before)
+        awake, turn = best.select("donor").distinct(), turn + 1
+
+
+def _merged(flow: DataFrame, member: DataFrame) -> DataFrame:
+    """The graph whose nodes are the communities."""
+    a = member.select("donor", F.col("node").alias("src"), F.col("comm").alias("ns"))
+    b = member.select("donor", F.col("node").alias("dst"), F.col("comm").alias("nd"))
+    return flow.join(a, ["donor", "src"]).join(b, ["donor", "dst"]).groupBy(
+        "donor", F.col("ns").alias("src"), F.col("nd").alias("dst")).agg(F.sum("w").alias("w"))
+
+
+def _connected(flow: DataFrame, member: DataFrame) -> tuple[DataFrame, bool]:
+    """Communities cut into their connected parts, and whether any had several."""
+    a = member.select("donor", F.col("node").alias("src"), F.col("comm").alias("cs"))
+    b = member.select("donor", F.col("node").alias("dst"), F.col("comm").alias("cd"))
+    inside = flow.filter("src < dst").join(a, ["donor", "src"]).join(b, ["donor", "dst"]).filter("cs = cd").select("donor", "src", "dst")
+    parts = connected_components(cut_lineage(inside), "src", "dst", ["donor"]).select("donor", "node", F.col("component").alias("part"))
+    cut = cut_lineage(member.join(parts, ["donor", "node"], "left").select("donor", "node", "comm", F.coalesce("part", "node").alias("part")))
+    several = cut.groupBy("donor", "comm").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a < b")
+    return cut.select("donor", "node", F.col("part").alias("comm")), not several.isEmpty()
+
+
+def louvain(edges: DataFrame, nodes: DataFrame, seed: int = 0, block: int = 2 * BLOCK) -> DataFrame:
     """(donor, node, community) by modularity moves on all donors' graphs at once.
 
-    ``edges`` (donor, u, v) is undirected and simple. A round lets a seeded share of the nodes
-    join the neighbouring community of largest gain, until no node of any donor would gain by moving; then
-    communities become the nodes of the next level, until a level changes nothing. The share shrinks from a half
-    as rounds go on, so nodes that keep swapping places come to move one at a time. Every step is a join and combinable sums, so no donor's graph is
-    gathered in one place. Labels are the smallest node that seeded the community.
+    ``edges`` (donor, u, v) is undirected and simple. Nodes move until none gains, then communities are merged as nodes of the
+    next level, until no level changes anything; communities that fell apart are cut, and nodes move again from what was found. At the end no
+    move of a single node gains and communities are connected. Nodes move inside blocks of whole communities, about ``block`` nodes, which are
+    dealt anew each time, and between blocks by all moves at once that don't hinder each other (``_safe_moves``); either raises modularity, so rounds
+    stay few. A large donor means more blocks: no donor's graph is gathered in one place. Nodes without an edge stay alone.
     """
-    flow = edges.select("donor", F.inline(F.array(
+    flow = cut_lineage(edges.select("donor", F.inline(F.array(
         F.struct(F.col("u").alias("src"), F.col("v").alias("dst")),
-        F.struct(F.col("v").alias("src"), F.col("u").alias("dst"))))).withColumn("w", F.lit(1.0))
-    flow = cut_lineage(flow)
-    member = cut_lineage(nodes.select("donor", "node", F.col("node").alias("community")))
-    level = 0
+        F.struct(F.col("v").alias("src"), F.col("u").alias("dst"))))).withColumn("w", F.lit(1.0)))
+    member = cut_lineage(flow.select("donor", F.col("src").alias("node"), F.col("src").alias("comm")).distinct())
     while True:
-        # loops (src = dst) hold weight inside a merged node; they count for degree, not for moves
-        degree = flow.groupBy("donor", F.col("src").alias("node")).agg(F.sum("w").alias("deg"))
-        stored = cut_lineage(degree.withColumn("comm", F.col("node")))
-        state = stored
-        ties = flow.filter("src <> dst")
-        moved_any, turn = False, 0
+        member, _ = _settle(flow, member, seed, block)
+        member, merged, level = cut_lineage(member), False, flow
         while True:
-            total = state.groupBy("donor").agg(F.sum("deg").alias("two_m"))
-            where = state.select("donor", F.col("node").alias("dst"), F.col("comm").alias("to_comm"))
-            pull = ties.join(where, ["donor", "dst"]).groupBy("donor", F.col("src").alias("node"), "to_comm").agg(F.sum("w").alias("k_in"))
-            stay = state.select("donor", "node", F.col("comm").alias("to_comm"), F.lit(0.0).alias("k_in"))
-            options = pull.unionByName(stay).groupBy("donor", "node", "to_comm").agg(F.sum("k_in").alias("k_in"))
-            mass = state.groupBy("donor", F.col("comm").alias("to_comm")).agg(F.sum("deg").alias("mass"))
-            scored = (
-                options.join(state, ["donor", "node"]).join(mass, ["donor", "to_comm"]).join(total, "donor")
-                .withColumn("gain", F.col("k_in") - F.col("deg") * (
-                    F.col("mass") - F.when(F.col("to_comm") == F.col("comm"), F.col("deg")).otherwise(0.0)) / F.col("two_m"))
-            )
-            own = F.max(F.when(F.col("to_comm") == F.col("comm"), F.col("gain")))
-            active = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.lit(turn), "node"), F.lit(2 + turn // 6)) == 0
-            best = scored.groupBy("donor", "node", "deg", "comm").agg(
-                F.max("gain").alias("top"), F.min_by("to_comm", F.struct(-F.round("gain", 9), F.col("to_comm"))).alias("pick"), own.alias("own"))
-            wants = F.col("top") > F.col("own") + 1e-9
-            before, stored = stored, cut_lineage(best.select(
-                "donor", "node", "deg", F.when(active & wants, F.col("pick")).otherwise(F.col("comm")).alias("comm"), wants.alias("wants")))
-            drop_stage(before)
-            state, eager = stored.drop("wants"), not stored.filter("wants").isEmpty()
-            if not eager:
+            step = member if level is flow else upper
+            coarse = cut_lineage(_merged(level, step))
+            own = coarse.select("donor", F.col("src").alias("node"), F.col("src").alias("comm")).distinct()
+            upper, moved = _settle(coarse, own, seed, block)
+            if not moved:
                 break
-            moved_any, turn = True, turn + 1
-        if not moved_any:
+            merged, level, upper = True, coarse, cut_lineage(upper)
+            label = upper.select("donor", F.col("node").alias("comm"), F.col("comm").alias("next"))
+            member = cut_lineage(member.join(label, ["donor", "comm"]).select("donor", "node", F.col("next").alias("comm")))
+        if merged:
+            continue
+        member, apart = _connected(flow, member)
+        if not apart:
             break
-        label = state.select("donor", F.col("node").alias("community"), F.col("comm").alias("next"))
-        member = cut_lineage(member.join(label, ["donor", "community"], "left").select(
-            "donor", "node", F.coalesce("next", "community").alias("community")))
-        a = label.select("donor", F.col("community").alias("src"), F.col("next").alias("ns"))
-        b = label.select("donor", F.col("community").alias("dst"), F.col("next").alias("nd"))
-        last, flow = flow, cut_lineage(flow.join(a, ["donor", "src"]).join(b, ["donor", "dst"]).groupBy(
-            "donor", F.col("ns").alias("src"), F.col("nd").alias("dst")).agg(F.sum("w").alias("w")))
-        drop_stage(last, stored)
-        level += 1
-    return member
+    found = nodes.select("donor", "node").join(member, ["donor", "node"], "left")
+    return cut_lineage(found.select("donor", "node", F.coalesce("comm", "node").alias("community")))
 
 
 def modularity(edges: DataFrame, member: DataFrame) -> DataFrame:

@@ -445,14 +445,15 @@ def test_splicing_components_match_an_exact_svd(spark):
     assert np.allclose(np.abs((got * right[:8].T).sum(axis=0)), 1, atol=1e-6)
 
 
-def test_no_single_move_improves_communities(spark):
+@pytest.mark.parametrize("block", [4096, 12])
+def test_no_single_move_improves_communities(spark, block):
     from spliceweave.operators import metacells
 
     rng = np.random.default_rng(8)
     edges = sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, 60, (240, 2)).tolist() if a != b})
     e = spark.createDataFrame([("D", a, b) for a, b in edges], "donor string, u bigint, v bigint")
     nodes = spark.createDataFrame([("D", i) for i in range(60)], "donor string, node bigint")
-    comm = {r.node: r.community for r in metacells.louvain(e, nodes).collect()}
+    comm = {r.node: r.community for r in metacells.louvain(e, nodes, block=block).collect()}
     w = np.zeros((60, 60))
     for a, b in edges:
         w[a, b] = w[b, a] = 1
@@ -465,6 +466,45 @@ def test_no_single_move_improves_communities(spark):
     base, names = score(comm), set(comm.values())
     merged = [score({n: (x if c == y else c) for n, c in comm.items()}) for x in names for y in names if x < y]
     assert base > 0.2 and max(merged, default=0) <= base + 1e-9
+    for n in range(60):
+        assert all(score(comm | {n: c}) <= base + 1e-9 for c in {comm[j] for j in np.flatnonzero(w[n])})
+    for c in names:
+        inside = [n for n in comm if comm[n] == c]
+        reached, queue = {inside[0]}, [inside[0]]
+        while queue:
+            queue += (new := [j for j in np.flatnonzero(w[queue.pop()]) if comm[j] == c and j not in reached])
+            reached |= set(new)
+        assert c == min(inside) and reached == set(inside)
+
+
+def test_safe_moves_raise_modularity_together(spark):
+    from spliceweave.operators import metacells
+
+    rng = np.random.default_rng(4)
+    edges = sorted({(min(a, b), max(a, b)) for a, b in (rng.integers(0, 40, (300, 2)) + rng.integers(0, 3, (300, 1)) * 40).tolist() if a != b})
+    e = spark.createDataFrame([("D", a, b) for a, b in edges], "donor string, u bigint, v bigint")
+    flow = e.selectExpr("donor", "u src", "v dst", "1.0D w").unionAll(e.selectExpr("donor", "v src", "u dst", "1.0D w"))
+    state = flow.groupBy("donor", "src").agg(F.sum("w").alias("deg")).selectExpr("donor", "src node", "deg", "src comm")
+    total = state.groupBy("donor").agg(F.sum("deg").alias("two_m"))
+    deg = {r.node: r.deg for r in state.collect()}
+    two_m = sum(deg.values())
+
+    def quality(comm):
+        mass = {}
+        for n, c in comm.items():
+            mass[c] = mass.get(c, 0) + deg[n]
+        return sum(2 for a, b in edges if comm[a] == comm[b]) / two_m - sum(m * m for m in mass.values()) / two_m ** 2
+
+    comm, rounds, counts = {n: n for n in deg}, 0, []
+    while rows := metacells._best_moves(state, flow, total).collect():
+        moves = {r.node: r.pick for r in metacells._safe_moves(metacells._best_moves(state, flow, total), rounds).collect()}
+        assert moves and set(moves) <= {r.node for r in rows}
+        new = comm | moves
+        assert quality(new) > quality(comm)
+        comm, rounds = new, rounds + 1
+        counts.append(len(moves))
+        state = spark.createDataFrame([("D", n, deg[n], c) for n, c in comm.items()], "donor string, node bigint, deg double, comm bigint").coalesce(1)
+    assert max(counts) > 10 and rounds < 60 and quality(comm) > 0.3
 
 
 def test_clumping_follows_long_chains(spark):

@@ -10,11 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spliceweave.session import ship_package
 
+SALTS = 32
+
 
 def over_block_pairs(
     left: DataFrame,
@@ -27,26 +30,31 @@ def over_block_pairs(
     kernel: Callable,
     schema: str,
 ) -> DataFrame:
-    """Apply ``kernel(left_block, right_block) -> pandas`` to every block pair of every key.
+    """Apply ``kernel(left_block, right_block) -> pandas`` to every block pair of every key that has rows on both sides.
 
-    Both sides are read twice (sizes, then rows): give stored tables, or plans that are cheap to repeat.
+    Both sides are read twice (sizes, then rows): give stored tables, or plans that are cheap to repeat. Only keys of more than one block
+    are looked up, with salted rows, so a key that many rows share is spread before it meets its sizes.
     """
     ship_package(left.sparkSession)
     keys = list(keys)
     right = right.toDF(*right.columns)  # fresh column identities: both sides may share a source
     n_left = left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / left_rows).cast("int").alias("__nl"))
     n_right = right.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / right_rows).cast("int").alias("__nr"))
-    counts = n_left.join(n_right, keys)
+    large = n_left.join(n_right, keys).filter("__nl > 1 OR __nr > 1").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
     def cut(df, ids, mine, other, my_n, other_n):
+        one = lambda c: F.coalesce(F.col(c), F.lit(1))
         return (
-            df.join(counts, keys)
-            .withColumn(mine, F.pmod(F.xxhash64(*ids), F.col(my_n)).cast("int"))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
-            .drop("__nl", "__nr")
+            df.withColumn("__salt", F.pmod(F.xxhash64(F.lit(1), *ids), F.lit(SALTS)).cast("int")).join(large, [*keys, "__salt"], "left")
+            .withColumn(mine, F.pmod(F.xxhash64(*ids), one(my_n)).cast("int"))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), one(other_n) - 1)))
+            .drop("__nl", "__nr", "__salt")
         )
 
+    def both(x, y):
+        return kernel(x, y) if len(x) and len(y) else pd.DataFrame()
+
     pair = [*keys, "__lb", "__rb"]
     a = cut(left, left_id, "__lb", "__rb", "__nl", "__nr").groupBy(*pair)
     b = cut(right, right_id, "__rb", "__lb", "__nr", "__nl").groupBy(*pair)
-    return a.cogroup(b).applyInPandas(kernel, schema)
+    return a.cogroup(b).applyInPandas(both, schema)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spliceweave.llm.common import SPACE_RUN, only_names
+from spliceweave.llm.common import SPACE_RUN, only_names, split_by_ids
 from spliceweave.session import cut_lineage, ship_package
 
 
@@ -141,17 +141,21 @@ def exact_duplicates(docs: DataFrame, size: int = 1024, id_col: str = "doc_id",
 
 
 def drop_exact_duplicates(docs: DataFrame, size: int = 1024) -> DataFrame:
-    """``docs`` with one row of each group of equal texts; all columns stay. Of rows that repeat doc_id and text any one stays."""
+    """``docs`` with one row of each group of equal texts; all columns stay. Of rows that repeat doc_id and text any one stays.
+
+    Only rows whose id is that of a repeated text are shuffled again; all others pass by. Null texts count as empty; an empty table stays empty.
+    """
     found = exact_duplicates(docs, size)
     marks = cut_lineage(
         found.filter("group_size > 1").groupBy("id", "text_sha256")
         .agg(F.max("kept").alias("any_kept"), F.count(F.lit(1)).alias("n"))
         .filter("NOT any_kept OR n > 1").select(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha"), "any_kept")
     )
+    suspects, others = split_by_ids(only_names(docs, ("doc_id", "text")), "doc_id", marks.select(F.col("__id").alias("id")))
     sha = F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__s") == F.col("__sha"))
-    tagged = only_names(docs, ("doc_id", "text")).withColumn("__s", sha).join(marks, same, "left")
+    tagged = suspects.withColumn("__s", sha).join(marks, same, "left")
     kept = tagged.filter("any_kept IS NULL")
     if not marks.filter("any_kept").isEmpty():
         kept = kept.unionByName(tagged.filter("any_kept").dropDuplicates(["__id", "__sha"]))
-    return kept.drop("__s", "__id", "__sha", "any_kept").toDF(*docs.columns)
+    return others.unionByName(kept.drop("__s", "__id", "__sha", "any_kept")).toDF(*docs.columns)

@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spliceweave.session import cut_lineage
+
 SPACE = b" \t\n\x0b\x0c\r"
 #: Java pattern of the white space that separates words.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -91,6 +93,23 @@ def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(42)), np.uint64, len(words) - width + 1)
 
 
+def split_by_ids(docs: DataFrame, id_col: str, wanted: DataFrame, bits: int = 1 << 26) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two: rows whose id may be in ``wanted`` (column id), and rows whose id is not. No row is shuffled.
+
+    A bitmap of hashed ids is broadcast, ``bits`` / 8 bytes (8 MB) at most whatever the tables. The more ids are wanted the more
+    other rows come along; what is exact is only that no wanted row is left out.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits)) + 1
+    at = wanted.select(place("id").alias("at")).distinct()
+    maps = cut_lineage(at.groupBy(F.bitmap_bucket_number("at").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__map")))
+    tagged = docs.withColumn("__at", place(id_col)).withColumn("__bucket", F.bitmap_bucket_number("__at"))
+    met = tagged.join(F.broadcast(maps), "__bucket", "left")  # at most ``bits`` / 32768 rows of 4 KB
+    spot = F.bitmap_bit_position("__at")
+    byte = F.conv(F.hex(F.substring("__map", (F.floor(spot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (spot % 8).cast("int")) == 1, F.lit(False))
+    return tuple(met.filter(x).select(*[F.col(f"`{c}`") for c in docs.columns]) for x in (hit, ~hit))
+
+
 def label_sample(labels: DataFrame, column: str, keep: Column, max_rows: int) -> DataFrame:
     """(doc_id, label) of at most ``max_rows`` labelled rows, chosen by a hash of doc_id; one row per doc_id.
 

@@ -8,7 +8,7 @@ stars, not pairs, and within them the full sets decide, in blocks of bounded siz
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spliceweave.llm.common import shingle_hashes, slices, text_windows
+from spliceweave.llm.common import shingle_hashes, slices, split_by_ids, text_windows
 from spliceweave.operators.blocks import over_block_pairs
 from spliceweave.operators.components import connected_components
 from spliceweave.session import cut_lineage, ship_package
@@ -49,8 +49,8 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return (low.reshape(BANDS, BAND_ROWS) * _MIX).sum(axis=1, dtype=np.uint64)
 
 
-def set_rows(docs: DataFrame) -> DataFrame:
-    """(id, text_hash, node, keys) of every row; node is the same for equal shingle sets."""
+def set_rows(docs: DataFrame, sketch: Callable[[np.ndarray], int]) -> DataFrame:
+    """(id, text_hash, node, fp, keys) of every row; node is the same for equal shingle sets, fp their ``sketch``."""
     ship_package(docs.sparkSession)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,11 +59,12 @@ def set_rows(docs: DataFrame) -> DataFrame:
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
             keys = np.array([band_keys(s) for s in sets]).view(np.int64)
             lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), lists], names=["id", "text_hash", "node", "keys"])
+            fp = np.array([sketch(s) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(fp), lists], names=["id", "text_hash", "node", "fp", "keys"])
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return rows.mapInArrow(kernel, "id long, text_hash long, node long, keys array<long>")
+    return rows.mapInArrow(kernel, "id long, text_hash long, node long, fp long, keys array<long>")
 
 
 def set_links(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -104,12 +105,17 @@ def set_links(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> t
     return np.concatenate([empty, *found_a]), np.concatenate([empty, *found_b])
 
 
-def jaccard_groups(docs: DataFrame, similarity: float = 0.8, block_rows: int = 1024) -> DataFrame:
-    """(id, text_hash, component) of every different (doc_id, text) of ``docs``; links are pairs of that similarity or more."""
-    rows = cut_lineage(set_rows(docs))
-    keyed = rows.select("node", F.explode("keys").alias("key")).repartition("key")
+def jaccard_groups(docs: DataFrame, sketch: Callable[[np.ndarray], int], sketch_links: Callable[[DataFrame], DataFrame],
+                   similarity: float = 0.8, block_rows: int = 1024) -> DataFrame:
+    """(id, text_hash, component) of every different (doc_id, text) of ``docs``; links are pairs of that similarity or more.
+
+    Candidates are sets with an equal key or an equal ``sketch``, and those that ``sketch_links`` finds among the different sketches (node, fp).
+    """
+    rows = cut_lineage(set_rows(docs, sketch))
+    keyed = rows.select("node", F.explode(F.array_append("keys", F.col("fp"))).alias("key")).repartition("key")
     shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("key", "a")
-    stars = cut_lineage(keyed.join(shared, "key").filter("node != a").select("a", F.col("node").alias("b")).distinct())
+    near = sketch_links(cut_lineage(rows.groupBy("fp").agg(F.min("node").alias("node")))).select("a", "b")
+    stars = cut_lineage(keyed.join(shared, "key").filter("node != a").select("a", F.col("node").alias("b")).unionByName(near).distinct())
     different = rows.select("id", "text_hash", "node").distinct()
     if stars.isEmpty():
         return cut_lineage(different.select("id", "text_hash", F.col("node").alias("component")))
@@ -126,6 +132,7 @@ def jaccard_groups(docs: DataFrame, similarity: float = 0.8, block_rows: int = 1
 
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    texts, _ = split_by_ids(texts, "doc", chosen.select("id"))
     met = texts.join(chosen, F.col("doc").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("text_hash")))
     full = cut_lineage(met.select("candidates", "node", "text").mapInArrow(sets, "candidates long, node long, shingles binary"))
 

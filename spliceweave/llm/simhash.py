@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spliceweave.llm.common import forest, only_names, popcount_links, shingle_hashes, slices, text_windows
+from spliceweave.llm.common import forest, only_names, popcount_links, shingle_hashes, slices, split_by_ids, text_windows
 from spliceweave.llm.jaccard import jaccard_groups
 from spliceweave.operators.blocks import over_block_pairs
 from spliceweave.operators.components import connected_components
@@ -88,36 +88,6 @@ def text_fingerprints(texts: list[str | None], width: int) -> np.ndarray:
     return out
 
 
-BINS = 128
-
-
-def shingle_sketch(data: bytes, width: int) -> bytes:
-    """One-permutation minima of the set of ``width``-word shingles: 128 bins of one byte, 255 for an empty bin."""
-    low = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
-    seen = False
-    for words, last in text_windows(data, width - 1):
-        if len(words) < width and (seen or not last):
-            continue
-        h = np.sort(shingle_hashes(words, width))
-        seen |= len(h) > 0
-        at, first = np.unique(h & np.uint64(BINS - 1), return_index=True)
-        low[at.astype(np.int64)] = np.minimum(low[at.astype(np.int64)], h[first])
-    byte = (low >> np.uint64(24)) % np.uint64(255)
-    return np.where(low == np.iinfo(np.uint64).max, 255, byte).astype(np.uint8).tobytes()
-
-
-def sketch_matrix(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, BINS)
-
-
-def sketch_similarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity along the last axis: equal bins of those not empty in both, less chance hits."""
-    full = np.maximum(((x != 255) | (y != 255)).sum(axis=-1), 1)
-    same = ((x == y) & (x != 255)).sum(axis=-1) / full
-    empty = (x == 255).all(axis=-1) & (y == 255).all(axis=-1)
-    return np.where(empty, 1.0, (same - 1 / 255) / (1 - 1 / 255))
-
-
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp long) of every row, whatever its other columns; a null text counts as empty (fingerprint 0)."""
     ship_package(docs.sparkSession)
@@ -319,22 +289,37 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, id_col:
     return rows.join(named, "node", "left").select("id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+def near_groups(docs: DataFrame, similarity: float = 0.8, max_bits: int = 3, block_rows: int = 1024) -> DataFrame:
+    """(id, text_hash, component) of every different (doc_id, text): groups of ``drop_near_duplicates``."""
+    def sketch(hashes: np.ndarray) -> int:
+        return int(_majority(hashes, np.zeros(1, np.int64))[0]) if len(hashes) else 0
+
+    def links(fps: DataFrame) -> DataFrame:
+        n = fps.count()
+        return link_fingerprints(fps, make_plan(fps, n, max_bits), max_bits) if n > 1 else fps.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+
+    return jaccard_groups(docs, sketch, links, similarity, block_rows)
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, max_bits: int = 3) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: that with the smallest doc_id, then the smallest text hash.
 
     Groups link documents whose sets of five-word shingles have a Jaccard similarity of ``similarity`` or more, computed on the
-    full sets (``jaccard.py``). Documents with null doc_id count last. Repeated rows of one doc_id and text are for the exact
-    stage: they share their fate here. All columns stay as they are.
+    full sets (``jaccard.py``). Candidates come from two sides: SimHash fingerprints of these sets within ``max_bits``, found as in
+    ``near_duplicates``, and keys of minima, since fingerprints alone miss pairs near the limit. Documents with null doc_id count last. Repeated rows
+    of one doc_id and text are for the exact stage: they share their fate here. Null texts count as empty, and texts without words are copies of
+    each other. All columns stay as they are; an empty table stays empty. Only rows that may go are shuffled again.
     """
-    rows = jaccard_groups(docs, similarity)
+    rows = near_groups(docs, similarity, max_bits)
     first = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("first"))
     drop = cut_lineage(
         rows.join(cut_lineage(first.filter("n > 1")), "component")
         .filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))))
         .select("id", F.col("text_hash").alias("drop_hash"))
     )
+    suspects, others = split_by_ids(only_names(docs, ("doc_id", "text")), "doc_id", drop.select("id"))
     gone = F.col("doc_id").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("drop_hash"))
-    return only_names(docs, ("doc_id", "text")).join(drop, gone, "left_anti").toDF(*docs.columns)
+    return others.unionByName(suspects.join(drop, gone, "left_anti")).toDF(*docs.columns)
 
 
 def hex_fingerprint(c: str = "fp") -> Column:

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spliceweave.llm import block_dedup, embed_dedup, jaccard, simhash
+from spliceweave.llm import block_dedup, embed_dedup, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -100,14 +100,13 @@ def test_fingerprints_match_the_definition(spark):
     assert sorted((str(r.id), r.fp % 2**64) for r in got) == sorted((str(i), plain_fingerprint(t)) for i, t in rows)
 
 
-def test_windows_give_the_same_fingerprint_and_sketch(monkeypatch):
+def test_windows_give_the_same_fingerprint(monkeypatch):
     text = words(random.Random(5), 4000)
-    want, sketch = simhash.text_fingerprints([text], 3)[0], simhash.shingle_sketch(text.encode(), 5)
+    want = simhash.text_fingerprints([text], 3)[0]
     cut = simhash.text_windows
     monkeypatch.setattr(simhash, "text_windows", lambda data, overlap: cut(data, overlap, size=300))
     long = text + " " * (1 << 20)  # beyond the size that is read at once
     assert simhash.text_fingerprints([long], 3)[0] == want
-    assert simhash.shingle_sketch(text.encode(), 5) == sketch
 
 
 def test_plans_find_every_pair():
@@ -172,18 +171,6 @@ def test_near_stage_drops_near_copies_only(spark):
     assert sorted(t for i, t in left if i is None) == sorted(t for _, t in alone[:2])
 
 
-def test_sketch_similarity_is_close_to_jaccard():
-    rng = random.Random(9)
-    w = words(rng, 500).split()
-    for changed in (0, 2, 5, 20):
-        v = list(w)
-        for i in rng.sample(range(500), changed):
-            v[i] = f"z{i}"
-        a, b = ({tuple(x[i:i + 5]) for i in range(496)} for x in (w, v))
-        x, y = (np.frombuffer(simhash.shingle_sketch(" ".join(z).encode(), 5), np.uint8) for z in (w, v))
-        assert simhash.sketch_similarity(x, y) == pytest.approx(len(a & b) / len(a | b), abs=0.15)
-
-
 VECTORS = "vec_id long, embedding array<float>, label int, text string"
 
 
@@ -282,5 +269,20 @@ def test_near_stage_decides_on_exact_similarity(spark):
     sets = {i: five_word_set(t) for i, t in texts.items()}
     linked = {(i, j) for i in texts for j in texts if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     group = components(texts, lambda a, b: (a, b) in linked)
-    found = {r.id: r.component for r in jaccard.jaccard_groups(frame(spark, list(texts.items())), block_rows=16).collect()}
+    found = {r.id: r.component for r in simhash.near_groups(frame(spark, list(texts.items())), block_rows=16).collect()}
     assert all((group[i] == group[j]) == (found[i] == found[j]) for i in texts for j in texts)
+
+
+def test_rows_are_split_by_id_without_loss(spark):
+    from spliceweave.llm.common import split_by_ids
+
+    docs = frame(spark, [(i, str(i)) for i in range(-500, 500)] + [(None, "n"), (7, "again")])
+    wanted = spark.createDataFrame([(i,) for i in range(0, 500, 7)] + [(None,)], "id long")
+    for bits in (1 << 26, 1 << 16, 4):
+        some, others = (x.collect() for x in split_by_ids(docs, "doc_id", wanted, bits))
+        assert len(some) + len(others) == 1002
+        assert {r.text for r in some} >= {str(i) for i in range(0, 500, 7)} | {"n", "again"}
+        if bits > 4:
+            assert len(some) < 80
+    none, every = split_by_ids(docs, "doc_id", wanted.limit(0))
+    assert none.count() == 0 and every.count() == 1002

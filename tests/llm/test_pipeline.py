@@ -35,6 +35,18 @@ def test_stages_only_take_rows_away(spark, tmp_path):
     assert all(r.decoded_sha256 == hashlib.sha256((every[r.doc_id].text or "").encode()).hexdigest() for r in rows)
 
 
+@pytest.mark.parametrize("rows", [
+    [], [(None, None), (1, None), (2, ""), (2, ""), (None, "a b"), (3, "a  b"), (4, "x" * 200_000), (5, "word " * 50_000), (5, "word " * 50_000)]])
+def test_stages_take_odd_rows(spark, rows):
+    """Empty tables, null texts and ids, repeated rows, long texts and columns named as those of steps."""
+    docs = spark.createDataFrame([(i, t, "en", "s1", 1, "x", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, id string, __at int")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        left = out.collect()
+        assert len(left) <= len(rows) and ("token" in " ".join(out.columns) or out.columns == docs.columns), name
+        assert bool(left) == bool(rows), name
+
+
 def test_run_gives_the_last_stage(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and len({r.doc_id for r in rows}) == len(rows)

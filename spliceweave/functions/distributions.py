@@ -119,6 +119,31 @@ def with_norm_ppf(df: DataFrame, p: str, out: str) -> DataFrame:
     return df.withColumn("__tail", F.expr(ppf_tail_sql(p))).withColumn(out, F.expr(norm_ppf_sql(p, "__tail"))).drop("__tail")
 
 
+def weighted_chi2_sf(q: float, weights: np.ndarray) -> float:
+    """Upper tail at ``q`` of a sum of independent chi-squares (one degree each) with positive ``weights``, by saddlepoint.
+
+    Close to the mean, where the saddlepoint formula has a hole, it is read off a straight line between two points beside it.
+    """
+    lam = weights[weights > 1e-9 * max(weights.max(initial=0.0), 1e-300)]
+    if not len(lam) or q <= 0:
+        return 1.0
+    mean, sd = lam.sum(), math.sqrt(2 * (lam * lam).sum())
+    if abs(q - mean) < 1e-3 * sd:
+        lo, hi = mean - 1e-3 * sd, mean + 1e-3 * sd
+        a, b = weighted_chi2_sf(lo * (1 - 1e-12), lam), weighted_chi2_sf(hi * (1 + 1e-12), lam)
+        return a + (b - a) * (q - lo) / (hi - lo)
+    slope = lambda z: float((lam / (1 - 2 * z * lam)).sum())
+    lo, hi = -len(lam) / (2 * q), (1 - 1e-12) / (2 * lam.max())
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if slope(mid) < q else (lo, mid)
+    z = (lo + hi) / 2
+    spread = 1 - 2 * z * lam
+    w = math.copysign(math.sqrt(max(2 * (z * q + 0.5 * np.log(spread).sum()), 0.0)), z)
+    v = z * math.sqrt(float((2 * (lam / spread) ** 2).sum()))
+    return min(max(0.5 * math.erfc((w + math.log(v / w) / w) / math.sqrt(2)), 0.0), 1.0)
+
+
 def _incomplete_beta(a, b, x, terms: int = 300):
     """Regularised incomplete beta by the modified Lentz continued fraction, element-wise."""
     tiny = 1e-300

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from spliceweave.functions import genotype, keys
 from spliceweave.functions.distributions import norm_ppf_sql
 from spliceweave.operators import (
-    association, context, correlation, gwas, intervals, introns, junctions, metacells, multiple_testing,
+    association, context, correlation, gwas, heidi, intervals, introns, junctions, metacells, multiple_testing,
     nominal, null_model, phenotype, relatedness, retention, strata,
 )
 from spliceweave.operators import splicing_pcs as splicing_pc
@@ -666,6 +666,40 @@ def smr_probe(spark, sf):
     return out.select("study", "chrom", F.round("b_smr", 9).alias("b_smr"), F.round("se_smr", 9).alias("se_smr"), r6("p_smr", "p_smr"))
 
 
+@query("heidi", f"""WITH {o.GWAS}, {MERGED}, {o.GENOTYPES},
+mg AS (SELECT g.study, g.chrom, q.variant_id, g.beta AS beta_gwas, g.se AS se_gwas, q.beta AS beta_sqtl, q.se AS se_sqtl, q.p AS p_sqtl,
+         g.event_id AS g_event, q.event_id AS q_event FROM qtl q JOIN maf m USING (variant_id) JOIN gwas g USING (variant_id) JOIN studies s ON s.study = g.study),
+one AS (SELECT *, row_number() OVER (PARTITION BY study, chrom, variant_id ORDER BY p_sqtl, q_event, g_event) AS rk
+        FROM mg WHERE p_sqtl <= 0.05 AND beta_sqtl <> 0),
+v AS (SELECT study, chrom, variant_id, p_sqtl, beta_gwas / beta_sqtl AS b, beta_sqtl / se_sqtl AS z, se_gwas / beta_sqtl AS e FROM one WHERE rk = 1
+      AND variant_id || ':A:G' IN (SELECT snp FROM variants)),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY study, chrom ORDER BY p_sqtl, variant_id) AS rk FROM v) WHERE rk = 1),
+near AS (SELECT t.study, t.chrom, t.variant_id AS top, v.variant_id, corr(x.dosage, y.dosage) AS r
+         FROM v JOIN t ON t.study = v.study AND t.chrom = v.chrom AND t.variant_id <> v.variant_id
+         JOIN geno x ON x.snp = v.variant_id || ':A:G' JOIN geno y ON y.snp = t.variant_id || ':A:G' AND y.donor_idx = x.donor_idx GROUP BY ALL),
+picked AS (SELECT n.*, row_number() OVER (PARTITION BY n.study, n.chrom ORDER BY v.p_sqtl, v.variant_id) AS rk
+         FROM near n JOIN v USING (study, chrom, variant_id) WHERE r * r BETWEEN 0.01 AND 0.9),
+d AS (SELECT study, chrom, top, v.b - t.b AS gap,
+        v.e * v.e + v.b * v.b * (1 / v.z ** 2 - 1 / v.z ** 4) + t.e * t.e + t.b * t.b * (1 / t.z ** 2 - 1 / t.z ** 4)
+        - 2 * (r * v.e * t.e + v.b * t.b * (r / (v.z * t.z) - 1 / (v.z ** 2 * t.z ** 2))) AS var
+      FROM picked JOIN v USING (study, chrom, variant_id) JOIN t USING (study, chrom) WHERE picked.rk <= 20)
+SELECT study, chrom, upper(top) AS top, count(*) AS n_variants, round(sum(gap * gap / var), 6) AS t_heidi, TRUE AS p_ok FROM d WHERE var > 1e-18 GROUP BY ALL""")
+def heidi_statistic(spark, sf):
+    """Heterogeneity of each probe's variants against its best one; p, which SQL can't tell, is in ``heidi_test``."""
+    out = heidi_rows(spark, sf)
+    return out.select("study", "chrom", "top", "n_variants", r6("t_heidi", "t_heidi"), F.col("p_heidi").between(0, 1).alias("p_ok"))
+
+
+def heidi_rows(spark, sf):
+    geno = t.genotypes(spark, sf).select(F.upper(F.regexp_replace("snp", ":A:G$", "")).alias("variant_id"), "dosage")
+    return heidi.heidi(merged_loci(spark, sf), geno, ["study", "chrom"], 0.05, 0.01, 0.9, 20, ["q_event", "g_event"])
+
+
+@query("heidi_test")
+def heidi_test(spark, sf):
+    return heidi_rows(spark, sf)
+
+
 # ------------------------------------------------------------------ cells
 
 @query("metacell_mean_pc", f"""WITH {o.CELLS}
@@ -888,11 +922,11 @@ def design_columns(spark, sf):
     return samples, samples.select("metacell", F.array("state", "age", "num_cells").alias("x"))
 
 
-@query("null_glmm", f"""{SITES}
+@query("check_null_glmm", f"""{SITES}
 SELECT site, count(*) FILTER (total > 0) AS n_samples, CAST(sum(included) FILTER (total > 0) AS BIGINT) AS included,
        CAST(sum(total) FILTER (total > 0) AS BIGINT) AS total, TRUE AS residuals_ok, TRUE AS score_ok, TRUE AS status_ok
 FROM ph GROUP BY site HAVING count(*) FILTER (total > 0) > 0""")
-def null_glmm(spark, sf):
+def check_null_glmm(spark, sf):
     """Fitted models by what a fit must satisfy: residuals y - n pi, score equations X'(y - n pi) = 0, a status and a positive ratio."""
     models = fitted_null(spark, sf)
     samples, x = design_columns(spark, sf)
@@ -908,6 +942,43 @@ def null_glmm(spark, sf):
     return per.join(status, "site").select("site", "n_samples", "included", "total", "residuals_ok", "score_ok", "status_ok")
 
 
+@query("null_glmm")
+def null_glmm(spark, sf):
+    """Fitted models: status, ratio, variance, and residuals, rates and counts of each sample."""
+    return fitted_null(spark, sf).select("site", "chrom", "strand", "pos", "status", "sqrt_r", "tau_g", "sample_idx", "residuals", "pi", "total", "y")
+
+
+@query("score_test_p")
+def score_test_p(spark, sf):
+    return association.cis_qtl(fitted_null(spark, sf), t.genotypes(spark, sf), 500_000, p_max=0.05)
+
+
+@query("diff_splicing")
+def diff_splicing(spark, sf):
+    return group_differences(spark, sf)
+
+
+@query("splicing_pcs")
+def splicing_pcs(spark, sf):
+    return splicing_pc.splicing_pcs(site_frame(spark, sf).select("site", "sample_idx", "ratio"), n_pcs=4)
+
+
+@query("louvain_metacells")
+def louvain_metacells(spark, sf):
+    return metacells.call_metacells(t.cells(spark, sf), 10)
+
+
+@query("metacell_quality")
+def metacell_quality(spark, sf):
+    cells = t.cells(spark, sf)
+    return metacells.metacell_quality(cells, cut_lineage(metacells.call_metacells(cells, 10)))
+
+
+@query("community_modularity")
+def community_modularity(spark, sf):
+    return cell_communities(spark, sf)
+
+
 def p_matches(z):
     """The stored p against a tail that is summed from the density."""
     steps = 400
@@ -918,16 +989,15 @@ def p_matches(z):
     return F.abs(F.col("p") - (F.lit(1.0) - inside)) < 1e-6
 
 
-@query("score_test_p", f"""{SITES}, {o.GENOTYPES}, where_at AS (SELECT DISTINCT site, chrom, pos FROM ph)
+@query("check_score_test_p", f"""{SITES}, {o.GENOTYPES}, where_at AS (SELECT DISTINCT site, chrom, pos FROM ph)
 SELECT w.site, x.snp, TRUE AS p_ok FROM where_at w JOIN geno x ON x.chrom = w.chrom AND abs(x.snp_pos - w.pos) <= 500000
 GROUP BY w.site, x.snp HAVING count(DISTINCT x.dosage) > 1""")
-def score_test_p(spark, sf):
+def check_score_test_p(spark, sf):
     out = association.cis_qtl(fitted_null(spark, sf), t.genotypes(spark, sf), 500_000, p_max=1.0)
     return out.select("site", "snp", p_matches(F.col("beta") / F.col("se")).alias("p_ok"))
 
 
-@query("null_glmm_sample_mode", f"""{SITES}
-SELECT site, TRUE AS ok FROM ph GROUP BY site""")
+@query("null_glmm_sample_mode")
 def null_glmm_sample_mode(spark, sf):
     """Variance ratio from real markers: every variant of the GWAS table is a marker. Sites stay only with a converged positive variance."""
     listed = t.gwas(spark, sf).select("k").distinct()
@@ -935,18 +1005,31 @@ def null_glmm_sample_mode(spark, sf):
     markers = long.groupBy("donor_idx").agg(F.array_sort(F.collect_list(F.struct("k", "dosage"))).alias("m")).select(
         "donor_idx", F.col("m.dosage").alias("dosage"))
     models = fitted_null(spark, sf, mode="sample", design={"markers": markers}).select("site", "status", "sqrt_r", "tau_g")
-    sites = site_frame(spark, sf).select("site").distinct().join(models, "site", "left")
+    return models
+
+
+@query("check_null_glmm_sample_mode", f"""{SITES}
+SELECT site, TRUE AS ok FROM ph GROUP BY site""")
+def check_null_glmm_sample_mode(spark, sf):
+    """Sites stay exactly if the fit, made without markers, converged with a positive variance; their ratio is positive."""
+    models = null_glmm_sample_mode(spark, sf)
+    plain = fitted_null(spark, sf, n_perm=8).select(
+        "site", ((F.col("status") == "Converged") & (F.col("tau_g") > null_model.TAU_FLOOR)).alias("stays"))
     good = (F.col("status") == "Converged") & (F.col("tau_g") > null_model.TAU_FLOOR) & (F.col("sqrt_r") > 0)
-    return sites.select("site", (F.col("status").isNull() | good).alias("ok"))
+    both = plain.join(models, "site", "full")
+    return both.select("site", F.coalesce(F.coalesce(good, F.lit(False)) == F.col("stays"), F.lit(False)).alias("ok"))
 
 
-@query("diff_splicing", f"""{SITES}
+@query("check_diff_splicing", f"""{SITES}
 SELECT site, TRUE AS p_ok FROM ph GROUP BY site""")
-def diff_splicing(spark, sf):
+def check_diff_splicing(spark, sf):
+    return group_differences(spark, sf).select("site", p_matches(F.col("z")).alias("p_ok"))
+
+
+def group_differences(spark, sf):
     samples, x = design_columns(spark, sf)
     groups = samples.select("sample_idx", F.expr("CASE WHEN AD = 1 THEN 2 ELSE 0 END").alias("label"))
-    out = association.diff_splicing(fitted_null(spark, sf), groups, null_model.design_table(samples, x))
-    return out.select("site", p_matches(F.col("z")).alias("p_ok"))
+    return association.diff_splicing(fitted_null(spark, sf), groups, null_model.design_table(samples, x))
 
 
 def lead_pairs(spark, sf):
@@ -955,12 +1038,17 @@ def lead_pairs(spark, sf):
     return cut_lineage(gwas.best_hit(cis.select("site", "snp", "p"), ["site"], "p", ["snp"]).select("site", "snp"))
 
 
-def run_context(spark, sf, design, names):
-    """Interaction fits of the lead pairs, with what must hold for each: p in [0, 1], q at least p, slopes finite."""
+def context_rows(spark, sf, design, names):
+    """Interaction fits of the lead pairs: p of the dosage, of the interaction and in each stratum, q and slopes."""
     models = fitted_null(spark, sf)
-    out = context.context_effects(
+    return context.context_effects(
         site_frame(spark, sf), lead_pairs(spark, sf), t.genotypes(spark, sf), cut_lineage(design), names,
         null_model.working_residuals(models))
+
+
+def run_context(spark, sf, design, names):
+    """What must hold for interaction fits: p in [0, 1], q at least p, slopes finite."""
+    out = context_rows(spark, sf, design, names)
     p = F.array("p_geno", "p_interaction", *[f"p_{n}" for n in names])
     slopes = F.array(*[f"slope_{n}" for n in names])
     return out.groupBy("site").agg(
@@ -975,23 +1063,20 @@ cis AS (SELECT DISTINCT p.site FROM ph p JOIN variants v ON v.chrom = p.chrom AN
 SELECT site, 1 AS n_pairs, TRUE AS p_ok, TRUE AS q_ok, TRUE AS slopes_ok FROM cis"""
 
 
-@query("glmm_interaction", CONTEXT)
-def glmm_interaction(spark, sf):
-    samples = metacell_covariates(spark, sf)
-    return run_context(spark, sf, context.disease_design(samples, ["sex", "age", "AD", "num_cells"]), ["control", "case"])
+CONTEXTS = {
+    "glmm_interaction": (lambda x: context.disease_design(x, ["sex", "age", "AD", "num_cells"]), ["control", "case"]),
+    "glmm_sex_interaction": (lambda x: context.sex_design(x, ["sex", "age", "AD", "num_cells"]), ["male", "female"]),
+    "glmm_state_interaction": (lambda x: context.state_design(x, ["sex", "age", "AD", "num_cells", "state"]), ["low", "mid", "high"]),
+}
 
 
-@query("glmm_sex_interaction", CONTEXT)
-def glmm_sex_interaction(spark, sf):
-    samples = metacell_covariates(spark, sf)
-    return run_context(spark, sf, context.sex_design(samples, ["sex", "age", "AD", "num_cells"]), ["male", "female"])
+def register_contexts():
+    for name, (design, strata) in CONTEXTS.items():
+        query(name)(lambda spark, sf, d=design, n=strata: context_rows(spark, sf, d(metacell_covariates(spark, sf)), n))
+        query(f"check_{name}", CONTEXT)(lambda spark, sf, d=design, n=strata: run_context(spark, sf, d(metacell_covariates(spark, sf)), n))
 
 
-@query("glmm_state_interaction", CONTEXT)
-def glmm_state_interaction(spark, sf):
-    samples = metacell_covariates(spark, sf)
-    design = context.state_design(samples, ["sex", "age", "AD", "num_cells", "state"])
-    return run_context(spark, sf, design, ["low", "mid", "high"])
+register_contexts()
 
 
 LINEAR = f"""
@@ -1028,9 +1113,9 @@ def truth_recovery(spark, sf):
     return correlation.ground_truth_association(usage, truth, geno).select("site", "snp", r6("r", "r"), "n")
 
 
-@query("splicing_pcs", f"""WITH {o.SPREAD}
+@query("check_splicing_pcs", f"""WITH {o.SPREAD}
 SELECT sample_idx, TRUE AS unit_ok, TRUE AS eigen_ok FROM (SELECT DISTINCT sample_idx FROM filled)""")
-def splicing_pcs(spark, sf):
+def check_splicing_pcs(spark, sf):
     """Components by what they must satisfy: unit length, and A'A v = lambda v for the centred usage matrix A."""
     usage = cut_lineage(site_frame(spark, sf).select("site", "sample_idx", "ratio"))
     pcs = cut_lineage(splicing_pc.splicing_pcs(usage, n_pcs=4))
@@ -1045,8 +1130,8 @@ def splicing_pcs(spark, sf):
         "sample_idx", F.forall("norm", lambda v: F.abs(v - 1) < 1e-9).alias("unit_ok"), F.forall(gap, lambda v: v < 1e-6).alias("eigen_ok"))
 
 
-@query("louvain_metacells", """SELECT 'D' || label AS donor, count(*) AS n_cells, TRUE AS size_ok, TRUE AS small_ok FROM embeddings GROUP BY label""")
-def louvain_metacells(spark, sf):
+@query("check_louvain_metacells", """SELECT 'D' || label AS donor, count(*) AS n_cells, TRUE AS size_ok, TRUE AS small_ok FROM embeddings GROUP BY label""")
+def check_louvain_metacells(spark, sf):
     """Metacells by their rules: at least 10 cells each, or one metacell; donors with fewer than 20 cells have one."""
     sizes = metacells.call_metacells(t.cells(spark, sf), 10).groupBy("donor", "meta").agg(F.count(F.lit(1)).alias("n"))
     return sizes.groupBy("donor").agg(
@@ -1054,8 +1139,8 @@ def louvain_metacells(spark, sf):
         ((F.sum("n") >= 20) | (F.count(F.lit(1)) == 1)).alias("small_ok"))
 
 
-@query("metacell_quality", """SELECT 'D' || label AS donor, TRUE AS null_ok, TRUE AS range_ok FROM embeddings GROUP BY label""")
-def metacell_quality(spark, sf):
+@query("check_metacell_quality", """SELECT 'D' || label AS donor, TRUE AS null_ok, TRUE AS range_ok FROM embeddings GROUP BY label""")
+def check_metacell_quality(spark, sf):
     """Scores by their rules: NULL for donors of one metacell only, silhouettes in [-1, 1], variance ratios not negative."""
     cells = t.cells(spark, sf)
     labels = cut_lineage(metacells.call_metacells(cells, 10))
@@ -1066,10 +1151,13 @@ def metacell_quality(spark, sf):
         (F.coalesce(F.col("silhouette").between(-1, 1), F.lit(True)) & F.coalesce(F.col("ch") >= 0, F.lit(True))).alias("range_ok"))
 
 
-@query("community_modularity", """SELECT 'D' || label AS donor, TRUE AS better FROM embeddings GROUP BY label""")
-def community_modularity(spark, sf):
+@query("check_community_modularity", """SELECT 'D' || label AS donor, TRUE AS better FROM embeddings GROUP BY label""")
+def check_community_modularity(spark, sf):
     """Communities of the cells' neighbour graphs are better than single cells."""
+    return cell_communities(spark, sf).select("donor", (F.col("modularity") > 0).alias("better"))
+
+
+def cell_communities(spark, sf):
     cells = t.cells(spark, sf)
     graph = cut_lineage(metacells.neighbour_graph(metacells.knn(cells, 10)))
-    found = metacells.louvain(graph, cells.select("donor", F.col("cell_id").alias("node")))
-    return metacells.modularity(graph, found).select("donor", (F.col("modularity") > 0).alias("better"))
+    return metacells.modularity(graph, metacells.louvain(graph, cells.select("donor", F.col("cell_id").alias("node"))))

@@ -605,3 +605,49 @@ def test_dense_vectors_fill_gaps(spark):
     df = spark.createDataFrame([(3, 1.5), (0, 2.0), (7, -1.0)], "i int, v double")
     assert df.agg(null_model.dense_vector("i", "v", 9).alias("x")).first().x == [2.0, 0, 0, 1.5, 0, 0, 0, -1.0, 0]
     assert df.limit(0).agg(null_model.dense_vector("i", "v", 2).alias("x")).first().x == [0.0, 0.0]
+
+
+@pytest.mark.parametrize("weights", [[1.0, 1.0], [3.0, 1.0, 0.5, 0.1], [1.0] * 10, [5.0, 0.2, 0.2, 0.2, 0.2, 0.2]])
+def test_weighted_chi_square_tail(weights):
+    from spliceweave.functions.distributions import weighted_chi2_sf
+
+    lam = np.array(weights)
+    drawn = (np.random.default_rng(1).chisquare(1, (400_000, len(lam))) * lam).sum(axis=1)
+    for q in (0.3 * lam.sum(), lam.sum(), lam.sum() * (1 + 1e-9), 2 * lam.sum(), 4 * lam.sum()):
+        want = (drawn > q).mean()
+        assert abs(weighted_chi2_sf(q, lam) - want) < 0.02 * want + 0.008
+    if weights == [1.0, 1.0]:  # the exact tail is exp(-q / 2)
+        assert abs(weighted_chi2_sf(40.0, lam) / np.exp(-20) - 1) < 0.1
+    assert weighted_chi2_sf(0.0, lam) == 1.0 and weighted_chi2_sf(5.0, np.zeros(0)) == 1.0
+
+
+def test_heidi_against_plain_loops(spark):
+    from spliceweave.operators import heidi
+
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 3, (8, 200)).astype(float)
+    dose = np.array([np.where(rng.random(200) < 0.7, base[0], b) for b in base])
+    dose[3, :20] = np.nan
+    rows, truth = [], {}
+    for probe in ("one", "two", "alone"):
+        b_x, se_x, se_y = rng.normal(0.6, 0.05, 8), np.full(8, 0.08), np.full(8, 0.05)
+        b_y = 0.4 * b_x + rng.normal(0, 0.01, 8) + (np.arange(8) % 2 * 0.5 if probe == "two" else 0)
+        some = range(1) if probe == "alone" else range(8)
+        rows += [(probe, f"v{i}", float(b_y[i]), 0.05, float(b_x[i]), 0.08, 1e-6 * (i + 1)) for i in some]
+        rows += [(probe, "v0", 9.0, 0.05, 0.5, 0.08, 0.5)]  # a worse row of the same variant
+        cor = lambda i, j: np.corrcoef(*(d[~np.isnan(dose[i] + dose[j])] for d in (dose[i], dose[j])))[0, 1]
+        part = [0] + [i for i in range(1, 8) if 0.05 <= cor(0, i) ** 2 <= 0.9][:5]
+
+        def cov(i, j):
+            r, zi, zj = 1.0 if i == j else cor(i, j), b_x[i] / se_x[i], b_x[j] / se_x[j]
+            return r * se_y[i] * se_y[j] / (b_x[i] * b_x[j]) + b_y[i] / b_x[i] * b_y[j] / b_x[j] * (r / (zi * zj) - 1 / (zi * zj) ** 2)
+
+        stat = sum((b_y[i] / b_x[i] - b_y[0] / b_x[0]) ** 2 / (cov(i, i) + cov(0, 0) - 2 * cov(i, 0)) for i in part[1:])
+        truth[probe] = len(part) - 1, stat
+    merged = spark.createDataFrame(rows, "probe string, variant_id string, beta_gwas double, se_gwas double, beta_sqtl double, se_sqtl double, p_sqtl double")
+    geno = spark.createDataFrame([(f"v{i}", [None if np.isnan(x) else float(x) for x in d]) for i, d in enumerate(dose)], "variant_id string, dosage array<double>")
+    got = {r.probe: r for r in heidi.heidi(merged, geno, ["probe"], most=5).collect()}
+    assert set(got) == {"one", "two"} and all(r.top == "v0" for r in got.values())
+    for probe, r in got.items():
+        assert r.n_variants == truth[probe][0] and abs(r.t_heidi - truth[probe][1]) < 1e-6 * (1 + truth[probe][1])
+    assert got["one"].p_heidi > 0.01 > 1e-4 > got["two"].p_heidi

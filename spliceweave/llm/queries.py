@@ -54,7 +54,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = toxicity.score_toxicity(docs, toxicity.learn_lexicon(docs, table(spark, sf_dir, "labels")))
+    lexicon, scale = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs, lexicon, scale=scale)
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "toxic_words")
 

@@ -157,6 +157,37 @@ def test_copied_unusual_words_push_no_toxic_word_out(spark):
     assert {t.strip() for t in lexicon} == {"vexor", "grol"}
 
 
+def test_words_of_edited_copies_are_no_lexicon(spark):
+    """Hundreds of variants of one toxic document, each edited in its own places, count as one family."""
+    docs, labels = toxic_corpus(spark)
+    rng = random.Random(12)
+    base = [f"{a}{b}" for a in ("qual", "wend", "zilt", "jorb", "hask", "yimp") for b in ("ane", "oru", "ipe", "ust", "emo", "alk", "ith", "oob", "urn", "esh")]
+    texts = [" ".join("x" + format(rng.getrandbits(40), "x") if rng.random() < 0.08 else w for w in base) for _ in range(300)]
+    more = spark.createDataFrame([(1000 + i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    marks = spark.createDataFrame([(1000 + i, 1, 1) for i in range(300)], "doc_id long, quality int, toxic int")
+    lexicon = toxicity.learn_lexicon(docs.unionByName(more), labels.unionByName(marks))
+    assert {t.strip() for t in lexicon} == {"vexor", "grol"}
+
+
+def test_a_word_of_clean_texts_has_to_repeat(spark):
+    """The learnt scale lets one doubtful word pass and finds texts that repeat it; sure words count at once."""
+    rng = random.Random(13)
+    calm = [a + b for a in ("sun", "rain", "river", "stone", "cloud", "tree") for b in ("s", "y", "ed", "ful", "ly", "en", "ish", "or")]
+    rows = []
+    for i in range(2400):
+        words = [rng.choice(calm) for _ in range(30)]
+        toxic = int(i % 12 == 0)
+        hits = ["grumfo"] * 3 if toxic and i % 24 else ["vexora"] if toxic else ["grumfo"] if i % 80 == 1 else []
+        for h in hits:
+            words.insert(rng.randrange(len(words)), h)
+        rows.append((i, " ".join(words), toxic))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t, _ in rows], DOCS)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    lexicon, scale = toxicity.learn(docs, labels)
+    got = {r.doc_id: r.score >= 0.3 for r in toxicity.score_toxicity(docs, lexicon, scale=scale).collect()}
+    assert scale is not None and [i for i, _, y in rows if got[i] != bool(y)] == []
+
+
 def test_quality_votes_match_all_cosines():
     rng = np.random.default_rng(0)
     vectors = rng.normal(size=(90, 8))

@@ -1,5 +1 @@
-"""Nothing is streamed: every input of the covered workload is a finished batch of files.
-
-``spliceweave.operators.junctions.junction_stats`` deduplicates by (barcode, UMI) over a
-whole library, so an incremental form would need unbounded state for no gain.
-"""
+"""Incremental forms of batch operators, as Structured Streaming jobs."""

@@ -99,7 +99,7 @@ def word_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
         yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(labels, "doc_id")
+    rows = rows.join(F.broadcast(labels), "doc_id")  # a sample of at most max_labels ids
     return (
         rows.select("text", "label").mapInArrow(kernel, "word string, toxic long, clean long")
         .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -126,7 +126,8 @@ def family_classes(texts: DataFrame) -> DataFrame:
     if stars.isEmpty():
         return texts.withColumn("family", F.col("doc_id"))
     found = cut_lineage(connected_components(stars, "a", "b")).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-    return texts.join(found, "doc_id", "left").select("doc_id", "text", F.coalesce("family", "doc_id").alias("family"))
+    met = texts.join(F.broadcast(found), "doc_id", "left")  # as many ids as ``texts`` has, a bounded sample
+    return met.select("doc_id", "text", F.coalesce("family", "doc_id").alias("family"))
 
 
 def family_keys(text: str | None) -> np.ndarray:
@@ -165,7 +166,7 @@ def family_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
         yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    toxic = cut_lineage(rows.join(labels.filter("label = 1").select("doc_id"), "doc_id").select("doc_id", "text"))
+    toxic = rows.join(F.broadcast(labels.filter("label = 1").select("doc_id")), "doc_id").select("doc_id", "text")  # a sample of at most max_labels ids
     met = family_classes(toxic).select("text", "family").mapInArrow(kernel, "term string, family long")
     return met.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("families"))
 
@@ -219,7 +220,7 @@ def fit_scale(docs: DataFrame, sample: DataFrame, lexicon: dict[str, float], exc
     """
     if not lexicon or sample.select("label").distinct().count() < 2:
         return None
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").select("label", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("label", "text")
     met = score_toxicity(rows, lexicon, exceptions, half_words, keep=("label",), figures=True).select("label", "damped", "largest")
     rows = cut_lineage(met.withColumn("figures", array_to_vector(F.array("damped", "largest"))))
     if rows.select("label").distinct().count() < 2:

@@ -382,6 +382,34 @@ def test_mined_rules_match_counting(spark):
     assert {out[i] for i, u, *_ in rows if "ads" in u and "utm" in u} == {"block"} and out[next(i for i, u, *_ in rows if "news" in u)] == "allow"
 
 
+def test_rare_bad_host_is_blocked_beside_many_pages(spark):
+    n = 100_000
+    rare = spark.range(12).select(
+        (F.col("id") + n).alias("page_id"), F.concat(F.lit("https://www.cheap.pills.example.com/en/"), F.col("id") + n, F.lit("?a=1&b=2&c=3&d=4&e=5&f=6")).alias("url"))
+    many = spark.range(n).select(F.col("id").alias("page_id"), F.concat(F.lit("https://h"), F.col("id") % 40, F.lit(".example.com/en/"), "id").alias("url"))
+    pages = many.union(rare)
+    marks = pages.select(F.col("page_id").alias("doc_id"), ((F.col("page_id") < n) & (F.crc32(F.col("page_id").cast("string")) % 4 > 0)).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    new = spark.createDataFrame([(-1, "http://m.pills.example.com/x"), (-2, "http://pills.example.org/x"), (-3, None)], "page_id long, url string")
+    out = url_rules.judge_urls(pages.union(new), marks)
+    got = {r.page_id: r.verdict for r in out.filter(f"page_id < 0 OR page_id >= {n}").collect()}
+    assert all(got[n + i] == "block" for i in range(12)) and got[-1] == "block" and got[-2] == got[-3] == "allow"
+    assert out.filter(f"page_id BETWEEN 0 AND {n - 1} AND verdict = 'block'").count() == 0
+
+
+def test_url_tokens_and_merging(spark):
+    df = spark.createDataFrame([("https://a.b.example.com/en/x/12.html?q=1&r#t",), ("",), ("http://org/",), ("x://u.v.w//2/",)], "url string")
+    host, path = url_rules.url_parts(F.col("url"))
+    rows = df.withColumns({"host": host, "path": path}).select(url_rules.url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens")).collect()
+    assert set(rows[0].tokens) == {
+        "scheme:https", "host:a.b.example.com", "domain:b.example.com", "domain:example.com", "name:a", "name:b", "top:com", "folder:en", "folder:x",
+        "ext:html", "digits:2", "part:fragment", "query:q", "query:r"}
+    assert rows[1].tokens == [] and set(rows[2].tokens) == {"scheme:http", "host:org", "top:org", "end:slash"}
+    assert {"host:u.v.w", "domain:v.w", "name:u"} <= set(rows[3].tokens)
+    labelled = spark.createDataFrame([(["a", "b", "c"], "block"), (["a", "b"], "allow"), (["a", "b"], "allow"), ([], "allow")], "tokens array<string>, verdict string")
+    merged = sorted((sorted(r["items"]), r.verdict) for r in url_rules.merged_tokens(labelled).collect())
+    assert merged == [([], "allow"), (["a"], "allow"), (["a"], "allow"), (["a", "c"], "block")]
+
+
 def water(total, children):
     """Brute force: pour out by weight, again and again, until all that fits is given."""
     got, left = dict.fromkeys(children, 0.0), float(total)

@@ -81,18 +81,26 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     )
 
 
-def repetition_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chosen and rejected sides from plain conversations: the conversation up to its last answer, and the same with that answer
-    replaced by what was said before it (its earlier answer, else the turn that asked): a model should not repeat itself or echo.
-
-    Conversations without an answer, or whose answer has nothing before it, give no pair.
+def repetition_pairs(conversations: DataFrame, seed: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Chosen and rejected sides from plain conversations. Chosen is the conversation up to its last answer. Rejected goes astray at one of
+    the answers: that answer and all later ones repeat what was said just before it (the answer before it, else the turn before it), since a model
+    should neither repeat itself nor echo. With a ``seed`` a digest of seed, id and turn chooses the answer, so the two sides share prefixes of every
+    length; without one it is the last answer.
+
+    Only answers with a turn before them can go astray; conversations without such an answer give no pair. Null texts count as empty;
+    of repeated turns all rows are kept here, and one is used by ``format_preferences``.
     """
     rows = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text").filter("pair_id IS NOT NULL AND turn IS NOT NULL")
     answer = F.col("role") == "assistant"
-    last = rows.groupBy("pair_id").agg(F.max(F.when(answer, F.col("turn"))).alias("last")).filter("last IS NOT NULL")
-    until = rows.join(last, "pair_id").filter(F.col("turn") <= F.col("last"))
-    earlier = until.filter(F.col("turn") < F.col("last")).groupBy("pair_id").agg(
-        F.max(F.struct(answer.alias("by_assistant"), "turn", F.coalesce("text", F.lit("")).alias("text"))).alias("before"))
-    both = until.join(earlier, "pair_id")
-    said = F.when((F.col("turn") == F.col("last")) & answer, F.col("before.text")).otherwise(F.col("text"))
-    return both.select("pair_id", "turn", "role", "text"), both.select("pair_id", "turn", "role", said.alias("text"))
+    turns = rows.groupBy("pair_id", "turn").agg(F.max(F.coalesce(answer, F.lit(False))).alias("answer"))
+    bounds = turns.groupBy("pair_id").agg(F.min("turn").alias("first"), F.max(F.when(F.col("answer"), F.col("turn"))).alias("last"))
+    able = turns.join(bounds, "pair_id").filter("answer AND turn > first")
+    digest = F.sha2(F.concat_ws(":", F.lit(seed).cast("string"), F.col("pair_id").cast("string"), F.col("turn").cast("string")), 256)
+    astray = F.max("turn") if seed is None else F.min_by("turn", F.struct(digest, "turn"))
+    picked = able.groupBy("pair_id").agg(astray.alias("astray"), F.max("last").alias("last"))
+    until = rows.join(picked, "pair_id").filter(F.col("turn") <= F.col("last"))
+    said = until.filter(F.col("turn") < F.col("astray")).groupBy("pair_id").agg(
+        F.max(F.struct(F.coalesce(answer, F.lit(False)).alias("by_assistant"), "turn", F.coalesce("text", F.lit("")).alias("text"))).alias("before"))
+    both = until.join(said, "pair_id")
+    text = F.when((F.col("turn") >= F.col("astray")) & answer, F.col("before.text")).otherwise(F.col("text"))
+    return both.select("pair_id", "turn", "role", "text"), both.select("pair_id", "turn", "role", text.alias("text"))

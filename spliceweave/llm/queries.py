@@ -61,7 +61,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = preference.format_preferences(*preference.repetition_pairs(table(spark, sf_dir, "conversations")))
+    rows = preference.format_preferences(*preference.repetition_pairs(table(spark, sf_dir, "conversations"), seed=7))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return rows.select(F.col("pair_id").alias("conv_id"), "prompt_turns", "prompt", "chosen", "rejected",
                        spans("chosen_spans").alias("chosen_spans"), spans("rejected_spans").alias("rejected_spans"))
@@ -109,17 +109,26 @@ ORACLES = {
                sha256(t) AS restored_sha256
         FROM s""",
     "op10_preference_format": """
-        WITH l AS (SELECT conv_id, max(turn) FILTER (WHERE role = 'assistant') AS last FROM conversations GROUP BY conv_id),
-        u AS (SELECT c.conv_id, turn, role, coalesce(text, '') AS text, last FROM conversations c JOIN l USING (conv_id) WHERE turn <= last),
-        e AS (SELECT conv_id, arg_max(text, (CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) * 1000000 + turn) AS before
-              FROM u WHERE turn < last GROUP BY conv_id)
-        SELECT conv_id, (count(*) - 1)::INT AS prompt_turns,
-               coalesce(string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn)
-                        FILTER (WHERE turn < last), '') AS prompt,
-               '<|assistant|>' || chr(10) || max(text) FILTER (WHERE turn = last) || chr(10) || '<|end|>' || chr(10) AS chosen,
-               '<|assistant|>' || chr(10) || before || chr(10) || '<|end|>' || chr(10) AS rejected,
-               '14-' || (14 + length(max(text) FILTER (WHERE turn = last)) + 9)::INT AS chosen_spans,
-               '14-' || (14 + length(before) + 9)::INT AS rejected_spans
-        FROM u JOIN e USING (conv_id) GROUP BY conv_id, before
-        HAVING max(text) FILTER (WHERE turn = last) <> before""",
+        WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+        b AS (SELECT conv_id, min(turn) AS first, max(turn) FILTER (WHERE role = 'assistant') AS last FROM t GROUP BY conv_id),
+        a AS (SELECT conv_id, any_value(last) AS last, arg_min(turn, sha256('7:' || conv_id || ':' || turn)) AS astray
+              FROM t JOIN b USING (conv_id) WHERE role = 'assistant' AND turn > first GROUP BY conv_id),
+        s AS (SELECT conv_id, arg_max(text, (CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) * 1000000 + turn) AS said
+              FROM t JOIN a USING (conv_id) WHERE turn < astray GROUP BY conv_id),
+        u AS (SELECT conv_id, turn, '<|' || role || '|>' || chr(10) AS head, role = 'assistant' AS learn, text AS c,
+                     CASE WHEN role = 'assistant' AND turn >= astray THEN said ELSE text END AS r, chr(10) || '<|end|>' || chr(10) AS mark
+              FROM t JOIN a USING (conv_id) JOIN s USING (conv_id) WHERE turn <= last),
+        d AS (SELECT *, min(CASE WHEN c <> r THEN turn END) OVER (PARTITION BY conv_id) AS differs FROM u),
+        e AS (SELECT *, coalesce(sum(length(head || c || mark)) OVER w, 0) AS at_c, coalesce(sum(length(head || r || mark)) OVER w, 0) AS at_r
+              FROM d WHERE differs IS NOT NULL
+              WINDOW w AS (PARTITION BY conv_id, turn >= differs ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+        SELECT conv_id, (count(*) FILTER (WHERE turn < differs))::INT AS prompt_turns,
+               coalesce(string_agg(head || c || mark, '' ORDER BY turn) FILTER (WHERE turn < differs), '') AS prompt,
+               string_agg(head || c || mark, '' ORDER BY turn) FILTER (WHERE turn >= differs) AS chosen,
+               string_agg(head || r || mark, '' ORDER BY turn) FILTER (WHERE turn >= differs) AS rejected,
+               string_agg((at_c + length(head))::BIGINT || '-' || (at_c + length(head || c || mark))::BIGINT, ',' ORDER BY turn)
+                   FILTER (WHERE learn AND turn >= differs) AS chosen_spans,
+               string_agg((at_r + length(head))::BIGINT || '-' || (at_r + length(head || r || mark))::BIGINT, ',' ORDER BY turn)
+                   FILTER (WHERE learn AND turn >= differs) AS rejected_spans
+        FROM e GROUP BY conv_id""",
 }

@@ -1,5 +1,6 @@
 """Tokenizer, scans, classifiers and formats against other implementations or brute force, with odd input."""
 import base64
+import hashlib
 import json
 import random
 import re
@@ -332,6 +333,20 @@ def test_repetition_pairs_of_odd_conversations(spark):
     assert preference.format_preferences(*preference.repetition_pairs(df.limit(0))).count() == 0
 
 
+def test_seeded_pairs_go_astray_at_any_answer(spark):
+    rows = [(i, t, "user" if t % 2 == 0 else "assistant", f"said {i} {t}") for i in range(80) for t in range(8)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = {r.pair_id: r for r in preference.format_preferences(*preference.repetition_pairs(df, seed=7)).collect()}
+    assert len(out) == 80 and {r.prompt_turns for r in out.values()} == {1, 3, 5, 7}
+    for i, r in out.items():
+        at = min((hashlib.sha256(f"7:{i}:{t}".encode()).hexdigest(), t) for t in (1, 3, 5, 7))[1]
+        said = f"said {i} {max(at - 2, 0)}"
+        turn = lambda t, text: f"<|{'user' if t % 2 == 0 else 'assistant'}|>\n{text}\n<|end|>\n"
+        assert r.prompt_turns == at and r.chosen == "".join(turn(t, f"said {i} {t}") for t in range(at, 8))
+        assert r.rejected == "".join(turn(t, said if t % 2 else f"said {i} {t}") for t in range(at, 8))
+        assert len(r.chosen_spans) == len(r.rejected_spans) == (9 - at) // 2
+
+
 PAGES = "page_id long, url string, html string, verdict string"
 
 

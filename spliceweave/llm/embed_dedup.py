@@ -14,10 +14,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spliceweave.llm.common import forest
@@ -69,21 +70,25 @@ def visits(unit: np.ndarray, books: tuple[np.ndarray, np.ndarray], reach2: float
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """Rows that may link: id and label not null, components finite, length not zero, and as many components as most vectors."""
+    """Rows that may link: id and label not null, components finite and not all zero."""
     v = F.col("embedding")
-    good = (
+    return (
         rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & v.isNotNull())
         .filter(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
     )
-    dims = good.groupBy(F.size(v).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return good.filter(F.size(v) == (dims["d"] if dims else 0))
+
+
+def padded_length(size: Column) -> Column:
+    """Length that vectors of ``size`` components are filled up to: the next power of two, at least 4."""
+    return F.greatest(F.lit(4), F.pow(F.lit(2.0), F.ceil(F.log2(size.cast("double")))).cast("int"))
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.999, cell_rows: int = 512,
                  sample_rows: int = 16_384, block_rows: int = 2048) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding, label).
 
-    Vectors link when labels are equal and the cosine is ``threshold`` or more. n_links counts other rows, copies included. Rows that can't
+    Vectors link when labels and lengths are equal and the cosine is ``threshold`` or more. Each range of lengths up to a power of two has an index of
+    its own, in which vectors are filled up with zeros (this changes no cosine) and the length is part of the label. n_links counts other rows, copies included. Rows that can't
     link (see ``usable``) have no links and are components of their own. Repeated rows are copies of one another. The codebooks are fitted on at
     most ``sample_rows`` vectors, chosen by hash; every vector is indexed and is a query. Other columns are ignored.
     """
@@ -94,9 +99,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.
     classes = cut_lineage(
         usable(rows).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size"))
     )
-    about = classes.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("label").alias("labels"), F.max(F.size("embedding")).alias("d")).first()
-    if about["n"]:
-        found = _class_links(classes, about, threshold, recall, cell_rows, sample_rows, block_rows)
+    keyed = classes.select(
+        F.concat_ws(":", F.size("embedding").cast("string"), "label").alias("label"), "rep", "size", "embedding", padded_length(F.size("embedding")).alias("d"))
+    indexes = keyed.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("label").alias("labels"), F.min(F.size("embedding")).alias("least")).orderBy("d").collect()  # 31 at most
+    if indexes:
+        parts = [
+            _class_links(keyed.filter(F.col("d") == about["d"]).select(
+                "label", "rep", "size", F.concat("embedding", F.array_repeat(F.lit(0.0), F.lit(about["d"]) - F.size("embedding"))).alias("embedding")),
+                about, threshold, recall, cell_rows, sample_rows, block_rows)
+            for about in indexes]
+        found = reduce(DataFrame.unionByName, parts)
         copies = classes.filter("size > 1").select("label", "embedding", "rep")
         copy = F.when(F.col("vec_id").isNotNull(), F.col("rep"))
         own = rows.join(copies, ["label", "embedding"], "left").select("vec_id", F.coalesce(copy, F.col("vec_id")).alias("rep"))
@@ -109,7 +121,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.
 def _class_links(classes: DataFrame, about, threshold: float, recall: float, cell_rows: int, sample_rows: int, block_rows: int) -> DataFrame:
     """(rep, links, component) for classes with links."""
     d, k = about["d"], max(4, math.ceil(math.sqrt(about["n"] / max(about["labels"], 1) / cell_rows)))
-    reach2 = -2 * math.log(1 - min(recall, 1 - 1e-12)) * (2 - 2 * threshold) / d
+    reach2 = -2 * math.log(1 - min(recall, 1 - 1e-12)) * (2 - 2 * threshold) / about["least"]
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("embedding").toPandas()["embedding"]
     x = np.stack([np.asarray(v) for v in sample])
     x /= np.linalg.norm(x, axis=1, keepdims=True)

@@ -206,6 +206,28 @@ def test_embedding_links_match_all_pairs(spark, blocks, cells):
         assert (r.n_links, r.component_id, r.kept) == (n, c, i == c or i is None)
 
 
+def test_vectors_of_every_length_link_with_their_own(spark):
+    rng = np.random.default_rng(3)
+    rows, i = [], 0
+    for d in (1, 2, 3, 5, 8, 9, 16):
+        base = rng.normal(size=(4, d))
+        for _ in range(24 if d != 2 else 3):
+            rows.append([i, [float(x) for x in base[rng.integers(4)] + rng.choice([0, 0.05]) * rng.normal(size=d)], int(rng.integers(2)), ""])
+            i += 1
+    rows += [[i, [3.0] * 20, 1, ""], [i + 1, [3.0] * 20, 1, ""], [i + 2, [3.0] * 20 + [0.0], 1, ""]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, text string")
+    out = {r.vec_id: r for r in embed_dedup.near_vectors(df, recall=1.0).collect()}
+
+    def linked(a, b):
+        (_, x, p, _), (_, y, q, _) = rows[a], rows[b]
+        return a != b and p == q and len(x) == len(y) and np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) >= 0.98 - 1e-12
+
+    comp = components(list(range(len(rows))), linked)
+    assert len(out) == len(rows)
+    for a in range(len(rows)):
+        assert (out[a].n_links, out[a].component_id) == (sum(linked(a, b) for b in range(len(rows))), comp[a]), rows[a]
+
+
 def test_embedding_recall_at_the_default_target(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(600, 64))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spliceweave.functions.distributions import correlation_p
 from spliceweave.operators.intervals import point_in_interval
 from spliceweave.operators.multiple_testing import bonferroni
+from spliceweave.session import cut_lineage
 
 
 def standardised_slope(x, y) -> Column:
@@ -70,11 +71,18 @@ def ground_truth_association(
     """cor.test of usage with the dosage of the truth SNP whose gene contains the site.
 
     ``usage`` (site, chrom, pos, sample, donor, ratio), ``truth`` (snp, chrom, start, end),
-    ``genotype`` (snp, donor, dosage).
+    ``genotype`` (snp, donor, dosage) or (snp, dosage ARRAY by donor index). Dosages of the sites' truth SNPs are stored before anything is
+    joined to them: a planner that knows no more than file sizes takes dosages, which are made from few stored columns, for a small table and
+    would broadcast all of them.
     """
+    usage = cut_lineage(usage)  # read twice: sites, then their samples
     sites = usage.select("site", "chrom", "pos").distinct().filter(~F.col("chrom").isin(*skip_chrom))
-    hits = point_in_interval(sites, truth, ["chrom"], "pos", "start", "end").select("site", "snp").distinct()
-    pairs = usage.join(hits, "site").join(genotype, ["snp", "donor"])
+    hits = cut_lineage(point_in_interval(sites, truth, ["chrom"], "pos", "start", "end").select("site", "snp").distinct())
+    known = cut_lineage(genotype.join(hits.select("snp").distinct(), "snp", "left_semi"))
+    if "donor" in genotype.columns:
+        pairs = usage.join(hits, "site").join(known, ["snp", "donor"])
+    else:
+        pairs = usage.join(hits.join(known, "snp"), "site").withColumn("dosage", F.get("dosage", F.col("donor")))
     tested = pairs.filter(F.col("ratio").isNotNull() & F.col("dosage").isNotNull())
     return (
         tested.groupBy("site", "snp")

@@ -1109,7 +1109,7 @@ def truth_recovery(spark, sf):
     truth = t.reads(spark, sf).select("gene", "chrom").distinct().selectExpr(
         "concat('chr', gene * 50 % 5 + 1, ':', gene * 50 * 2000, ':A:G') AS snp", "chrom",
         "gene * 100000 AS start", "gene * 100000 + 14000 AS end")
-    geno = t.genotype_long(spark, sf).select("snp", F.col("donor_idx").alias("donor"), "dosage")
+    geno = t.genotypes(spark, sf).select("snp", "dosage")
     return correlation.ground_truth_association(usage, truth, geno).select("site", "snp", r6("r", "r"), "n")
 
 

@@ -670,3 +670,19 @@ def test_truth_recovery_does_not_broadcast_dosages(spark, tmp_path):
         out = correlation.ground_truth_association(usage, truth, geno)
         assert {(r.site, r.snp): (round(r.r, 9), r.n) for r in out.collect()} == want
         assert "sequence" not in out._jdf.queryExecution().toString()  # read from what was stored of the truth SNPs
+
+
+def test_trans_blocks_return_few_rows(spark, monkeypatch):
+    """Every pair leaves its block at p_max = 1, so a block's pairs bound what a task holds."""
+    sizes = {}
+    real = association.over_block_pairs
+
+    def watched(left, right, keys, left_id, right_id, left_rows, right_rows, *rest):
+        sizes["pairs"] = left_rows * right_rows
+        return real(left, right, keys, left_id, right_id, left_rows, right_rows, *rest)
+
+    monkeypatch.setattr(association, "over_block_pairs", watched)
+    models = spark.createDataFrame([("s", 1, 1.0, [1.0, -1.0, 0.0], [1.0] * 3, [1.0] * 3, [1 / 3], [0.0])], "site string, pos bigint, sqrt_r double, "
+                                   "resid array<double>, w array<double>, xw array<double>, xwx_inv array<double>, xr array<double>")
+    snps = spark.createDataFrame([("v", "chr1", 5, [0.0, 1.0, 2.0])], "snp string, chrom string, snp_pos bigint, dosage array<double>")
+    assert association.trans_qtl(models, snps, snps.select("snp")).count() == 1 and sizes["pairs"] <= 1 << 17

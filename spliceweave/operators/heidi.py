@@ -7,16 +7,16 @@ of squared z-scores is a weighted sum of chi-squares.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spliceweave.functions.distributions import weighted_chi2_sf
 from spliceweave.operators.gwas import best_hit
-from spliceweave.session import ship_package
+from spliceweave.session import cut_lineage, ship_package
 
 
 def pairwise_correlation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -31,6 +31,17 @@ def pairwise_correlation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.where(var > 1e-18, cov / np.sqrt(var), np.nan)
 
 
+def row_correlation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Correlation of each row of one dosage table with the same row of another, over the donors that both have (NaN: missing, or no variation)."""
+    both = ~(np.isnan(a) | np.isnan(b))
+    x, y, n = np.where(both, a, 0.0), np.where(both, b, 0.0), both.sum(axis=1)
+    sx, sy = x.sum(axis=1), y.sum(axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        cov = (x * y).sum(axis=1) - sx * sy / n
+        var = ((x * x).sum(axis=1) - sx * sx / n) * ((y * y).sum(axis=1) - sy * sy / n)
+        return np.where(var > 1e-18, cov / np.sqrt(var), np.nan)
+
+
 def ratio_covariance(b_x, se_x, b_y, se_y, r) -> np.ndarray:
     """Covariance of the ratios b_y / b_x of variants with correlations ``r``, to second order (delta method)."""
     ratio, z = b_y / b_x, b_x / se_x
@@ -60,28 +71,42 @@ def heidi(merged: DataFrame, genotypes: DataFrame, probe: Sequence[str], p_qtl_m
     ``merged`` has a probe's variants: variant_id, beta_gwas, se_gwas, beta_sqtl, se_sqtl, p_sqtl; of a variant's rows the one with the smallest p (then
     ``tie``) counts. ``genotypes`` (variant_id, dosage ARRAY over the donors). Variants with a QTL p of at most ``p_qtl_max`` take part if their
     squared correlation with the top variant is from ``min_r2`` to ``max_r2``; of these the ``most`` with the smallest p are compared, as the
-    method defines it. A probe's variants, those of one region, meet in one group.
+    method defines it. Only these meet in one group: variants are compared with their probe's top variant a batch at a time.
     """
     ship_package(merged.sparkSession)
     probe = list(probe)
     known = merged.filter((F.col("p_sqtl") <= p_qtl_max) & (F.col("beta_sqtl") != 0) & (F.col("se_sqtl") > 0) & (F.col("se_gwas") > 0) & F.col("beta_gwas").isNotNull())
-    rows = best_hit(known, [*probe, "variant_id"], "p_sqtl", list(tie)).select(
-        *probe, "variant_id", "beta_gwas", "se_gwas", "beta_sqtl", "se_sqtl", "p_sqtl").join(genotypes.select("variant_id", "dosage"), "variant_id")
+    listed = best_hit(known, [*probe, "variant_id"], "p_sqtl", list(tie)).select(
+        *probe, "variant_id", "beta_gwas", "se_gwas", "beta_sqtl", "se_sqtl", "p_sqtl")
+    # merged: dosages made from a small file would else be broadcast
+    rows = cut_lineage(listed.join(genotypes.select("variant_id", F.col("dosage").cast("array<double>").alias("dosage")).hint("merge"), "variant_id"))
+    first = F.min(F.struct("p_sqtl", "variant_id", "dosage")).alias("first")
+    names = rows.columns
+    tops = rows.groupBy(*probe).agg(first).select(*probe, F.col("first.variant_id").alias("top"), F.col("first.dosage").alias("top_dosage"))
+
+    def against_top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            with_top = row_correlation(*(np.vstack([np.array(d, float) for d in pdf[c]]) for c in ("dosage", "top_dosage"))) ** 2
+            keep = (pdf.variant_id == pdf.top) | ((with_top >= min_r2) & (with_top <= max_r2))
+            yield pdf.loc[keep, [*names, "top"]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    near = rows.join(tops, probe).mapInPandas(against_top, ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", top {kinds['variant_id']}")
+    place = F.row_number().over(Window.partitionBy(*probe).orderBy("p_sqtl", "variant_id"))  # the top variant comes first
+    picked = near.withColumn("__place", place).filter(F.col("__place") <= most + 1).drop("__place")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) < 2:
+            return pd.DataFrame()
         pdf = pdf.sort_values(["p_sqtl", "variant_id"], ignore_index=True)
         doses = np.vstack([np.array(d, float) for d in pdf.dosage])
-        with_top = pairwise_correlation(doses, doses[:1])[:, 0] ** 2
-        near = np.flatnonzero((with_top >= min_r2) & (with_top <= max_r2))
-        pick = np.concatenate([[0], near[near > 0][:most]])
-        if len(pick) < 2:
-            return pd.DataFrame()
-        b_x, se_x, b_y, se_y = (pdf[c].to_numpy(float)[pick] for c in ("beta_sqtl", "se_sqtl", "beta_gwas", "se_gwas"))
-        r = np.nan_to_num(pairwise_correlation(doses[pick], doses[pick]))
+        b_x, se_x, b_y, se_y = (pdf[c].to_numpy(float) for c in ("beta_sqtl", "se_sqtl", "beta_gwas", "se_gwas"))
+        r = np.nan_to_num(pairwise_correlation(doses, doses))
         np.fill_diagonal(r, 1.0)
         n, stat, p = heterogeneity(b_x, se_x, b_y, se_y, r)
-        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in probe}, "top": pdf.variant_id.iloc[0], "n_variants": n, "t_heidi": stat, "p_heidi": p}]) if n else pd.DataFrame()
+        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in probe}, "top": pdf.top.iloc[0], "n_variants": n, "t_heidi": stat, "p_heidi": p}]) if n else pd.DataFrame()
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in probe) + f", top {kinds['variant_id']}, n_variants bigint, t_heidi double, p_heidi double"
-    return rows.groupBy(*probe).applyInPandas(run, schema)
+    return picked.groupBy(*probe).applyInPandas(run, schema)

@@ -686,3 +686,32 @@ def test_trans_blocks_return_few_rows(spark, monkeypatch):
                                    "resid array<double>, w array<double>, xw array<double>, xwx_inv array<double>, xr array<double>")
     snps = spark.createDataFrame([("v", "chr1", 5, [0.0, 1.0, 2.0])], "snp string, chrom string, snp_pos bigint, dosage array<double>")
     assert association.trans_qtl(models, snps, snps.select("snp")).count() == 1 and sizes["pairs"] <= 1 << 17
+
+
+def test_heidi_groups_hold_no_more_than_what_is_compared(spark):
+    """A probe of many variants: rows beyond the top variant and the compared ones never meet in one group."""
+    from spliceweave.operators import heidi
+
+    rng = np.random.default_rng(5)
+    n, most = 3000, 4
+    geno = spark.createDataFrame([(f"v{i:05d}", [float(v) for v in rng.integers(0, 3, 12)]) for i in range(n)], "variant_id string, dosage array<double>")
+    merged = spark.createDataFrame(
+        [("one", f"v{i:05d}", float(b), 0.1, float(c), 0.1, float(p)) for i, (b, c, p) in enumerate(zip(rng.normal(1, 0.1, n), rng.normal(1, 0.1, n), rng.uniform(0, 1, n)))],
+        "probe string, variant_id string, beta_gwas double, se_gwas double, beta_sqtl double, se_sqtl double, p_sqtl double")
+    out = heidi.heidi(merged, geno, ["probe"], p_qtl_max=1.0, min_r2=0.01, most=most)
+    assert [r.n_variants for r in out.collect()] == [most]
+
+    def read_by(node):
+        kids = node.children().iterator()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return read_by(node.executedPlan())
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            return read_by(node.plan())
+        if node.metrics().contains("numOutputRows") and node.getClass().getSimpleName() == "FilterExec":
+            return node.metrics().apply("numOutputRows").value()
+        found = None
+        while found is None and kids.hasNext():
+            found = read_by(kids.next())
+        return found
+
+    assert read_by(out._jdf.queryExecution().executedPlan()) == most + 1

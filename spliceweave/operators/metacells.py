@@ -14,15 +14,39 @@ from spliceweave.operators.blocks import over_block_pairs
 from spliceweave.operators.components import connected_components
 from spliceweave.session import cut_lineage, drop_stage, ship_package
 
-BLOCK = 2048
+BLOCK = 8192
 SLICE = 64
+PAIRS = 1 << 16
+GRAPH_BLOCK = 1 << 17
 
 
-def _distances(a: np.ndarray, b: np.ndarray):
-    """Euclidean distances of a few rows of ``a`` at a time against all of ``b``."""
+def _exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Euclidean distances of row ``i`` of ``a`` and row ``j`` of ``b`` from their differences, a bounded number of pairs at a time."""
+    out = np.empty(len(i))
+    for lo in range(0, len(i), PAIRS):
+        gap = a[i[lo:lo + PAIRS]] - b[j[lo:lo + PAIRS]]
+        out[lo:lo + PAIRS] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+    return out
+
+
+def _squares(a: np.ndarray, b: np.ndarray):
+    """Squared distances of a few rows of ``a`` at a time against all of ``b`` by matrix products, and the scale that their rounding follows."""
+    whole = np.isfinite(b).all(axis=1)  # a vector that isn't spoils no other one's distances
+    middle = b[whole].mean(axis=0) if whole.any() else 0.0
+    a, b = a - middle, b - middle
+    aa, bb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
     for lo in range(0, len(a), SLICE):
-        gap = a[lo:lo + SLICE, None, :] - b[None, :, :]
-        yield lo, np.sqrt(np.einsum("ijk,ijk->ij", gap, gap))
+        scale = aa[lo:lo + SLICE, None] + bb[None, :]
+        yield lo, scale - 2.0 * (a[lo:lo + SLICE] @ b.T), scale
+
+
+def _distances(a: np.ndarray, b: np.ndarray):
+    """Euclidean distances of a few rows of ``a`` at a time against all of ``b``; small ones, where a product loses digits, from differences."""
+    for lo, sq, scale in _squares(a, b):
+        i, j = np.nonzero(sq < 1e-4 * scale + 1e-300)
+        d = np.sqrt(np.maximum(sq, 0.0))
+        d[i, j] = _exact(a[lo:lo + SLICE], b, i, j)
+        yield lo, d
 
 
 def _stack(col) -> np.ndarray:
@@ -35,17 +59,23 @@ def _nearest_kernel(k: int, skip_self: bool):
         if len(left) and len(right):
             refs = right.sort_values("ref_id", ignore_index=True)
             ids, cells = refs.ref_id.to_numpy(), left.cell_id.to_numpy()
-            for lo, d in _distances(_stack(left.pc), _stack(refs.pc)):
+            x, y = _stack(left.pc), _stack(refs.pc)
+            for lo, sq, scale in _squares(x, y):
                 if skip_self:
-                    d[cells[lo:lo + SLICE, None] == ids[None, :]] = np.inf
-                # a stable sort keeps the smaller reference id first among equal distances
-                pick = np.argsort(d, axis=1, kind="stable")[:, :k]
-                for i, row in enumerate(pick):
-                    row = row[np.isfinite(d[i, row])]
-                    cols["donor"] += [left.donor.iloc[0]] * len(row)
-                    cols["cell_id"] += [cells[lo + i]] * len(row)
-                    cols["ref_id"] += ids[row].tolist()
-                    cols["dist"] += d[i, row].tolist()
+                    sq[cells[lo:lo + SLICE, None] == ids[None, :]] = np.inf
+                # whatever may be among the k nearest, given the rounding of a product, is compared by its exact distance
+                sq[~np.isfinite(sq)] = np.inf
+                last = np.partition(sq, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+                i, j = np.nonzero((sq <= last[:, None] + 1e-11 * np.nanmax(np.where(np.isfinite(scale), scale, 0.0), axis=1)[:, None]) & np.isfinite(sq))
+                d = _exact(x[lo:lo + SLICE], y, i, j)
+                order = np.lexsort((j, d, i))  # the smaller reference id first among equal distances
+                i, j, d = i[order], j[order], d[order]
+                keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+                i, j = i[keep] + lo, j[keep]
+                cols["donor"] += [left.donor.iloc[0]] * len(i)
+                cols["cell_id"] += cells[i].tolist()
+                cols["ref_id"] += ids[j].tolist()
+                cols["dist"] += d[keep].tolist()
         return pd.DataFrame(cols) if cols["cell_id"] else pd.DataFrame()
 
     return run
@@ -231,7 +261,7 @@ def _move_in_block(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
                         waiting[j] = True
                         queue.append(j)
     moved = np.flatnonzero(np.array(comm) != start)
-    return pd.DataFrame({"donor": nodes.donor.iloc[0], "node": ids[moved], "pick": names[np.array(comm)[moved]]})
+    return pd.DataFrame({"donor": nodes.donor.to_numpy()[moved].tolist(), "node": ids[moved], "pick": names[np.array(comm)[moved]]})
 
 
 def _block_moves(state: DataFrame, ties: DataFrame, total: DataFrame, seed: int, block: int) -> DataFrame:
@@ -300,14 +330,14 @@ def _connected(flow: DataFrame, member: DataFrame) -> tuple[DataFrame, bool]:
     return cut.select("donor", "node", F.col("part").alias("comm")), not several.isEmpty()
 
 
-def louvain(edges: DataFrame, nodes: DataFrame, seed: int = 0, block: int = 2 * BLOCK) -> DataFrame:
+def louvain(edges: DataFrame, nodes: DataFrame, seed: int = 0, block: int = GRAPH_BLOCK) -> DataFrame:
     """(donor, node, community) by modularity moves on all donors' graphs at once.
 
     ``edges`` (donor, u, v) is undirected and simple. Nodes move until none gains, then communities are merged as nodes of the
     next level, until no level changes anything; communities that fell apart are cut, and nodes move again from what was found. At the end no
     move of a single node gains and communities are connected. Nodes move inside blocks of whole communities, about ``block`` nodes, which are
     dealt anew each time, and between blocks by all moves at once that don't hinder each other (``_safe_moves``); either raises modularity, so rounds
-    stay few. A large donor means more blocks: no donor's graph is gathered in one place. Nodes without an edge stay alone.
+    stay few. A donor of up to ``block`` nodes is one block, which is settled in one turn; the block bounds what a task holds, and a larger donor means more blocks and more rounds. Nodes without an edge stay alone.
     """
     flow = cut_lineage(edges.select("donor", F.inline(F.array(
         F.struct(F.col("u").alias("src"), F.col("v").alias("dst")),

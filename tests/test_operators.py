@@ -715,3 +715,33 @@ def test_heidi_groups_hold_no_more_than_what_is_compared(spark):
         return found
 
     assert read_by(out._jdf.queryExecution().executedPlan()) == most + 1
+
+
+def test_a_donor_of_some_thousand_cells_is_settled_without_rounds_between_blocks(spark, monkeypatch):
+    monkeypatch.setattr(metacells, "_safe_moves", None)
+    monkeypatch.setattr(metacells, "_best_moves", None)
+    n = 6000
+    edges = spark.range(n).selectExpr("'D' donor", "explode(array(id div 10 * 10 + (id + 1) % 10, id div 10 * 10 + (id + 3) % 10, (id + 10) % " + str(n) + ")) v", "id u")
+    edges = edges.selectExpr("donor", "least(u, v) u", "greatest(u, v) v").distinct()
+    nodes = spark.range(n).selectExpr("'D' donor", "id node")
+    member = metacells.louvain(edges, nodes)
+    assert member.count() == n and metacells.modularity(edges, member).first().modularity > 0.6
+
+
+def test_distances_in_bounded_memory(spark):
+    """Distances of copies are zero, ties go to the smaller id, a vector that isn't finite spoils no other, and no block x block x dimensions array is made."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    b = rng.normal(1, 1, (8192, 64))
+    b[50:90], b[100] = b[7], b[8] + 1e-7
+    want = np.array([[np.sqrt(((x - y) ** 2).sum()) for y in b[:120]] for x in b[:64]])
+    tracemalloc.start()
+    got = np.vstack([d for _, d in metacells._distances(b[:64], b)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.abs(got[:, :120] - want).max() < 1e-9 and got[7, 50] == 0 and peak < 60 << 20
+    b[0] = np.nan
+    cells = pd.DataFrame({"donor": "D", "cell_id": range(200), "pc": list(b[:200])})
+    near = metacells._nearest_kernel(3, True)(cells, cells.rename(columns={"cell_id": "ref_id"}))
+    assert near[near.cell_id == 60].ref_id.tolist() == [7, 50, 51] and not (near.ref_id == 0).any() and near.cell_id.nunique() == 199

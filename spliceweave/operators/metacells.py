@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -276,7 +277,12 @@ def _block_moves(state: DataFrame, ties: DataFrame, total: DataFrame, seed: int,
         .filter("__a = __b").select("donor", "__a", "src", "dst", "w").toDF("donor", "blk", "src", "dst", "w"))
     kinds = {f.name: f.dataType.simpleString() for f in state.schema.fields}
     schema = f"donor {kinds['donor']}, node {kinds['node']}, pick {kinds['comm']}"
-    return placed.groupBy("donor", "blk").cogroup(inner.groupBy("donor", "blk")).applyInPandas(_move_in_block, schema)
+
+    def run(nodes: pa.Table, edges: pa.Table) -> pa.Table:
+        moved = _move_in_block(nodes.to_pandas(), edges.to_pandas())
+        return pa.table({c: pa.array(moved[c].tolist(), nodes.schema.field(of).type) for c, of in (("donor", "donor"), ("node", "node"), ("pick", "comm"))})
+
+    return placed.groupBy("donor", "blk").cogroup(inner.groupBy("donor", "blk")).applyInArrow(run, schema)
 
 
 def _settle(flow: DataFrame, member: DataFrame, seed: int, block: int) -> tuple[DataFrame, bool]:

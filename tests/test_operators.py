@@ -745,3 +745,13 @@ def test_distances_in_bounded_memory(spark):
     cells = pd.DataFrame({"donor": "D", "cell_id": range(200), "pc": list(b[:200])})
     near = metacells._nearest_kernel(3, True)(cells, cells.rename(columns={"cell_id": "ref_id"}))
     assert near[near.cell_id == 60].ref_id.tolist() == [7, 50, 51] and not (near.ref_id == 0).any() and near.cell_id.nunique() == 199
+
+
+def test_relatedness_makes_dosages_once(spark):
+    """Neither a filter on frequencies nor the standardising may repeat the expression that dosages come from, and few keys are spread before they unfold."""
+    from spliceweave.plans import tables
+
+    made = spark.range(40).selectExpr("concat('v', id) AS snp", "transform(sequence(0, 4), d -> CAST((id * 7 + d * id) % 3 AS DOUBLE)) AS dosage")
+    plan = relatedness.relatedness(made, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(") == 1 and "Filter" not in plan
+    assert tables.genotypes(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

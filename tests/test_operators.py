@@ -755,3 +755,47 @@ def test_relatedness_makes_dosages_once(spark):
     plan = relatedness.relatedness(made, 5)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("transform(") == 1 and "Filter" not in plan
     assert tables.genotypes(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_many_fits_at_once_equal_single_ones():
+    """Models with different samples, converging or not, get what they get alone; samples a model lacks change nothing."""
+    from spliceweave.operators import glmm
+
+    rng = np.random.default_rng(4)
+    y, n, x, donor, kin = related_trial(1)
+    some = rng.random((40, len(y))) < rng.uniform(0.3, 1, 40)[:, None]
+    n = np.where(some, n, 0)
+    y = rng.binomial(n.astype(int), 1 / (1 + np.exp(-(rng.normal(0, 2, 40)[:, None] + rng.normal(0, 0.6, (40, len(kin)))[:, donor])))).astype(float)
+    y[:4] = np.where(x[:, 1] > 0, n[:4], 0)  # separated: coefficients run away
+    i, j = np.nonzero(kin)
+    family = np.array([min(np.flatnonzero(k)) for k in kin])
+    families = glmm.Families.of(family, i, j, kin[i, j])
+    fits = glmm.fit_many(y, n, x.T[None], donor, families)
+    assert "Converged" in fits.status and not set(fits.status[:4]) & {"Converged"}
+    for b in range(40):
+        use = n[b] > 0
+        one = glmm.fit_mixed(y[b, use], n[b, use], x[use], donor[use], families)
+        assert (b < 4 or one.status == fits.status[b]) and np.allclose(one.alpha, fits.alpha[b], atol=1e-6 if b > 3 else 1e-2) and np.allclose(one.pi, fits.pi[b, use], atol=1e-8)
+        assert one.tau_g == pytest.approx(fits.tau_g[b], abs=1e-8) and (b < 4 or np.allclose(one.cov, fits.cov[b], rtol=1e-6))
+
+
+def test_marker_ratio_at_donor_level(spark):
+    """The ratio of real markers against the samples-by-markers form, with missing dosages and uncovered donors; arrays of markers x samples are not made."""
+    from spliceweave.operators import glmm
+
+    y, n, x, donor, kin = related_trial(2)
+    rng = np.random.default_rng(0)
+    marks = np.where(rng.random((len(kin), 90)) < 0.05, np.nan, rng.binomial(2, 0.4, (len(kin), 90)).astype(float))
+    use = donor < 50
+    fit = glmm.fit_mixed(y[use], n[use], x[use], donor[use], kin)
+    w = n[use] * fit.pi * (1 - fit.pi)
+    z = np.eye(len(kin))[donor[use]]
+    v = np.linalg.inv(np.diag(1 / w + fit.tau_o) + fit.tau_g * z @ kin @ z.T)
+    p = v - v @ x[use] @ np.linalg.inv(x[use].T @ v @ x[use]) @ x[use].T @ v
+    g = np.where(np.isnan(marks[:50]), np.nanmean(marks[:50], axis=0), marks[:50])[donor[use]]
+    inv = np.linalg.inv((x[use].T * w) @ x[use])
+    g = g - x[use] @ (inv @ ((x[use].T * w) @ g))
+    want = np.mean(np.sum(g * (p @ g), axis=0) / np.sum(g * g * w[:, None], axis=0))
+    projector = glmm.Projectors((w / (1 + fit.tau_o * w))[None], donor[use], glmm.Families.whole(kin), np.array([fit.tau_g]), x[use].T[None])
+    got = null_model.marker_ratio(projector, w, x[use].T, inv, marks, np.arange(50), some=40)
+    assert fit.status == "Converged" and got == pytest.approx(want, rel=1e-9)

@@ -799,3 +799,26 @@ def test_marker_ratio_at_donor_level(spark):
     projector = glmm.Projectors((w / (1 + fit.tau_o * w))[None], donor[use], glmm.Families.whole(kin), np.array([fit.tau_g]), x[use].T[None])
     got = null_model.marker_ratio(projector, w, x[use].T, inv, marks, np.arange(50), some=40)
     assert fit.status == "Converged" and got == pytest.approx(want, rel=1e-9)
+
+
+def test_context_fits_of_a_block_share_arrays(spark, monkeypatch):
+    """A call of the model for each kind of fit and not for each pair; a pair's z is that of its samples alone, one without spread stays unidentified."""
+    from spliceweave.operators import context, glmm
+
+    rng = np.random.default_rng(6)
+    samples = pd.DataFrame({"metacell": [f"m{i}" for i in range(60)], "sample_idx": range(60), "ctx": [float(i % 2) for i in range(60)],
+                            "x": [[float(v)] for v in rng.normal(size=60)], "stratum": [("a", "b")[i % 2] for i in range(60)]})
+    samples["x_stratum"] = samples["x"]
+    rows = pd.DataFrame([(f"s{s}", "v", f"m{i}", i // 3, int(rng.integers(0, 9)), 9, float(s > 0) * rng.integers(0, 3))
+                         for s in range(12) for i in rng.permutation(60)[:50]], columns=["site", "snp", "metacell", "donor_idx", "included", "total", "dosage"])
+    calls, fit_many = [], context.fit_many
+    monkeypatch.setattr(context, "fit_many", lambda *a: calls.append(len(a[0])) or fit_many(*a))
+    out = context._fit_block(60)(rows, samples)
+    assert len(calls) == 3 and len(out) == 36 and set(out[out.site == "s0"].status) == {"Unidentified"}
+    mine = rows[rows.site == "s5"].merge(samples, on="metacell")
+    x = np.column_stack([np.ones(50), np.vstack(mine.x), mine.ctx, mine.dosage, mine.dosage * mine.ctx])
+    donors, code = np.unique(mine.donor_idx, return_inverse=True)
+    one = glmm.fit_mixed(mine.included.to_numpy(float), mine.total.to_numpy(float), x, code, glmm.Families.unrelated(len(donors)), 60)
+    got = out[(out.site == "s5") & (out.fit == "all")].iloc[0]
+    assert got.n == 50 and got.status == one.status
+    assert [got.z_geno, got.z_inter] == pytest.approx((one.alpha / np.sqrt(np.diag(one.cov)))[-2:], rel=1e-7)

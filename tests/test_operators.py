@@ -822,3 +822,13 @@ def test_context_fits_of_a_block_share_arrays(spark, monkeypatch):
     got = out[(out.site == "s5") & (out.fit == "all")].iloc[0]
     assert got.n == 50 and got.status == one.status
     assert [got.z_geno, got.z_inter] == pytest.approx((one.alpha / np.sqrt(np.diag(one.cov)))[-2:], rel=1e-7)
+
+
+def test_stored_p_is_checked_in_batches(spark):
+    """The summed tail finds right and wrong p, leaves NULL, and isn't 401 interpreted steps a row."""
+    from spliceweave.plans import catalog
+
+    rows = spark.createDataFrame([(0.0, 1.0), (1.96, 0.04999579), (-1.96, 0.04999579), (1.96, 0.0501), (None, None)], "z double, p double")
+    out = rows.select("z", "p", catalog.p_matches(F.col("z")).alias("ok"))
+    assert [r.ok for r in out.collect()] == [True, True, True, False, None]
+    assert "sequence(" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -30,22 +30,25 @@ def _exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nda
     return out
 
 
-def _squares(a: np.ndarray, b: np.ndarray):
-    """Squared distances of a few rows of ``a`` at a time against all of ``b`` by matrix products, and the scale that their rounding follows."""
+def _places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.nonzero`` of a mask that is mostly empty: eight places at a time are looked at first."""
+    flat = np.ascontiguousarray(mask).ravel()
+    end = len(flat) // 8 * 8
+    at = (np.flatnonzero(flat[:end].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    return np.divmod(np.concatenate([at[flat[at]], end + np.flatnonzero(flat[end:])]), mask.shape[1])
+
+
+def _distances(a: np.ndarray, b: np.ndarray):
+    """Euclidean distances of a few rows of ``a`` at a time against all of ``b`` by matrix products; small ones, where a product loses digits, from differences."""
     whole = np.isfinite(b).all(axis=1)  # a vector that isn't spoils no other one's distances
     middle = b[whole].mean(axis=0) if whole.any() else 0.0
     a, b = a - middle, b - middle
     aa, bb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    left, right = np.column_stack([-2.0 * a, aa, np.ones(len(a))]), np.column_stack([b, np.ones(len(b)), bb]).T.copy()
     for lo in range(0, len(a), SLICE):
-        scale = aa[lo:lo + SLICE, None] + bb[None, :]
-        yield lo, scale - 2.0 * (a[lo:lo + SLICE] @ b.T), scale
-
-
-def _distances(a: np.ndarray, b: np.ndarray):
-    """Euclidean distances of a few rows of ``a`` at a time against all of ``b``; small ones, where a product loses digits, from differences."""
-    for lo, sq, scale in _squares(a, b):
-        i, j = np.nonzero(sq < 1e-4 * scale + 1e-300)
-        d = np.sqrt(np.maximum(sq, 0.0))
+        d = left[lo:lo + SLICE] @ right
+        i, j = _places(d < (1e-4 * aa[lo:lo + SLICE, None] + 1e-300) + 1e-4 * bb[None, :])
+        np.sqrt(np.maximum(d, 0.0, out=d), out=d)
         d[i, j] = _exact(a[lo:lo + SLICE], b, i, j)
         yield lo, d
 
@@ -54,30 +57,69 @@ def _stack(col) -> np.ndarray:
     return np.vstack(col.to_numpy()).astype(float)
 
 
+def _kth_at_most(v: np.ndarray, k: int) -> np.ndarray:
+    """A bound that ``k`` values of each row don't exceed: the k-th smallest of the minima of groups of columns, of which there are many times ``k``."""
+    m = v.shape[1]
+    if m < k:
+        return np.full(len(v), np.inf, v.dtype)
+    groups = max(128, 16 * k)
+    deep = m // groups
+    if deep > 1:
+        v = np.concatenate([v[:, :deep * groups].reshape(len(v), deep, groups).min(axis=1), v[:, deep * groups:]], axis=1)
+    return np.partition(v, k - 1, axis=1)[:, k - 1]
+
+
+def _nearest_pairs(x: np.ndarray, y: np.ndarray, k: int, first: np.ndarray, last: np.ndarray):
+    """(i, j, distance) of the ``k`` nearest rows of ``y`` of each row of ``x``, by distance and place; rows ``first`` up to ``last`` of ``y`` are left out.
+
+    Single-precision products rule rows out, with a margin for all that their rounding can do; what is left is compared by exact distances.
+    """
+    middle = y.mean(axis=0)
+    a, b = x - middle, y - middle
+    far = max(np.abs(a).max(), np.abs(b).max(), 1e-300)
+    a, b = a / far, b / far
+    aa, bb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    left = np.column_stack([-2.0 * a, np.ones(len(a))]).astype(np.float32)
+    right = np.column_stack([b, bb]).T.astype(np.float32, order="C")
+    margin = 2.5 * (x.shape[1] + 4) * 2.0 ** -24 * (np.sqrt(aa) + np.sqrt(bb.max())) ** 2 + 1e-30
+    for lo in range(0, len(a), SLICE):
+        v = left[lo:lo + SLICE] @ right
+        own, stop = first[lo:lo + SLICE], last[lo:lo + SLICE]
+        for back in range(int((stop - own).max())):
+            i = np.flatnonzero(own + back < stop)
+            v[i, own[i] + back] = np.inf
+        cut = np.nextafter((_kth_at_most(v, k) + margin[lo:lo + SLICE]).astype(np.float32), np.float32(np.inf))
+        i, j = _places(v <= cut[:, None])
+        i, j = (c[v[i, j] < np.inf] for c in (i, j))
+        if len(i) > 8 * k * len(v):  # vectors of very unequal lengths: double precision rules out more
+            sq = bb[j] - 2.0 * np.concatenate([np.einsum("ij,ij->i", a[lo + i[s:s + PAIRS]], b[j[s:s + PAIRS]]) for s in range(0, len(i), PAIRS)])
+            order = np.lexsort((sq, i))
+            kth = np.searchsorted(i, np.arange(len(v))) + k - 1
+            most = sq[order][np.minimum(kth, len(i) - 1)]
+            most[kth >= np.searchsorted(i, np.arange(len(v)), side="right")] = np.inf
+            keep = sq <= (most + margin[lo:lo + SLICE] * 2.0 ** -28)[i]
+            i, j = i[keep], j[keep]
+        d = _exact(x[lo:lo + SLICE], y, i, j)
+        order = np.lexsort((j, d, i))  # the smaller reference id first among equal distances
+        i, j, d = i[order], j[order], d[order]
+        keep = (np.arange(len(i)) - np.searchsorted(i, i) < k) & np.isfinite(d)
+        yield i[keep] + lo, j[keep], d[keep]
+
+
 def _nearest_kernel(k: int, skip_self: bool):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        cols = {"donor": [], "cell_id": [], "ref_id": [], "dist": []}
-        if len(left) and len(right):
-            refs = right.sort_values("ref_id", ignore_index=True)
-            ids, cells = refs.ref_id.to_numpy(), left.cell_id.to_numpy()
-            x, y = _stack(left.pc), _stack(refs.pc)
-            for lo, sq, scale in _squares(x, y):
-                if skip_self:
-                    sq[cells[lo:lo + SLICE, None] == ids[None, :]] = np.inf
-                # whatever may be among the k nearest, given the rounding of a product, is compared by its exact distance
-                sq[~np.isfinite(sq)] = np.inf
-                last = np.partition(sq, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
-                i, j = np.nonzero((sq <= last[:, None] + 1e-11 * np.nanmax(np.where(np.isfinite(scale), scale, 0.0), axis=1)[:, None]) & np.isfinite(sq))
-                d = _exact(x[lo:lo + SLICE], y, i, j)
-                order = np.lexsort((j, d, i))  # the smaller reference id first among equal distances
-                i, j, d = i[order], j[order], d[order]
-                keep = np.arange(len(i)) - np.searchsorted(i, i) < k
-                i, j = i[keep] + lo, j[keep]
-                cols["donor"] += [left.donor.iloc[0]] * len(i)
-                cols["cell_id"] += cells[i].tolist()
-                cols["ref_id"] += ids[j].tolist()
-                cols["dist"] += d[keep].tolist()
-        return pd.DataFrame(cols) if cols["cell_id"] else pd.DataFrame()
+        if not (len(left) and len(right)):
+            return pd.DataFrame()
+        refs = right.sort_values("ref_id", ignore_index=True)
+        x, y = _stack(left.pc), _stack(refs.pc)
+        mine, theirs = np.isfinite(x).all(axis=1), np.isfinite(y).all(axis=1)
+        if not (mine.any() and theirs.any()):
+            return pd.DataFrame()
+        cells, ids = left.cell_id.to_numpy()[mine], refs.ref_id.to_numpy()[theirs]
+        first = np.searchsorted(ids, cells) if skip_self else np.zeros(len(cells), int)
+        last = np.searchsorted(ids, cells, side="right") if skip_self else first
+        i, j, d = (np.concatenate(c) for c in zip(*_nearest_pairs(x[mine], y[theirs], k, first, last), strict=True))
+        return pd.DataFrame({"donor": np.repeat(left.donor.to_numpy()[:1], len(i)), "cell_id": cells[i], "ref_id": ids[j], "dist": d})
 
     return run
 
@@ -93,7 +135,7 @@ def nearest(cells: DataFrame, refs: DataFrame, k: int = 1, skip_self: bool = Fal
     schema = f"donor {types['donor']}, cell_id {types['cell_id']}, ref_id {types['ref_id']}, dist double"
     found = over_block_pairs(
         cells.select("donor", "cell_id", "pc"), refs.select("donor", "ref_id", "pc"), ["donor"],
-        ["cell_id"], ["ref_id"], block, block, _nearest_kernel(k, skip_self), schema)
+        ["cell_id"], ["ref_id"], block, 4 * block, _nearest_kernel(k, skip_self), schema)
     order = Window.partitionBy("donor", "cell_id").orderBy("dist", "ref_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -140,12 +182,13 @@ def _spread_kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Per cell and block: distances to the own metacell, the smallest mean to others that are whole here, and sums to parts of larger ones."""
     if left.empty or right.empty:
         return pd.DataFrame()
-    names, first, code = np.unique(right.ref_meta.to_numpy(), return_index=True, return_inverse=True)
-    hot, n, parts = np.eye(len(names))[code], right.n.to_numpy()[first].astype(float), right.parts.to_numpy()[first]
+    right = right.sort_values("ref_meta", ignore_index=True)
+    names, first = np.unique(right.ref_meta.to_numpy(), return_index=True)
+    n, parts = right.n.to_numpy()[first].astype(float), right.parts.to_numpy()[first]
     out = []
     for lo, d in _distances(_stack(left.pc), _stack(right.pc)):
         cells = left.iloc[lo:lo + len(d)]
-        sums = d @ hot
+        sums = np.add.reduceat(d, first, axis=1)
         own = cells.meta.to_numpy()[:, None] == names[None, :]
         whole = np.where(own | (parts > 1)[None, :], np.inf, sums / n)
         base = cells[["donor", "cell_id"]]
@@ -230,39 +273,103 @@ def _safe_moves(moves: DataFrame, seed: int) -> DataFrame:
     return judged.filter(F.col("first") | (F.col("more") > F.col("deg") * F.col("load") / F.col("two_m") + 1e-9)).select("donor", "node", "pick")
 
 
-def _move_in_block(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    """(donor, node, pick) of the nodes that change community when nodes of one block move, one after another, until none gains.
+def _settled(comm: np.ndarray, deg: np.ndarray, two_m: float, at: np.ndarray, other: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Communities after moves of one node after another until none gains. Nodes whose neighbours moved get another turn.
 
-    Communities lie in the block as a whole, so all gains are exact. Nodes whose neighbours moved get another turn.
+    ``at`` are the places where the neighbours ``other`` of each node begin, ``w`` their weights.
     """
-    if nodes.empty or edges.empty:
-        return pd.DataFrame({"donor": [], "node": [], "pick": []})
-    nodes = nodes.sort_values("node", ignore_index=True)
-    ids, deg, two_m = nodes.node.to_numpy(), nodes.deg.to_numpy(float), float(nodes.two_m.iloc[0])
-    names, start = np.unique(nodes.comm.to_numpy(), return_inverse=True)
-    comm, mass = start.tolist(), np.bincount(start, deg).tolist()
-    edges = edges.sort_values(["src", "dst"])
-    at = np.searchsorted(edges.src.to_numpy(), ids, side="left").tolist() + [len(edges)]
-    other, w = np.searchsorted(ids, edges.dst.to_numpy()).tolist(), edges.w.tolist()
+    mass, comm, deg = np.bincount(comm, deg, comm.max() + 1).tolist(), comm.tolist(), deg.tolist()
+    at, other, w = at.tolist(), other.tolist(), w.tolist()
     eager = True
     while eager:  # masses change for nodes that are no neighbours too, so a last turn of all nodes has to find nothing
-        eager, queue, waiting = False, deque(range(len(ids))), [True] * len(ids)
+        eager, queue, waiting = False, deque(range(len(deg))), [True] * len(deg)
         while queue:
             i = queue.popleft()
-            waiting[i], own, d = False, comm[i], float(deg[i])
-            pull = {own: 0.0}
-            for e in range(at[i], at[i + 1]):
-                pull[comm[other[e]]] = pull.get(comm[other[e]], 0.0) + w[e]
+            waiting[i], own, d = False, comm[i], deg[i]
+            near, pull = other[at[i]:at[i + 1]], {own: 0.0}
+            for j, k in zip(near, w[at[i]:at[i + 1]], strict=True):
+                c = comm[j]
+                pull[c] = pull.get(c, 0.0) + k
+            if len(pull) == 1:
+                continue
             gain = {c: k - d * (mass[c] - (d if c == own else 0.0)) / two_m for c, k in pull.items()}
+            least = gain[own] + 1e-9
+            if max(gain.values()) <= least:
+                continue
             pick = min(gain, key=lambda c: (-round(gain[c], 9), c))
-            if gain[pick] > gain[own] + 1e-9:
+            if gain[pick] > least:
                 mass[own], mass[pick], comm[i], eager = mass[own] - d, mass[pick] + d, pick, True
-                for j in other[at[i]:at[i + 1]]:
+                for j in near:
                     if not waiting[j] and comm[j] != pick:
                         waiting[j] = True
                         queue.append(j)
-    moved = np.flatnonzero(np.array(comm) != start)
-    return pd.DataFrame({"donor": nodes.donor.to_numpy()[moved].tolist(), "node": ids[moved], "pick": names[np.array(comm)[moved]]})
+    return np.array(comm)
+
+
+def _parts(comm: np.ndarray, at: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's connected part of its community."""
+    part, inside, at, other = np.full(len(comm), -1).tolist(), comm.tolist(), at.tolist(), other.tolist()
+    for start in range(len(comm)):
+        if part[start] < 0:
+            part[start], stack = start, [start]
+            while stack:
+                i = stack.pop()
+                for j in other[at[i]:at[i + 1]]:
+                    if part[j] < 0 and inside[j] == inside[start]:
+                        part[j] = start
+                        stack.append(j)
+    return np.array(part)
+
+
+def _merged_in_block(comm: np.ndarray, deg: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray):
+    """The block's graph with communities as nodes: their code of each node, degrees, and edges as begins, ends and weights."""
+    _, code = np.unique(comm, return_inverse=True)
+    k = code.max() + 1
+    pair, at = np.unique(code[src] * k + code[dst], return_inverse=True)
+    cs, cd, cw = pair // k, pair % k, np.bincount(at, w, len(pair))
+    apart = cs != cd
+    return code, np.bincount(code, deg, k), cs[apart], cd[apart], cw[apart]
+
+
+def _move_in_block(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """(donor, node, pick) of the nodes that change community when nodes of one block move, and then its communities as nodes, until none gains.
+
+    Communities lie in the block as a whole, so all gains are exact. If the block is the donor, communities that fell apart are cut as well, so
+    nothing is left to do for it.
+    """
+    if nodes.empty or edges.empty:
+        return pd.DataFrame({"donor": [], "node": [], "pick": []})
+    nodes = nodes.sort_values("node", ignore_index=True)
+    ids, deg, two_m, alone = nodes.node.to_numpy(), nodes.deg.to_numpy(float), float(nodes.two_m.iloc[0]), nodes.parts.iloc[0] == 1
+    names = np.unique(np.concatenate([ids, nodes.comm.to_numpy()]))
+    start = np.searchsorted(names, nodes.comm.to_numpy())
+    src, dst, w = np.searchsorted(ids, edges.src.to_numpy()), np.searchsorted(ids, edges.dst.to_numpy()), edges.w.to_numpy(float)
+    order = np.lexsort((dst, src))
+    src, dst, w = src[order], dst[order], w[order]
+
+    def begins(s, n):
+        return np.searchsorted(s, np.arange(n + 1))
+
+    at, comm = begins(src, len(ids)), start
+    while True:
+        comm = _settled(comm, deg, two_m, at, dst, w)
+        before = comm
+        while True:
+            code, mass, cs, cd, cw = _merged_in_block(comm, deg, src, dst, w)
+            label = np.empty(len(mass), int)
+            label[code] = comm
+            merged = _settled(np.arange(len(mass)), mass, two_m, begins(cs, len(mass)), cd, cw)
+            if (merged == np.arange(len(mass))).all():
+                break
+            comm = label[merged[code]]
+        changed = (comm != before).any()
+        if alone:  # communities are named by their smallest node; the donor has no others
+            count, comm = len(np.unique(comm)), np.searchsorted(names, ids)[_parts(comm, at, dst)]
+            changed |= len(np.unique(comm)) > count
+        if not changed:
+            break
+    moved = np.flatnonzero(comm != start)
+    return pd.DataFrame({"donor": nodes.donor.to_numpy()[moved].tolist(), "node": ids[moved], "pick": names[comm[moved]]})
 
 
 def _block_moves(state: DataFrame, ties: DataFrame, total: DataFrame, seed: int, block: int) -> DataFrame:
@@ -270,7 +377,7 @@ def _block_moves(state: DataFrame, ties: DataFrame, total: DataFrame, seed: int,
     ship_package(state.sparkSession)
     sizes = state.groupBy("donor", "comm").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") <= block).drop("__n")
     where = F.pmod(F.xxhash64(F.lit(seed), "comm"), F.col("parts")).cast("int").alias("blk")
-    placed = state.join(sizes, ["donor", "comm"], "left_semi").join(total, "donor").select("donor", where, "node", "deg", "comm", "two_m")
+    placed = state.join(sizes, ["donor", "comm"], "left_semi").join(total, "donor").select("donor", where, "node", "deg", "comm", "two_m", "parts")
     ends = placed.select("donor", "blk", "node")
     inner = (
         ties.join(ends.toDF("donor", "__a", "src"), ["donor", "src"]).join(ends.toDF("donor", "__b", "dst"), ["donor", "dst"])
@@ -336,22 +443,11 @@ def _connected(flow: DataFrame, member: DataFrame) -> tuple[DataFrame, bool]:
     return cut.select("donor", "node", F.col("part").alias("comm")), not several.isEmpty()
 
 
-def louvain(edges: DataFrame, nodes: DataFrame, seed: int = 0, block: int = GRAPH_BLOCK) -> DataFrame:
-    """(donor, node, community) by modularity moves on all donors' graphs at once.
-
-    ``edges`` (donor, u, v) is undirected and simple. Nodes move until none gains, then communities are merged as nodes of the
-    next level, until no level changes anything; communities that fell apart are cut, and nodes move again from what was found. At the end no
-    move of a single node gains and communities are connected. Nodes move inside blocks of whole communities, about ``block`` nodes, which are
-    dealt anew each time, and between blocks by all moves at once that don't hinder each other (``_safe_moves``); either raises modularity, so rounds
-    stay few. A donor of up to ``block`` nodes is one block, which is settled in one turn; the block bounds what a task holds, and a larger donor means more blocks and more rounds. Nodes without an edge stay alone.
-    """
-    flow = cut_lineage(edges.select("donor", F.inline(F.array(
-        F.struct(F.col("u").alias("src"), F.col("v").alias("dst")),
-        F.struct(F.col("v").alias("src"), F.col("u").alias("dst"))))).withColumn("w", F.lit(1.0)))
-    member = cut_lineage(flow.select("donor", F.col("src").alias("node"), F.col("src").alias("comm")).distinct())
+def _levels(flow: DataFrame, member: DataFrame, seed: int, block: int) -> DataFrame:
+    """(donor, node, comm) from a partition in which no node gains: communities move as nodes of the next levels and are cut into their
+    connected parts, and nodes move again, until none of it changes anything."""
     while True:
-        member, _ = _settle(flow, member, seed, block)
-        member, merged, level = cut_lineage(member), False, flow
+        merged, level = False, flow
         while True:
             step = member if level is flow else upper
             coarse = cut_lineage(_merged(level, step))
@@ -362,11 +458,33 @@ def louvain(edges: DataFrame, nodes: DataFrame, seed: int = 0, block: int = GRAP
             merged, level, upper = True, coarse, cut_lineage(upper)
             label = upper.select("donor", F.col("node").alias("comm"), F.col("comm").alias("next"))
             member = cut_lineage(member.join(label, ["donor", "comm"]).select("donor", "node", F.col("next").alias("comm")))
-        if merged:
-            continue
-        member, apart = _connected(flow, member)
-        if not apart:
-            break
+        if not merged:
+            member, apart = _connected(flow, member)
+            if not apart:
+                return member
+        member = cut_lineage(_settle(flow, member, seed, block)[0])
+
+
+def louvain(edges: DataFrame, nodes: DataFrame, seed: int = 0, block: int = GRAPH_BLOCK) -> DataFrame:
+    """(donor, node, community) by modularity moves on all donors' graphs at once.
+
+    ``edges`` (donor, u, v) is undirected and simple. Nodes move until none gains, then communities are merged as nodes of the
+    next level, until no level changes anything; communities that fell apart are cut, and nodes move again from what was found. At the end no
+    move of a single node gains and communities are connected. Nodes and then communities move inside blocks of whole communities, about ``block`` nodes, which are
+    dealt anew each time, and between blocks by all moves at once that don't hinder each other (``_safe_moves``); either raises modularity, so rounds
+    stay few. A donor of up to ``block`` nodes is one block, in which all of that is done in one turn; the block bounds what a task holds, and a larger
+    donor means more blocks and more rounds. Nodes without an edge stay alone.
+    """
+    flow = cut_lineage(edges.select("donor", F.inline(F.array(
+        F.struct(F.col("u").alias("src"), F.col("v").alias("dst")),
+        F.struct(F.col("v").alias("src"), F.col("u").alias("dst"))))).withColumn("w", F.lit(1.0)))
+    member = cut_lineage(flow.select("donor", F.col("src").alias("node"), F.col("src").alias("comm")).distinct())
+    large = cut_lineage(member.groupBy("donor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select("donor"))
+    member = cut_lineage(_settle(flow, member, seed, block)[0])
+    if not large.isEmpty():  # donors of one block are done: there is nothing left to move, to merge or to cut
+        done = member.join(large, "donor", "left_anti")
+        member = done.unionByName(_levels(
+            cut_lineage(flow.join(large, "donor", "left_semi")), cut_lineage(member.join(large, "donor", "left_semi")), seed, block))
     found = nodes.select("donor", "node").join(member, ["donor", "node"], "left")
     return cut_lineage(found.select("donor", "node", F.coalesce("comm", "node").alias("community")))
 

@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -832,3 +833,74 @@ def test_stored_p_is_checked_in_batches(spark):
     out = rows.select("z", "p", catalog.p_matches(F.col("z")).alias("ok"))
     assert [r.ok for r in out.collect()] == [True, True, True, False, None]
     assert "sequence(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_donors_of_one_block_need_no_levels_between_tasks(spark, monkeypatch):
+    """Levels and cuts of a donor that fits a block are made in its block, not by rounds of joins."""
+    for name in ("_merged", "_connected", "_best_moves", "_safe_moves"):
+        monkeypatch.setattr(metacells, name, None)
+    rng = np.random.default_rng(3)
+    pairs = {(d, *sorted(map(int, p))) for d in "ab" for p in rng.integers(0, 400, (1600, 2)) if p[0] != p[1]}
+    pairs |= {(d, 20 * g + i, 20 * g + j) for d in "ab" for g in range(20) for i in range(20) for j in range(i) if (i + j) % 3}
+    edges = spark.createDataFrame(sorted({(d, min(u, v), max(u, v)) for d, u, v in pairs}), "donor string, u bigint, v bigint")
+    member = {(r.donor, r.node): r.community for r in metacells.louvain(
+        edges, edges.selectExpr("donor", "explode(array(u, v)) node").distinct()).collect()}
+    for d in "ab":
+        mine = [(u, v) for e, u, v in sorted({(e, min(u, v), max(u, v)) for e, u, v in pairs}) if e == d]
+        comm = {n: c for (e, n), c in member.items() if e == d}
+        deg, inner, mass, m = Counter(x for p in mine for x in p), Counter(), Counter(), len(mine)
+        for u, v in mine:
+            inner[tuple(sorted((comm[u], comm[v])))] += 1
+        for n, k in deg.items():
+            mass[comm[n]] += k
+        assert 5 < len(mass) < 60
+        assert all(n <= mass[a] * mass[b] / (2 * m) + 1e-6 for (a, b), n in inner.items() if a != b)  # no two communities gain by a merger
+        for c in mass:  # connected
+            left, stack = {n for n in comm if comm[n] == c}, []
+            stack.append(left.pop())
+            links = {n: [] for n in comm}
+            for u, v in mine:
+                links[u].append(v)
+                links[v].append(u)
+            while stack:
+                near = left & set(links[stack.pop()])
+                left -= near
+                stack += near
+            assert not left
+
+
+def test_block_moves_cut_what_fell_apart():
+    """A community of two parts without an edge between them is cut in its block."""
+    edges = [(0, 1), (1, 2), (0, 2), (5, 6), (6, 7), (5, 7)]
+    both = pd.DataFrame([(a, b, 1.0) for u, v in edges for a, b in ((u, v), (v, u))], columns=["src", "dst", "w"])
+    nodes = pd.DataFrame({"donor": "D", "node": [0, 1, 2, 5, 6, 7], "deg": 2.0, "comm": 1, "two_m": 12.0, "parts": 1})
+    moved = metacells._move_in_block(nodes, both)
+    after = dict(zip(nodes.node, nodes.comm)) | dict(zip(moved.node, moved.pick))
+    assert after[0] == after[1] == after[2] != after[5] == after[6] == after[7]
+
+
+@pytest.mark.parametrize("kind", ["plain", "far", "copies", "offset", "holes", "few"])
+def test_single_precision_rules_no_neighbour_out(kind):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6 if kind == "few" else 3000, 7))
+    if kind == "far":
+        x[:3] = [[1e4], [1e9], [-1e12]]
+    if kind == "copies":
+        x = x[rng.integers(0, 60, len(x))]
+    if kind == "offset":
+        x += 1e5
+    if kind == "holes":
+        x[rng.random(x.shape) < 0.01] = np.nan
+    cells = pd.DataFrame({"donor": "D", "cell_id": rng.permutation(len(x)), "pc": list(x)})
+    got = metacells._nearest_kernel(9, True)(cells, cells.rename(columns={"cell_id": "ref_id"}))
+    ids, got = cells.cell_id.to_numpy(), {c: g.ref_id.tolist() for c, g in got.sort_values(["dist", "ref_id"]).groupby("cell_id")}
+    for row in rng.permutation(len(x))[:150]:
+        d = np.sqrt(np.einsum("ij,ij->i", x[row] - x, x[row] - x))
+        ok = np.isfinite(d) & (np.arange(len(x)) != row)
+        want = ids[ok][np.lexsort((ids[ok], d[ok]))][:9].tolist()
+        assert got.get(ids[row], []) == want
+
+
+def test_large_blocks_keep_places():
+    mask = np.random.default_rng(0).random((37, 1003)) < 0.01
+    assert all((a == b).all() for a, b in zip(metacells._places(mask), np.nonzero(mask), strict=True))

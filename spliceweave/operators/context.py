@@ -15,7 +15,7 @@ from spliceweave.operators.glmm import Families, at_once, fit_many
 from spliceweave.operators.multiple_testing import benjamini_hochberg
 from spliceweave.operators.null_model import sample_grid
 from spliceweave.operators.strata import balanced_sample, with_tertile
-from spliceweave.session import ship_package
+from spliceweave.session import cut_lineage, ship_package
 
 FIT_SCHEMA = "site string, snp string, fit string, status string, n bigint, z_geno double, z_inter double"
 
@@ -91,7 +91,7 @@ def context_effects(
     listed = genotype.join(pairs.select("snp").distinct(), "snp", "left_semi")  # before dosage arrays are exploded
     if "donor_idx" not in genotype.columns:
         listed = listed.select("snp", F.posexplode("dosage").alias("donor_idx", "dosage"))
-    rows = (
+    rows = cut_lineage(  # read by the fits and by the slopes
         pheno.select("site", sample, "included", "total").filter("total > 0")
         .join(pairs.select("site", "snp"), "site")
         .join(design, sample)
@@ -104,7 +104,9 @@ def context_effects(
         "included", "total", "dosage")
     copies = design.select(F.col(sample).alias("metacell"), "sample_idx", "x", "x_stratum", "ctx", "stratum").withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    fits = work.groupBy("block").cogroup(copies.groupBy("block")).applyInPandas(_fit_block(max_iter), FIT_SCHEMA).select(
+    # rows are few bytes for the work they make, so blocks are dealt to tasks by number and not by size
+    fits = work.repartition(blocks, "block").groupBy("block").cogroup(copies.repartition(blocks, "block").groupBy("block")).applyInPandas(
+        _fit_block(max_iter), FIT_SCHEMA).select(
         "site", "snp", "fit", F.nanvl("z_geno", F.lit(None)).alias("z_geno"), F.nanvl("z_inter", F.lit(None)).alias("z_inter")
     ).withColumn("p_geno", two_sided_p("z_geno")).withColumn("p_inter", two_sided_p("z_inter"))
     wide = fits.groupBy("site", "snp").agg(
@@ -118,7 +120,7 @@ def context_effects(
         wide = wide.join(slopes, ["site", "snp"], "left")
     if fdr_by:
         wide = wide.join(pairs.select("site", "snp", *fdr_by), ["site", "snp"])
-    return benjamini_hochberg(wide, "p_interaction", "q", fdr_by)
+    return benjamini_hochberg(cut_lineage(wide), "p_interaction", "q", fdr_by)  # which reads it several times
 
 
 def _design(samples: DataFrame, covariates: Sequence[str], ctx: str, stratum: Column, drop: Sequence[str] = ()) -> DataFrame:

@@ -241,7 +241,8 @@ def fit_null(
         known = right.loc[right["metacell"].notna(), ["metacell", "sample_idx", "donor_idx", "x"]]
         return pd.DataFrame(fit_block(left.merge(known, on="metacell"), kin, marks))
 
-    return rows.groupBy("block").cogroup(copies.groupBy("block")).applyInPandas(run, NULL_SCHEMA)
+    # rows are few bytes for the work they make, so blocks are dealt to tasks by number and not by size
+    return rows.repartition(blocks, "block").groupBy("block").cogroup(copies.repartition(blocks, "block").groupBy("block")).applyInPandas(run, NULL_SCHEMA)
 
 
 def donor_sums(models: DataFrame, design: DataFrame, n_donors: int, sample: str = "metacell") -> DataFrame:

@@ -823,14 +823,16 @@ def balanced_downsample(spark, sf):
 # ------------------------------------------------------------------ association
 
 def site_frame(spark, sf):
+    """Phenotype of all retained sites, stored: models and tests read it several times."""
     samples = t.samples(spark, sf)
     named = introns.with_site_name(filled_phenotype(spark, sf))
-    return named.join(samples.select("metacell", "donor", "donor_idx"), "metacell")
+    return cut_lineage(named.join(samples.select("metacell", "donor", "donor_idx"), "metacell"))
 
 
-def screening_null(spark, sf):
+def screening_null(spark, sf, pheno=None):
     """Null models are fitted once and stored; every test reads the stored table."""
-    return cut_lineage(null_model.fit_intercept_only(site_frame(spark, sf), t.n_donors(spark, sf)))
+    pheno = site_frame(spark, sf) if pheno is None else pheno
+    return cut_lineage(null_model.fit_intercept_only(pheno, t.n_donors(spark, sf)))
 
 
 SCORE = """
@@ -900,11 +902,12 @@ def grm_table(spark, sf):
     return cut_lineage(relatedness.relatedness(t.genotypes(spark, sf), t.n_donors(spark, sf)))
 
 
-def fitted_null(spark, sf, **options):
-    samples = metacell_covariates(spark, sf)
+def fitted_null(spark, sf, pheno=None, **options):
+    pheno = site_frame(spark, sf) if pheno is None else pheno
+    samples = cut_lineage(metacell_covariates(spark, sf))
     x = samples.select("metacell", F.array("state", "age", "num_cells").alias("x"))
     design = cut_lineage(null_model.design_table(samples, x, grm_table(spark, sf), grm_min=0.05, **options.pop("design", {})))
-    return cut_lineage(null_model.fit_null(site_frame(spark, sf), design, t.n_donors(spark, sf), **options))
+    return cut_lineage(null_model.fit_null(pheno, design, t.n_donors(spark, sf), **options))
 
 
 @query("grm", f"""WITH {o.GENOTYPES},
@@ -1041,17 +1044,18 @@ def group_differences(spark, sf):
     return association.diff_splicing(fitted_null(spark, sf), groups, null_model.design_table(samples, x))
 
 
-def lead_pairs(spark, sf):
+def lead_pairs(spark, sf, pheno):
     """Best cis variant of every retained site."""
-    cis = association.cis_qtl(screening_null(spark, sf), t.genotypes(spark, sf), 500_000)
+    cis = association.cis_qtl(screening_null(spark, sf, pheno), t.genotypes(spark, sf), 500_000)
     return cut_lineage(gwas.best_hit(cis.select("site", "snp", "p"), ["site"], "p", ["snp"]).select("site", "snp"))
 
 
 def context_rows(spark, sf, design, names):
     """Interaction fits of the lead pairs: p of the dosage, of the interaction and in each stratum, q and slopes."""
-    models = fitted_null(spark, sf)
+    pheno = site_frame(spark, sf)
+    models = fitted_null(spark, sf, pheno)
     return context.context_effects(
-        site_frame(spark, sf), lead_pairs(spark, sf), t.genotypes(spark, sf), cut_lineage(design), names,
+        pheno, lead_pairs(spark, sf, pheno), t.genotypes(spark, sf), cut_lineage(design), names,
         null_model.working_residuals(models))
 
 

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 from collections import Counter
 
@@ -904,3 +905,37 @@ def test_single_precision_rules_no_neighbour_out(kind):
 def test_large_blocks_keep_places():
     mask = np.random.default_rng(0).random((37, 1003)) < 0.01
     assert all((a == b).all() for a, b in zip(metacells._places(mask), np.nonzero(mask), strict=True))
+
+
+def test_context_fits_are_made_once_and_in_several_tasks(spark, tmp_path, monkeypatch):
+    """FDR and slopes read stored fits, and blocks are dealt to tasks by number, as their rows are few bytes."""
+    from spliceweave.operators import context
+
+    make, folder = context._fit_block, str(tmp_path)
+
+    def counted(max_iter):
+        run = make(max_iter)
+
+        def fit(rows, samples):
+            import uuid
+
+            from pyspark import TaskContext
+
+            if len(rows):
+                open(f"{folder}/{TaskContext.get().partitionId()}-{uuid.uuid4().hex}", "w").close()
+            return run(rows, samples)
+
+        return fit
+
+    monkeypatch.setattr(context, "_fit_block", counted)
+    rng = np.random.default_rng(4)
+    people = [(f"m{i}", i, i, [float(rng.normal())], [], float(i % 2), "ab"[i % 2]) for i in range(24)]
+    design = spark.createDataFrame(people, "metacell string, sample_idx int, donor_idx int, x array<double>, x_stratum array<double>, ctx double, stratum string")
+    rows = [(f"s{s}", f"m{i}", int(rng.binomial(20, 0.4)), 20) for s in range(40) for i in range(24)]
+    pheno = spark.createDataFrame(rows, "site string, metacell string, included bigint, total bigint")
+    pairs = spark.createDataFrame([(f"s{s}", f"v{s % 7}") for s in range(40)], "site string, snp string")
+    genotype = spark.createDataFrame([(f"v{v}", [float(g) for g in rng.integers(0, 3, 24)]) for v in range(7)], "snp string, dosage array<double>")
+    out = context.context_effects(pheno, pairs, genotype, design, ["a", "b"]).collect()
+    calls = [name.split("-")[0] for name in os.listdir(folder)]
+    assert len(out) == 40 and all(r.p_interaction is not None and r.q >= r.p_interaction - 1e-12 for r in out)
+    assert len(calls) <= spark.sparkContext.defaultParallelism and len(set(calls)) > 1

@@ -14,6 +14,7 @@ from spliceweave.functions.distributions import two_sided_p
 from spliceweave.operators.blocks import over_block_pairs
 
 RESULT = "site string, snp string, z double, beta double, se double"
+WIDE = 4
 MODEL = ["site", "pos", "sqrt_r", "resid", "w", "xw", "xwx_inv", "xr"]
 
 
@@ -72,13 +73,15 @@ def cis_qtl(
 
     ``genotypes`` is (snp, chrom, snp_pos, dosage ARRAY by donor index); missing dosages take the
     variant's mean. Sites are copied to the tiles their window touches, variants stay in one
-    tile, and a tile is worked in bounded site x variant blocks with matrix products.
+    tile, and a tile is worked in bounded site x variant blocks with matrix products. A tile is ``WIDE`` windows long: sparse regions
+    give fewer groups and copies of sites, dense ones are cut into blocks anyway.
     """
     if chrom is not None:
         null_models, genotypes = null_models.filter(F.col("chrom") == chrom), genotypes.filter(F.col("chrom") == chrom)
+    tile = max(1, WIDE * window)
     sites = null_models.select("chrom", *MODEL).withColumn("tile", F.explode(F.sequence(
-        F.floor((F.col("pos") - window) / window), F.floor((F.col("pos") + window) / window))))
-    snps = genotypes.select("chrom", "snp", "snp_pos", "dosage").withColumn("tile", F.floor(F.col("snp_pos") / window))
+        F.floor((F.col("pos") - window) / tile), F.floor((F.col("pos") + window) / tile))))
+    snps = genotypes.select("chrom", "snp", "snp_pos", "dosage").withColumn("tile", F.floor(F.col("snp_pos") / tile))
     raw = over_block_pairs(sites, snps, ["chrom", "tile"], ["site"], ["snp"], site_rows, snp_rows,
                            _block_kernel(window, p_max), RESULT)
     return _finish(raw, p_max)

@@ -1053,10 +1053,9 @@ def lead_pairs(spark, sf, pheno):
 def context_rows(spark, sf, design, names):
     """Interaction fits of the lead pairs: p of the dosage, of the interaction and in each stratum, q and slopes."""
     pheno = site_frame(spark, sf)
-    models = fitted_null(spark, sf, pheno)
+    models, pairs = fitted_null(spark, sf, pheno), lead_pairs(spark, sf, pheno)
     return context.context_effects(
-        pheno, lead_pairs(spark, sf, pheno), t.genotypes(spark, sf), cut_lineage(design), names,
-        null_model.working_residuals(models))
+        pheno, pairs, cut_lineage(t.genotypes(spark, sf, pairs)), cut_lineage(design), names, null_model.working_residuals(models))
 
 
 def run_context(spark, sf, design, names):

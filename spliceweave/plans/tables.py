@@ -109,10 +109,13 @@ def n_donors(spark, sf) -> int:
     return load(spark, sf, "nation").agg(F.max("n_nationkey")).first()[0] + 1
 
 
-def genotypes(spark, sf) -> DataFrame:
-    """Variants with ``dosage`` ARRAY<DOUBLE> over the donor indices; spread first, as a few MB of keys become as many arrays."""
+def genotypes(spark, sf, listed: DataFrame | None = None) -> DataFrame:
+    """Variants (those in ``listed`` by snp, if given) with ``dosage`` ARRAY<DOUBLE> over the donor indices; spread first, as a few MB of keys become as many arrays."""
+    named = variants(spark, sf)
+    if listed is not None:
+        named = named.join(listed.select("snp").distinct(), "snp", "left_semi").select(*named.columns)
     spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return variants(spark, sf).repartition(spread, "k").withColumn(
+    return named.repartition(spread, "k").withColumn(
         "dosage", F.expr(f"transform(sequence(0, {n_donors(spark, sf) - 1}), d -> CAST({DOSAGE} AS DOUBLE))"))
 
 

@@ -939,3 +939,11 @@ def test_context_fits_are_made_once_and_in_several_tasks(spark, tmp_path, monkey
     calls = [name.split("-")[0] for name in os.listdir(folder)]
     assert len(out) == 40 and all(r.p_interaction is not None and r.q >= r.p_interaction - 1e-12 for r in out)
     assert len(calls) <= spark.sparkContext.defaultParallelism and len(set(calls)) > 1
+
+
+def test_cis_tiles_are_several_windows_long():
+    """Sites are copied to the tiles of their window only: with tiles as long as a window each went to three groups."""
+    pos, window = np.arange(0, 10_000_000, 1000), 500_000
+    tile = association.WIDE * window
+    copies = (pos + window) // tile - (pos - window) // tile + 1
+    assert copies.mean() <= 1.6

@@ -690,6 +690,42 @@ def test_trans_blocks_return_few_rows(spark, monkeypatch):
     assert association.trans_qtl(models, snps, snps.select("snp")).count() == 1 and sizes["pairs"] <= 1 << 17
 
 
+def test_trans_groups_share_blocks(spark, monkeypatch):
+    """Sites and variants are copied once a group of many blocks and not for every block of the other side; all pairs come out once, in small blocks."""
+    from spliceweave.operators import blocks
+
+    rng = np.random.default_rng(11)
+    w = rng.random((120, 5)) + 0.1
+    rows = [(f"s{i}", "chr1", i, 1.0, rng.normal(size=5).tolist(), w[i].tolist(), w[i].tolist(), [float(1 / w[i].sum())], [float(i % 3)]) for i in range(120)]
+    models = spark.createDataFrame(rows, "site string, chrom string, pos bigint, sqrt_r double, resid array<double>, w array<double>, xw array<double>, "
+                                   "xwx_inv array<double>, xr array<double>")
+    dosage = [[float(v) for v in rng.integers(0, 3, 5)] for _ in range(299)] + [[0.0, float("nan"), 1.0, 2.0, 1.0]]
+    snps = spark.createDataFrame([(f"v{k}", "chr1", k, d) for k, d in enumerate(dosage)], "snp string, chrom string, snp_pos bigint, dosage array<double>")
+    met, real = [], type(models).repartition
+
+    def watched(self, n, *by):
+        met.append(self.count())
+        return real(self, n, *by)
+
+    monkeypatch.setattr(type(models), "repartition", watched)
+    out = association.trans_qtl(models, snps, snps.select("snp"), site_rows=8, snp_rows=4)
+    assert met and met[-1] <= 8 * (120 + 300)
+    key = lambda r: (r.site, r.snp, round(r.z, 9), round(r.beta, 9), round(r.se, 9), round(r.p, 9))
+    rows = out.collect()
+    assert sorted(map(key, rows)) == sorted(map(key, association.cis_qtl(models, snps, 10**6).collect()))
+    few = association.trans_qtl(models, snps, snps.select("snp"), p_max=0.2).collect()
+    assert {(r.site, r.snp) for r in few} == {(r.site, r.snp) for r in rows if r.p <= 0.2}
+
+    def sizes(x, y):
+        return pd.DataFrame({"n": [len(x)], "m": [len(y)], "a": [x.i.min()], "big": [x.big.max()]})
+
+    for k in (F.lit("x"), F.lit(None).cast("string")):
+        left = spark.range(70).select(k.alias("k"), F.col("id").alias("i"), (F.col("id") + 9007199254740993).alias("big"))
+        right = spark.range(90).select(k.alias("k"), F.col("id").alias("i"))
+        found = blocks.over_block_pairs(left, right, ["k"], ["i"], ["i"], 10, 20, sizes, "n long, m long, a long, big long", (2, 100)).toPandas()
+        assert (found.n * found.m).sum() == 70 * 90 and found.n.max() <= 10 and found.m.max() <= 20 and found.big.max() == 9007199254740993 + 69
+
+
 def test_heidi_groups_hold_no_more_than_what_is_compared(spark):
     """A probe of many variants: rows beyond the top variant and the compared ones never meet in one group."""
     from spliceweave.operators import heidi

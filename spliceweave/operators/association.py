@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from statistics import NormalDist
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spliceweave.functions.distributions import two_sided_p
-from spliceweave.operators.blocks import over_block_pairs
+from spliceweave.operators.blocks import over_block_pairs, salted
 
 RESULT = "site string, snp string, z double, beta double, se double"
 WIDE = 4
@@ -109,13 +108,8 @@ def trans_qtl(
     listed = genotypes.join(variants.select("snp").distinct(), "snp", "left_semi")
     if chrom is not None:
         listed = listed.filter(F.col("chrom") == chrom)
-    salts = max(1, math.ceil(math.sqrt(4 * listed.sparkSession.sparkContext.defaultParallelism)))
-    sites = null_models.select(*MODEL).withColumn("sg", F.pmod(F.xxhash64("site"), F.lit(salts))) \
-        .withColumn("vg", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    snps = listed.select("snp", "snp_pos", "dosage").withColumn("vg", F.pmod(F.xxhash64("snp"), F.lit(salts))) \
-        .withColumn("sg", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    raw = over_block_pairs(sites, snps, ["sg", "vg"], ["site"], ["snp"], site_rows, snp_rows,
-                           _block_kernel(None, p_max), RESULT, TOGETHER)
+    sites, snps, groups = salted(null_models.select(*MODEL), listed.select("snp", "snp_pos", "dosage"), "site", "snp")
+    raw = over_block_pairs(sites, snps, groups, ["site"], ["snp"], site_rows, snp_rows, _block_kernel(None, p_max), RESULT, TOGETHER)
     return _finish(raw, p_max)
 
 

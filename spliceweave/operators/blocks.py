@@ -8,6 +8,7 @@ rows; nothing is sampled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -85,3 +86,11 @@ def over_block_pairs(
                     yield pa.RecordBatch.from_pandas(out, schema=made, preserve_index=False)
 
     return rows.groupBy(*pair).applyInArrow(run, schema)
+
+
+def salted(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with two keys under which every left row meets every right row once, and these keys: all-against-all work starts from many groups."""
+    salts = max(1, math.ceil(math.sqrt(4 * left.sparkSession.sparkContext.defaultParallelism)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))
+    own = lambda c: F.pmod(F.xxhash64(c), F.lit(salts))
+    return left.withColumn("lg", own(left_id)).withColumn("rg", every), right.withColumn("rg", own(right_id)).withColumn("lg", every), ["lg", "rg"]

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spliceweave.operators.blocks import over_block_pairs, salted
 from spliceweave.operators.components import connected_components
 from spliceweave.operators.glmm import Families, Projectors, at_once, fit_many
 from spliceweave.session import cut_lineage, ship_package
@@ -19,6 +22,8 @@ NULL_SCHEMA = (
     "sample_idx array<int>, residuals array<double>, pi array<double>, total array<double>, y array<double>, "
     "resid array<double>, w array<double>, xw array<double>, xwx_inv array<double>, xr array<double>"
 )
+#: What the marker ratio needs of a site besides: the entries of Z' V^-1 Z inside families, V^-1 X at donor level and (X' V^-1 X)^-1.
+FORM = "top_i array<int>, top_j array<int>, top array<double>, zx array<double>, cov array<double>"
 TAU_FLOOR = 1e-6
 
 
@@ -36,10 +41,11 @@ def design_table(
     samples: DataFrame, covariates: DataFrame | None = None, grm: DataFrame | None = None,
     markers: DataFrame | None = None, grm_min: float | None = None, sample: str = "metacell",
 ) -> DataFrame:
-    """One row per sample with its covariates, and apart from these one row per donor (its sample is NULL) with family, GRM row and markers.
+    """One row per sample with its covariates, and apart from these (their sample is NULL) one row per donor with family and GRM row, and its markers.
 
     ``samples`` (sample, sample_idx, donor_idx), ``covariates`` (sample, x ARRAY), ``grm``
-    (i, j, k) over donor indices, ``markers`` (donor_idx, dosage ARRAY). Relatedness below
+    (i, j, k) over donor indices, ``markers`` (donor_idx, dosage ARRAY); many markers can come in parts (part, donor_idx, dosage ARRAY), a row
+    for each part of a donor, the markers of a part in one order. Relatedness below
     ``grm_min`` counts as zero, and donors that are linked by what is left form a family. Without a GRM donors are unrelated;
     with one, a sample of a donor that it lacks fails the job that reads the design.
     """
@@ -66,10 +72,12 @@ def design_table(
         entries = kept.groupBy(F.col("i").alias("donor_idx")).agg(F.collect_list(F.struct("j", "k")).alias("__kin"))
         per_donor = families.join(entries, "donor_idx", "left").select(
             "donor_idx", "family", F.col("__kin.j").alias("kin_idx"), F.col("__kin.k").alias("kin_val"))
+    out = out if per_donor is None else out.unionByName(per_donor, allowMissingColumns=True)
     if markers is not None:
-        m = markers.select(F.col("donor_idx").cast("int").alias("donor_idx"), F.col("dosage").cast("array<double>").alias("marker"))
-        per_donor = m if per_donor is None else per_donor.join(m, "donor_idx", "full")
-    return out if per_donor is None else out.unionByName(per_donor, allowMissingColumns=True)
+        part = F.col("part").cast("bigint") if "part" in markers.columns else F.lit(0).cast("bigint")
+        out = out.unionByName(markers.select(
+            F.col("donor_idx").cast("int").alias("donor_idx"), part.alias("part"), F.col("dosage").cast("array<double>").alias("marker")), allowMissingColumns=True)
+    return out
 
 
 def missing_donors(samples: DataFrame, labels: DataFrame) -> DataFrame:
@@ -77,21 +85,16 @@ def missing_donors(samples: DataFrame, labels: DataFrame) -> DataFrame:
     return samples.select("donor").distinct().join(labels.select("donor"), "donor", "left_anti")
 
 
-def _donor_tables(design: pd.DataFrame, n_donors: int, related: bool) -> tuple[Families, np.ndarray | None]:
-    """Relatedness by family and marker dosages of all donors, from the donor rows of a block's design."""
+def _kin_of(design: pd.DataFrame, n_donors: int, related: bool) -> Families:
+    """Relatedness by family, from the donor rows of a block's design."""
     donors = design[design["metacell"].isna()]
-    kin, marks = Families.unrelated(n_donors), None
-    if "kin_idx" in donors and related and donors["kin_idx"].notna().any():
-        rows = donors[donors["kin_idx"].notna()]
-        family = np.arange(n_donors) + n_donors  # donors without an entry stay alone
-        family[rows["donor_idx"].astype(int)] = rows["family"].astype(int)
-        cols = np.concatenate(rows["kin_idx"].to_numpy()).astype(int)
-        kin = Families.of(family, np.repeat(rows["donor_idx"].to_numpy(int), rows["kin_idx"].str.len()), cols, np.concatenate(rows["kin_val"].to_numpy()))
-    if "marker" in donors and donors["marker"].notna().any():
-        known = donors[donors["marker"].notna()]
-        marks = np.full((n_donors, len(known["marker"].iloc[0])), np.nan)
-        marks[known["donor_idx"].astype(int)] = np.vstack(known["marker"].to_numpy()).astype(float)
-    return kin, marks
+    if not ("kin_idx" in donors and related and donors["kin_idx"].notna().any()):
+        return Families.unrelated(n_donors)
+    rows = donors[donors["kin_idx"].notna()]
+    family = np.arange(n_donors) + n_donors  # donors without an entry stay alone
+    family[rows["donor_idx"].astype(int)] = rows["family"].astype(int)
+    cols = np.concatenate(rows["kin_idx"].to_numpy()).astype(int)
+    return Families.of(family, np.repeat(rows["donor_idx"].to_numpy(int), rows["kin_idx"].str.len()), cols, np.concatenate(rows["kin_val"].to_numpy()))
 
 
 def adjusted_score(resid, w, xw, xwx_inv, xr, g):
@@ -115,24 +118,138 @@ def permuted_ratio(sums, donors: np.ndarray, n_perm: int, rng: np.random.Generat
     return found / expected if expected > 0 else np.nan
 
 
-def marker_ratio(p: Projectors, w, x, xwx_inv, marks: np.ndarray, donors: np.ndarray, some: int = 1 << 14) -> float:
+@dataclass
+class MarkerForms:
+    """g' P g and g' W g (adjusted for the covariates) of markers g, which are constant inside a donor, for some sites at donor level.
+
+    ``w`` (sites x donors, zero where a site lacks a donor), ``xw`` and ``zx`` (sites x donors x columns), ``inv`` and ``cov`` (sites x columns x columns);
+    ``top`` are weights (sites x pairs) of the products of the donors ``i`` and ``j``, which are pairs inside families, so work follows the sum of squared family sizes.
+    """
+
+    w: np.ndarray
+    xw: np.ndarray
+    inv: np.ndarray
+    i: np.ndarray
+    j: np.ndarray
+    top: np.ndarray
+    zx: np.ndarray
+    cov: np.ndarray
+
+    @classmethod
+    def of(cls, rows: Sequence[tuple], n_donors: int) -> MarkerForms:
+        """From the columns w, xw, xwx_inv, top_i, top_j, top, zx and cov of each site."""
+        w, xw, inv, i, j, top, zx, cov = zip(*rows, strict=True)
+        n = len(w)
+        square = lambda v: np.vstack(v).reshape(n, math.isqrt(len(v[0])), -1)
+        code = np.concatenate(i).astype(np.int64) * n_donors + np.concatenate(j)
+        pairs, at = np.unique(code, return_inverse=True)
+        weights = np.zeros((n, len(pairs)))
+        weights[np.repeat(np.arange(n), [len(v) for v in top]), at] = np.concatenate(top)
+        by_donor = lambda v: np.vstack(v).reshape(n, n_donors, -1)
+        return cls(np.vstack(w), by_donor(xw), square(inv), pairs // n_donors, pairs % n_donors, weights, by_donor(zx), square(cov))
+
+    def sums(self, marks: np.ndarray, some: int = 512, pairs: int = 1 << 12) -> tuple[np.ndarray, np.ndarray]:
+        """Sum over the markers (donors x markers) of g' P g / g' W g of each site, and how many had a variance. Missing dosages take the mean of the site's donors."""
+        used = (self.w > 0).any(axis=0)
+        total, count = np.zeros(len(self.w)), np.zeros(len(self.w), np.int64)
+        for lo in range(0, marks.shape[1], some):
+            g = np.where(used[:, None], marks[:, lo:lo + some], 0.0)
+            missing = np.isnan(g).any(axis=0)
+            parts = [(slice(None), g[:, ~missing])]
+            if missing.any():
+                for at in range(len(self.w)):
+                    mine = self.w[at] > 0
+                    own = g[np.ix_(mine, missing)]
+                    seen = ~np.isnan(own)
+                    known = seen.any(axis=0)  # a marker that no donor of the site has does not count
+                    own, seen = own[:, known], seen[:, known]
+                    filled = np.zeros((len(g), known.sum()))
+                    filled[mine] = np.where(seen, own, np.where(seen, own, 0.0).sum(axis=0) / seen.sum(axis=0))
+                    parts.append((slice(at, at + 1), filled))
+            for sites, x in parts:
+                found = self._ratios(sites, x, pairs)
+                total[sites] += found[0]
+                count[sites] += found[1]
+        return total, count
+
+    def _ratios(self, sites: slice, g: np.ndarray, pairs: int) -> tuple[np.ndarray, np.ndarray]:
+        def explained(x, inv):
+            n, nd, p = x.shape
+            xg = (x.transpose(0, 2, 1).reshape(n * p, nd) @ g).reshape(n, p, -1)
+            return np.sum(xg * (inv @ xg), axis=1)
+
+        plain = self.w[sites] @ (g * g)
+        low = plain - explained(self.xw[sites], self.inv[sites])
+        top = -explained(self.zx[sites], self.cov[sites])
+        for lo in range(0, len(self.i), pairs):
+            at = slice(lo, lo + pairs)
+            top += self.top[sites, at] @ (g[self.i[at]] * g[self.j[at]])
+        use = low > 1e-9 * np.maximum(plain, 1.0)
+        return np.sum(np.where(use, top, 0.0) / np.where(use, low, 1.0), axis=1), use.sum(axis=1)
+
+
+def marker_form(p: Projectors, donors: np.ndarray, n_donors: int) -> dict:
+    """The columns of ``FORM`` of the one model in ``p``; ``donors`` are the indices of the model's donors, in the order of ``p``."""
+    mine = np.unique(p.donor)
+    index = np.full(p.kin.n, -1)
+    index[mine] = donors
+    found = []
+    for (members, _), m in zip(p.kin.stacks, p.m, strict=True):
+        r, c = np.triu_indices(members.shape[1])
+        a = p.a[0][members]
+        core = np.where(r == c, a[:, r], 0.0) - a[:, r] * m[0][:, r, c] * a[:, c] * np.where(r == c, 1.0, 2.0)
+        i, j = index[members[:, r]], index[members[:, c]]
+        here = (i >= 0) & (j >= 0)
+        found.append((np.minimum(i, j)[here], np.maximum(i, j)[here], core[here]))
+    zx = np.zeros((n_donors, len(p.cov[0])))
+    zx[donors] = p.to_donor(p.vix)[0][:, mine].T
+    i, j, top = (np.concatenate(v) for v in zip(*found, strict=True))
+    return {"top_i": i.astype("int32"), "top_j": j.astype("int32"), "top": top, "zx": zx.ravel(), "cov": p.cov[0].ravel()}
+
+
+def marker_ratio(p: Projectors, w, x, xwx_inv, marks: np.ndarray, donors: np.ndarray, some: int = 512) -> float:
     """Mean of g' P g over g' W g of all markers, adjusted for the covariates, of the one model in ``p``.
 
     ``donors`` are the rows of ``marks`` that the model's donors have, in the order of ``p``. Markers are constant inside a donor, so both forms are taken to donor level once and a marker costs no more than the donors squared.
     """
-    by_donor = np.eye(len(donors))[np.unique(p.donor, return_inverse=True)[1]].T  # donors x samples
-    adjusted = by_donor - (by_donor * w) @ x.T @ xwx_inv @ x
-    top = adjusted @ p.apply(adjusted[None])[0].T
-    low = (adjusted * w) @ adjusted.T
-    total, count = 0.0, 0
-    for lo in range(0, marks.shape[1], some):
-        g = marks[donors, lo:lo + some]
-        if np.isnan(g).any():
-            g = np.where(np.isnan(g), np.nanmean(g, axis=0), g)
-        den = np.sum(g * (low @ g), axis=0)
-        use = den > 1e-9
-        total, count = total + np.sum(np.sum(g * (top @ g), axis=0)[use] / den[use]), count + use.sum()
-    return total / count if count else np.nan
+    donor = np.asarray(donors)[np.unique(p.donor, return_inverse=True)[1]]
+    form = marker_form(p, donors, len(marks))
+    _, wd, xw, _, _ = donor_level(np.zeros(len(donor)), w, x.T, donor, len(marks))
+    total, count = MarkerForms.of([(wd, xw.ravel(), xwx_inv.ravel(), *form.values())], len(marks)).sums(marks, some)
+    return total[0] / count[0] if count[0] else np.nan
+
+
+def marker_ratios(models: DataFrame, design: DataFrame, n_donors: int, site_rows: int = 256, entries: int = 1 << 17, together: tuple[int, int] = (16, 16)) -> DataFrame:
+    """(site, total, count): the ratios of all markers of the design summed for each of ``models``, a stored table with the columns of ``FORM``.
+
+    Markers are cut into pieces of about ``entries`` dosages, and every site meets every piece in bounded groups; a block of sites returns one row a site and piece.
+    """
+    step = max(1, entries // n_donors)
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("marker") - 1) / step).cast("int")), lambda i: F.slice("marker", i * step + 1, F.lit(step)))
+    long = design.filter(F.size("marker") > 0).select("part", "donor_idx", F.posexplode(cut).alias("at", "dosage"))
+    rows = long.groupBy("part", "at").agg(F.collect_list(F.struct("donor_idx", "dosage")).alias("d"))
+    pieces = cut_lineage(rows.select(
+        F.xxhash64("part", "at").alias("piece"), F.col("d.donor_idx").alias("donors"), F.flatten("d.dosage").alias("dosage"),
+        F.transform("d", lambda e: F.size(e["dosage"])).alias("lengths")))
+    columns = ["w", "xw", "xwx_inv", *(c.split()[0] for c in FORM.split(", "))]
+    widest = models.agg(F.max(F.size("top"))).first()[0] or 1
+    site_rows = max(1, min(site_rows, (1 << 20) // widest))
+
+    def run(sites: pd.DataFrame, markers: pd.DataFrame) -> pd.DataFrame:
+        forms = MarkerForms.of([tuple(r) for r in sites[columns].itertuples(index=False)], n_donors)
+        total, count = np.zeros(len(sites)), np.zeros(len(sites), np.int64)
+        for m in markers.itertuples():
+            if len(set(m.lengths)) > 1:
+                raise ValueError("donors differ in their number of markers")
+            marks = np.full((n_donors, m.lengths[0]), np.nan)
+            marks[m.donors.astype(int)] = m.dosage.reshape(len(m.donors), -1)
+            found = forms.sums(marks)
+            total, count = total + found[0], count + found[1]
+        return pd.DataFrame({"site": sites.site, "total": total, "count": count})
+
+    left, right, groups = salted(models.select("site", *columns), pieces, "site", "piece")
+    parts = over_block_pairs(left, right, groups, ["site"], ["piece"], site_rows, 1, run, "site string, total double, count bigint", together)
+    return parts.groupBy("site").agg(F.sum("total").alias("total"), F.sum("count").alias("count"))
 
 
 def sample_grid(rows: pd.DataFrame, model: np.ndarray, models: int) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
@@ -152,7 +269,7 @@ def sample_grid(rows: pd.DataFrame, model: np.ndarray, models: int) -> tuple[pd.
 
 
 def _block_fitter(n_donors, max_iter, tol, mode, n_perm, seed):
-    def run(rows: pd.DataFrame, kin: Families, marks: np.ndarray | None) -> list[dict]:
+    def run(rows: pd.DataFrame, kin: Families) -> list[dict]:
         rows = rows[rows.total > 0]
         if rows.empty:
             return []
@@ -177,6 +294,7 @@ def _block_fitter(n_donors, max_iter, tol, mode, n_perm, seed):
                 yb, nb, pb, xb, db = y[lo + b, mine], n[lo + b, mine], pi[b, mine], x[mine], donor[mine]
                 res, w = yb - nb * pb, nb * pb * (1 - pb)
                 resid, wd, xw, xwx_inv, xr = donor_level(res, w, xb, db, n_donors)
+                r, form = np.nan, {}
                 if mode == "permute":
                     r = permuted_ratio((resid, wd, xw, xwx_inv, xr), np.unique(db), n_perm, np.random.default_rng([seed, zlib.crc32(head.site.encode())]))
                 else:
@@ -185,12 +303,12 @@ def _block_fitter(n_donors, max_iter, tol, mode, n_perm, seed):
                     ids = near[local[db]][turn]
                     first = np.unique(ids, return_index=True)[1]
                     p = Projectors((w / (1 + fits.tau_o[b] * w))[None, turn], ids, part, fits.tau_g[[b]], xb[turn].T[None])
-                    r = marker_ratio(p, w[turn], xb[turn].T, xwx_inv, marks, db[turn][first])
+                    form = marker_form(p, db[turn][first], n_donors)
                 out.append({
                     "site": head.site, "chrom": head.chrom, "strand": head.strand, "pos": head.pos, "status": fits.status[b],
                     "sqrt_r": float(np.sqrt(r)), "tau_g": fits.tau_g[b], "sample_idx": samples.sample_idx.to_numpy("int32")[mine],
                     "residuals": res, "pi": pb, "total": nb, "y": yb, "resid": resid, "w": wd, "xw": xw.ravel(),
-                    "xwx_inv": xwx_inv.ravel(), "xr": xr})
+                    "xwx_inv": xwx_inv.ravel(), "xr": xr, **form})
         return out
 
     return run
@@ -223,7 +341,8 @@ def fit_null(
     block and not per site, and its sites are fitted together (``fit_many``), as many at once as bounded arrays hold. ``mode`` estimates the variance
     ratio by permuting a synthetic genotype over donors (``permute``) or from real markers
     (``sample``, which drops sites without a converged positive genetic variance). Besides the
-    per-sample arrays a row keeps donor-level sums, all that a score test needs.
+    per-sample arrays a row keeps donor-level sums, all that a score test needs. Markers never reach the fits: fits are stored with what the
+    ratio needs at donor level, and meet the markers in bounded groups afterwards (``marker_ratios``).
     """
     if mode not in ("permute", "sample"):
         raise ValueError("mode must be permute or sample")
@@ -233,16 +352,28 @@ def fit_null(
     blocks = max(spark.sparkContext.defaultParallelism if sites > 1 else 1, math.ceil(sites / site_rows))
     rows = pheno.select("site", "chrom", "strand", "pos", F.col(sample).alias("metacell"), "included", "total").withColumn(
         "block", F.pmod(F.xxhash64("site"), F.lit(blocks)).cast("int"))
-    copies = design.withColumnRenamed(sample, "metacell").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    plain = design
+    if "marker" in design.columns:
+        plain = design.filter(F.col("marker").isNull() | F.col("kin_idx").isNotNull() if "kin_idx" in design.columns else F.col("marker").isNull()).drop("marker", "part")
+    elif mode == "sample":
+        raise ValueError("mode sample needs a design with markers")
+    copies = plain.withColumnRenamed(sample, "metacell").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     fit_block = _block_fitter(n_donors, max_iter, tol, mode, n_perm, seed)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        kin, marks = _donor_tables(right, n_donors, related)
         known = right.loc[right["metacell"].notna(), ["metacell", "sample_idx", "donor_idx", "x"]]
-        return pd.DataFrame(fit_block(left.merge(known, on="metacell"), kin, marks))
+        return pd.DataFrame(fit_block(left.merge(known, on="metacell"), _kin_of(right, n_donors, related)))
 
     # rows are few bytes for the work they make, so blocks are dealt to tasks by number and not by size
-    return rows.repartition(blocks, "block").groupBy("block").cogroup(copies.repartition(blocks, "block").groupBy("block")).applyInPandas(run, NULL_SCHEMA)
+    fits = rows.repartition(blocks, "block").groupBy("block").cogroup(copies.repartition(blocks, "block").groupBy("block")).applyInPandas(
+        run, f"{NULL_SCHEMA}, {FORM}" if mode == "sample" else NULL_SCHEMA)
+    if mode != "sample":
+        return fits
+    models = cut_lineage(fits)
+    sums = marker_ratios(models, design, n_donors).select(F.col("site").alias("__site"), F.col("total").alias("__total"), F.col("count").alias("__count"))
+    ratio = F.when(F.col("__count").isNull(), F.raise_error(F.lit("the design has no markers")).cast("double")).when(
+        (F.col("__count") > 0) & (F.col("__total") >= 0), F.sqrt(F.col("__total") / F.col("__count")))
+    return models.join(sums, F.col("site").eqNullSafe(F.col("__site")), "left").withColumn("sqrt_r", ratio).select(*[c.split()[0] for c in NULL_SCHEMA.split(", ")])
 
 
 def donor_sums(models: DataFrame, design: DataFrame, n_donors: int, sample: str = "metacell") -> DataFrame:

@@ -28,6 +28,7 @@ from spliceweave.session import cut_lineage
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 MIN_READS = 10
+MARKER_ROWS = 1 << 14
 
 
 def query(name: str, sql: str | None = None):
@@ -1012,10 +1013,12 @@ def check_score_test_p(spark, sf):
 @query("null_glmm_sample_mode")
 def null_glmm_sample_mode(spark, sf):
     """Variance ratio from real markers: every variant of the GWAS table is a marker. Sites stay only with a converged positive variance."""
-    listed = t.gwas(spark, sf).select("k").distinct()
-    long = t.genotypes(spark, sf).join(listed, "k", "left_semi").select("k", F.posexplode("dosage").alias("donor_idx", "dosage"))
-    markers = long.groupBy("donor_idx").agg(F.array_sort(F.collect_list(F.struct("k", "dosage"))).alias("m")).select(
-        "donor_idx", F.col("m.dosage").alias("dosage"))
+    listed = cut_lineage(t.gwas(spark, sf).select("k").distinct())
+    parts = max(1, -(-listed.count() // MARKER_ROWS))
+    long = t.genotypes(spark, sf).join(listed, "k", "left_semi").select(
+        F.pmod(F.xxhash64("k"), F.lit(parts)).alias("part"), "k", F.posexplode("dosage").alias("donor_idx", "dosage"))
+    markers = long.groupBy("part", "donor_idx").agg(F.array_sort(F.collect_list(F.struct("k", "dosage"))).alias("m")).select(
+        "part", "donor_idx", F.col("m.dosage").alias("dosage"))
     models = fitted_null(spark, sf, mode="sample", design={"markers": markers}).select("site", "status", "sqrt_r", "tau_g")
     return models
 

@@ -795,6 +795,33 @@ def test_relatedness_makes_dosages_once(spark):
     assert tables.genotypes(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_markers_stay_out_of_fit_blocks(spark, monkeypatch):
+    """Blocks of fits get no copy of the markers; pieces of markers and parts of them give the ratio of all, with missing dosages and a donor without any."""
+    pheno, samples, x, _, _ = simulate(spark, n_sites=3, seed=1)
+    grm = spark.createDataFrame([(i, j, 1.0 if i == j else 0.3) for i in range(30) for j in range(30) if i // 3 == j // 3], "i bigint, j bigint, k double")
+    rng = np.random.default_rng(6)
+    g = [[None if rng.random() < 0.05 else float(v) for v in rng.binomial(2, 0.5, 38)] + [1.0, None] for _ in range(29)]
+    whole = spark.createDataFrame(list(enumerate(g)), "donor_idx bigint, dosage array<double>")
+    parted = spark.createDataFrame([(p, d, v[p::3]) for d, v in enumerate(g) for p in range(3)], "part bigint, donor_idx bigint, dosage array<double>")
+    met, frame = [], type(pheno).repartition
+
+    def watched(self, n, *by):
+        met.append((by, self.columns))
+        return frame(self, n, *by)
+
+    monkeypatch.setattr(type(pheno), "repartition", watched)
+    fit = lambda markers, grm=grm: {r.site: (r.sqrt_r, r.tau_g) for r in null_model.fit_null(
+        pheno, null_model.design_table(samples, x, grm, markers, grm_min=0.05), 30, mode="sample").collect()}
+    want = fit(whole)
+    assert len(want) and all("marker" not in columns for by, columns in met if by == ("block",)) and any(by == ("block",) for by, _ in met)
+    ratios = null_model.marker_ratios
+    monkeypatch.setattr(null_model, "marker_ratios", lambda *a: ratios(*a, site_rows=1, entries=30 * 7, together=(2, 2)))
+    got = fit(parted)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+    with pytest.raises(Exception, match="no markers"):
+        fit(whole.limit(0), None)
+
+
 def test_many_fits_at_once_equal_single_ones():
     """Models with different samples, converging or not, get what they get alone; samples a model lacks change nothing."""
     from spliceweave.operators import glmm

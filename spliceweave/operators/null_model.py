@@ -219,10 +219,13 @@ def marker_ratio(p: Projectors, w, x, xwx_inv, marks: np.ndarray, donors: np.nda
     return total[0] / count[0] if count[0] else np.nan
 
 
-def marker_ratios(models: DataFrame, design: DataFrame, n_donors: int, site_rows: int = 256, entries: int = 1 << 17, together: tuple[int, int] = (16, 16)) -> DataFrame:
+def marker_ratios(
+    models: DataFrame, design: DataFrame, n_donors: int, site_rows: int = 256, piece_rows: int = 16, entries: int = 1 << 13, together: tuple[int, int] = (16, 16),
+) -> DataFrame:
     """(site, total, count): the ratios of all markers of the design summed for each of ``models``, a stored table with the columns of ``FORM``.
 
-    Markers are cut into pieces of about ``entries`` dosages, and every site meets every piece in bounded groups; a block of sites returns one row a site and piece.
+    Markers are cut into pieces of about ``entries`` dosages (stored tables are read some thousand rows at once), and every site meets every piece in
+    bounded groups; a pair of blocks returns one row a site.
     """
     step = max(1, entries // n_donors)
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("marker") - 1) / step).cast("int")), lambda i: F.slice("marker", i * step + 1, F.lit(step)))
@@ -237,18 +240,17 @@ def marker_ratios(models: DataFrame, design: DataFrame, n_donors: int, site_rows
 
     def run(sites: pd.DataFrame, markers: pd.DataFrame) -> pd.DataFrame:
         forms = MarkerForms.of([tuple(r) for r in sites[columns].itertuples(index=False)], n_donors)
-        total, count = np.zeros(len(sites)), np.zeros(len(sites), np.int64)
+        parts = []
         for m in markers.itertuples():
             if len(set(m.lengths)) > 1:
                 raise ValueError("donors differ in their number of markers")
-            marks = np.full((n_donors, m.lengths[0]), np.nan)
-            marks[m.donors.astype(int)] = m.dosage.reshape(len(m.donors), -1)
-            found = forms.sums(marks)
-            total, count = total + found[0], count + found[1]
+            parts.append(np.full((n_donors, m.lengths[0]), np.nan))
+            parts[-1][m.donors.astype(int)] = m.dosage.reshape(len(m.donors), -1)
+        total, count = forms.sums(np.concatenate(parts, axis=1))
         return pd.DataFrame({"site": sites.site, "total": total, "count": count})
 
     left, right, groups = salted(models.select("site", *columns), pieces, "site", "piece")
-    parts = over_block_pairs(left, right, groups, ["site"], ["piece"], site_rows, 1, run, "site string, total double, count bigint", together)
+    parts = over_block_pairs(left, right, groups, ["site"], ["piece"], site_rows, piece_rows, run, "site string, total double, count bigint", together)
     return parts.groupBy("site").agg(F.sum("total").alias("total"), F.sum("count").alias("count"))
 
 

@@ -28,7 +28,7 @@ from spliceweave.session import cut_lineage
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 MIN_READS = 10
-MARKER_ROWS = 1 << 14
+MARKER_ROWS = 1 << 12
 
 
 def query(name: str, sql: str | None = None):
